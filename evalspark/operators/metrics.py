@@ -50,20 +50,20 @@ def roc_auc(pred: DataFrame, positive: str, by: Sequence[str]) -> DataFrame:
 def metrics(pred: DataFrame, labels: Sequence[str], positive: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """n, accuracy and macro-F1 over the full label list; with ``positive`` also its F1 and ROC AUC."""
     by = list(by)
-    if not by:
-        one_group = metrics(pred.withColumn("_all", F.lit(0)), labels, positive, ["_all"])
-        return one_group.drop("_all")
+    none = F.lit(None).cast("double")
     columns = [
         F.sum("truth").alias("n"),
         (F.sum("tp") / F.sum("truth")).alias("accuracy"),
         (F.sum("f1") / len(labels)).alias("macro_f1"),
     ]
     if positive is None:
-        columns += [F.lit(None).cast("double").alias("f1_positive"), F.lit(None).cast("double").alias("roc_auc")]
-        return label_scores(pred, labels, by).groupBy(*by).agg(*columns)
+        summary = label_scores(pred, labels, by).groupBy(*by).agg(*columns)
+        return summary.withColumns({"f1_positive": none, "roc_auc": none})
     columns.append(F.coalesce(F.max(F.when(F.col("of") == positive, F.col("f1"))), F.lit(0.0)).alias("f1_positive"))
     summary = label_scores(pred, labels, by).groupBy(*by).agg(*columns)
-    return summary.join(roc_auc(pred, positive, by), by, "left")
+    # One row per group on either side: laid together and merged, which needs no join.
+    both = summary.unionByName(roc_auc(pred, positive, by), allowMissingColumns=True)
+    return both.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("n", "accuracy", "macro_f1", "f1_positive", "roc_auc")])
 
 
 def label_histogram(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -145,7 +145,7 @@ class TextSvm:
 
 def logistic(c: float, n: int, max_iter: int = 100) -> LogisticRegression:
     """L2 logistic regression whose ``c`` weighs the summed loss; Spark's own weighs the mean."""
-    return LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
+    return LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
 
 
 # ---------------------------------------------------------------- tables

@@ -188,18 +188,20 @@ def contribution(results: DataFrame, metric: str) -> DataFrame:
 
 def describe(task: Task, split: DataFrame) -> DataFrame:
     """One row: sizes, question, and the first scored state (cut to a preview) with its label."""
-    scored = F.col("is_scored")
-    first = F.min_by(F.struct(state_json(task.state()).alias("state"), F.col("label").cast("string").alias("label")),
-                     F.when(scored, F.col("row_id")))
     answers = "yes / no" if task.is_binary else " / ".join(task.criteria)
-    return split.agg(
-        F.count_if(scored).alias("n_scored"), F.count_if(F.col("split") == "test").alias("n_test"),
-        F.count_if(F.col("split") == "train").alias("n_train"), first.alias("_first"),
-    ).select(
+    sizes = split.agg(
+        F.count_if("is_scored").alias("n_scored"), F.count_if(F.col("split") == "test").alias("n_test"),
+        F.count_if(F.col("split") == "train").alias("n_train"),
+    )
+    # Only the first row becomes a state.
+    preview = truncate(state_json(task.state()), PREVIEW)
+    first = split.where("is_scored").orderBy("row_id").limit(1).select(
+        F.struct(preview.alias("state_preview"), F.col("label").cast("string").alias("state_label"))
+    )
+    return sizes.withColumn("_first", first.scalar()).select(
         F.lit(task.name).alias("task"), "n_scored", "n_test", "n_train", F.lit(task.problem).alias("problem"),
         F.lit("Binary" if task.is_binary else "Choice").alias("question_type"),
-        F.lit(task.instructions).alias("question"), F.lit(answers).alias("answers"),
-        truncate(F.col("_first.state"), PREVIEW).alias("state_preview"), F.col("_first.label").alias("state_label"),
+        F.lit(task.instructions).alias("question"), F.lit(answers).alias("answers"), "_first.state_preview", "_first.state_label",
     )
 
 

@@ -225,6 +225,13 @@ def stratified_sample(
     return _first_of_each(df, order, quota, label, row_id, purpose, seed)
 
 
+def first_by_hash(df: DataFrame, row_id: str, n: int, purpose: str, seed: int = SEED) -> DataFrame:
+    """The first ``n`` rows in hash order, whatever their labels."""
+    marked = df.withColumn("_all", F.lit("all"))
+    order = _label_order(marked, "_all", row_id, purpose, seed)
+    return _first_of_each(marked, order, {"all": n}, "_all", row_id, purpose, seed).drop("_all")
+
+
 def _first_of_each(
     df: DataFrame, order: LabelOrder, quota: Mapping[str, int], label: str, row_id: str, purpose: str, seed: int
 ) -> DataFrame:

@@ -53,7 +53,8 @@ class BatchScorer:
                     records = answer(batch)
                 except Exception as err:  # noqa: BLE001 - a failure is a record
                     records = batch[["request_key"]].assign(error=f"{type(err).__name__}: {err}")
-                yield records.reindex(columns=names)
+                records = records.reindex(columns=names).astype(object)
+                yield records.where(records.notna(), None)
 
         return requests.mapInPandas(run, RECORD)
 
@@ -63,20 +64,25 @@ def missing_requests(requests: DataFrame, store: DataFrame) -> DataFrame:
     return requests.join(store.select("request_key"), "request_key", "left_anti")
 
 
-def distinct_requests(requests: DataFrame) -> DataFrame:
-    """One row per key with the number of rows that share it. Copies are combined before the shuffle."""
-    return requests.groupBy("request_key").agg(
-        F.any_value("model").alias("model"), F.any_value("state_json").alias("state_json"),
-        F.count("*").alias("copies"),
-    )
+def distinct_requests(keys: DataFrame) -> DataFrame:
+    """request_key, copies (how many rows share it) and row_id (the one row to ask with).
+
+    Counted on keys and ids alone; copies are combined before the shuffle.
+    """
+    return keys.groupBy("request_key").agg(F.count("*").alias("copies"), F.min("row_id").alias("row_id"))
+
+
+def bodies(requests: DataFrame, asked: DataFrame) -> DataFrame:
+    """request_key, model, state_json of the asked rows. Row ids are unique, so no key is hot here."""
+    return requests.join(asked.select("row_id"), "row_id", "left_semi").select("request_key", "model", "state_json")
 
 
-def join_answers(requests: DataFrame, distinct: DataFrame, answers: DataFrame) -> DataFrame:
+def join_answers(keys: DataFrame, distinct: DataFrame, answers: DataFrame) -> DataFrame:
     """The record of every request row; null fields where none exists."""
     values = answers.select("request_key", *[f for f in RECORD.names if f != "request_key"])
     per_key = stage(distinct.select("request_key", "copies").join(values, "request_key", "left"), "answers")
-    keys = requests.select("row_id", "request_key")
-    return lookup(keys, per_key, "request_key", "copies", spread="row_id", how="left")
+    found = lookup(keys.select("row_id", "request_key"), per_key, "request_key", "copies", spread="row_id", how="left")
+    return found.drop("copies")
 
 
 def score_rows(
@@ -90,25 +96,27 @@ def score_rows(
     in as many parts, each stored when it is done, so an interrupted run loses one part at most.
     """
     spark = requests.sparkSession
-    distinct = stage(distinct_requests(requests), "requests")
+    keys = stage(requests.select("row_id", "request_key"), "request-keys")
+    distinct = distinct_requests(keys)
     todo, known = distinct, []
     if store_path is not None:
-        stored = read_answers(spark, store_path)
         batch = next_batch(spark, store_path) if batch is None else batch
+        stored = read_answers(spark, store_path).where(F.col("batch") < batch)
         todo = missing_requests(distinct, stored)
         known.append(as_records(latest_answers(stored)))
+    todo = stage(todo.select("request_key", "row_id"), "asked")
     for wave in range(waves):
         part = todo
         if waves > 1:
             part = part.where(F.pmod(F.xxhash64("request_key"), F.lit(waves)) == wave)
-        part = part.drop("copies")
+        part = bodies(requests, part)
         if parallelism is not None:
             part = part.repartition(parallelism)
         fresh = stage(scorer.score(part), "scored")
         known.append(as_records(fresh))
         if store_path is not None:
             append_answers(fresh, store_path, batch + wave)
-    return join_answers(requests, distinct, functools.reduce(DataFrame.unionByName, known))
+    return join_answers(keys, distinct, functools.reduce(DataFrame.unionByName, known))
 
 
 def decode(task: Task, records: DataFrame) -> DataFrame:

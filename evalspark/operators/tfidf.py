@@ -17,7 +17,9 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from evalspark.functions import text as texts
 from evalspark.functions.scalars import argmax_label
+from evalspark.functions.ordered import running_totals
 from evalspark.functions.skew import lookup
+from evalspark.operators.sampling import first_by_hash
 from evalspark.session import new_path, stage
 
 # Fixed value: the smoothing of the naive Bayes baseline.
@@ -77,19 +79,36 @@ def fit_tfidf(
 ) -> TfidfModel:
     """idf = ln((1 + N) / (1 + df)) + 1 over the training rows.
 
-    ``max_features`` keeps the terms with the highest total count, ties by term.
+    ``max_features`` keeps the terms with the highest total count, ties by the hash order of terms.
     """
     n_docs = train.count()
     found = term_counts(train, text, bigrams, stop_words).groupBy("term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("total")
     ).where(F.col("df") >= min_df)
     if max_features is not None:
-        found = found.orderBy(F.desc("total"), "term").limit(max_features)
+        found = top_terms(stage(found, "term-counts"), max_features)
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     vocabulary = stage(found.select("term", "df", idf.alias("idf")), "vocabulary")
     return TfidfModel(vocabulary, n_docs, text, bigrams, tuple(stop_words))
 
 
+def top_terms(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` terms of highest ``total``. Found by the total of the n-th term, not by a sort.
+
+    Few distinct totals occur, so counting terms per total is a small table. Among the terms of
+    the last total, the first by hash order fill up.
+    """
+    per_total = counts.groupBy((-F.col("total")).alias("order")).agg(F.count("*").alias("terms"))
+    ranked = running_totals(per_total, [], "order", {"terms": "before"})
+    last = ranked.where((F.col("before") < n) & (F.col("before") + F.col("terms") >= n)).first()
+    if last is None:
+        return counts
+    tied = counts.where(F.col("total") == -last["order"])
+    return counts.where(F.col("total") > -last["order"]).unionByName(
+        first_by_hash(tied, "term", n - last["before"], "terms")
+    )
+
+
 @dataclass(frozen=True)
 class NaiveBayesModel:
     """Log probabilities per term and class, next to the TF-IDF model they belong to."""

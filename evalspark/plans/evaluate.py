@@ -33,6 +33,7 @@ class Shots:
     task: Task
     train: DataFrame
     _cluster: ClusterSelection | None = None
+    _rows: dict[str, DataFrame | None] = field(default_factory=dict)
     _questions: dict[str, str] = field(default_factory=dict)
 
     def cluster(self) -> ClusterSelection:
@@ -41,12 +42,18 @@ class Shots:
         return self._cluster
 
     def rows(self, variant: str) -> DataFrame | None:
-        """The example rows, or None for zero-shot."""
+        """The example rows, or None for zero-shot. A few rows, written once and read many times."""
+        if variant not in self._rows:
+            chosen = self._choose(variant)
+            self._rows[variant] = None if chosen is None else stage(chosen, "shots")
+        return self._rows[variant]
+
+    def _choose(self, variant: str) -> DataFrame | None:
         if variant == "cluster":
             return self.cluster().shots(self.train)
         labels, short = list(self.task.labels), self.task.is_short()
         if variant == "cluster-random":
-            return shots_matched(self.train, self.cluster().shots(self.train), labels, short)
+            return shots_matched(self.train, self.rows("cluster"), labels, short)
         k = int(variant)
         return shots_k(self.train, labels, k, short) if k else None
 

@@ -54,7 +54,7 @@ def tfidf_weights(spark, folder):
 tokens AS (SELECT row_id, label, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM base),
 counted AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(t) AS term FROM tokens) GROUP BY ALL)
 SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM base)) / (1.0 + count(*))) + 1.0, 6) AS idf
-FROM counted GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 20000""",
+FROM counted GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, {sql.h('terms', 'term')} LIMIT 20000""",
 )
 def tfidf_bigrams(spark, folder):
     """Words and word pairs, capped at the most frequent terms (a vocabulary cap, as the models use)."""

@@ -90,7 +90,8 @@ def latest_answer(spark, folder):
 def answer_store(spark, folder):
     """Records written to an answer table and read back: the failures (here, low scores) are not stored."""
     path = new_path(spark, "answer-store")
-    records = judges.quality_judge().score(scoring.distinct_requests(quality_requests(spark, folder)))
+    requests = quality_requests(spark, folder)
+    records = judges.quality_judge().score(scoring.bodies(requests, scoring.distinct_requests(requests)))
     failed = F.when(F.col("p_yes") < 0.5, F.lit("low")).alias("error")
     answers.append_answers(records.select("request_key", "p_yes", failed), path, 0)
     return answers.latest_answers(answers.read_answers(spark, path)).select("request_key", "p_yes")

@@ -52,12 +52,20 @@ def write_tsv(df: DataFrame, path: str) -> None:
     )
 
 
+COPIES = 10_000  # equal rows numbered by one task at a time
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
-    """A row id for a file without a key: a hash of the row's content plus its place among equal rows.
+    """A row id for a file without a key: a hash of the row's content plus its number among equal rows.
 
-    It does not depend on how Spark reads the file, so it is the same in every run.
+    It does not depend on how Spark reads the file, so it is the same in every run. Equal rows are
+    counted, and a large count is spread in parts over many tasks before it becomes rows again.
     """
     content = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-    numbered = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return numbered.withColumn("row_id", F.concat(content, F.lit("-"), F.col("_copy"))).drop("_copies", "_copy")
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies")).withColumn("_content", content)
+    parts = counted.withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(COPIES))))
+    until = F.least(F.col("_from") + COPIES - 1, F.col("_copies"))
+    spread = parts.repartition("_content", "_from")
+    numbered = spread.withColumn("_copy", F.explode(F.sequence(F.col("_from"), until)))
+    row_id = F.concat("_content", F.lit("-"), F.col("_copy").cast("string"))
+    return numbered.withColumn("row_id", row_id).drop("_copies", "_content", "_from", "_copy")

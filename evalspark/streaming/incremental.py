@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from evalspark.operators.requests import DEFAULT_MODEL, build_requests
-from evalspark.operators.scoring import Scorer, distinct_requests, missing_requests
+from evalspark.operators.scoring import Scorer, bodies, distinct_requests, missing_requests
 from evalspark.plans.task import Task
 from evalspark.sources.answers import append_answers, read_answers
 
@@ -24,7 +24,8 @@ def score_stream(
     def one_batch(batch: DataFrame, number: int) -> None:
         stored = read_answers(batch.sparkSession, store_path)
         others = stored.where(stored["batch"] != number)
-        todo = missing_requests(distinct_requests(build_requests(task, batch, question, model)), others).drop("copies")
+        requests = build_requests(task, batch, question, model)
+        todo = bodies(requests, missing_requests(distinct_requests(requests), others))
         if parallelism is not None:
             todo = todo.repartition(parallelism)
         append_answers(scorer.score(todo), store_path, number)
