@@ -20,7 +20,7 @@ from evalspark.functions.vectors import l2_normalise, squared_distance
 from evalspark.operators.sampling import SEED, local_table
 from evalspark.operators.svd import svd_features
 from evalspark.operators.tabular import fit_imputer, fit_one_hot, fit_standardiser
-from evalspark.operators.tfidf import fit_tfidf, number_terms, to_vectors
+from evalspark.operators.tfidf import fit_tfidf, number_terms, to_vectors, with_counts
 from evalspark.plans.task import Task
 from evalspark.session import stage
 
@@ -38,6 +38,7 @@ def text_features(train: DataFrame, text: str, stop_words: Sequence[str] | None
     """Length-normalised SVD of TF-IDF weights, so k-means compares topics and not lengths."""
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
+    train = with_counts(train, text, stop_words=stop_words)
     model = fit_tfidf(train, text, min_df=TEXT_MIN_DF, max_features=TEXT_FEATURES, stop_words=stop_words)
     numbered = stage(number_terms(model.vocabulary), "term-positions")
     size = numbered.count()

@@ -1,5 +1,6 @@
 """Baseline models. Each is fitted on training rows and scores rows per label.
 
+``prepare(task, rows)`` does once what all fits on parts of the rows would repeat.
 ``fit(task, train)`` returns a model whose ``score(df)`` gives row_id, pred and ``raw``: an array
 with one value per label, probabilities or (when ``probabilistic`` is false) decision values.
 """
@@ -34,6 +35,8 @@ class Scoring(Protocol):
 
 
 class Baseline(Protocol):
+    def prepare(self, task: Task, rows: DataFrame) -> DataFrame: ...
+
     def fit(self, task: Task, train: DataFrame) -> Scoring: ...
 
 
@@ -48,11 +51,27 @@ def _scored(task: Task, predictions: DataFrame, column: str) -> DataFrame:
     return raw.select("row_id", argmax_label([F.col("raw")[i] for i in range(len(task.labels))], task.labels).alias("pred"), "raw")
 
 
+class Prepared:
+    """A baseline whose fits share nothing worth keeping."""
+
+    def prepare(self, task: Task, rows: DataFrame) -> DataFrame:
+        return rows
+
+
 # ---------------------------------------------------------------- text
 
 
+class TextBaseline:
+    """A baseline on term counts; the texts are split once for all fits."""
+
+    bigrams = False
+
+    def prepare(self, task: Task, rows: DataFrame) -> DataFrame:
+        return tfidf.with_counts(rows, task.text, self.bigrams, keep=[c for c in rows.columns if c not in ("row_id", task.text)])
+
+
 @dataclass(frozen=True)
-class NaiveBayes:
+class NaiveBayes(TextBaseline):
     """Multinomial naive Bayes on TF-IDF, fully relational."""
 
     alpha: float = tfidf.ALPHA
@@ -106,7 +125,7 @@ def _labelled(task: Task, vectors: DataFrame, train: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class TextLogistic:
+class TextLogistic(TextBaseline):
     """Logistic regression on TF-IDF of words and word pairs. ``c`` weighs the summed loss."""
 
     c: float = 4.0
@@ -116,6 +135,7 @@ class TextLogistic:
     max_iter: int = 100
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
+        train = self.prepare(task, train)
         vectors = TextVectors.fit(
             train, task.text, bigrams=self.bigrams, min_df=self.min_df, max_features=self.max_features
         )
@@ -126,18 +146,22 @@ class TextLogistic:
 
 
 @dataclass(frozen=True)
-class TextSvm:
+class TextSvm(TextBaseline):
     """Linear support vector machine, one against the rest, on TF-IDF of words."""
 
     c: float = 1.0
     min_df: int = 2
     max_features: int | None = None
     max_iter: int = 100
+    tol: float = 1e-4
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
+        train = self.prepare(task, train)
         vectors = TextVectors.fit(train, task.text, min_df=self.min_df, max_features=self.max_features)
         rows = _labelled(task, vectors.transform(train), train)
-        svm = LinearSVC(regParam=1.0 / (self.c * rows.count()), standardization=False, maxIter=self.max_iter)
+        svm = LinearSVC(
+            regParam=1.0 / (self.c * rows.count()), standardization=False, maxIter=self.max_iter, tol=self.tol
+        )
         model = OneVsRest(classifier=svm, parallelism=4).fit(rows)
         rows.unpersist()
         return _TextScoring(task, vectors, model, "rawPrediction", False)
@@ -152,7 +176,7 @@ def logistic(c: float, n: int, max_iter: int = 100) -> LogisticRegression:
 
 
 @dataclass(frozen=True)
-class TableBoosting:
+class TableBoosting(Prepared):
     """Gradient-boosted trees on numbers and ordinal category codes.
 
     A category that is missing or was not seen in training gets code -1. A missing number gets a
@@ -210,7 +234,7 @@ class _BoostingScoring:
 
 
 @dataclass(frozen=True)
-class NumericLogistic:
+class NumericLogistic(Prepared):
     """Logistic regression on standardised numbers: the numeric columns or the vector of a task."""
 
     c: float = 1.0
@@ -287,7 +311,7 @@ def oof_scores(task: Task, train: DataFrame, baseline: Baseline | None = None, f
     scores are probabilities.
     """
     baseline = baseline or task.baseline
-    folded = stratified_folds(train, folds=folds)
+    folded = baseline.prepare(task, stratified_folds(train, folds=folds))
     parts = []
     for i in range(folds):
         model = baseline.fit(task, folded.where(F.col("fold") != i))

@@ -17,15 +17,13 @@ PASSES = 6
 OVERSAMPLE = 10
 
 BLOCK = 512  # columns of the matrix summed as one unit
-CHUNK = 20_000  # matrix entries worked on at once inside a task
+CHUNK = 5_000  # matrix entries worked on at once inside a task
 
 
-def _sum_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys (sorted) and the sum of the rows of each."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[starts], np.add.reduceat(rows[order], starts, axis=0)
+def _sum_runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a sorted key list, and the sum of the rows of each."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.add.reduceat(rows, starts, axis=0)
 
 
 def _products(indices: pd.Series, values: pd.Series, basis: np.ndarray) -> Iterator[tuple]:
@@ -40,7 +38,7 @@ def _products(indices: pd.Series, values: pd.Series, basis: np.ndarray) -> Itera
         row = np.repeat(np.arange(stop - start), lengths[start:stop])
         product = np.zeros((stop - start, basis.shape[1]))
         if len(idx):
-            filled, sums = _sum_by(row, val[:, None] * basis[idx])
+            filled, sums = _sum_runs(row, val[:, None] * basis[idx])
             product[filled] = sums
         yield idx, val, row, product
         start, done = stop, ends[stop - 1]
@@ -58,7 +56,8 @@ def _gram_times(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
         for batch in batches:
             for idx, val, row, product in _products(batch["indices"], batch["values"], q):
                 if len(idx):
-                    terms, sums = _sum_by(idx, val[:, None] * product[row])
+                    order = np.argsort(idx, kind="stable")
+                    terms, sums = _sum_runs(idx[order], val[order, None] * product[row[order]])
                     total[terms] += sums
         for block in range(0, size, BLOCK):
             part = total[block : block + BLOCK]

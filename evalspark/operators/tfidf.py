@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from math import log
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -26,27 +26,54 @@ from evalspark.session import new_path, stage
 ALPHA = 0.1
 
 
-def term_counts(
-    df: DataFrame, text: str = "text", bigrams: bool = False, stop_words: Sequence[str] = (), keep: Sequence[str] = ()
-) -> DataFrame:
-    """row_id, term, tf (and the ``keep`` columns): one row per distinct term of a text.
+COUNTS = "term_counts"  # a column: the distinct terms of a text with their counts
+
+
+def _counted(df: DataFrame, text: str, bigrams: bool, stop_words: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``df`` with helper columns, and the expression that makes the counts of a row from them.
 
     The words of a text are sorted and equal neighbours counted, all within the row.
     """
     tokens = texts.without(texts.words(F.col(text)), stop_words)
     if bigrams:
         tokens = texts.with_bigrams(tokens)
-    listed = df.select("row_id", *keep, F.sort_array(tokens).alias("_terms"))
+    listed = df.withColumn("_terms", F.sort_array(tokens))
     is_first = lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1))
     # No filter on empty texts: it would be pushed below and split every text a second time.
     positions = F.when(F.size("_terms") > 0, F.sequence(F.lit(0), F.size("_terms") - 1))
     none = F.array().cast("array<int>")
     starts = listed.withColumn("_starts", F.coalesce(F.filter(positions, is_first), none))
     ends = F.concat(F.slice("_starts", F.lit(2), F.size("_terms")), F.array(F.size("_terms")))
-    counted = F.zip_with(
+    counts = F.zip_with(
         "_starts", ends, lambda a, b: F.struct(F.get("_terms", a).alias("term"), (b - a).cast("long").alias("tf"))
     )
-    return starts.select("row_id", *keep, F.inline(F.when(F.size("_terms") > 0, counted)))
+    return starts, F.when(F.size("_terms") > 0, counts)
+
+
+def with_counts(
+    df: DataFrame, text: str, bigrams: bool = False, stop_words: Sequence[str] = (), keep: Sequence[str] = ()
+) -> DataFrame:
+    """row_id, the ``keep`` columns and ``term_counts``, written once for all passes of a fit.
+
+    Splitting texts costs more than reading the counts back. Rows that carry counts already stay
+    as they are.
+    """
+    if COUNTS in df.columns:
+        return df
+    rows, counts = _counted(df, text, bigrams, stop_words)
+    return stage(rows.select("row_id", *keep, counts.alias(COUNTS)), "term-counts")
+
+
+def term_counts(
+    df: DataFrame, text: str = "text", bigrams: bool = False, stop_words: Sequence[str] = (), keep: Sequence[str] = ()
+) -> DataFrame:
+    """row_id, term, tf (and the ``keep`` columns): one row per distinct term of a text."""
+    if COUNTS in df.columns:
+        return df.select("row_id", *keep, F.inline(COUNTS))
+    # The expression goes into the generator itself. As a column of its own it would get a
+    # not-empty filter, which repeats all of the work above for every element.
+    rows, counts = _counted(df, text, bigrams, stop_words)
+    return rows.select("row_id", *keep, F.inline(counts))
 
 
 @dataclass(frozen=True)
@@ -86,7 +113,7 @@ def fit_tfidf(
         F.count("*").alias("df"), F.sum("tf").alias("total")
     ).where(F.col("df") >= min_df)
     if max_features is not None:
-        found = top_terms(stage(found, "term-counts"), max_features)
+        found = top_terms(stage(found, "term-totals"), max_features)
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     vocabulary = stage(found.select("term", "df", idf.alias("idf")), "vocabulary")
     return TfidfModel(vocabulary, n_docs, text, bigrams, tuple(stop_words))
@@ -146,8 +173,9 @@ def fit_naive_bayes(
 ) -> NaiveBayesModel:
     """Multinomial naive Bayes on TF-IDF weights; class priors are the plain label shares."""
     labels = tuple(labels)
+    train = with_counts(train, text, options.get("bigrams", False), options.get("stop_words", ()), keep=[label])
     tfidf = tfidf or fit_tfidf(train, text, **options)
-    weights = tfidf.weights(train.select("row_id", text, F.col(label).alias("_label")), keep=["_label", "idf"])
+    weights = tfidf.weights(train.select("row_id", COUNTS, F.col(label).alias("_label")), keep=["_label", "idf"])
     sums = [F.sum(F.when(F.col("_label") == l, F.col("weight")).otherwise(0.0)).alias(f"_sum_{i}")
             for i, l in enumerate(labels)]
     per_term = stage(

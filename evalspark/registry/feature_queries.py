@@ -43,7 +43,7 @@ SELECT row_id, term, tf, round(weight, 6) AS weight FROM weights""",
 )
 def tfidf_weights(spark, folder):
     """Vocabulary and document frequencies from the train split, weights for every document."""
-    split = lang_split(spark, folder)
+    split = tfidf.with_counts(lang_split(spark, folder), "text", keep=["split"])
     model = tfidf.fit_tfidf(split.where("split = 'train'"), min_df=2)
     return rounded(model.weights(split))
 
@@ -78,7 +78,8 @@ scores AS (SELECT row_id, max(coalesce(j, 0.0) + prior) FILTER (WHERE label = '0
 SELECT row_id, CASE WHEN s0 >= s1 THEN '0' ELSE '1' END AS pred, round(1.0 / (1.0 + exp(s0 - s1)), 6) AS p_positive FROM scores""",
 )
 def nb_predict(spark, folder):
-    split = sampling.stratified_split(catalog.doc_quality_rows(spark, folder))
+    rows = sampling.stratified_split(catalog.doc_quality_rows(spark, folder))
+    split = tfidf.with_counts(rows, "text", keep=["label", "split"])
     model = tfidf.fit_naive_bayes(split.where("split = 'train'"), DOC_QUALITY.labels)
     pred = model.predict(split)
     return pred.select("row_id", "pred", F.round(F.col("probabilities")[1], 6).alias("p_positive"))
