@@ -78,5 +78,5 @@ def exact_percentiles(df: DataFrame, value: str, percentages: Mapping[str, float
             F.first(position - F.floor(position)).alias(f"_part_{name}"),
         ]
         low, high, part = (F.col(f"_{side}_{name}") for side in ("low", "high", "part"))
-        results.append((low + (high - low) * part).alias(name))
+        results.append((low * (1 - part) + high * part).alias(name))
     return ranked.groupBy(*by).agg(*neighbours).select(*by, *results)

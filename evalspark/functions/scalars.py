@@ -43,8 +43,17 @@ def clipped_logit(p: Column, margin: float = LOGIT_MARGIN) -> Column:
     return F.log(clipped / (F.lit(1.0) - clipped))
 
 
+def round_binary(value: Column, places: int) -> Column:
+    """Rounded by the binary value, as printing a float does.
+
+    ``F.round`` rounds the shortest decimal text instead, so 4.0135 (stored just below) would go up.
+    """
+    scale = float(10**places)
+    return F.round(value * scale, 0) / scale
+
+
 def share(part: Column, total: Column, places: int = 3) -> Column:
-    return F.round(part / total, places)
+    return round_binary(part / total, places)
 
 
 def argmax_label(scores: Sequence[Column], labels: Sequence[str]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.ordered import exact_percentiles, running_totals
+from evalspark.functions.scalars import round_binary
 
 # When an answer counts as confident; how many error texts are shown.
 CONFIDENT = 0.8
@@ -77,8 +78,7 @@ def usage_stats(answers: DataFrame, by: Sequence[str]) -> DataFrame:
     spread = exact_percentiles(good, "latency_s", {"latency_p50_s": 0.5, "latency_p95_s": 0.95}, by)
     tokens = good.groupBy(*by).agg(F.sum("input_tokens").alias("input_tokens_total"))
     return tokens.join(spread, by, "left").select(
-        *by, F.round("latency_p50_s", 3).alias("latency_p50_s"), F.round("latency_p95_s", 3).alias("latency_p95_s"),
-        "input_tokens_total",
+        *by, *[round_binary(F.col(c), 3).alias(c) for c in ("latency_p50_s", "latency_p95_s")], "input_tokens_total"
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark.functions.scalars import round_binary
 from evalspark.functions.state import state_json
 from evalspark.functions.text import truncate
 from evalspark.operators.sampling import local_table
@@ -124,7 +125,7 @@ def leaderboard(results: DataFrame, metric: str) -> DataFrame:
     tasks = scores.where((F.col("method") == "baseline") & (F.col("field") == "metrics")).select("task")
     grid = tasks.withColumn("_methods", listed).select("task", F.inline("_methods"))
     filled = grid.join(scores, ["task", "method", "field"], "left")
-    shown = F.round("value", PRECISION)
+    shown = round_binary(F.col("value"), PRECISION)
     best = F.max(shown).over(Window.partitionBy("task"))
     return filled.withColumn("is_best", F.coalesce(shown == best, F.lit(False))).select(
         "task", "ordinal", "method", "field", "label", "value", "is_best"
