@@ -103,7 +103,9 @@ def score_rows(
         batch = next_batch(spark, store_path) if batch is None else batch
         stored = read_answers(spark, store_path).where(F.col("batch") < batch)
         todo = missing_requests(distinct, stored)
-        known.append(as_records(latest_answers(stored)))
+        # Only the answers of these requests, however long the table has grown.
+        wanted = stored.join(distinct.select("request_key"), "request_key", "left_semi")
+        known.append(as_records(latest_answers(wanted)))
     todo = stage(todo.select("request_key", "row_id"), "asked")
     for wave in range(waves):
         part = todo

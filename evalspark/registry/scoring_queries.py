@@ -10,6 +10,7 @@ from evalspark.operators.requests import build_requests
 from evalspark.operators.stacking import judge_features
 from evalspark.plans import catalog
 from evalspark.plans.catalog import DOC_LANG, DOC_QUALITY
+from evalspark.plans.evaluate import Shots, evaluate_variant
 from evalspark.plans.task import BINARY, Task
 from evalspark.registry import judges, sql
 from evalspark.registry.base import query
@@ -261,3 +262,33 @@ def judge_features_query(spark, folder):
     return features.select(
         "row_id", "failed", *[F.round(F.col("features")[i], 6).alias(f"f_{l}") for i, l in enumerate(judges.HINTS)]
     )
+
+
+class UnsureJudge(judges.LanguageJudge):
+    """The language judge that gives no answer when it is unsure."""
+
+    def score(self, requests):
+        records = super().score(requests)
+        return records.withColumn("error", F.when(F.col("confidence") < 0.4, F.lit("unsure")))
+
+
+ANSWERED = f"(SELECT * FROM ({LANG_ANSWERS}) WHERE confidence >= 0.4 AND row_id IN (SELECT row_id FROM split_rows WHERE is_scored))"
+VARIANT_METRICS = sql.metric_columns(f"(SELECT 0 AS g, label, choice AS pred FROM {ANSWERED})", list(DOC_LANG.labels), "g", None)
+
+
+@query(
+    "judge_variant",
+    f"""WITH {sql.split(sql.DOCS)}, m AS ({VARIANT_METRICS}),
+c AS (SELECT round(avg(CAST(choice = label AS INTEGER)) FILTER (WHERE confidence >= 0.8), 6) AS confident_accuracy,
+  round(avg(CAST(confidence >= 0.8 AS INTEGER)), 6) AS confident_share FROM {ANSWERED}),
+e AS (SELECT count(*) FILTER (WHERE is_scored) - (SELECT n FROM m) AS errors FROM split_rows)
+SELECT 'metrics' AS field, metric, value FROM (SELECT CAST(n AS DOUBLE) AS n, accuracy, macro_f1 FROM m) UNPIVOT (value FOR metric IN (n, accuracy, macro_f1))
+UNION ALL SELECT 'details', metric, value FROM c UNPIVOT (value FOR metric IN (confident_accuracy, confident_share))
+UNION ALL SELECT 'details', 'errors', CAST(errors AS DOUBLE) FROM e""",
+)
+def judge_variant(spark, folder):
+    """One zero-shot run: scores over the answered rows of the test split, failures counted apart."""
+    split = sampling.stratified_split(catalog.doc_lang_rows(spark, folder))
+    shots = Shots(DOC_LANG, split.where("split = 'train'"))
+    rows = evaluate_variant(DOC_LANG, split, "0", shots, UnsureJudge(), judges.MODEL)
+    return rounded(rows.where("value IS NOT NULL").select("field", "metric", "value"))
