@@ -42,7 +42,7 @@ def text_features(train: DataFrame, text: str, stop_words: Sequence[str] | None
     model = fit_tfidf(train, text, min_df=TEXT_MIN_DF, max_features=TEXT_FEATURES, stop_words=stop_words)
     numbered = stage(number_terms(model.vocabulary), "term-positions")
     size = numbered.count()
-    entries = to_vectors(model.weights(train), numbered, size, train).entries()
+    entries = to_vectors(model, numbered, size, train).entries()
     return svd_features(entries, size).withColumn("features", l2_normalise(F.col("features")))
 
 
@@ -137,8 +137,9 @@ def cell_representatives(rows: DataFrame, min_size: int = MIN_CELL_SIZE) -> Data
     features. Everything is aggregated per cell, so a cell of any size passes through many tasks.
     """
     centres = rows.groupBy("label", "cluster").agg(Summarizer.mean(array_to_vector("features")).alias("_centre"))
-    centres = centres.withColumn("_centre", vector_to_array("_centre"))
-    measured = rows.join(F.broadcast(centres), ["label", "cluster"])
+    # Staged, so that Spark knows how large the centres really are before it broadcasts them.
+    centres = stage(centres.withColumn("_centre", vector_to_array("_centre")), "centres")
+    measured = rows.join(centres, ["label", "cluster"])
     candidate = F.struct(
         (~F.col("short")).alias("long"), squared_distance(F.col("features"), F.col("_centre")).alias("distance"),
         F.col("row_id"),
@@ -158,7 +159,7 @@ class ClusterSelection:
 
     def shots(self, train: DataFrame) -> DataFrame:
         """The chosen training rows with ``place``, their order by label and cluster."""
-        return train.join(F.broadcast(self.cells.select("row_id", "place")), "row_id")
+        return train.join(self.cells.select("row_id", "place"), "row_id")
 
 
 def select_cluster_shots(task: Task, train: DataFrame, short: Column | None = None) -> ClusterSelection:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.ordered import exact_percentiles, running_totals
@@ -31,9 +31,8 @@ def label_scores(pred: DataFrame, labels: Sequence[str], by: Sequence[str]) -> D
     per_label = pairs.select(*by, F.inline(sides)).groupBy(*by, "of").agg(
         *[F.sum(c).alias(c) for c in ("truth", "guessed", "tp")]
     )
-    total = F.col("truth") + F.col("guessed")
-    f1 = F.when(F.col("of").isin(list(labels)) & (total > 0), 2.0 * F.col("tp") / total).otherwise(F.lit(0.0))
-    return per_label.withColumn("f1", f1)
+    f1 = F.when(F.col("of").isin(list(labels)), _f1(F.col("tp"), F.col("truth") + F.col("guessed")))
+    return per_label.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
 
 
 def roc_auc(pred: DataFrame, positive: str, by: Sequence[str]) -> DataFrame:
@@ -48,23 +47,46 @@ def roc_auc(pred: DataFrame, positive: str, by: Sequence[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.when(pairs > 0, won / pairs).alias("roc_auc"))
 
 
+def _f1(tp: Column, both: Column) -> Column:
+    return F.when(both > 0, 2.0 * tp / both).otherwise(F.lit(0.0))
+
+
+def _binary_metrics(pred: DataFrame, labels: Sequence[str], positive: str, by: Sequence[str]) -> DataFrame:
+    """All counts are taken per score in the one aggregation the AUC needs, and added up after it."""
+    label, guess, known = F.col("label"), F.col("pred"), F.col("score").isNotNull()
+    counts = {
+        "n": F.count("*"), "hits": F.count_if(label == guess),
+        "auc_pos": F.count_if(known & (label == positive)), "auc_neg": F.count_if(known & (label != positive)),
+    }
+    for i, l in enumerate(labels):
+        counts[f"tp_{i}"] = F.count_if((label == l) & (guess == l))
+        counts[f"both_{i}"] = F.count_if(label == l) + F.count_if(guess == l)
+    # A row without a score takes part in the counts, and has no part in the AUC.
+    placed = pred.withColumn("_score", F.coalesce("score", F.lit(float("-inf"))))
+    points = placed.groupBy(*by, "_score").agg(*[c.alias(name) for name, c in counts.items()])
+    won = F.col("auc_pos").cast("double") * (F.col("neg_below") + F.col("auc_neg") / 2.0)
+    sums = running_totals(points, by, "_score", {"auc_neg": "neg_below"}).groupBy(*by).agg(
+        *[F.sum(name).alias(name) for name in counts], F.sum(won).alias("won")
+    )
+    f1 = [_f1(F.col(f"tp_{i}"), F.col(f"both_{i}")) for i in range(len(labels))]
+    pairs = F.col("auc_pos").cast("double") * F.col("auc_neg")
+    return sums.select(
+        *by, "n", (F.col("hits") / F.col("n")).alias("accuracy"), (sum(f1[1:], f1[0]) / len(labels)).alias("macro_f1"),
+        f1[list(labels).index(positive)].alias("f1_positive"), F.when(pairs > 0, F.col("won") / pairs).alias("roc_auc"),
+    )
+
+
 def metrics(pred: DataFrame, labels: Sequence[str], positive: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """n, accuracy and macro-F1 over the full label list; with ``positive`` also its F1 and ROC AUC."""
     by = list(by)
+    if positive is not None:
+        return _binary_metrics(pred, labels, positive, by)
     none = F.lit(None).cast("double")
-    columns = [
-        F.sum("truth").alias("n"),
-        (F.sum("tp") / F.sum("truth")).alias("accuracy"),
+    summary = label_scores(pred, labels, by).groupBy(*by).agg(
+        F.sum("truth").alias("n"), (F.sum("tp") / F.sum("truth")).alias("accuracy"),
         (F.sum("f1") / len(labels)).alias("macro_f1"),
-    ]
-    if positive is None:
-        summary = label_scores(pred, labels, by).groupBy(*by).agg(*columns)
-        return summary.withColumns({"f1_positive": none, "roc_auc": none})
-    columns.append(F.coalesce(F.max(F.when(F.col("of") == positive, F.col("f1"))), F.lit(0.0)).alias("f1_positive"))
-    summary = label_scores(pred, labels, by).groupBy(*by).agg(*columns)
-    # One row per group on either side: laid together and merged, which needs no join.
-    both = summary.unionByName(roc_auc(pred, positive, by), allowMissingColumns=True)
-    return both.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("n", "accuracy", "macro_f1", "f1_positive", "roc_auc")])
+    )
+    return summary.withColumns({"f1_positive": none, "roc_auc": none})
 
 
 def label_histogram(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

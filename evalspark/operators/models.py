@@ -105,7 +105,7 @@ class TextVectors:
         return TextVectors(model, numbered, numbered.count())
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return tfidf.to_vectors(self.model.weights(df), self.numbered, self.size, df).vectors()
+        return tfidf.to_vectors(self.model, self.numbered, self.size, df).vectors()
 
 
 @dataclass(frozen=True)

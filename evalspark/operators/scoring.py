@@ -106,7 +106,8 @@ def score_rows(
         # Only the answers of these requests, however long the table has grown.
         wanted = stored.join(distinct.select("request_key"), "request_key", "left_semi")
         known.append(as_records(latest_answers(wanted)))
-    todo = stage(todo.select("request_key", "row_id"), "asked")
+    if store_path is not None or waves > 1:
+        todo = stage(todo.select("request_key", "row_id"), "asked")  # few of them move few texts
     for wave in range(waves):
         part = todo
         if waves > 1:

@@ -193,15 +193,15 @@ def fit_naive_bayes(
 
 
 def number_terms(vocabulary: DataFrame) -> DataFrame:
-    """term, df, position: terms numbered from 0, in an order given by a hash prefix and the term."""
-    prefixed = vocabulary.select("term", "df", F.substring(F.sha2("term", 256), 1, 3).alias("_prefix"))
+    """The vocabulary with ``position``: terms numbered from 0, in order of a hash prefix and the term."""
+    prefixed = vocabulary.select("term", "df", "idf", F.substring(F.sha2("term", 256), 1, 3).alias("_prefix"))
     before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     starts = prefixed.groupBy("_prefix").agg(F.count("*").alias("n")).select(
         "_prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")
     )
     place = F.row_number().over(Window.partitionBy("_prefix").orderBy("term"))
     return prefixed.withColumn("_place", place).join(starts, "_prefix").select(
-        "term", "df", (F.col("_start") + F.col("_place") - 1).cast("int").alias("position")
+        "term", "df", "idf", (F.col("_start") + F.col("_place") - 1).cast("int").alias("position")
     )
 
 
@@ -229,17 +229,21 @@ class TermVectors:
         return self._read(VectorUDT.sqlType()).select("row_id", "features.indices", "features.values")
 
 
-def to_vectors(weights: DataFrame, numbered: DataFrame, size: int, rows: DataFrame) -> TermVectors:
-    """One sparse vector per row of ``rows``; a row without known terms is all zero."""
-    placed = lookup(weights, numbered, "term", "df", spread="row_id")
-    entries = placed.groupBy("row_id").agg(
-        F.sort_array(F.collect_list(F.struct("position", "weight"))).alias("entries")
+def to_vectors(model: TfidfModel, numbered: DataFrame, size: int, rows: DataFrame) -> TermVectors:
+    """One sparse TF-IDF vector per row of ``rows``; a row without known terms is all zero.
+
+    One lookup per term and one shuffle per row; the scaling to length 1 is done inside the row.
+    """
+    entries = model.raw(rows, numbered).groupBy("row_id").agg(
+        F.sort_array(F.collect_list(F.struct("position", "raw"))).alias("entries"),
+        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"),
     )
-    empty = F.array().cast("array<struct<position:int,weight:double>>")
+    empty = F.array().cast("array<struct<position:int,raw:double>>")
     filled = rows.select("row_id").join(entries, "row_id", "left").withColumn("entries", F.coalesce("entries", empty))
     sparse = F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-        F.col("entries.position").alias("indices"), F.col("entries.weight").alias("values"),
+        F.col("entries.position").alias("indices"),
+        F.transform("entries.raw", lambda v: v / F.col("length")).alias("values"),
     )
     path = new_path(rows.sparkSession, "term-vectors")
     filled.select("row_id", sparse.alias("features")).write.parquet(path)

@@ -114,7 +114,7 @@ def test_vectors_hold_the_weights(spark):
     size = numbered.count()
     assert sorted(r["position"] for r in numbered.collect()) == list(range(size))
     place = {r["term"]: r["position"] for r in numbered.collect()}
-    vectors = {r["row_id"]: r["features"] for r in tfidf.to_vectors(model.weights(docs(spark)), numbered, size, docs(spark)).vectors().collect()}
+    vectors = {r["row_id"]: r["features"] for r in tfidf.to_vectors(model, numbered, size, docs(spark)).vectors().collect()}
     assert len(vectors) == len(TEXTS) and all(v.size == size for v in vectors.values())
     for r in model.weights(docs(spark)).collect():
         assert vectors[r["row_id"]][place[r["term"]]] == pytest.approx(r["weight"])
