@@ -22,8 +22,8 @@ def _with_slice(df: DataFrame, order: str, slices: int) -> DataFrame:
     The bounds are approximate quantiles. A row looks at every 16th bound first, and then only at
     the bounds after the last one below.
     """
-    cut_points = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(order, cut_points, 10_000).alias("all")).select(
+    cut_points = ", ".join(f"{i / slices}D" for i in range(1, slices))
+    found = df.agg(F.expr(f"percentile_approx(`{order}`, array({cut_points}), 10000)").alias("all")).select(
         F.struct("all", F.filter("all", lambda _, i: i % STEP == STEP - 1).alias("rough"))
     )
     value = F.col(order)
