@@ -34,12 +34,13 @@ def _with_slice(df: DataFrame, order: str, slices: int) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: str, totals: Mapping[str, str], slices: int = SLICES
+    df: DataFrame, by: Sequence[str], order: str, totals: Mapping[str, str], slices: int = SLICES,
+    overall: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add, per group, the total of each column over all rows ordered strictly before the row.
 
     ``df`` holds one row per (by, order) with a non-null ``order``; ``totals`` maps a summed
-    column to the name of its running total. The value range is cut at approximate quantiles into
+    column to the name of its running total, ``overall`` to that of its group total. The value range is cut at approximate quantiles into
     slices of about equal row counts. Each slice is summed on its own, and the slice totals (at
     most ``slices`` rows per group) give every slice its starting point. The bounds only balance
     the work; the totals are exact.
@@ -50,7 +51,8 @@ def running_totals(
     slice_sums = sliced.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slice_sums.select(
-        *by, "_slice", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in totals]
+        *by, "_slice", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in totals],
+        *[F.sum(f"_sum_{c}").over(Window.partitionBy(*by)).alias(name) for c, name in (overall or {}).items()],
     )
     inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     summed = sliced.join(starts, [*by, "_slice"])
@@ -66,8 +68,7 @@ def exact_percentiles(df: DataFrame, value: str, percentages: Mapping[str, float
     """
     by = list(by)
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    ranked = running_totals(counted, by, value, {"_n": "_before"}).join(sizes, by)
+    ranked = running_totals(counted, by, value, {"_n": "_before"}, overall={"_n": "_size"})
     upto = F.col("_before") + F.col("_n")
     neighbours, results = [], []
     for name, p in percentages.items():

@@ -6,6 +6,7 @@ Every function takes ``by``, so many methods are measured in one pass.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,13 +94,19 @@ def label_histogram(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, "label").agg(F.count("*").alias("n")).orderBy(*by, "label")
 
 
+def _merged(by: Sequence[str], *parts: DataFrame) -> DataFrame:
+    """Columns of several one-row-per-group tables side by side: laid together and merged, without a join."""
+    both = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return both.groupBy(*by).agg(*[F.any_value(c, True).alias(c) for c in both.columns if c not in by])
+
+
 def usage_stats(answers: DataFrame, by: Sequence[str]) -> DataFrame:
     """Latency percentiles and token total of the successful answers; null where none is recorded."""
     by = list(by)
     good = answers.where(F.col("error").isNull())
     spread = exact_percentiles(good, "latency_s", {"latency_p50_s": 0.5, "latency_p95_s": 0.95}, by)
     tokens = good.groupBy(*by).agg(F.sum("input_tokens").alias("input_tokens_total"))
-    return tokens.join(spread, by, "left").select(
+    return _merged(by, tokens, spread).select(
         *by, *[round_binary(F.col(c), 3).alias(c) for c in ("latency_p50_s", "latency_p95_s")], "input_tokens_total"
     )
 
@@ -122,4 +129,4 @@ def error_summary(answers: DataFrame, by: Sequence[str], examples: int = ERROR_E
     shown = first.where(F.col("_place") <= examples).groupBy(*by).agg(
         F.sort_array(F.collect_list("error")).alias("error_examples")
     )
-    return totals.join(shown, by)
+    return _merged(by, totals, shown)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import ast
 import dataclasses
 import json
 
@@ -80,7 +81,7 @@ def test_sizes_and_details(results):
     assert value(results, "titanic", "stack", "stage2_weight_judge", "details") > 0
     cluster = value(results, "iris", "judge_cluster", "examples_per_label", "details")
     assert cluster == value(results, "iris", "judge_cluster_random", "examples_per_label", "details")
-    n_shots = sum(eval(cluster).values())
+    n_shots = sum(ast.literal_eval(cluster).values())
     assert value(results, "iris", "stack_cluster", "stage2_train_rows", "details") == 120 - n_shots
 
 
