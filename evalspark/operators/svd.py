@@ -22,7 +22,7 @@ PASSES = 6
 OVERSAMPLE = 10
 
 BLOCK = 512  # columns of the matrix summed as one unit
-CHUNK = 5_000  # matrix entries worked on at once inside a task
+CHUNK = 10_000  # matrix entries worked on at once inside a task
 
 
 def _sum_runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +72,10 @@ def _gram_times(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
     parts = entries.mapInPandas(partial, "block long, part array<double>")
     sums = parts.groupBy("block").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
     out = np.zeros((size, width))
-    for r in sums.select("block", vector_to_array("part").alias("part")).collect():
-        values = np.asarray(r["part"]).reshape(-1, width)
-        out[r["block"] : r["block"] + len(values)] = values
+    blocks = sums.select("block", vector_to_array("part").alias("part")).toArrow()
+    for block, part in zip(blocks["block"].to_pylist(), blocks["part"]):
+        values = part.values.to_numpy(zero_copy_only=False).reshape(-1, width)
+        out[block : block + len(values)] = values
     shared.unpersist()
     return out
 

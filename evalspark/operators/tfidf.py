@@ -125,6 +125,8 @@ def top_terms(counts: DataFrame, n: int) -> DataFrame:
     Few distinct totals occur, so counting terms per total is a small table. Among the terms of
     the last total, the first by hash order fill up.
     """
+    if counts.count() <= n:
+        return counts
     per_total = counts.groupBy((-F.col("total")).alias("order")).agg(F.count("*").alias("terms"))
     ranked = running_totals(per_total, [], "order", {"terms": "before"})
     last = ranked.where((F.col("before") < n) & (F.col("before") + F.col("terms") >= n)).first()
