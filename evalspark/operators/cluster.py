@@ -54,11 +54,13 @@ def table_features(train: DataFrame, numeric: Sequence[str], categorical: Sequen
         scaler = fit_standardiser(rows, numeric)
         rows = rows.withColumn("_num", array_to_vector(F.array(*[scaler.column(c) for c in numeric])))
         parts.append("_num")
+    plain = rows
     for c in categorical:
-        rows = fit_one_hot(rows, c).bucketed(rows, f"_bucket_{c}")
-        rows = StringIndexer(inputCol=f"_bucket_{c}", outputCol=f"_index_{c}", stringOrderType="alphabetAsc").fit(
-            rows
-        ).transform(rows)
+        onehot, bucket = fit_one_hot(plain, c), f"_bucket_{c}"
+        rows = onehot.bucketed(rows, bucket)
+        # Fitted on the short list of categories, not on the rows.
+        indexer = StringIndexer(inputCol=bucket, outputCol=f"_index_{c}", stringOrderType="alphabetAsc")
+        rows = indexer.fit(onehot.frequencies.select(F.col("bucket").alias(bucket))).transform(rows)
         rows = OneHotEncoder(inputCol=f"_index_{c}", outputCol=f"_onehot_{c}", dropLast=False).fit(rows).transform(rows)
         parts.append(f"_onehot_{c}")
     joined = VectorAssembler(inputCols=parts, outputCol="_features").transform(rows)

@@ -212,6 +212,29 @@ def table_cluster_features(spark, folder):
     return cluster.cluster_features(ORDER_STATUS, rows)
 
 
+def _table_vectors_sql() -> str:
+    numbers = ", ".join(
+        f"CAST(round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () * 1000) AS BIGINT) AS {c}" for c in catalog.ORDER_NUMBERS
+    )
+    buckets = ", ".join(
+        f"CASE WHEN count(*) OVER (PARTITION BY {c}) >= 10 THEN {c} ELSE '__rare__' END AS {c}" for c in catalog.ORDER_CATEGORIES
+    )
+    lists = ", ".join(f"list(DISTINCT {c} ORDER BY {c}) AS l_{c}" for c in catalog.ORDER_CATEGORIES)
+    parts = f"[{', '.join(catalog.ORDER_NUMBERS)}]"
+    for c in catalog.ORDER_CATEGORIES:
+        parts = f"list_concat({parts}, list_transform(l_{c}, lambda v: CAST(v = {c} AS BIGINT) * 1000))"
+    return f"""WITH cells AS (SELECT row_id, {numbers}, {buckets} FROM {sql.ORDERS}), lists AS (SELECT {lists} FROM cells)
+SELECT row_id, array_to_string({parts}, ' ') AS v FROM cells, lists"""
+
+
+@query("table_vectors", _table_vectors_sql())
+def table_vectors(spark, folder):
+    """Standardised numbers and one-hot categories of every order, in thousandths."""
+    features = cluster.cluster_features(ORDER_STATUS, catalog.order_status_rows(spark, folder))
+    shown = F.transform("features", lambda x: F.round(x * 1000).cast("long").cast("string"))
+    return features.select("row_id", F.array_join(shown, " ").alias("v"))
+
+
 def vector_features(spark, folder):
     rows = catalog.vector_class_rows(spark, folder)
     return cluster.cluster_features(VECTOR_CLASS, rows).withColumn("features", array_to_vector("features"))
