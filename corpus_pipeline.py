@@ -1,4 +1,8 @@
-"""The corpus pipeline: from raw documents to packed sequences, one operator per stage."""
+"""The corpus pipeline: from raw documents to packed sequences, one operator per stage.
+
+Every stage works on all that its predecessor kept, is written as Parquet and read again. All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +11,43 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import exact_dedup, packing
+from evalspark.llm import exact_dedup, ngram_join, packing, pii, quality
 from evalspark.session import new_path
 
+#: Near copies: sets of five-word n-grams with a similarity of 0.8 or more.
+NEAR = ngram_join.Rule(words=5, percent=80)
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return exact_dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return ngram_join.keep_one(docs, NEAR)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes marks."""
+    return pii.redact(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document in pieces of power-of-two length."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", reject_low_quality),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", redact_personal_data),
     ("packing", pack_sequences),
 ]
 
@@ -31,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")

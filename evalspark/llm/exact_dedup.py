@@ -31,11 +31,10 @@ def heavy_winners(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     ``rows`` has ``_digest`` and ``_key``; the best row is the one with the largest key.
     """
     named = rows.stat.freqItems(["_digest"], support).select(F.explode("_digest_freqItems").alias("_digest"))
-    total = rows.agg(F.count("*").alias("_total"))
+    total = rows.count()
     sizes = rows.join(F.broadcast(named.distinct()), "_digest").groupBy("_digest").agg(
         F.max("_key").alias("_best"), F.count("*").alias("_size"))
-    return (sizes.join(F.broadcast(total))
-            .where((F.col("_size") > 1) & (F.col("_size") >= support * F.col("_total"))).drop("_total"))
+    return sizes.where((F.col("_size") > 1) & (F.col("_size") >= support * total))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
@@ -72,8 +71,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     rows = docs.toDF(*names)
     id_at, text_at = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     rows = rows.withColumns({"_digest": digest(text_at), "_id": F.col(id_at).cast("long")})
-    total = chosen.agg(F.sum("group_size").alias("_total"))
-    heavy = chosen.join(F.broadcast(total)).where((F.col("group_size") > 1) & (F.col("group_size") >= support * F.col("_total")))
+    total = chosen.agg(F.sum("group_size")).first()[0] or 0
+    heavy = chosen.where((F.col("group_size") > 1) & (F.col("group_size") >= support * total))
     heavy = heavy.select(F.col("_digest").alias("_heavy"), F.col("_id").alias("_heavy_id"))  # at most 1 / support rows
     rows = rows.join(F.broadcast(heavy), F.col("_digest") == F.col("_heavy"), "left")
     rows = rows.where(F.col("_heavy").isNull() | F.col("_id").eqNullSafe(F.col("_heavy_id"))).drop("_heavy", "_heavy_id")
