@@ -12,12 +12,14 @@ linked rows must then agree entirely on at least one block, so a row is looked u
 signatures of its blocks. (Blocks empty in both rows also agree: a band has spare blocks for them, and a
 row with more empty blocks than the bound allows also emits those.)
 
-*Row pairs.* Rows that share a signature are multiplied block of columns by block of columns: overlap counts
-accumulate, and a pair is discarded as soon as what is left cannot lift it over its size-derived bound.
-Equal sets are merged first. Among rows that share a signature, pairs already in one component need
-no product: in each round every group of rows multiplies two hub rows with the others and
-components are merged, until few pairs across components are left; then all of those are multiplied.
-No pair across components is ever left out, so components are exact, up to equal 64-bit hashes.
+*Row pairs.* Equal sets are merged first. Then one hub round: every group of rows with a common signature
+multiplies two of its rows with the others, which finds most components at little cost. Rows whose group still
+spans several components are gathered into families, the connected parts of "has a signature in common" within
+a band. A family is multiplied block by block: a short sketch (one byte per column block, four times as many blocks as
+the bound) gives a lower bound of the difference of every pair across components, and discards nearly all. The exact product of the
+pairs that are left accumulates overlap counts column block by column block, and gives a pair up as soon as what
+is left cannot lift it over its size-derived bound. No pair across components is left out, so components are
+exact, up to equal 64-bit hashes.
 
 Scale: signatures are about ``2.3 * (100 - percent) / (100 + percent)`` per n-gram, dealt to as many packed
 buckets as ``spark.sql.shuffle.partitions``; a signature enters its bucket at most once per writing task, so copies
@@ -48,13 +50,16 @@ from evalspark.session import stage
 
 FLUSH = 1_000_000  # signatures a task gathers before it packs them
 COLUMN_BLOCKS = 8  # steps in which a pair of rows is multiplied
-MAX_HUB_ROUNDS = 12  # rounds before all pairs that are left are multiplied; any number gives the same result
+SKETCH_BLOCKS = 4  # bytes of a sketch per row of difference that a band allows
+FAMILY_BLOCK = 512  # rows of a family that are multiplied with as many others in one go
 FILTER_BITS = 1 << 24  # of the filter on the rows whose sets are needed
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(29)
 
 PACKED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+SETS = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("own", pa.binary()), ("above", pa.binary()),
+                  ("grams", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -137,10 +142,27 @@ def signatures(grams: np.ndarray, rule: Rule) -> np.ndarray:
         if count - int(full.sum()) >= count - rule.difference(size + partner):
             full[:] = True  # empty blocks could be all that it shares with a row it links with
         at = np.flatnonzero(full).astype(np.uint64)
-        out.append(mixed(sums[full] + mixed(at + np.uint64(band << 40) + np.uint64(1))))
+        names = mixed(sums[full] + mixed(at + np.uint64(band << 40) + np.uint64(1)))
+        out.append(names & ~np.uint64(1) | np.uint64(band & 1))  # the last bit tells the two bands of a row apart
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def band_of(size: int, rule: Rule) -> int:
+    low, _ = _bands(rule, 1 << max(4, size.bit_length()))
+    return int(np.searchsorted(low, size, "right")) - 1
+
+
+def block_bytes(grams: np.ndarray, band: int, rule: Rule) -> bytes:
+    """One byte per fine column block, for comparing rows within a band; rows that differ in d n-grams differ in at
+    most d bytes."""
+    low, _ = _bands(rule, 1 << max(4, len(grams).bit_length()))
+    last = low[band + 1] - 1 if band + 1 < len(low) else rule.largest_partner(low[band])
+    count = max(8, SKETCH_BLOCKS * (rule.difference(2 * last) + 1))
+    sums = np.zeros(count, np.uint64)
+    np.add.at(sums, ((grams >> np.uint64(24)) % np.uint64(count)).astype(np.int64), mixed(grams + np.uint64(1)))
+    return (mixed(sums) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def _once(sig: np.ndarray, cls: np.ndarray, flag: np.ndarray | None = None):
     """Distinct (signature, class) pairs in order; where a signature begins; whether it is held by several
     classes or flagged."""
@@ -266,29 +288,32 @@ def wanted_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """``(cls, grams)`` of the classes whose chosen document is in ``ids``, and of a few more."""
+    """Sets and sketches of the classes whose chosen document is in ``ids``, and of a few more."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(ids))  # two megabytes
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, schema = WordHashes(), pa.schema([("cls", pa.int64()), ("grams", pa.binary())])
+        hashes = WordHashes()
         for part in batches:
             place = part.column(2).to_numpy(zero_copy_only=False)
             known = (bits.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
             texts = utf8(part.filter(pa.array(known.astype(bool))).column(1))
             grams = [g for g in (shingles(t, rule, hashes) for t in texts) if len(g)]
+            bands = [band_of(len(g), rule) for g in grams]
             if grams:
-                yield batch(schema, {"cls": [class_of(g) for g in grams], "grams": [g.tobytes() for g in grams]})
+                yield batch(SETS, {
+                    "cls": [class_of(g) for g in grams], "n": [len(g) for g in grams], "band": bands,
+                    "own": [block_bytes(g, b, rule) for g, b in zip(grams, bands)],
+                    "above": [block_bytes(g, b + 1, rule) for g, b in zip(grams, bands)], "grams": [g.tobytes() for g in grams]})
 
     rows = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    return map_batches(rows, task, "cls bigint, grams binary").dropDuplicates(["cls"])
+    return map_batches(rows, task, "cls bigint, n int, band int, own binary, above binary, grams binary").dropDuplicates(["cls"])
 
 
 def overlap_reaches(a: np.ndarray, b: np.ndarray, needed: int) -> bool:
     """Whether two sorted rows share ``needed`` columns; block after block, given up as soon as they cannot."""
     if min(len(a), len(b)) < needed:
         return False
-    cuts = np.linspace(0, 2.0 ** 64, COLUMN_BLOCKS + 1)[1:-1].astype(np.uint64)
-    ends_a, ends_b = [*np.searchsorted(a, cuts), len(a)], [*np.searchsorted(b, cuts), len(b)]
+    ends_a, ends_b = [*np.searchsorted(a, CUTS), len(a)], [*np.searchsorted(b, CUTS), len(b)]
     shared = at_a = at_b = 0
     for end_a, end_b in zip(ends_a, ends_b):
         x, y = a[at_a:end_a], b[at_b:end_b]
@@ -302,10 +327,19 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, needed: int) -> bool:
     return shared >= needed
 
 
+CUTS = np.array([i << 61 for i in range(1, COLUMN_BLOCKS)], np.uint64)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The ``(a, b)`` pairs of classes that link."""
+    """The ``(a, b)`` pairs of classes that link: those whose sketches allow it, multiplied exactly."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            a, b, *sides = part.columns
+            keep = [_sketches_allow(rule, *row) for row in zip(*(c.to_pylist() for c in sides))]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             keep = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
@@ -313,52 +347,97 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(overlap_reaches(a, b, rule.needed(len(a), len(b))))
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("grams_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b")
-    return map_batches(both, task, "a bigint, b bigint")
+    def with_sides(rows: DataFrame, names: list[str]) -> DataFrame:
+        for side in ("a", "b"):
+            rows = rows.join(sets.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names]), side)
+        return rows.select("a", "b", *[f"{c}_{side}" for side in ("a", "b") for c in names])
 
+    small = ["n", "band", "own", "above"]
+    left = stage(map_batches(with_sides(pairs.select("a", "b"), small), near, "a bigint, b bigint"), "ngram-near")
+    return map_batches(with_sides(left, ["grams"]), exact, "a bigint, b bigint")
 
-def _sizes_allow(rule: Rule, a: str, b: str):
-    return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
+
+def _sketches_allow(rule: Rule, n_a, band_a, own_a, above_a, n_b, band_b, own_b, above_b) -> bool:
+    if abs(band_a - band_b) > 1 or 100 * min(n_a, n_b) < rule.percent * max(n_a, n_b):
+        return False
+    x, y = own_a if band_a >= band_b else above_a, own_b if band_b >= band_a else above_b
+    return int(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))) <= rule.difference(n_a + n_b)
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of groups that span several components, with their component."""
+    now = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    groups = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    return now.join(groups, "sig")
+
+
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Every member with two hubs of its group, taken by hash."""
+    one = F.struct(F.xxhash64("cls").alias("spin"), "cls")
+    hubs = members.groupBy("sig").agg(F.max(one).alias("x"), F.min(one).alias("y")).select(
+        "sig", F.explode(F.array("x.cls", "y.cls")).alias("b"))
+    return members.join(hubs, "sig").where("cls <> b").select(
+        F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+
+
+def _family_pairs(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs across components, within a family, that the sketches allow. ``members``: sig, cls, root."""
+    spark = members.sparkSession
+    banded = members.join(sets.select("cls", "n", "band"), "cls").withColumn(
+        "band", F.col("band") + F.abs(F.pmod("sig", F.lit(2)) - F.pmod("band", F.lit(2))).cast("int"))
+    # a row is a node of its own in each band
+    nodes = stage(banded.withColumn("node", F.xxhash64("cls", "band")), "ngram-nodes")
+    first = nodes.groupBy("sig").agg(F.min("node").alias("b"))
+    families = components(nodes.join(first, "sig").select(F.col("node").alias("a"), "b").distinct()).select(
+        F.col("cls").alias("node"), F.col("root").alias("family"))
+    rows = nodes.select("node", "cls", "band", "n", "root").distinct().join(families, "node")
+    sizes = rows.groupBy("family").agg(F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / FAMILY_BLOCK).cast("int")
+    rows = rows.join(sizes.select("family", parts.alias("parts")), "family").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    home = F.when(F.col("parts") == 1, F.pmod("family", F.lit(few))).otherwise(F.xxhash64("family", "low", "high"))
+    sketched = rows.withColumn("home", home).join(sets.select("cls", F.col("band").alias("own_band"), "own", "above"), "cls")
+    sketched = sketched.withColumn("sketch", F.when(F.col("band") == F.col("own_band"), F.col("own")).otherwise(F.col("above")))
+
+    def block(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending"), ("cls", "ascending")])
+        key = np.stack([table.column(c).to_numpy() for c in ("family", "low", "high")])
+        edges = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, key.shape[1]]
+        cls, root, size, part = (table.column(c).to_numpy() for c in ("cls", "root", "n", "part"))
+        sketches = table.column("sketch").to_pylist()
+        out_a, out_b = [], []
+        for start, stop in zip(edges[:-1], edges[1:]):
+            same = key[1, start] == key[2, start]
+            bits = np.frombuffer(b"".join(sketches[start:stop]), np.uint8).reshape(stop - start, -1)
+            c, r, n, p = cls[start:stop], root[start:stop], size[start:stop].astype(np.int64), part[start:stop]
+            for i in range(len(c)):
+                mine = (r > r[i]) & (True if same else p != p[i])
+                mine &= 100 * np.minimum(n, n[i]) >= rule.percent * np.maximum(n, n[i])
+                at = np.flatnonzero(mine)
+                if len(at):
+                    differ = np.count_nonzero(bits[at] != bits[i], axis=1)
+                    at = at[differ <= (n[at] + n[i]) * (100 - rule.percent) // (100 + rule.percent)]
+                    out_a.append(np.minimum(c[at], c[i]))
+                    out_b.append(np.maximum(c[at], c[i]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(none + out_a), "b": np.concatenate(none + out_b)})
+
+    wanted = sketched.select("home", "family", "low", "high", "part", "cls", "root", "n", "sketch")
+    return wanted.groupBy("home").applyInArrow(block, "a bigint, b bigint").distinct()
 
 
 def class_components(docs: DataFrame, members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``(cls, root)`` of the classes that link with another; ``docs`` has ``doc_id, text``."""
-    spark = docs.sparkSession
-    members = stage(members.join(classes.select("cls", "n"), "cls"), "ngram-sized")
+    members = stage(members, "ngram-members")
     chosen = members.select("cls").distinct().join(classes, "cls").select("doc_id")
     sets = stage(sets_of(docs, chosen, rule), "ngram-sets")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    roots = spark.createDataFrame([], "cls bigint, root bigint")
-    for turn in range(MAX_HUB_ROUNDS + 1):
-        now = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        open_groups = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-        members = stage(now.join(open_groups, "sig").select("sig", "cls", "n", "root"), "ngram-open")
-        sizes = members.groupBy("sig", "root").agg(F.count("*").alias("c")).groupBy("sig").agg(
-            F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("c2"))
-        left = sizes.agg(F.sum("c").alias("rows"), F.sum((F.col("c") * F.col("c") - F.col("c2")) / 2).alias("pairs")).first()
-        if not left["pairs"]:
-            return roots
-        last = left["pairs"] <= 2 * left["rows"] or turn == MAX_HUB_ROUNDS
-        if last:
-            other = members.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "root")])
-            pairs = members.join(other, "sig").where(
-                (F.col("root") < F.col("root_b")) & _sizes_allow(rule, "n", "n_b")).select(
-                F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
-        else:
-            spun = members.withColumn("spin", F.xxhash64("cls", F.lit(turn)))
-            one = F.struct("spin", "cls", "n", "root")
-            hubs = spun.groupBy("sig").agg(F.array_distinct(F.array(F.max(one), F.min(one))).alias("hub"))
-            pairs = members.join(hubs, "sig").select("*", F.explode("hub").alias("h")).where(
-                (F.col("root") != F.col("h.root")) & _sizes_allow(rule, "n", "h.n")).select(
-                F.col("cls").alias("a"), F.col("h.cls").alias("b")).distinct()
-        links = stage(links.unionByName(linked(pairs, sets, rule)), "ngram-links")
-        roots = components(links)
-        if last:
-            return roots
-        members = members.drop("root")
-    return roots
+    links = stage(linked(_hub_pairs(members), sets, rule), "ngram-links")
+    roots = components(links)
+    members = stage(_open(members, roots), "ngram-open")
+    more = linked(_family_pairs(members, sets, rule), sets, rule)
+    return components(links.unionByName(more))
 
 
 def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
