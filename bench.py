@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -15,13 +16,14 @@ HEADLINE = [
     "score_rows", "resume_scoring", "roc_auc", "roc_auc_ties", "usage_stats", "exact_percentiles", "tfidf_weights",
     "tfidf_bigrams", "nb_predict", "impute", "rare_onehot", "cell_representatives", "rule_results", "leaderboard_wide",
     "incremental_scoring_stream", "svd_features", "kmeans_best", "baseline_nb", "baseline_svm", "baseline_gbt",
+    "baseline_text_lr", "baseline_lr", "oof_scores", "stack", "evaluate",
 ]
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, "evalspark-bench")
     spark.read.parquet(f"{folder}/lineitem.parquet").count()  # starts the executor threads
@@ -32,7 +34,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
-        seconds[name] = round(min(times), 3)
+        seconds[name] = round(statistics.median(times), 3)
         spark.catalog.clearCache()
     spark.stop()
     total = round(sum(seconds.values()), 3)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
+from evalspark.session import stage
+
+# Rows of a slice to aim at; the number of slices follows from the number of rows, within a range
+# in which finding the slice of a row stays cheap.
+SLICE_ROWS = 1_000_000
+SLICES = (256, 8192)
 STEP = 16
 
 
@@ -34,7 +40,7 @@ def _with_slice(df: DataFrame, order: str, slices: int) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: str, totals: Mapping[str, str], slices: int = SLICES,
+    df: DataFrame, by: Sequence[str], order: str, totals: Mapping[str, str], slices: int | None = None,
     overall: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add, per group, the total of each column over all rows ordered strictly before the row.
@@ -43,19 +49,26 @@ def running_totals(
     column to the name of its running total, ``overall`` to that of its group total. The value range is cut at approximate quantiles into
     slices of about equal row counts. Each slice is summed on its own, and the slice totals (at
     most ``slices`` rows per group) give every slice its starting point. The bounds only balance
-    the work; the totals are exact.
+    the work; the totals are exact. By default there are as many slices as the rows ask for. A null in ``by`` is
+    a group like any other.
     """
     by = list(by)
+    df = stage(df, "ordered-points")  # read for its size, its quantiles, the slice sums and the result
+    if slices is None:
+        slices = min(max(SLICES[0], df.count() // SLICE_ROWS), SLICES[1])
     sliced = _with_slice(df, order, slices)
 
     slice_sums = sliced.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slice_sums.select(
-        *by, "_slice", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in totals],
+        *[F.col(c).alias(f"_of_{c}") for c in [*by, "_slice"]],
+        *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in totals],
         *[F.sum(f"_sum_{c}").over(Window.partitionBy(*by)).alias(name) for c, name in (overall or {}).items()],
     )
     inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = sliced.join(starts, [*by, "_slice"])
+    keys = [*by, "_slice"]
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    summed = sliced.join(starts, same).drop(*[f"_of_{c}" for c in keys])
     for col, name in totals.items():
         summed = summed.withColumn(name, F.col(f"_start_{col}") + F.coalesce(F.sum(col).over(inside), F.lit(0)))
     return summed.drop("_slice", *[f"_start_{c}" for c in totals])

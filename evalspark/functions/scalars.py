@@ -38,9 +38,9 @@ def map_code(col: Column, names: Mapping, strict: bool) -> Column:
 
 
 def clipped_logit(p: Column, margin: float = LOGIT_MARGIN) -> Column:
-    """ln(p / (1 - p)) with ``p`` kept inside [margin, 1 - margin]."""
+    """ln(p / (1 - p)) with ``p`` kept inside [margin, 1 - margin]; null and NaN give null."""
     clipped = F.greatest(F.least(p, F.lit(1.0 - margin)), F.lit(margin))
-    return F.log(clipped / (F.lit(1.0) - clipped))
+    return F.when(p.isNotNull() & ~F.isnan(p), F.log(clipped / (F.lit(1.0) - clipped)))
 
 
 def round_binary(value: Column, places: int) -> Column:

@@ -10,30 +10,23 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
-def lookup(facts: DataFrame, dim: DataFrame, key: str, frequency: str, spread: str, how: str = "inner") -> DataFrame:
+def lookup(facts: DataFrame, dim: DataFrame, key: str, frequency: str, how: str = "inner") -> DataFrame:
     """Add the columns of ``dim`` (one row per key) to every row of ``facts`` (inner or left).
 
-    ``frequency`` is the column of ``dim`` that says how many fact rows use a key, and ``spread``
-    is a column of ``facts`` that varies inside a key, such as the row id. The ``HOT_KEYS`` most
-    frequent keys are broadcast, so their rows never meet in one task. Their rows then pass the
-    shuffled join for the other keys under a key of their own, which spreads them evenly.
-    ``dim`` is read twice, so it should be a staged or cheap table.
+    ``frequency`` is the column of ``dim`` that says how many fact rows use a key. Rows of the ``HOT_KEYS``
+    most frequent keys are answered from a broadcast where they are read, rows without a key are as well, and
+    only the others are shuffled, so no key that ``dim`` knows to be frequent meets in one task; one that
+    it does not know is left to Spark's splitting of skewed joins. Both inputs are read twice, so they should be staged
+    or cheap.
     """
     values = [c for c in dim.columns if c != key]
     packed = dim.select(key, F.struct(*values).alias("_value"), F.col(frequency).alias("_frequency"))
     hot = packed.orderBy(F.desc("_frequency"), key).limit(HOT_KEYS)
-    cold = packed.join(F.broadcast(hot.select(key)), key, "left_anti")
+    cold = packed.join(F.broadcast(hot.select(key)), key, "left_anti").select(F.col(key).alias("_cold_key"), "_value")
 
-    marked = facts.join(F.broadcast(hot.select(F.col(key).alias("_hot_key"), F.col("_value").alias("_hot_value"))),
-                        F.col(key) == F.col("_hot_key"), "left")
-    own_key = F.concat(F.lit("hot\u0000"), F.col(spread).cast("string"))
-    marked = marked.withColumn(
-        "_join_key", F.when(F.col("_hot_key").isNotNull(), own_key).otherwise(F.col(key).cast("string"))
-    )
-    joined = marked.join(
-        cold.select(F.col(key).cast("string").alias("_join_key"), F.col("_value").alias("_cold_value")),
-        "_join_key", "left",
-    ).withColumn("_value", F.coalesce("_hot_value", "_cold_value"))
-    if how == "inner":
-        joined = joined.where(F.col("_value").isNotNull())
-    return joined.select(*facts.columns, *[F.col(f"_value.{c}").alias(c) for c in values])
+    marked = facts.join(F.broadcast(hot.select(F.col(key).alias("_hot_key"), "_value")), F.col(key) == F.col("_hot_key"), "left")
+    answered = F.col("_hot_key").isNotNull() | (F.col(key).isNull() if how == "left" else F.lit(False))
+    known = marked.where(answered).drop("_hot_key")
+    others = marked.where(F.col("_hot_key").isNull() & F.col(key).isNotNull()).drop("_hot_key", "_value")
+    shuffled = others.join(cold, F.col(key) == F.col("_cold_key"), how).drop("_cold_key")
+    return known.unionByName(shuffled).select(*facts.columns, *[F.col(f"_value.{c}").alias(c) for c in values])

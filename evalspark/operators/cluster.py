@@ -19,8 +19,8 @@ from evalspark.functions.scalars import share
 from evalspark.functions.vectors import l2_normalise, squared_distance
 from evalspark.operators.sampling import SEED, local_table
 from evalspark.operators.svd import svd_features
-from evalspark.operators.tabular import fit_imputer, fit_one_hot, fit_standardiser
-from evalspark.operators.tfidf import fit_tfidf, number_terms, to_vectors, with_counts
+from evalspark.operators.tabular import fit_imputer, fit_one_hot, fit_standardiser, vector_width
+from evalspark.operators.tfidf import fit_tfidf, placed_terms, to_vectors, with_counts
 from evalspark.plans.task import Task
 from evalspark.session import stage
 
@@ -29,19 +29,18 @@ MAX_K = 8
 MIN_CELL_SIZE = 3
 RESTARTS = 4
 TEXT_MIN_DF = 2
-TEXT_FEATURES = 50_000
+TEXT_WIDTH = 1 << 16  # positions that terms are hashed into
 
 PARALLEL_FITS = 4
 
 
 def text_features(train: DataFrame, text: str, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Length-normalised SVD of TF-IDF weights, so k-means compares topics and not lengths."""
+    """TF-IDF weights reduced by SVD. At length 1, long and short texts on one topic lie together."""
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
     train = with_counts(train, text, stop_words=stop_words)
-    model = fit_tfidf(train, text, min_df=TEXT_MIN_DF, max_features=TEXT_FEATURES, stop_words=stop_words)
-    numbered = stage(number_terms(model.vocabulary), "term-positions")
-    size = numbered.count()
+    model = fit_tfidf(train, text, min_df=TEXT_MIN_DF, stop_words=stop_words)
+    numbered, size = placed_terms(model.vocabulary, TEXT_WIDTH)
     entries = to_vectors(model, numbered, size, train).entries()
     return svd_features(entries, size).withColumn("features", l2_normalise(F.col("features")))
 
@@ -69,7 +68,7 @@ def table_features(train: DataFrame, numeric: Sequence[str], categorical: Sequen
 
 def vector_features(train: DataFrame, vector: str) -> DataFrame:
     """Every dimension standardised."""
-    size = train.select(F.size(vector)).first()[0]
+    size = vector_width(train, vector)
     columns = [f"d{i}" for i in range(size)]
     wide = train.select("row_id", *[F.col(vector)[i].cast("double").alias(c) for i, c in enumerate(columns)])
     scaler = fit_standardiser(wide, columns)

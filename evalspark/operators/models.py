@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import functools
 import time
+import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -23,11 +25,17 @@ from evalspark.functions.scalars import argmax_label
 from evalspark.operators import tfidf
 from evalspark.operators.metrics import metrics
 from evalspark.operators.sampling import FOLDS, stratified_folds
-from evalspark.operators.tabular import Standardiser, fit_standardiser
+from evalspark.operators.tabular import Standardiser, fit_standardiser, vector_width
 from evalspark.plans.task import Task
 from evalspark.session import stage
 
 
+# Terms are hashed into this many positions, so that no term is dropped and a model stays bounded.
+WIDTH = 1 << 18
+# Limits of the optimisers, far beyond what they need as a rule.
+TEXT_ITERATIONS, NUMERIC_ITERATIONS, STAGE2_ITERATIONS = 2000, 1000, 1000
+
+
 class Scoring(Protocol):
     probabilistic: bool
 
@@ -99,13 +107,12 @@ class TextVectors:
     size: int
 
     @staticmethod
-    def fit(train: DataFrame, text: str, **options) -> TextVectors:
+    def fit(train: DataFrame, text: str, width: int, **options) -> TextVectors:
         model = tfidf.fit_tfidf(train, text, **options)
-        numbered = stage(tfidf.number_terms(model.vocabulary), "term-positions")
-        return TextVectors(model, numbered, numbered.count())
+        return TextVectors(model, *tfidf.placed_terms(model.vocabulary, width))
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return tfidf.to_vectors(self.model, self.numbered, self.size, df).vectors()
+    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        return tfidf.to_vectors(self.model, self.numbered, self.size, df, keep).vectors()
 
 
 @dataclass(frozen=True)
@@ -120,8 +127,19 @@ class _TextScoring:
         return _scored(self.task, self.model.transform(self.vectors.transform(df)), self.column)
 
 
-def _labelled(task: Task, vectors: DataFrame, train: DataFrame) -> DataFrame:
-    return vectors.join(train.select("row_id", label_index(task).alias("label")), "row_id").persist()
+def _labelled(task: Task, vectors: TextVectors, train: DataFrame) -> DataFrame:
+    """Vectors and label positions of the training rows; a staged table, so nothing needs to be kept in memory."""
+    marked = train.select("*", label_index(task).alias("_position"))
+    return vectors.transform(marked, keep=["_position"]).withColumnRenamed("_position", "label")
+
+
+def _warn_if_cut(model: Model, what: str) -> Model:
+    """Say so when an optimiser stopped at its limit of iterations and not at a minimum."""
+    parts = getattr(model, "models", [model])
+    for part in parts:
+        if part.hasSummary and part.summary.totalIterations >= part.getMaxIter():
+            warnings.warn(f"{what} stopped at its limit of {part.getMaxIter()} iterations", stacklevel=2)
+    return model
 
 
 @dataclass(frozen=True)
@@ -131,17 +149,16 @@ class TextLogistic(TextBaseline):
     c: float = 4.0
     bigrams: bool = True
     min_df: int = 2
-    max_features: int | None = 200_000
-    max_iter: int = 100
+    width: int = WIDTH
+    max_iter: int = TEXT_ITERATIONS
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
         train = self.prepare(task, train)
         vectors = TextVectors.fit(
-            train, task.text, bigrams=self.bigrams, min_df=self.min_df, max_features=self.max_features
+            train, task.text, self.width, bigrams=self.bigrams, min_df=self.min_df
         )
-        rows = _labelled(task, vectors.transform(train), train)
-        model = logistic(self.c, rows.count(), self.max_iter).fit(rows)
-        rows.unpersist()
+        rows = _labelled(task, vectors, train)
+        model = _warn_if_cut(logistic(self.c, rows.count(), self.max_iter).fit(rows), "logistic regression")
         return _TextScoring(task, vectors, model, "probability", True)
 
 
@@ -151,23 +168,22 @@ class TextSvm(TextBaseline):
 
     c: float = 1.0
     min_df: int = 2
-    max_features: int | None = None
-    max_iter: int = 100
+    width: int = WIDTH
+    max_iter: int = 1000
     tol: float = 1e-4
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
         train = self.prepare(task, train)
-        vectors = TextVectors.fit(train, task.text, min_df=self.min_df, max_features=self.max_features)
-        rows = _labelled(task, vectors.transform(train), train)
+        vectors = TextVectors.fit(train, task.text, self.width, min_df=self.min_df)
+        rows = _labelled(task, vectors, train)
         svm = LinearSVC(
             regParam=1.0 / (self.c * rows.count()), standardization=False, maxIter=self.max_iter, tol=self.tol
         )
-        model = OneVsRest(classifier=svm, parallelism=4).fit(rows)
-        rows.unpersist()
+        model = _warn_if_cut(OneVsRest(classifier=svm, parallelism=4).fit(rows), "support vector machine")
         return _TextScoring(task, vectors, model, "rawPrediction", False)
 
 
-def logistic(c: float, n: int, max_iter: int = 100) -> LogisticRegression:
+def logistic(c: float, n: int, max_iter: int = STAGE2_ITERATIONS) -> LogisticRegression:
     """L2 logistic regression whose ``c`` weighs the summed loss; Spark's own weighs the mean."""
     return LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter)
 
@@ -238,15 +254,15 @@ class NumericLogistic(Prepared):
     """Logistic regression on standardised numbers: the numeric columns or the vector of a task."""
 
     c: float = 1.0
-    max_iter: int = 100
+    max_iter: int = NUMERIC_ITERATIONS
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
         rows = task.prepare(train)
-        width = rows.select(F.size(task.vector)).first()[0] if task.vector else 0
+        width = vector_width(rows, task.vector) if task.vector else 0
         wide, columns = _wide(task, rows, width)
         scaler = fit_standardiser(wide, columns)
         frame = _standardised(wide, columns, scaler).withColumn("label", label_index(task)).persist()
-        model = logistic(self.c, frame.count(), self.max_iter).fit(frame)
+        model = _warn_if_cut(logistic(self.c, frame.count(), self.max_iter).fit(frame), "logistic regression")
         frame.unpersist()
         return _NumericScoring(task, width, columns, scaler, model)
 

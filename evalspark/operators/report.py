@@ -20,6 +20,7 @@ from evalspark.functions.state import state_json
 from evalspark.functions.text import truncate
 from evalspark.operators.sampling import local_table
 from evalspark.plans.task import Task
+from evalspark.session import stage
 
 RESULT = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("task", "method", "field", "metric")]
@@ -49,15 +50,25 @@ def to_results(wide: DataFrame, task: Column, method: Column, field: Column) ->
 # ---------------------------------------------------------------- the method registry
 
 
-def judge_method(variant: str) -> str:
-    """Method key of a shot variant: an integer, "cluster" or "cluster-random"."""
-    if variant == "0":
-        return "judge"
-    return f"judge_{variant}shot" if variant.isdigit() else f"judge_{variant.replace('-', '_')}"
+# The keys under which runs are kept, by kind of run and variant; runs with a number of
+# examples per label follow the pattern.
+METHOD_KEYS = {
+    ("judge", "0"): "judge",
+    ("judge", "cluster"): "judge_cluster",
+    ("judge", "cluster-random"): "judge_cluster_random",
+    ("stack", "0"): "stack",
+    ("stack", "cluster"): "stack_cluster",
+}
+COUNTED_KEY = "judge_{}shot"
 
 
-def stack_method(variant: str) -> str:
-    return "stack" if variant == "0" else f"stack_{variant.replace('-', '_')}"
+def method_key(kind: str, variant: str) -> str:
+    known = METHOD_KEYS.get((kind, variant))
+    if known is None and kind == "judge":
+        known = COUNTED_KEY.format(int(variant))
+    if known is None:
+        raise ValueError(f"no {kind} run of variant {variant}")
+    return known
 
 
 def with_method_names(df: DataFrame) -> DataFrame:
@@ -98,10 +109,19 @@ def method_dim(results: DataFrame) -> DataFrame:
 
 
 def upsert_results(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` replaces every entry of its (task, method) pairs; all other entries stay."""
+    """What ``new`` says of a run takes the place of all that was known of that run."""
     return old.join(new.select(*KEY).distinct(), KEY, "left_anti").unionByName(new)
 
 
+def in_report_order(results: DataFrame, tasks: Sequence[str]) -> DataFrame:
+    """Results sorted by the given order of tasks (others after them, by name), then by method."""
+    place = F.lit(len(tasks))
+    for i, name in enumerate(tasks):
+        place = F.when(F.col("task") == name, F.lit(i)).otherwise(place)
+    named = with_method_names(results).withColumn("_place", place)
+    return named.orderBy("_place", "task", F.asc_nulls_first("ordinal"), "method", "field", "metric").drop("_place", "label", "ordinal")
+
+
 def uses_subset(results: DataFrame) -> DataFrame:
     """One row: whether any task was scored on a part of its test split."""
     sizes = results.where(F.col("field") == "sizes").groupBy("task").agg(
@@ -112,11 +132,12 @@ def uses_subset(results: DataFrame) -> DataFrame:
 
 
 def leaderboard(results: DataFrame, metric: str) -> DataFrame:
-    """One row per task and method that appears anywhere: label, ordinal, value and ``is_best``.
+    """Tasks with a baseline value of the metric, crossed with all methods of the results.
 
-    A method a task was not run with has a null value. All values that print alike as the task's
-    best are marked. A task whose baseline lacks the metric is left out.
+    ``value`` is null for combinations that were not run. ``is_best`` compares values as they are printed,
+    so a task can have several best methods.
     """
+    results = stage(results, "leaderboard-input")  # a few rows per method, read several times below
     scores = results.where(
         (F.col("metric") == metric) & F.col("field").isin("metrics", "control_metrics")
     ).select("task", "method", "field", "value")
@@ -137,8 +158,9 @@ def leaderboard_wide(results: DataFrame, metric: str, full_test: bool = False) -
 
     ``full_test`` adds the baseline's value on the whole test split, for runs scored on a subset.
     """
-    long = leaderboard(results, metric)
-    order = [r["label"] for r in method_dim(results).select("label", "ordinal").collect()]
+    results = stage(results, "leaderboard-input")
+    long = stage(leaderboard(results, metric), "leaderboard")
+    order = [r["label"] for r in long.select("label", "ordinal").distinct().orderBy("ordinal").collect()]
     wide = long.groupBy("task").pivot("label", order).agg(F.first("value"))
     best = long.where("is_best").groupBy("task").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "label"))), lambda b: b["label"]).alias("best")

@@ -22,14 +22,20 @@ TEST_SHARE = 0.2
 FOLDS = 5
 STAGE2_ROWS = 2000
 
-# Labels are a short list; more than this means the wrong column was named.
-MAX_LABELS = 1000
 # Hash prefixes are refined until at most this many rows share one, then those are ranked.
 RANKED_ROWS = 1_000_000
 HEX_STEP = 3
 ABOVE_ALL = "g"  # sorts after every hexadecimal digit
 
 
+def require_unique(df: DataFrame, row_id: str = "row_id") -> None:
+    """Raise when a row id is null or occurs twice. Hashes are compared, combined before the shuffle."""
+    twice = df.groupBy(F.xxhash64(F.col(row_id).cast("string")).alias("h"), row_id).agg(F.count("*").alias("n"))
+    bad = twice.where((F.col("n") > 1) | F.col(row_id).isNull()).first()
+    if bad is not None:
+        raise ValueError(f"row ids must be unique and present: {bad[row_id]!r} occurs {bad['n']} times")
+
+
 def order_hash(row_id: Column, purpose: str, seed: int = SEED) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|{purpose}|"), row_id.cast("string")), 256)
 
@@ -64,9 +70,7 @@ class LabelOrder:
         self.rows = rows
         self.spark = rows.sparkSession
         self.prefixes = self._prefix_counts(rows, HEX_STEP).persist()
-        sizes = self.prefixes.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 1).collect()
-        if len(sizes) > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels")
+        sizes = self.prefixes.groupBy("label").agg(F.sum("n").alias("n")).collect()  # one row per label
         self.counts: dict[str, int] = {r["label"]: r["n"] for r in sorted(sizes, key=lambda r: r["label"])}
 
     @staticmethod
@@ -157,7 +161,8 @@ def stratified_split(
     """Add ``split`` ("train"/"test") and ``is_scored``.
 
     The test split has ceil(test * n) rows, shared among labels by largest remainder of the train
-    rows. ``scored_n`` marks a stratified part of the test rows; by default all of them.
+    rows. ``scored_n`` marks a stratified part of the test rows; by default all of them. A row without a
+    label stays, with a null split, and is not scored.
     """
     order = _label_order(df, label, row_id, "split", seed)
     size = sum(order.counts.values())
@@ -175,9 +180,8 @@ def stratified_split(
     return (
         _with_cuts(df, label, cuts)
         .withColumn("_h", h)
-        .withColumn("split", F.when(F.col("_h") <= F.col("_cuts")[0], "test").otherwise("train"))
+        .withColumn("split", F.when(F.col("_h") <= F.col("_cuts")[0], "test").when(F.col("_cuts").isNotNull(), "train"))
         .withColumn("is_scored", F.coalesce(F.col("_h") <= F.col("_cuts")[1], F.lit(False)))
-        .where(F.col("_cuts").isNotNull())
         .drop("_h", "_cuts")
     )
 
@@ -195,7 +199,10 @@ def fold_sizes(counts: Mapping[str, int], folds: int) -> dict[str, list[int]]:
 def stratified_folds(
     df: DataFrame, label: str = "label", row_id: str = "row_id", folds: int = FOLDS, seed: int = SEED
 ) -> DataFrame:
-    """Add ``fold`` in 0..folds-1. Fold sizes differ by at most one row, over all and per label."""
+    """Add ``fold`` in 0..folds-1. Fold sizes differ by at most one row, over all and per label.
+
+    A row without a label stays, with a null fold.
+    """
     order = _label_order(df, label, row_id, "fold", seed)
     ends = {}
     for name, sizes in fold_sizes(order.counts, folds).items():
@@ -207,8 +214,7 @@ def stratified_folds(
     return (
         _with_cuts(df, label, cuts)
         .withColumn("_h", h)
-        .where(F.col("_cuts").isNotNull())
-        .withColumn("fold", F.size(F.filter("_cuts", lambda c: c < F.col("_h"))))
+        .withColumn("fold", F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col("_h")))))
         .drop("_h", "_cuts")
     )
 

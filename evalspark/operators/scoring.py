@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -11,9 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.skew import lookup
+from evalspark.operators.sampling import require_unique
 from evalspark.plans.task import Task
 from evalspark.session import stage
-from evalspark.sources.answers import RECORD, append_answers, as_records, latest_answers, next_batch, read_answers
+from evalspark.sources.answers import RECORD, append_answers, as_records, latest_answers, read_answers
+
+
+# The error of a request for which the judge returned nothing.
+NO_ANSWER = "no answer"
 
 
 class Scorer(Protocol):
@@ -38,7 +44,8 @@ class ColumnScorer:
 class BatchScorer:
     """A judge in Python: a function from a batch of requests to their records.
 
-    For a remote model or a local one. When a batch raises, its requests become error records.
+    For a remote model or a local one. When a batch raises, its requests are asked one by one, so only
+    those that raise by themselves become error records.
     """
 
     def __init__(self, answer: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
@@ -47,13 +54,17 @@ class BatchScorer:
     def score(self, requests: DataFrame) -> DataFrame:
         answer, names = self.answer, RECORD.names
 
+        def asked(batch: pd.DataFrame) -> pd.DataFrame:
+            try:
+                return answer(batch)
+            except Exception as err:  # noqa: BLE001 - a failure is a record
+                if len(batch) > 1:
+                    return pd.concat([asked(batch.iloc[i : i + 1]) for i in range(len(batch))], ignore_index=True)
+                return batch[["request_key"]].assign(error=f"{type(err).__name__}: {err}")
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                try:
-                    records = answer(batch)
-                except Exception as err:  # noqa: BLE001 - a failure is a record
-                    records = batch[["request_key"]].assign(error=f"{type(err).__name__}: {err}")
-                records = records.reindex(columns=names).astype(object)
+                records = asked(batch).reindex(columns=names).astype(object)
                 yield records.where(records.notna(), None)
 
         return requests.mapInPandas(run, RECORD)
@@ -78,30 +89,34 @@ def bodies(requests: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def join_answers(keys: DataFrame, distinct: DataFrame, answers: DataFrame) -> DataFrame:
-    """The record of every request row; null fields where none exists."""
+    """The record of every request row. A request without an answer gets a record with ``error`` set."""
     values = answers.select("request_key", *[f for f in RECORD.names if f != "request_key"])
-    per_key = stage(distinct.select("request_key", "copies").join(values, "request_key", "left"), "answers")
-    found = lookup(keys.select("row_id", "request_key"), per_key, "request_key", "copies", spread="row_id", how="left")
+    found = distinct.select("request_key", "copies").join(values, "request_key", "left")
+    answered = (F.col("p_yes").isNotNull() & ~F.isnan("p_yes")) | F.col("choice").isNotNull()
+    per_key = stage(found.withColumn("error", F.when(~answered, F.coalesce("error", F.lit(NO_ANSWER))).otherwise(F.col("error"))), "answers")
+    found = lookup(keys.select("row_id", "request_key"), per_key, "request_key", "copies", how="left")
     return found.drop("copies")
 
 
 def score_rows(
     requests: DataFrame, scorer: Scorer, store_path: str | None = None, parallelism: int | None = None,
-    batch: int | None = None, waves: int = 1,
+    writer: str | None = None, waves: int = 1,
 ) -> DataFrame:
     """One record per request row: stored answers are reused, the rest is asked once per distinct request.
 
     ``parallelism`` bounds how many partitions ask at the same time. Only successes are stored, so
     failures are asked again by the next run. With several ``waves`` the missing requests are asked
     in as many parts, each stored when it is done, so an interrupted run loses one part at most.
+    ``writer`` names this run in the store; by default a name that no other run has. Row ids must be unique.
     """
     spark = requests.sparkSession
     keys = stage(requests.select("row_id", "request_key"), "request-keys")
+    require_unique(keys, "row_id")
     distinct = distinct_requests(keys)
     todo, known = distinct, []
     if store_path is not None:
-        batch = next_batch(spark, store_path) if batch is None else batch
-        stored = read_answers(spark, store_path).where(F.col("batch") < batch)
+        writer = writer or f"run-{uuid.uuid4().hex}"
+        stored = read_answers(spark, store_path).where(F.col("writer") != writer)
         todo = missing_requests(distinct, stored)
         # Only the answers of these requests, however long the table has grown.
         wanted = stored.join(distinct.select("request_key"), "request_key", "left_semi")
@@ -118,7 +133,7 @@ def score_rows(
         fresh = stage(scorer.score(part), "scored")
         known.append(as_records(fresh))
         if store_path is not None:
-            append_answers(fresh, store_path, batch + wave)
+            append_answers(fresh, store_path, writer, wave)
     return join_answers(keys, distinct, functools.reduce(DataFrame.unionByName, known))
 
 

@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,7 @@ DIMENSIONS = 100
 PASSES = 6
 OVERSAMPLE = 10
 
+MAX_SIZE = 1 << 17  # columns: about 115 MB of doubles on the driver and in a task
 BLOCK = 512  # columns of the matrix summed as one unit
 CHUNK = 10_000  # matrix entries worked on at once inside a task
 
@@ -49,33 +49,59 @@ def _products(indices: pd.Series, values: pd.Series, basis: np.ndarray) -> Itera
         start, done = stop, ends[stop - 1]
 
 
+SUMS = pa.schema([("block", pa.int64()), ("terms", pa.binary()), ("part", pa.binary())])
+
+
+def _partial_sums(entries: DataFrame, size: int, width: int) -> DataFrame:
+    """``entries`` in so many partitions that their partial sums together weigh about as much as the entries.
+
+    A task returns up to size x width numbers, whatever it has read, so more tasks would only make more to move.
+    """
+    numbers = entries.agg(F.sum(F.size("indices"))).first()[0] or 0
+    wanted = max(1, 2 * numbers // (size * width))
+    return entries.coalesce(int(min(wanted, entries.rdd.getNumPartitions())))
+
+
 def _gram_times(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """(A' A) basis in one pass. Tasks add up blocks of columns; Spark adds the blocks of all tasks."""
+    """(A' A) basis in one pass. Tasks add up blocks of columns, of which they return the touched ones; the blocks
+    of all tasks are added where they meet."""
     spark = entries.sparkSession
     shared = spark.sparkContext.broadcast(basis)
     size, width = basis.shape
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
-        total = np.zeros((size, width))
+        total, touched = np.zeros((size, width)), np.zeros(size, bool)
         for batch in batches:
-            for idx, val, row, product in _products(batch["indices"], batch["values"], q):
+            frame = batch.to_pandas()
+            for idx, val, row, product in _products(frame["indices"], frame["values"], q):
                 if len(idx):
                     order = np.argsort(idx, kind="stable")
                     terms, sums = _sum_runs(idx[order], val[order, None] * product[row[order]])
                     total[terms] += sums
+                    touched[terms] = True
         for block in range(0, size, BLOCK):
-            part = total[block : block + BLOCK]
-            if part.any():
-                yield pd.DataFrame({"block": [block], "part": [part.ravel()]})
-
-    parts = entries.mapInPandas(partial, "block long, part array<double>")
-    sums = parts.groupBy("block").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
+            terms = np.flatnonzero(touched[block : block + BLOCK]) + block
+            if len(terms):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([terms.tobytes()], pa.binary()), pa.array([total[terms].tobytes()], pa.binary())], schema=SUMS)
+
+    def added(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        total, touched = np.zeros((BLOCK, width)), np.zeros(BLOCK, bool)
+        for terms, part in zip(table.column("terms").to_pylist(), table.column("part").to_pylist()):
+            at = np.frombuffer(terms, np.int64) - block
+            total[at] += np.frombuffer(part).reshape(-1, width)
+            touched[at] = True
+        at = np.flatnonzero(touched)
+        return pa.table([[block], [(at + block).tobytes()], [total[at].tobytes()]], schema=SUMS)
+
+    layout = "block long, terms binary, part binary"
+    sums = entries.select("indices", "values").mapInArrow(partial, layout).groupBy("block").applyInArrow(added, layout)
     out = np.zeros((size, width))
-    blocks = sums.select("block", vector_to_array("part").alias("part")).toArrow()
-    for block, part in zip(blocks["block"].to_pylist(), blocks["part"]):
-        values = part.values.to_numpy(zero_copy_only=False).reshape(-1, width)
-        out[block : block + len(values)] = values
+    found = sums.toArrow()  # size x width numbers
+    for terms, part in zip(found["terms"], found["part"]):
+        out[np.frombuffer(terms.as_buffer(), np.int64)] = np.frombuffer(part.as_buffer()).reshape(-1, width)
     shared.unpersist()
     return out
 
@@ -83,12 +109,12 @@ def _gram_times(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
 def right_vectors(entries: DataFrame, size: int, dimensions: int = DIMENSIONS, seed: int = 42) -> np.ndarray:
     """The leading right singular vectors (size x dimensions) of the rows, by subspace iteration.
 
-    The driver holds only size x dimensions numbers; ``size`` is a capped vocabulary.
+    The driver holds only size x dimensions numbers, and so does the broadcast; ``size`` is checked.
     """
-    spark = entries.sparkSession
-    # Every task returns a share of a size x dimensions sum, so tasks are kept to the core count.
-    entries = entries.coalesce(spark.sparkContext.defaultParallelism)
+    if size > MAX_SIZE:
+        raise ValueError(f"{size} columns; hash them into at most {MAX_SIZE} first")
     width = min(dimensions + OVERSAMPLE, size)
+    entries = _partial_sums(entries, size, width)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
     for _ in range(PASSES - 1):
         basis = np.linalg.qr(_gram_times(entries, basis))[0]

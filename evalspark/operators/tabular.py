@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,14 @@ def split_by_type(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], lis
     return numeric, [f.name for f in df.schema.fields if f.name in columns and f.name not in numeric]
 
 
+def vector_width(df: DataFrame, column: str) -> int:
+    """The length that all vectors of a column have; vectors of several lengths are an error."""
+    found = df.agg(F.min(F.size(column)).alias("low"), F.max(F.size(column)).alias("high")).first()
+    if found["low"] != found["high"]:
+        raise ValueError(f"vectors of {found['low']} to {found['high']} numbers in {column}")
+    return found["high"] or 0
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median of the non-null values of each column, all columns in one pass."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
@@ -84,7 +92,7 @@ class OneHot:
     def bucketed(self, df: DataFrame, name: str) -> DataFrame:
         """Add the bucket of each row's category; one never seen goes to the rare bucket."""
         keyed = df.withColumn("_category", F.col(self.column))
-        found = lookup(keyed, self.frequencies, "_category", "n", spread="row_id", how="left")
+        found = lookup(keyed, self.frequencies, "_category", "n", how="left")
         bucket = F.coalesce("bucket", F.lit(RARE))
         return found.withColumn(name, bucket).drop("_category", "n", "bucket")
 
@@ -95,7 +103,22 @@ def fit_one_hot(df: DataFrame, column: str, min_frequency: int = MIN_FREQUENCY)
     return OneHot(column, stage(counts.select("_category", "n", bucket), "categories"))
 
 
-def ordinal_codes(df: DataFrame, column: str) -> list[str]:
-    """The categories of a column in ascending order; a position is the code, anything else is -1."""
-    seen = df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
-    return [r[0] for r in seen.collect()]
+def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
+    """``_category, n, code``: the categories numbered from 0 in ascending order, as a table.
+
+    Numbered within ranges of categories, so that no task holds all of them.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_category")).agg(F.count("*").alias("n"))
+    ranged = stage(counts.repartitionByRange("_category").withColumn("_range", F.spark_partition_id()), "categories")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_category"))
+    return ranged.withColumn("_place", place).join(starts, "_range").select(
+        "_category", "n", (F.col("_start") + F.col("_place") - 1).cast("int").alias("code"))
+
+
+def with_ordinal_code(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the code of each row's category; -1 where it is missing or was not seen."""
+    found = lookup(df.withColumn("_category", F.col(column)), codes, "_category", "n", how="left")
+    return found.withColumn(name, F.coalesce("code", F.lit(-1))).drop("_category", "n", "code")

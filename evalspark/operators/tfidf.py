@@ -89,15 +89,21 @@ class TfidfModel:
     def raw(self, df: DataFrame, terms: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """row_id, term, tf, raw = (1 + ln tf) * idf and the other columns of ``terms`` for known terms."""
         counts = term_counts(df, self.text, self.bigrams, self.stop_words, keep)
-        return lookup(counts, terms, "term", "df", spread="row_id").withColumn(
+        return lookup(counts, terms, "term", "df").withColumn(
             "raw", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
         )
 
     def weights(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """row_id, term, tf, weight: the raw weights scaled to length 1 per row."""
         raw = self.raw(df, self.vocabulary, [c for c in keep if c != "idf"])
-        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id")))
-        return raw.select("row_id", *keep, "term", "tf", (F.col("raw") / norm).alias("weight"))
+        # Grouped into arrays and not over a window: the pairs of a row move once, together, and are neither
+        # sorted nor buffered on their own.
+        entry = F.struct("term", "tf", "raw", *[c for c in keep if c == "idf"])
+        others = [c for c in keep if c != "idf"]
+        rows = raw.groupBy("row_id", *others).agg(
+            F.collect_list(entry).alias("entries"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+        out = rows.select("row_id", *others, "length", F.inline("entries"))
+        return out.select("row_id", *keep, "term", "tf", (F.col("raw") / F.col("length")).alias("weight"))
 
 
 def fit_tfidf(
@@ -207,6 +213,19 @@ def number_terms(vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def placed_terms(vocabulary: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """The vocabulary with ``position``, and the number of positions.
+
+    Up to ``width`` terms get a position each. A larger vocabulary is hashed into ``width`` positions; terms that
+    meet there add up, and none is dropped.
+    """
+    size = vocabulary.count()
+    if size <= width:
+        return stage(number_terms(vocabulary), "term-positions"), size
+    place = F.pmod(F.xxhash64("term"), F.lit(width)).cast("int")
+    return stage(vocabulary.select("term", "df", "idf", place.alias("position")), "term-positions"), width
+
+
 @dataclass(frozen=True)
 class TermVectors:
     """Sparse rows in a staged table: row_id, features = struct(type, size, indices, values).
@@ -217,10 +236,10 @@ class TermVectors:
 
     spark: SparkSession
     path: str
-    id_type: DataType
+    others: tuple[StructField, ...]  # row_id and the kept columns
 
     def _read(self, dtype: DataType) -> DataFrame:
-        schema = StructType([StructField("row_id", self.id_type), StructField("features", dtype)])
+        schema = StructType([*self.others, StructField("features", dtype)])
         return self.spark.read.schema(schema).parquet(self.path)
 
     def vectors(self) -> DataFrame:
@@ -231,22 +250,26 @@ class TermVectors:
         return self._read(VectorUDT.sqlType()).select("row_id", "features.indices", "features.values")
 
 
-def to_vectors(model: TfidfModel, numbered: DataFrame, size: int, rows: DataFrame) -> TermVectors:
-    """One sparse TF-IDF vector per row of ``rows``; a row without known terms is all zero.
+def to_vectors(model: TfidfModel, numbered: DataFrame, size: int, rows: DataFrame, keep: Sequence[str] = ()) -> TermVectors:
+    """One sparse TF-IDF vector per row of ``rows``, with its ``keep`` columns; a row without known terms is all zero.
 
-    One lookup per term and one shuffle per row; the scaling to length 1 is done inside the row.
+    One lookup per term and one shuffle per row; terms of one position add up, and the scaling to length 1
+    is done inside the row. There are at least as many files as cores, so that later passes use all.
     """
-    entries = model.raw(rows, numbered).groupBy("row_id").agg(
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = model.raw(rows, numbered).select("row_id", "position", "raw").repartition(parts, "row_id")
+    entries = placed.groupBy("row_id", "position").agg(F.sum("raw").alias("raw")).groupBy("row_id").agg(
         F.sort_array(F.collect_list(F.struct("position", "raw"))).alias("entries"),
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"),
     )
     empty = F.array().cast("array<struct<position:int,raw:double>>")
-    filled = rows.select("row_id").join(entries, "row_id", "left").withColumn("entries", F.coalesce("entries", empty))
+    filled = rows.select("row_id", *keep).join(entries, "row_id", "left").withColumn("entries", F.coalesce("entries", empty))
     sparse = F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
         F.col("entries.position").alias("indices"),
         F.transform("entries.raw", lambda v: v / F.col("length")).alias("values"),
     )
-    path = new_path(rows.sparkSession, "term-vectors")
-    filled.select("row_id", sparse.alias("features")).write.parquet(path)
-    return TermVectors(rows.sparkSession, path, rows.schema["row_id"].dataType)
+    path = new_path(spark, "term-vectors")
+    filled.select("row_id", *keep, sparse.alias("features")).write.parquet(path)
+    return TermVectors(spark, path, tuple(StructField(c, rows.schema[c].dataType) for c in ["row_id", *keep]))

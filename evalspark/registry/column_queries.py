@@ -40,7 +40,7 @@ def csv_source(spark, folder):
     """The pages written as quoted CSV with a header, and read back."""
     path = new_path(spark, "pages-csv")
     tables.write_csv(tables.load(spark, folder, "pages"), path)
-    return tables.read_csv(spark, path, "page_id long, url string, html string")
+    return tables.read_csv(spark, path, "page_id long, url string, html string", line_breaks=True)
 
 
 ONE_LINE = "trim(regexp_replace(text, '[\\t\\r\\n ]+', ' ', 'g'))"
@@ -121,11 +121,11 @@ def short_flag(spark, folder):
 
 @query(
     "truncate_state",
-    f"SELECT doc_id, substring(text, 1, {catalog.MAX_TEXT_CHARS}) AS judged, {sql.shortened('text', 110)} AS preview FROM documents",
+    f"SELECT doc_id, substring(text, 1, 4000) AS judged, {sql.shortened('text', 110)} AS preview FROM documents",
 )
 def truncate_state(spark, folder):
     return tables.load(spark, folder, "documents").select(
-        "doc_id", F.substring("text", 1, catalog.MAX_TEXT_CHARS).alias("judged"),
+        "doc_id", F.substring("text", 1, 4000).alias("judged"),
         texts.truncate(F.col("text"), 110).alias("preview"),
     )
 

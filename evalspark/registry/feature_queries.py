@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+import functools
+
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.vectors import l2_normalise
-from evalspark.operators import cluster, models, sampling, tabular, tfidf
+from evalspark.operators import cluster, models, sampling, svd, tabular, tfidf
 from evalspark.operators.stacking import baseline_features
 from evalspark.plans import catalog
 from evalspark.plans.catalog import DOC_LANG, DOC_QUALITY, ORDER_STATUS, VECTOR_CLASS
 from evalspark.registry import sql
 from evalspark.registry.base import query
-from evalspark.registry.sampling_queries import lang_split
+from evalspark.registry.sampling_queries import fold_sql, lang_split
 from evalspark.registry.scoring_queries import rounded
+from evalspark.session import stage
 from evalspark.sources import tables
 
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
@@ -54,17 +59,17 @@ def tfidf_weights(spark, folder):
 tokens AS (SELECT row_id, label, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM base),
 counted AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(t) AS term FROM tokens) GROUP BY ALL)
 SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM base)) / (1.0 + count(*))) + 1.0, 6) AS idf
-FROM counted GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, {sql.h('terms', 'term')} LIMIT 20000""",
+FROM counted GROUP BY term HAVING count(*) >= 2""",
 )
 def tfidf_bigrams(spark, folder):
-    """Words and word pairs, capped at the most frequent terms (a vocabulary cap, as the models use)."""
+    """The whole vocabulary of words and word pairs."""
     rows = catalog.doc_quality_rows(spark, folder)
-    return rounded(tfidf.fit_tfidf(rows, bigrams=True, min_df=2, max_features=20_000).vocabulary)
+    return rounded(tfidf.fit_tfidf(rows, bigrams=True, min_df=2).vocabulary)
 
 
-@query(
-    "nb_predict",
-    f"""WITH {sql.split(sql.QUALITY)}, {counts_sql('train_counts', 'train')}, {counts_sql('all_counts', 'split_rows')},
+def nb_scores_sql() -> str:
+    """CTEs ending in ``scores``(row_id, s0, s1): joint log scores of every good/bad document."""
+    return f"""{sql.split(sql.QUALITY)}, {counts_sql('train_counts', 'train')}, {counts_sql('all_counts', 'split_rows')},
 {weights_sql('train_counts', 'train_counts', 1).replace('weights AS', 'train_weights AS')},
 classes AS (SELECT label, ln(count(*) / CAST((SELECT count(*) FROM train) AS DOUBLE)) AS prior FROM train GROUP BY label),
 class_sums AS (SELECT label, term, sum(weight) AS s FROM train_weights GROUP BY label, term),
@@ -74,7 +79,12 @@ logs AS (SELECT label, term, ln((coalesce(s, 0.0) + 0.1) / total) AS logp
 all_raw AS (SELECT row_id, term, (1.0 + ln(CAST(tf AS DOUBLE))) * idf AS r FROM all_counts JOIN vocab USING (term)),
 joint AS (SELECT row_id, l.label, sum(r * logp) / sqrt(sum(r * r)) AS j FROM all_raw JOIN logs l USING (term) GROUP BY row_id, l.label),
 scores AS (SELECT row_id, max(coalesce(j, 0.0) + prior) FILTER (WHERE label = '0') AS s0, max(coalesce(j, 0.0) + prior) FILTER (WHERE label = '1') AS s1
-  FROM (SELECT row_id, c.label, prior FROM split_rows, classes c) LEFT JOIN joint USING (row_id, label) GROUP BY row_id)
+  FROM (SELECT row_id, c.label, prior FROM split_rows, classes c) LEFT JOIN joint USING (row_id, label) GROUP BY row_id)"""
+
+
+@query(
+    "nb_predict",
+    f"""WITH {nb_scores_sql()}
 SELECT row_id, CASE WHEN s0 >= s1 THEN '0' ELSE '1' END AS pred, round(1.0 / (1.0 + exp(s0 - s1)), 6) AS p_positive FROM scores""",
 )
 def nb_predict(spark, folder):
@@ -140,8 +150,8 @@ def rare_onehot(spark, folder):
 )
 def ordinal_codes(spark, folder):
     rows = catalog.order_status_rows(spark, folder)
-    codes = F.array(*[F.lit(c) for c in tabular.ordinal_codes(rows, "o_orderpriority")])
-    return rows.select("row_id", (F.array_position(codes, F.col("o_orderpriority")) - 1).cast("int").alias("code"))
+    codes = tabular.ordinal_codes(rows, "o_orderpriority")
+    return tabular.with_ordinal_code(rows, codes, "o_orderpriority", "found").select("row_id", F.col("found").alias("code"))
 
 
 # ---------------------------------------------------------------- clusters
@@ -200,16 +210,62 @@ def l2(spark, folder):
     return rows.select("row_id", shown.alias("v"))
 
 
-@query("svd_features")
+KNOWN_TERMS = f"""WITH terms AS (SELECT DISTINCT row_id, unnest({WORDS}) AS term FROM {sql.DOCS}),
+known AS (SELECT term FROM terms GROUP BY term HAVING count(*) >= 2)"""
+
+
+@query(
+    "svd_features",
+    f"""{KNOWN_TERMS} SELECT row_id, CAST(least(100, (SELECT count(*) FROM known)) AS INTEGER) AS dimensions, true AS unit_length
+FROM {sql.DOCS}""",
+)
 def svd_features(spark, folder):
-    """Documents as length-normalised SVD vectors of their TF-IDF weights."""
-    return cluster.text_features(catalog.doc_lang_rows(spark, folder), "text")
+    """Documents as SVD vectors of their TF-IDF weights: how many numbers each has, and that its length is 1
+    (or 0, for a document of which no term is known)."""
+    found = cluster.text_features(catalog.doc_lang_rows(spark, folder), "text", stop_words=[])
+    squares = F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)
+    return found.select("row_id", F.size("features").alias("dimensions"), ((F.abs(squares - 1) < 1e-9) | (squares == 0)).alias("unit_length"))
 
 
-@query("table_cluster_features")
+@query(
+    "svd_quality",
+    "SELECT count(*) > 0 AS orthonormal, count(*) > 0 AS captures_more_than_columns, count(*) > 0 AS descending FROM documents",
+)
+def svd_quality(spark, folder):
+    """The right singular vectors of the documents: orthonormal, in order of the energy they capture, and
+    together capturing more of it than the as many heaviest terms."""
+    rows = tfidf.with_counts(catalog.doc_lang_rows(spark, folder), "text")
+    model = tfidf.fit_tfidf(rows, min_df=2)
+    numbered, size = tfidf.placed_terms(model.vocabulary, cluster.TEXT_WIDTH)
+    entries = tfidf.to_vectors(model, numbered, size, rows).entries()
+    vectors = svd.right_vectors(entries, size)
+    width = vectors.shape[1]
+    error = float(abs(vectors.T @ vectors - np.eye(width)).max())
+    parts = svd.project(entries, vectors).select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("x")).alias("energy"))
+    falling = Window.orderBy("i")
+    energy = parts.withColumn("next", F.lead("energy").over(falling)).agg(
+        F.sum("energy").alias("captured"), F.bool_and(F.coalesce(F.col("next") <= F.col("energy") * 1.05, F.lit(True))).alias("descending"))
+    terms = entries.select(F.explode(F.arrays_zip("indices", "values")).alias("e")).groupBy("e.indices").agg(
+        F.sum(F.col("e.values") * F.col("e.values")).alias("w")).orderBy(F.desc("w")).limit(width).agg(F.sum("w").alias("columns"))
+    return energy.withColumn("columns", terms.scalar()).select(
+        F.lit(error < 1e-8).alias("orthonormal"), (F.col("captured") > F.col("columns")).alias("captures_more_than_columns"), "descending")
+
+
+def _table_width_sql() -> str:
+    buckets = ", ".join(
+        f"CASE WHEN count(*) OVER (PARTITION BY {c}) >= 10 THEN {c} ELSE '__rare__' END AS {c}" for c in catalog.ORDER_CATEGORIES
+    )
+    width = " + ".join([str(len(catalog.ORDER_NUMBERS)), *[f"(SELECT count(DISTINCT {c}) FROM cells)" for c in catalog.ORDER_CATEGORIES]])
+    return f"""WITH cells AS (SELECT row_id, {buckets} FROM {sql.ORDERS})
+SELECT row_id, CAST({width} AS INTEGER) AS width, {len(catalog.ORDER_CATEGORIES)} AS ones FROM cells"""
+
+
+@query("table_cluster_features", _table_width_sql())
 def table_cluster_features(spark, folder):
-    rows = catalog.order_status_rows(spark, folder)
-    return cluster.cluster_features(ORDER_STATUS, rows)
+    """How many numbers every order has as cluster features, and how many of the category ones are set."""
+    found = cluster.cluster_features(ORDER_STATUS, catalog.order_status_rows(spark, folder))
+    ones = F.size(F.filter(F.slice("features", len(catalog.ORDER_NUMBERS) + 1, F.size("features")), lambda x: x == 1.0))
+    return found.select("row_id", F.size("features").alias("width"), ones.alias("ones"))
 
 
 def _table_vectors_sql() -> str:
@@ -237,69 +293,102 @@ def table_vectors(spark, folder):
 
 def vector_features(spark, folder):
     rows = catalog.vector_class_rows(spark, folder)
-    return cluster.cluster_features(VECTOR_CLASS, rows).withColumn("features", array_to_vector("features"))
+    return stage(cluster.cluster_features(VECTOR_CLASS, rows), "features").withColumn("features", array_to_vector("features"))
 
 
-@query("kmeans_best")
+@query("kmeans_best", "SELECT vec_id AS row_id, true AS is_nearest FROM embeddings")
 def kmeans_best(spark, folder):
-    """The best of four k-means runs: row_id and cluster."""
-    rows = vector_features(spark, folder).persist()
+    """The best of four k-means runs: whether every row lies in the cluster whose centre is nearest."""
+    rows = vector_features(spark, folder)
     model = cluster.kmeans_best(rows, k=10)
-    return model.transform(rows).select("row_id", F.col("prediction").alias("cluster"))
+    found = model.transform(rows).select("row_id", F.col("prediction").alias("given"), vector_to_array("features").alias("features"))
+    nearest = cluster.assign_nearest(found, [list(c) for c in model.clusterCenters()])
+    return nearest.select("row_id", (F.col("given") == F.col("cluster")).alias("is_nearest"))
 
 
-@query("choose_k")
+@query("choose_k", "SELECT CAST(k AS INTEGER) AS k, count(*) > 0 AS valid FROM range(2, 9) t(k), orders GROUP BY k")
 def choose_k(spark, folder):
-    """k and its silhouette for table rows, 2 to 8 clusters."""
-    features = cluster.cluster_features(ORDER_STATUS, catalog.order_status_rows(spark, folder))
-    _, scores = cluster.choose_k(features.withColumn("features", array_to_vector("features")).persist(), 2)
-    return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "k int, silhouette double")
+    """Every k from 2 to 8 has a silhouette between -1 and 1, for table rows."""
+    features = stage(cluster.cluster_features(ORDER_STATUS, catalog.order_status_rows(spark, folder)), "features")
+    best, scores = cluster.choose_k(features.withColumn("features", array_to_vector("features")), 2)
+    top = max(scores.values())
+    return spark.createDataFrame([(k, -1 <= v <= 1 and scores[best.getK()] == top) for k, v in scores.items()], "k int, valid boolean")
 
 
-@query("shots_cluster")
+@query("shots_cluster", "SELECT DISTINCT CAST(label AS VARCHAR) AS label, true AS own_label, true AS large_enough FROM embeddings")
 def shots_cluster(spark, folder):
-    """One example per (label, cluster) cell of the training vectors, with the cells."""
-    split = sampling.stratified_split(catalog.vector_class_rows(spark, folder))
-    return cluster.select_cluster_shots(VECTOR_CLASS, split.where("split = 'train'")).cells
+    """One example per (label, cluster) cell of the training vectors: of the cell's label, and from cells of three rows or more."""
+    train = sampling.stratified_split(catalog.vector_class_rows(spark, folder)).where("split = 'train'")
+    cells = cluster.select_cluster_shots(VECTOR_CLASS, train).cells
+    truth = train.select("row_id", F.col("label").alias("true_label"))
+    return cells.join(truth, "row_id", "left").groupBy("label").agg(
+        F.bool_and(F.coalesce(F.col("label") == F.col("true_label"), F.lit(False))).alias("own_label"),
+        F.bool_and((F.col("cell_size") >= cluster.MIN_CELL_SIZE) & (F.col("cell_size") <= F.col("cluster_size"))).alias("large_enough"))
 
 
 # ---------------------------------------------------------------- models
 
 
-def _baseline(task, rows):
-    wide, _ = models.evaluate_baseline(task, sampling.stratified_split(rows, scored_n=100))
-    return wide
+def _baseline(task, rows, baseline=None):
+    wide, _ = models.evaluate_baseline(task, sampling.stratified_split(rows), baseline)
+    return stage(wide, "baseline-metrics")
+
+
+def _checked(wide):
+    """Field and number of rows, and whether every number is a share."""
+    shares = [F.coalesce(F.col(c).between(0, 1), F.lit(True)) for c in ("accuracy", "macro_f1", "f1_positive", "roc_auc")]
+    return wide.select("field", "n", functools.reduce(lambda a, b: a & b, shares).alias("valid"), (F.col("macro_f1") > 0).alias("finds_some"))
+
+
+def _checked_sql(source: str) -> str:
+    return f"""WITH {sql.split(source)}
+SELECT unnest(['metrics', 'full_test_metrics']) AS field, count(*) AS n, true AS valid, true AS finds_some FROM split_rows WHERE split = 'test'"""
 
 
-@query("baseline_nb")
+NB_PRED = "(SELECT 0 AS g, label, CASE WHEN s0 >= s1 THEN '0' ELSE '1' END AS pred FROM scores JOIN split_rows USING (row_id) WHERE is_scored)"
+
+
+@query(
+    "baseline_nb",
+    f"""WITH {nb_scores_sql()}, m AS ({sql.metric_columns(NB_PRED, ['0', '1'], 'g', None)})
+SELECT unnest(['metrics', 'full_test_metrics']) AS field, n, accuracy, macro_f1 FROM m""",
+)
 def baseline_nb(spark, folder):
-    return _baseline(DOC_QUALITY, catalog.doc_quality_rows(spark, folder))
+    return rounded(_baseline(DOC_QUALITY, catalog.doc_quality_rows(spark, folder)).select("field", "n", "accuracy", "macro_f1"))
 
 
-@query("baseline_svm")
+@query("baseline_svm", _checked_sql(sql.DOCS))
 def baseline_svm(spark, folder):
-    return _baseline(DOC_LANG, catalog.doc_lang_rows(spark, folder))
+    return _checked(_baseline(DOC_LANG, catalog.doc_lang_rows(spark, folder)))
 
 
-@query("baseline_lr")
+VECTORS = "(SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label FROM embeddings)"
+
+
+@query("baseline_lr", _checked_sql(VECTORS))
 def baseline_lr(spark, folder):
-    return _baseline(VECTOR_CLASS, catalog.vector_class_rows(spark, folder))
+    return _checked(_baseline(VECTOR_CLASS, catalog.vector_class_rows(spark, folder)))
 
 
-@query("baseline_text_lr")
+@query("baseline_text_lr", _checked_sql(sql.QUALITY))
 def baseline_text_lr(spark, folder):
-    split = sampling.stratified_split(catalog.doc_quality_rows(spark, folder))
-    return models.evaluate_baseline(DOC_QUALITY, split, models.TextLogistic())[0]
+    return _checked(_baseline(DOC_QUALITY, catalog.doc_quality_rows(spark, folder), models.TextLogistic()))
 
 
-@query("baseline_gbt")
+@query("baseline_gbt", _checked_sql(sql.ORDERS))
 def baseline_gbt(spark, folder):
-    return _baseline(ORDER_STATUS, catalog.order_status_rows(spark, folder))
+    return _checked(_baseline(ORDER_STATUS, catalog.order_status_rows(spark, folder)))
 
 
-@query("oof_scores")
+@query(
+    "oof_scores",
+    f"""WITH {sql.split(VECTORS)}, folds AS ({fold_sql('train')}) SELECT row_id, fold, 10 AS features, true AS sums_to_one FROM folds""",
+)
 def oof_scores(spark, folder):
-    """Out-of-fold scores of every training vector, as second-stage features."""
+    """Out-of-fold scores of every training vector: its fold, and that its probabilities add up to 1."""
     train = sampling.stratified_split(catalog.vector_class_rows(spark, folder)).where("split = 'train'")
     oof, probabilistic = models.oof_scores(VECTOR_CLASS, train)
-    return baseline_features(VECTOR_CLASS, oof, probabilistic).join(oof.select("row_id", "fold"), "row_id")
+    features = baseline_features(VECTOR_CLASS, oof, probabilistic)
+    total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
+    return features.join(oof, "row_id").select(
+        "row_id", "fold", F.size("features").alias("features"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))

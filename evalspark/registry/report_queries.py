@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalspark.operators import models, report, sampling
 from evalspark.operators.metrics import metrics
 from evalspark.operators.stacking import stack as stack_models
-from evalspark.operators.requests import build_requests
+from evalspark.operators.requests import build_requests, export_requests
 from evalspark.operators.scoring import score_rows
 from evalspark.plans import catalog, evaluate
 from evalspark.plans.catalog import DOC_LANG, DOC_QUALITY, ORDER_STATUS
@@ -204,9 +204,14 @@ def uses_subset(spark, folder):
     return report.uses_subset(long)
 
 
-@query("stack")
+@query(
+    "stack",
+    f"""WITH {sql.split(sql.QUALITY)}
+SELECT unnest(['stacked', 'control']) AS method, count(*) AS n, true AS valid FROM split_rows WHERE is_scored""",
+)
 def stack(spark, folder):
-    """Baseline and judge stacked on the good/bad documents, next to the control: predictions of both."""
+    """Baseline and judge stacked on the good/bad documents, next to the control: every scored row has a label and
+    a probability from both."""
     split = stage(sampling.stratified_split(catalog.doc_quality_rows(spark, folder)), "split")
     train, test = split.where("split = 'train'"), split.where("is_scored")
     oof, probabilistic = models.oof_scores(DOC_QUALITY, train)
@@ -214,13 +219,39 @@ def stack(spark, folder):
     sample = sampling.stage2_sample(train, None)
     asked = build_requests(DOC_QUALITY, sample.unionByName(test), DOC_QUALITY.question(), judges.MODEL)
     records = score_rows(asked, judges.quality_judge())
-    return stack_models(DOC_QUALITY, sample, oof.select("row_id", "raw"), scored, probabilistic, records).predictions
+    found = stack_models(DOC_QUALITY, sample, oof.select("row_id", "raw"), scored, probabilistic, records).predictions
+    fits = F.col("pred").isin(list(DOC_QUALITY.labels)) & F.col("score").between(0, 1)
+    return found.groupBy("method").agg(F.count("*").alias("n"), F.bool_and(fits).alias("valid"))
+
 
+EVALUATED = "(SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label FROM embeddings)"
+RUNS = ["baseline", "judge", "judge_3shot", "judge_cluster", "judge_cluster_random", "stack", "stack_cluster"]
 
-@query("evaluate")
+
+@query(
+    "evaluate",
+    f"""WITH {sql.split(EVALUATED)}, n AS (SELECT count(*) FILTER (WHERE is_scored) AS scored, count(*) FILTER (WHERE split = 'test') AS test FROM split_rows)
+SELECT unnest({RUNS}) AS method, 'metrics' AS field, CAST(scored AS DOUBLE) AS n FROM n
+UNION ALL SELECT unnest(['stack', 'stack_cluster']), 'control_metrics', CAST(scored AS DOUBLE) FROM n
+UNION ALL SELECT 'baseline', 'full_test_metrics', CAST(test AS DOUBLE) FROM n""",
+)
 def evaluate_all(spark, folder):
-    """Baseline, judge (zero-shot, 3-shot, cluster, matched control) and stacks on vectors: the results table."""
-    return evaluate.evaluate(
+    """Baseline, judge (zero-shot, 3-shot, cluster, matched control) and stacks on vectors: the rows that every run was measured on."""
+    results = evaluate.evaluate(
         spark, folder, ["vector_class"], lambda task, split: judges.VectorJudge(), model=judges.MODEL,
         variants=["0", "3", "cluster", "cluster-random"], scored_n=None,
     )
+    return results.where("metric = 'n'").select("method", "field", F.col("value").alias("n"))
+
+
+@query(
+    "request_preview",
+    f"""SELECT '{{"model":"{judges.MODEL}","state":' || {ORDER_STATE} || ',"questions":{{"label":'
+|| '{ORDER_STATUS.question()}' || '}}}}' AS value FROM {sql.ORDERS} ORDER BY row_id LIMIT 2""",
+)
+def request_preview(spark, folder):
+    """The first two requests of a run by row id, written as text and read back."""
+    path = new_path(spark, "preview")
+    built = build_requests(ORDER_STATUS, catalog.order_status_rows(spark, folder), ORDER_STATUS.question(), judges.MODEL)
+    export_requests(built, ORDER_STATUS.question(), path, first=2)
+    return spark.read.text(path)

@@ -36,11 +36,12 @@ def scored_subset(spark, folder):
     return lang_split(spark, folder, scored_n=50).where("is_scored").select("row_id", "label")
 
 
-def _fold_sql() -> str:
+def fold_sql(source: str) -> str:
+    """A query of row_id, label and fold over a table or CTE with row_id and label."""
     sizes = ", ".join(f"(first + n - {i} + 4) // 5 - (first - {i} + 4) // 5 AS s{i}" for i in range(5))
     ends = ["s0", "s0 + s1", "s0 + s1 + s2", "s0 + s1 + s2 + s3"]
     cases = " ".join(f"WHEN place <= {e} THEN {i}" for i, e in enumerate(ends))
-    return f"""WITH base AS (SELECT *, {sql.h('fold')} AS hf FROM {sql.ORDERS}),
+    return f"""WITH base AS (SELECT *, {sql.h('fold')} AS hf FROM {source}),
 counts AS (SELECT label, count(*) AS n FROM base GROUP BY label),
 starts AS (SELECT label, n, CAST(sum(n) OVER (ORDER BY label) - n AS BIGINT) AS first FROM counts),
 sizes AS (SELECT label, {sizes} FROM starts),
@@ -48,7 +49,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hf) AS place
 SELECT row_id, label, CAST(CASE {cases} ELSE 4 END AS INTEGER) AS fold FROM placed JOIN sizes USING (label)"""
 
 
-@query("stratified_folds", _fold_sql())
+@query("stratified_folds", fold_sql(sql.ORDERS))
 def stratified_folds(spark, folder):
     return sampling.stratified_folds(catalog.order_status_rows(spark, folder)).select("row_id", "label", "fold")
 

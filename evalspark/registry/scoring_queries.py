@@ -10,12 +10,12 @@ from evalspark.operators.requests import build_requests
 from evalspark.operators.stacking import judge_features
 from evalspark.plans import catalog
 from evalspark.plans.catalog import DOC_LANG, DOC_QUALITY
-from evalspark.plans.evaluate import Shots, evaluate_variant
+from evalspark.plans.evaluate import Examples, evaluate_variant, variant_named
 from evalspark.plans.task import BINARY, Task
 from evalspark.registry import judges, sql
 from evalspark.registry.base import query
 from evalspark.registry.column_queries import DOC_STATE, LANG_STATE, key_sql
-from evalspark.session import new_path
+from evalspark.session import new_path, stage
 from evalspark.sources import answers, tables
 from evalspark.streaming.incremental import score_stream
 
@@ -94,7 +94,7 @@ def answer_store(spark, folder):
     requests = quality_requests(spark, folder)
     records = judges.quality_judge().score(scoring.bodies(requests, scoring.distinct_requests(requests)))
     failed = F.when(F.col("p_yes") < 0.5, F.lit("low")).alias("error")
-    answers.append_answers(records.select("request_key", "p_yes", failed), path, 0)
+    answers.append_answers(records.select("request_key", "p_yes", failed), path, "query", 0)
     return answers.latest_answers(answers.read_answers(spark, path)).select("request_key", "p_yes")
 
 
@@ -103,7 +103,11 @@ TURN = Task(
     state=lambda: F.struct(F.col("text").alias("document")), instructions="Did a user write `document`?",
     criteria={"true": "A user wrote it.", "false": "Someone else wrote it."}, text="text",
 )
-TURN_ID = "conv_id * 100000 + turn"
+TURN_ID = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+
+
+def turn_id():
+    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id")
 
 
 @query(
@@ -115,7 +119,7 @@ def incremental_scoring_stream(spark, folder):
     path, question = new_path(spark, "stream-answers"), TURN.question()
     checkpoint = new_path(spark, "stream-checkpoint")
     source = tables.load(spark, folder, "conversations")
-    row_id = (F.col("conv_id") * 100000 + F.col("turn")).alias("row_id")
+    row_id = turn_id()
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 16).parquet(
         f"{folder}/conversation[s].parquet"  # a pattern, so that a file or a folder of files will do
     )
@@ -128,6 +132,28 @@ def incremental_scoring_stream(spark, folder):
     return scoring.join_answers(requests, scoring.distinct_requests(requests), stored).select("row_id", "p_yes")
 
 
+FROM_RUN = "text IN (SELECT text FROM conversations WHERE role = 'user')"
+
+
+@query("shared_answer_store", f"SELECT {TURN_ID} AS row_id, {judges.quality_sql(DOC_STATE)} AS p_yes, {FROM_RUN} AS from_run FROM conversations")
+def shared_answer_store(spark, folder):
+    """A run stores the answers of user turns; then a stream with a checkpoint of its own scores all turns into
+    the same store. All answers are there, and those of the run were not asked again."""
+    path, question = new_path(spark, "shared-answers"), TURN.question()
+    turns = tables.load(spark, folder, "conversations")
+    marked = judges.quality_judge()
+    marked.fields["latency_s"] = F.lit(1.0)
+    first = build_requests(TURN, turns.where("role = 'user'").select(turn_id(), "text"), question, judges.MODEL)
+    scoring.score_rows(first, marked, store_path=path, waves=2)
+    stream = spark.readStream.schema(turns.schema).parquet(f"{folder}/conversation[s].parquet")
+    score_stream(TURN, stream.select(turn_id(), "text"), question, judges.quality_judge(), path, new_path(spark, "checkpoint"),
+                 judges.MODEL).awaitTermination()
+    stored = answers.latest_answers(answers.read_answers(spark, path))
+    requests = build_requests(TURN, turns.select(turn_id(), "text"), question, judges.MODEL)
+    found = scoring.join_answers(requests, scoring.distinct_requests(requests), stored)
+    return found.select("row_id", "p_yes", F.col("latency_s").isNotNull().alias("from_run"))
+
+
 # ---------------------------------------------------------------- numbers
 
 QUALITY_PRED = f"""(SELECT split, label, CASE WHEN p >= 0.5 THEN '1' ELSE '0' END AS pred, p AS score
@@ -141,9 +167,9 @@ FROM (SELECT *, {QUALITY_P} AS p FROM split_rows))"""
 def metrics_binary(spark, folder):
     """The flagship: split, ask, decode and measure a judge on the good/bad documents."""
     split = sampling.stratified_split(catalog.doc_quality_rows(spark, folder))
-    requests = build_requests(DOC_QUALITY, split, DOC_QUALITY.question(), judges.MODEL)
-    records = scoring.score_rows(requests, judges.quality_judge())
-    pred = scoring.decode(DOC_QUALITY, records).join(split.select("row_id", "split", "label"), "row_id")
+    truth = stage(split.select("row_id", "split", "label"), "split")  # without the texts, which are read once
+    records = scoring.score_rows(quality_requests(spark, folder), judges.quality_judge())
+    pred = scoring.decode(DOC_QUALITY, records).join(truth, "row_id")
     return rounded(metrics.metrics(pred, DOC_QUALITY.labels, DOC_QUALITY.positive, by=["split"]))
 
 
@@ -207,6 +233,39 @@ def usage_stats(spark, folder):
     return metrics.usage_stats(event_log(spark, folder), ["g"])
 
 
+NULL_LOG = LOG.replace("user_id % 7 AS g", "nullif(user_id % 7, 0) AS g")
+
+
+@query(
+    "usage_stats_null_group",
+    f"""SELECT g, round(quantile_cont(latency_s, 0.5), 3) AS latency_p50_s, round(quantile_cont(latency_s, 0.95), 3) AS latency_p95_s,
+CAST(sum(input_tokens) AS BIGINT) AS input_tokens_total FROM {NULL_LOG} WHERE error IS NULL GROUP BY g""",
+)
+def usage_stats_null_group(spark, folder):
+    """Rows without a group are a group."""
+    log = event_log(spark, folder)
+    return metrics.usage_stats(log.withColumn("g", F.nullif(F.col("g"), F.lit(0).cast(log.schema["g"].dataType))), ["g"])
+
+
+NULL_PRED = """(SELECT nullif(l_shipmode_group, 0) AS g, l_linestatus AS label, CASE WHEN l_quantity > 25 THEN 'F' ELSE 'O' END AS pred,
+l_discount AS score FROM (SELECT *, l_linenumber % 3 AS l_shipmode_group FROM lineitem))"""
+
+
+@query(
+    "metrics_null_group",
+    f"""SELECT n.g, n.n, accuracy, macro_f1, f1_positive, round(a.auc, 6) AS roc_auc FROM
+({sql.metric_columns(NULL_PRED, ['O', 'F'], 'g', 'F').replace('USING (g)', 'ON m.g IS NOT DISTINCT FROM a.g').replace('m.*', 'm.g, m.n, m.accuracy, m.macro_f1, m.f1_positive')}) n
+LEFT JOIN ({sql.auc(NULL_PRED, 'g', 'F')}) a ON n.g IS NOT DISTINCT FROM a.g""",
+)
+def metrics_null_group(spark, folder):
+    """Binary metrics per group, one of which is null."""
+    rows = tables.load(spark, folder, "lineitem").select(
+        F.nullif(F.col("l_linenumber") % 3, F.lit(0)).alias("g"), F.col("l_linestatus").alias("label"),
+        F.when(F.col("l_quantity") > 25, "F").otherwise("O").alias("pred"), F.col("l_discount").alias("score"),
+    )
+    return rounded(metrics.metrics(rows, ["O", "F"], "F", by=["g"]))
+
+
 @query(
     "error_summary",
     f"""SELECT g, CAST(sum(n) AS BIGINT) AS errors, string_agg(error, '; ' ORDER BY error) FILTER (WHERE place <= 3) AS error_examples
@@ -239,13 +298,13 @@ def confidence_stats(spark, folder):
     return rounded(metrics.confidence_stats(pred, ["label"]))
 
 
-def _features_sql() -> str:
+def _features_sql(absent: str = "p_{l} < 0.05") -> str:
     failed = "confidence < 0.4"
     logits = ", ".join(
         f"round(ln(q_{l} / (1 - q_{l})), 6) AS f_{l}" for l in judges.HINTS
     )
     clipped = ", ".join(
-        f"greatest(least(CASE WHEN {failed} THEN 0.25::DOUBLE WHEN p_{l} < 0.05 THEN 0.0::DOUBLE ELSE p_{l} END, 0.9999::DOUBLE), 0.0001::DOUBLE) AS q_{l}"
+        f"greatest(least(CASE WHEN {failed} THEN 0.25::DOUBLE WHEN {absent.format(l=l)} THEN 0.0::DOUBLE ELSE p_{l} END, 0.9999::DOUBLE), 0.0001::DOUBLE) AS q_{l}"
         for l in judges.HINTS
     )
     return f"SELECT row_id, failed, {logits} FROM (SELECT row_id, {failed} AS failed, {clipped} FROM ({LANG_ANSWERS}))"
@@ -264,6 +323,24 @@ def judge_features_query(spark, folder):
     )
 
 
+class SilentJudge(judges.LanguageJudge):
+    """The language judge that returns nothing for requests it is unsure of."""
+
+    def score(self, requests):
+        return super().score(requests).where(F.col("confidence") >= 0.4)
+
+
+@query("dropped_answers", _features_sql(absent="false"))
+def dropped_answers(spark, folder):
+    """Requests that a judge passes over in silence count as failed, and get the prior."""
+    rows = catalog.doc_lang_rows(spark, folder)
+    requests = build_requests(DOC_LANG, rows, DOC_LANG.question(), judges.MODEL)
+    features = judge_features(DOC_LANG, scoring.score_rows(requests, SilentJudge()))
+    return features.select(
+        "row_id", "failed", *[F.round(F.col("features")[i], 6).alias(f"f_{l}") for i, l in enumerate(judges.HINTS)]
+    )
+
+
 class UnsureJudge(judges.LanguageJudge):
     """The language judge that gives no answer when it is unsure."""
 
@@ -289,6 +366,6 @@ UNION ALL SELECT 'details', 'errors', CAST(errors AS DOUBLE) FROM e""",
 def judge_variant(spark, folder):
     """One zero-shot run: scores over the answered rows of the test split, failures counted apart."""
     split = sampling.stratified_split(catalog.doc_lang_rows(spark, folder))
-    shots = Shots(DOC_LANG, split.where("split = 'train'"))
-    rows = evaluate_variant(DOC_LANG, split, "0", shots, UnsureJudge(), judges.MODEL)
+    shots = Examples(DOC_LANG, split.where("split = 'train'"))
+    rows = evaluate_variant(DOC_LANG, split, variant_named("0"), shots, UnsureJudge(), judges.MODEL)
     return rounded(rows.where("value IS NOT NULL").select("field", "metric", "value"))

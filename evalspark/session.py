@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _laptop_dir(spark.sparkContext.applicationId)
 
 
+_run: contextvars.ContextVar[str] = contextvars.ContextVar("run", default="")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/evalspark/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/evalspark/{_run.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[None]:
+    """Within it, all staged tables lie in one folder, which is removed at the end.
+
+    Results that are needed longer must be written elsewhere before it ends.
+    """
+    name = f"run-{uuid.uuid4().hex}/"
+    before = _run.set(name)
+    try:
+        yield
+    finally:
+        _run.reset(before)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/evalspark/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.operators.report import RESULT, upsert_results
+from evalspark.operators.report import RESULT, in_report_order, upsert_results
 
 _VERSIONED = T.StructType(RESULT.fields + [T.StructField("version", T.LongType())])
 
@@ -21,11 +23,12 @@ def _versions(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], _VERSIONED)
 
 
-def load_results(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the results; empty when there is none."""
+def load_results(spark: SparkSession, path: str, tasks: Sequence[str] = ()) -> DataFrame:
+    """The newest version of the results, empty when there is none; sorted for a report when ``tasks`` names an order."""
     versions = _versions(spark, path)
     newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == F.lit(newest)).drop("version")
+    found = versions.where(F.col("version") == F.lit(newest)).drop("version")
+    return in_report_order(found, tasks) if tasks else found
 
 
 def save_results(new: DataFrame, path: str) -> int:

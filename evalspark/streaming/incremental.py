@@ -18,17 +18,20 @@ def score_stream(
     """Ask for every new row whose request has no stored answer, and store the answers.
 
     ``rows`` is a streaming DataFrame. The stream keeps no state: what was answered is known from
-    the answer table. A micro-batch that is repeated after a failure replaces its own answers.
+    the answer table, whoever wrote it. The stream writes under the id of its query, which lives in the
+    checkpoint, so a micro-batch that is repeated after a failure replaces its own answers and no others.
     """
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        stored = read_answers(batch.sparkSession, store_path)
-        others = stored.where(stored["batch"] != number)
+        spark = batch.sparkSession
+        writer = f"stream-{spark.read.json(f'{checkpoint}/metadata').first()['id']}"
+        stored = read_answers(spark, store_path)
+        others = stored.where((stored["writer"] != writer) | (stored["batch"] != number))
         requests = build_requests(task, batch, question, model)
         todo = bodies(requests, missing_requests(distinct_requests(requests), others))
         if parallelism is not None:
             todo = todo.repartition(parallelism)
-        append_answers(scorer.score(todo), store_path, number)
+        append_answers(scorer.score(todo), store_path, writer, number)
 
     return (
         rows.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)

@@ -169,3 +169,33 @@ def test_rare_categories_share_a_bucket(spark):
 def test_typing(spark):
     df = spark.createDataFrame([(1, 2.0, "x", True)], "a int, b double, c string, d boolean")
     assert tabular.split_by_type(df, ["a", "b", "c", "d"]) == (["a", "b"], ["c", "d"])
+
+
+def test_vectors_of_several_lengths_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0, 100.0])], "row_id long, v array<double>")
+    with pytest.raises(ValueError, match="2 to 3"):
+        tabular.vector_width(df, "v")
+
+
+def test_a_large_vocabulary_is_hashed_and_drops_no_term(spark):
+    df = spark.createDataFrame([(0, "aa bb cc dd"), (1, "aa ee ff gg"), (2, "")], "row_id long, text string")
+    counted = tfidf.with_counts(df, "text")
+    model = tfidf.fit_tfidf(counted)
+    placed, size = tfidf.placed_terms(model.vocabulary, 3)
+    assert size == 3 and placed.count() == 7
+    rows = {r["row_id"]: (r["indices"], r["values"]) for r in tfidf.to_vectors(model, placed, size, counted).entries().collect()}
+    assert all(indices == sorted(set(indices)) for indices, _ in rows.values()) and rows[2] == ([], [])
+    exact = {r["term"]: r["idf"] for r in model.vocabulary.collect()}
+    places = {r["term"]: r["position"] for r in placed.collect()}
+    want = {}
+    for term in "aa bb cc dd".split():
+        want[places[term]] = want.get(places[term], 0.0) + exact[term]
+    length = sum(v * v for v in want.values()) ** 0.5
+    assert dict(zip(*rows[0])) == pytest.approx({k: v / length for k, v in want.items()})
+
+
+def test_ordinal_codes(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(["b", "a", None, "c", "a"])], "row_id long, c string")
+    codes = tabular.ordinal_codes(df.where("row_id <> 3"), "c")
+    got = {r["row_id"]: r["code_"] for r in tabular.with_ordinal_code(df, codes, "c", "code_").collect()}
+    assert got == {0: 1, 1: 0, 2: -1, 3: -1, 4: 0}

@@ -12,7 +12,7 @@ from evalspark.operators.models import TableBoosting
 from evalspark.operators.sampling import stratified_split
 from evalspark.operators.scoring import ColumnScorer
 from evalspark.plans import catalog
-from evalspark.plans.evaluate import Shots, evaluate, validate
+from evalspark.plans.evaluate import Examples, check_arguments, evaluate, variant_named
 from evalspark.session import new_path
 from evalspark.sources import answers
 from evalspark.sources.answers import as_records
@@ -141,25 +141,25 @@ def test_saved_results_are_replaced_method_by_method(spark):
 @pytest.mark.parametrize("bad", [dict(tasks=["nope"]), dict(variants=["x"]), dict(variants=["-1"]), dict(stages=["report"]), dict(stack_variants=["3"])])
 def test_unknown_names_are_rejected(bad):
     good = dict(tasks=["iris"], variants=["0", "12", "cluster"], stages=["judge"], stack_variants=["0"])
-    validate(**good)
+    check_arguments(**good)
     with pytest.raises(ValueError):
-        validate(**{**good, **bad})
+        check_arguments(**{**good, **bad})
 
 
 def test_shots_come_from_train_and_never_from_stage2(spark, public_files):
     task = catalog.IRIS
     split = stratified_split(catalog.CATALOG["iris"].load(spark, public_files)).cache()
     train = split.where("split = 'train'")
-    shots = Shots(task, train)
+    shots = Examples(task, train)
     for variant in ("3", "cluster", "cluster-random"):
-        rows = shots.rows(variant)
+        rows = shots.rows(variant_named(variant))
         assert rows.join(train, "row_id", "left_semi").count() == rows.count()
         assert {r["label"] for r in rows.select("label").distinct().collect()} == set(task.labels)
-    assert shots.rows("0") is None and shots.rows("3").count() == 9
-    criteria = json.loads(shots.question("3"))["criteria"]
+    assert shots.rows(variant_named("0")) is None and shots.rows(variant_named("3")).count() == 9
+    criteria = json.loads(shots.question(variant_named("3")))["criteria"]
     assert all(len(c["examples"]) == 3 for c in criteria.values())
-    assert shots.cluster().k >= 3
-    count = lambda v: sorted((r["label"], r["count"]) for r in shots.rows(v).groupBy("label").count().collect())
+    assert shots.selection.k >= 3
+    count = lambda v: sorted((r["label"], r["count"]) for r in shots.rows(variant_named(v)).groupBy("label").count().collect())
     assert count("cluster") == count("cluster-random")
 
 

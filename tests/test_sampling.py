@@ -121,7 +121,14 @@ def test_stage2_sample_leaves_out_shots(spark):
     assert sampling.stage2_sample(df, shots).count() == 394  # all of them when there are few
 
 
-def test_too_many_labels_is_an_error(spark):
-    df = spark.range(1500).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("label"))
-    with pytest.raises(ValueError):
-        sampling.stratified_split(df)
+def test_rows_without_a_label_stay(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "ab"[i % 4 // 2]) for i in range(20)], "row_id long, label string")
+    split = sampling.stratified_split(df)
+    assert split.count() == 20 and split.where("split IS NULL AND NOT is_scored").count() == 10
+    assert split.where("split = 'test'").count() == 2
+    assert sampling.stratified_folds(df).where("fold IS NULL").count() == 10
+
+
+def test_many_labels(spark):
+    df = spark.range(3000).selectExpr("id AS row_id", "CAST(id % 1500 AS STRING) AS label")
+    assert sampling.stratified_split(df).groupBy("split").count().orderBy("split").collect()[0]["count"] == 600

@@ -91,12 +91,58 @@ def test_batch_judge_turns_exceptions_into_records(spark):
         return batch[["request_key"]].assign(p_yes=0.7, model="m")
 
     requests = built(spark).repartition(6, "request_key")
-    got = scoring.score_rows(requests, scoring.BatchScorer(answer), parallelism=1).collect()
-    assert {r["error"] for r in got} == {"RuntimeError: no answer"}
+    got = {r["row_id"]: r for r in scoring.score_rows(requests, scoring.BatchScorer(answer), parallelism=1).collect()}
+    # The batch raised; asked one by one, only the bad rows do.
+    assert {i: r["error"] for i, r in got.items() if r["error"]} == {i: "RuntimeError: no answer" for i, t in enumerate(TEXTS) if "bad" in t}
+    assert all(got[i]["p_yes"] == 0.7 for i, t in enumerate(TEXTS) if "bad" not in t)
     got = scoring.score_rows(built(spark, ["good text"] * 3), scoring.BatchScorer(answer)).collect()
     assert [r["p_yes"] for r in got] == [0.7] * 3
 
 
+def test_a_request_without_answer_is_an_error(spark):
+    def answer(batch):
+        kept = batch[~batch["state_json"].str.contains("bad")]
+        return kept[["request_key"]].assign(p_yes=[float("nan") if "plain" in s else 0.7 for s in kept["state_json"]])
+
+    records = scoring.score_rows(built(spark), scoring.BatchScorer(answer))
+    got = {r["row_id"]: r["error"] for r in records.collect()}
+    assert got == {i: None if "good" in t else scoring.NO_ANSWER for i, t in enumerate(TEXTS)}
+    features = {r["row_id"]: (r["failed"], r["features"][0]) for r in judge_features(DOC_QUALITY, records).collect()}
+    assert all(features[i] == (True, 0.0) for i, t in enumerate(TEXTS) if "good" not in t)
+
+
+def test_row_ids_must_be_unique(spark):
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "row_id long, text string")
+    requests = reqs.build_requests(DOC_QUALITY, twice, DOC_QUALITY.question())
+    with pytest.raises(ValueError, match="unique"):
+        scoring.score_rows(requests, scoring.ColumnScorer(p_yes=F.lit(0.5)))
+
+
+def test_a_run_and_a_new_stream_share_a_store(spark):
+    store, source = new_path(spark, "shared-test"), new_path(spark, "shared-source")
+    scoring.score_rows(built(spark), scoring.ColumnScorer(p_yes=p_good()), store)
+    assert answers.read_answers(spark, store).count() == 3
+    rows(spark, ["new text", "good text"]).write.parquet(source)
+    for _ in range(2):  # another checkpoint each time
+        stream = spark.readStream.schema("row_id long, text string, label string").parquet(source)
+        score_stream(DOC_QUALITY, stream, DOC_QUALITY.question(), scoring.ColumnScorer(p_yes=F.lit(0.4)), store,
+                     new_path(spark, "shared-checkpoint")).awaitTermination()
+    found = answers.latest_answers(answers.read_answers(spark, store)).collect()
+    assert sorted(r["p_yes"] for r in found) == [0.2, 0.2, 0.4, 0.9]
+
+
+def test_nested_answer_log(spark, tmp_path):
+    path = tmp_path / "nested.jsonl"
+    path.write_text(
+        '{"key":"a","answer":{"type":"binary","noul":0.5},"model":"m","latency_s":0.1,"usage":{"input_tokens":3}}\n'
+        '{"key":"b","error":"down"}\n'
+        '{"key":"a","answer":{"type":"binary","noul":0.75},"model":"m","latency_s":0.2,"usage":{"input_tokens":4}}\n'
+        '{"key":"c","answer":{"type":"choice","choice":"x","confidence":0.7,"probabilities":{"x":0.7}}}\n')
+    got = {r["request_key"]: r for r in answers.latest_answers(answers.read_nested_log(spark, str(path)), seq="seq").collect()}
+    assert (got["a"]["p_yes"], got["a"]["input_tokens"]) == (0.75, 4) and got["b"]["error"] == "down"
+    assert got["c"]["probabilities"] == {"x": 0.7}
+
+
 def test_many_copies_of_one_request(spark):
     """One key with most of the rows takes the broadcast side of the lookup."""
     texts = ["same"] * 3000 + [f"other {i}" for i in range(1500)]
