@@ -201,8 +201,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame
     ids = docs.select("doc_id").where("doc_id is not null").distinct().join(mean, "doc_id", "left")
     order = Window.partitionBy("y").orderBy("_hash", "doc_id")
     return (ids.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_place", F.row_number().over(order))
-            .where((F.col("_place") <= LABELLED) | (F.col("y").isNull() & (F.col("_place") <= POOL)))
-            .where((F.col("_place") <= LABELLED) | F.col("y").isNull()).select("doc_id", "y"))
+            .where(F.col("_place") <= max(LABELLED, POOL))  # by itself, so that tasks pass on no more than that
+            .where(F.col("_place") <= F.when(F.col("y").isNull(), POOL).otherwise(LABELLED)).select("doc_id", "y"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Combined | None:
