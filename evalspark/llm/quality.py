@@ -1,11 +1,13 @@
 """Quality classification by co-training of two views of a document.
 
-The *text* view sees what is written: hashed word endings and word shapes (letter case, digits, marks).
+The *text* view sees what is written: hashed word endings and word shapes (letter case, digits, marks), and how much
+of it is said again.
 The *metadata* view sees the record around it: language, source, stated length and layout (lines, their
 lengths, repeats, shares of character classes). Each view is a logistic regression. They begin with labelled
 rows; in every round each view labels the rows of an unlabelled pool that it is surest of, for the other
 to learn from. At the end each view is calibrated on labelled rows that neither has learned from, and a
-logistic combination of the two calibrated views, fitted there as well, scores every document.
+logistic combination of the two calibrated views, fitted there as well, scores every document. Its constant is
+moved from the sample's share of good rows to the share among all labelled rows.
 
 The classifiers are fitted on a bounded sample: at most ``LABELLED`` rows of each label and ``POOL`` rows
 without, the first in hash order of the id. Every document is scored on its whole text.
@@ -18,6 +20,7 @@ are scored once each.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,13 +68,18 @@ def _shape(word: bytes) -> bytes:
 
 
 def text_view(text: bytes, known: WordFeatures) -> np.ndarray:
-    """Shares of word endings and shapes, on a square-root scale."""
+    """Shares of word endings and shapes, on a square-root scale; shares of words that repeat the one before or
+    the one before that, and the variety of words."""
     words = text.split()
-    out = np.zeros(TEXT_WIDTH, np.float32)
+    out = np.zeros(TEXT_WIDTH + 4, np.float32)
     if words:
-        both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        size = len(words)
+        both = np.fromiter(map(known.__getitem__, words), np.int64, size)
         counts = np.bincount(both >> 16, minlength=TEXT_WIDTH) + np.bincount(both & 0xFFFF, minlength=TEXT_WIDTH)
-        out[:] = np.sqrt(counts / len(words))
+        out[:TEXT_WIDTH] = np.sqrt(counts / size)
+        again = [sum(map(operator.eq, words, words[gap:])) / size for gap in (1, 2)]
+        distinct = len(set(words))
+        out[TEXT_WIDTH:] = [*again, distinct / size, np.log(distinct + 1) / np.log(size + 1)]
     return out
 
 
@@ -137,7 +145,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Combined:
     """Both views after co-training, and the calibrated combination."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray):
+    def __init__(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, odds: float):
+        """``odds``: good to bad among all labelled rows; the sample holds both in other numbers."""
         views = [text, meta]
         labelled, pool = ~np.isnan(label) & ~held, np.isnan(label)
         held = held & ~np.isnan(label)
@@ -161,7 +170,9 @@ class Combined:
         self.models = models
         self.calibrate = [self._line(m.margin(v[held])[:, None], label[held]) for v, m in zip(views, models)]
         both = np.stack([self._calibrated(k, v[held]) for k, v in enumerate(views)], axis=1)
-        self.join = self._line(both, label[held])
+        weights, constant = self._line(both, label[held])
+        self.shift = float(np.log(odds / ((label[held] == 1).sum() / (label[held] == 0).sum())))
+        self.join = weights, constant + self.shift
 
     @staticmethod
     def _line(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -182,7 +193,7 @@ class Combined:
         """Probability of good quality: combined, by text, by metadata."""
         sides = [self._calibrated(0, text), self._calibrated(1, meta)]
         w, b = self.join
-        return _sigmoid(w[0] * sides[0] + w[1] * sides[1] + b), _sigmoid(sides[0]), _sigmoid(sides[1])
+        return _sigmoid(w[0] * sides[0] + w[1] * sides[1] + b), _sigmoid(sides[0] + self.shift), _sigmoid(sides[1] + self.shift)
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -194,10 +205,14 @@ def _known(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
+def _labels(labels: DataFrame, label: str) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg(label)).cast("int").alias("y"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """``doc_id, y``: labelled ids with 0 or 1, pool ids with null; bounded per label."""
-    mean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(
-        F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg(label)).cast("int").alias("y"))
+    mean = _labels(labels, label)
     ids = docs.select("doc_id").where("doc_id is not null").distinct().join(mean, "doc_id", "left")
     order = Window.partitionBy("y").orderBy("_hash", "doc_id")
     return (ids.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_place", F.row_number().over(order))
@@ -227,7 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Combine
         return None
     text = np.stack([np.frombuffer(r["text"], np.float16) for r in rows]).astype(np.float32)
     meta = np.stack([np.frombuffer(r["meta"], np.float32) for r in rows])
-    return Combined(text, meta, y, held)
+    every = {r["y"]: r["n"] for r in _labels(labels, label).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return Combined(text, meta, y, held, every[1] / every[0])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("text_score", pa.float64()),
