@@ -16,7 +16,7 @@ from typing import Protocol
 
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from evalspark.functions.scalars import argmax_label
 from evalspark.operators import tfidf
 from evalspark.operators.metrics import metrics
 from evalspark.operators.sampling import FOLDS, stratified_folds
-from evalspark.operators.tabular import Standardiser, fit_standardiser, vector_width
+from evalspark.operators.tabular import Standardiser, fit_standardiser, ordinal_codes, vector_width, with_ordinal_code
 from evalspark.plans.task import Task
 from evalspark.session import stage
 
@@ -137,7 +137,9 @@ def _warn_if_cut(model: Model, what: str) -> Model:
     """Say so when an optimiser stopped at its limit of iterations and not at a minimum."""
     parts = getattr(model, "models", [model])
     for part in parts:
-        if part.hasSummary and part.summary.totalIterations >= part.getMaxIter():
+        summary = part.summary if part.hasSummary else None
+        summary = summary() if callable(summary) else summary  # a method in some models, a property in others
+        if summary is not None and summary.totalIterations >= part.getMaxIter():
             warnings.warn(f"{what} stopped at its limit of {part.getMaxIter()} iterations", stacklevel=2)
     return model
 
@@ -207,25 +209,19 @@ class TableBoosting(Prepared):
     missing: float = -1e9
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
-        rows = task.prepare(train)
-        inputs, outputs = list(task.categorical), [f"_code_{c}" for c in task.categorical]
-        indexer = StringIndexer(
-            inputCols=inputs, outputCols=outputs, stringOrderType="alphabetAsc", handleInvalid="keep"
-        ).fit(rows) if inputs else None
-        sizes = [len(labels) for labels in indexer.labelsArray] if indexer else []
-        frame = self._frame(task, rows, indexer, sizes).withColumn("label", label_index(task)).persist()
+        rows = stage(task.prepare(train), "boosting-rows") if task.categorical else task.prepare(train)
+        codes = {c: stage(ordinal_codes(rows, c), "ordinal-codes") for c in task.categorical}
+        frame = self._frame(task, rows, codes).withColumn("label", label_index(task)).persist()
         boosting = GBTClassifier(
             maxIter=self.iterations, maxDepth=self.depth, stepSize=self.step, seed=self.seed, maxBins=self.max_bins
         )
         model = (boosting if task.is_binary else OneVsRest(classifier=boosting)).fit(frame)
         frame.unpersist()
-        return _BoostingScoring(task, self, indexer, sizes, model, task.is_binary)
+        return _BoostingScoring(task, self, codes, model, task.is_binary)
 
-    def _frame(self, task: Task, rows: DataFrame, indexer: Model | None, sizes: list[int]) -> DataFrame:
-        if indexer is not None:
-            rows = indexer.transform(rows)
-            for c, size in zip(task.categorical, sizes):
-                rows = rows.withColumn(f"_code_{c}", F.when(F.col(f"_code_{c}") >= size, -1.0).otherwise(F.col(f"_code_{c}")))
+    def _frame(self, task: Task, rows: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+        for c, table in codes.items():
+            rows = with_ordinal_code(rows, table, c, f"_code_{c}")
         for c in task.numeric:
             rows = rows.withColumn(f"_num_{c}", F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(self.missing)))
             rows = rows.withColumn(f"_gap_{c}", (F.col(f"_num_{c}") == self.missing).cast("double"))
@@ -238,13 +234,13 @@ class TableBoosting(Prepared):
 class _BoostingScoring:
     task: Task
     baseline: TableBoosting
-    indexer: Model | None
-    sizes: list[int]
+    codes: dict[str, DataFrame]  # per column, a table of categories and their codes
     model: Model
     probabilistic: bool
 
     def score(self, df: DataFrame) -> DataFrame:
-        frame = self.baseline._frame(self.task, self.task.prepare(df), self.indexer, self.sizes)
+        rows = self.task.prepare(df)
+        frame = self.baseline._frame(self.task, stage(rows, "boosting-rows") if self.codes else rows, self.codes)
         column = "probability" if self.probabilistic else "rawPrediction"
         return _scored(self.task, self.model.transform(frame), column)
 
