@@ -23,9 +23,16 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
                 rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` over bounded batches."""
+    """``mapInArrow`` over bounded batches; a worker gives back the memory of a task that is done."""
     small_batches(df.sparkSession, rows)
-    return df.mapInArrow(task, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -41,7 +48,7 @@ def strings(column: pa.Array) -> list[str]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

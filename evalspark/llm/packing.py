@@ -25,7 +25,7 @@ from evalspark.llm.common import batch, map_batches, utf8
 
 LIMIT = 4096
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, offset bigint, "
           "bucket int, ids binary")

@@ -42,7 +42,7 @@ STEPS = 200
 class WordFeatures(dict):
     """Two feature numbers of a word: its ending and its shape."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

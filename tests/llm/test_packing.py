@@ -43,7 +43,7 @@ def test_round_trip(spark, folder, tokenizer):
 
 def test_words_that_are_not_plain(tokenizer):
     texts = ["It's THE <|endoftext|> end-of-it 3.14 ÉCOLE Straße ŒUVRE İstanbul ΣΟΦΟΣ 日本語 \U0001f600 a b c d x\x1cy", "''s 'S don't é Ångstrom ªº µ",
-             "(paren) [x] {y} `z` ~!@#$%^&*-_=+|\;:\"',.<>/?", "\x00\x01 ok", "ﬁ ligature ǅ"]
+             "(paren) [x] {y} `z` ~!@#$%^&*-_=+|;:\"',.<>/?", "\x00\x01 ok", "ﬁ ligature ǅ"]
     for text in texts:
         found = packing.WordEncoder(PATH).encode([text.encode()])[0]
         assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
