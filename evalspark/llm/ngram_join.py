@@ -15,7 +15,7 @@ row with more empty blocks than the bound allows also emits those.)
 *Row pairs.* Equal sets are merged first. Then one hub round: every group of rows with a common signature
 multiplies two of its rows with the others, which finds most components at little cost. Rows whose group still
 spans several components are gathered into families, the connected parts of "has a signature in common" within
-a band. A family is multiplied block by block: a short sketch (one byte per column block, four times as many blocks as
+a band. A family is multiplied block by block: a short sketch (one byte per column block, twice as many blocks as
 the bound) gives a lower bound of the difference of every pair across components, and discards nearly all. The exact product of the
 pairs that are left accumulates overlap counts column block by column block, and gives a pair up as soon as what
 is left cannot lift it over its size-derived bound. No pair across components is left out, so components are
@@ -41,6 +41,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,9 @@ from evalspark.session import stage
 
 FLUSH = 1_000_000  # signatures a task gathers before it packs them
 COLUMN_BLOCKS = 8  # steps in which a pair of rows is multiplied
-SKETCH_BLOCKS = 4  # bytes of a sketch per row of difference that a band allows
+SKETCH_BLOCKS = 2  # bytes of a sketch per row of difference that a band allows
 FAMILY_BLOCK = 512  # rows of a family that are multiplied with as many others in one go
+NOBODY = -(1 << 63)  # stands for a missing id where rows are chosen
 FILTER_BITS = 1 << 24  # of the filter on the rows whose sets are needed
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -196,7 +198,8 @@ def _sketch_task(rule: Rule, buckets: int):
         edges = np.searchsorted(home[order], np.arange(buckets + 1))
         for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             p = order[edges[b]:edges[b + 1]]
-            yield _row(b, b"E" + values[p].tobytes() + names[p].tobytes() + many[p].astype(np.uint8).tobytes())
+            blob = values[p].tobytes() + names[p].tobytes() + many[p].astype(np.uint8).tobytes()
+            yield _row(b, b"E" + zstandard.ZstdCompressor(level=1).compress(blob))  # names repeat
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sig, cls, waiting, turn = WordHashes(), [], [], 0, 0
@@ -240,6 +243,7 @@ def _bucket_task(table: pa.Table) -> pa.Table:
     for blob in table.column("blob").to_pylist():
         kind, blob = blob[:1], memoryview(blob)[1:]
         if kind == b"E":
+            blob = zstandard.ZstdDecompressor().decompress(blob)
             count = len(blob) // 17
             sig.append(np.frombuffer(blob, np.uint64, count))
             cls.append(np.frombuffer(blob, np.int64, count, 8 * count))
@@ -275,10 +279,14 @@ def sketch(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     return rows.where("sig is null").select("doc_id", "n", "cls"), members
 
 
-def wanted_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS hashed ids: whatever the number of ids, its size stays the same."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    rows = (ids.select(place.alias("p")).select(F.bitmap_bucket_number("p").alias("b"), F.bitmap_bit_position("p").alias("i"))
+def _place(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def wanted_filter(wanted: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of FILTER_BITS hashed values: however many there are, its size stays the same."""
+    numbered = wanted.select((_place(column) + 1).alias("p"))  # the bitmap functions count from 1
+    rows = (numbered.select(F.bitmap_bucket_number("p").alias("b"), F.bitmap_bit_position("p").alias("i"))
             .groupBy("b").agg(F.bitmap_construct_agg("i").alias("bits")).collect())
     out = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
     for row in rows:
@@ -287,17 +295,28 @@ def wanted_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """Sets and sketches of the classes whose chosen document is in ``ids``, and of a few more."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(ids))  # two megabytes
+def prefiltered(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose value in ``column`` is in ``wanted``, and a few more: dropped by a bitmap of two megabytes where
+    they are read, so that an exact join after it moves little."""
+    bits = rows.sparkSession.sparkContext.broadcast(wanted_filter(wanted, column))
+    last = len(rows.columns)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in batches:
-            place = part.column(2).to_numpy(zero_copy_only=False)
+            place = part.column(last).to_numpy(zero_copy_only=False)
             known = (bits.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            texts = utf8(part.filter(pa.array(known.astype(bool))).column(1))
-            grams = [g for g in (shingles(t, rule, hashes) for t in texts) if len(g)]
+            yield part.filter(pa.array(known.astype(bool))).select(list(range(last)))
+
+    return map_batches(rows.withColumn("_place", _place(column)), task, rows.schema)
+
+
+def sets_of(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
+    """Sets and sketches of the classes of the chosen documents, one row per class as far as a document has one text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in batches:
+            grams = [g for g in (shingles(t, rule, hashes) for t in utf8(part.column(1))) if len(g)]
             bands = [band_of(len(g), rule) for g in grams]
             if grams:
                 yield batch(SETS, {
@@ -305,8 +324,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
                     "own": [block_bytes(g, b, rule) for g, b in zip(grams, bands)],
                     "above": [block_bytes(g, b + 1, rule) for g, b in zip(grams, bands)], "grams": [g.tobytes() for g in grams]})
 
-    rows = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    return map_batches(rows, task, "cls bigint, n int, band int, own binary, above binary, grams binary").dropDuplicates(["cls"])
+    near = prefiltered(docs, chosen, "doc_id")
+    exact = near.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return map_batches(exact, task, "cls bigint, n int, band int, own binary, above binary, grams binary")
 
 
 def overlap_reaches(a: np.ndarray, b: np.ndarray, needed: int) -> bool:
@@ -330,8 +350,8 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, needed: int) -> bool:
 CUTS = np.array([i << 61 for i in range(1, COLUMN_BLOCKS)], np.uint64)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The ``(a, b)`` pairs of classes that link: those whose sketches allow it, multiplied exactly."""
+def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The ``(a, b)`` pairs of classes that link: those whose sketches in ``band`` allow it, multiplied exactly."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -347,20 +367,20 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(overlap_reaches(a, b, rule.needed(len(a), len(b))))
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def with_sides(rows: DataFrame, names: list[str]) -> DataFrame:
+    def with_sides(rows: DataFrame, table: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
         for side in ("a", "b"):
-            rows = rows.join(sets.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names]), side)
+            rows = rows.join(table.select(F.col("cls").alias(side), *keys, *[F.col(c).alias(f"{c}_{side}") for c in names]), [side, *keys])
         return rows.select("a", "b", *[f"{c}_{side}" for side in ("a", "b") for c in names])
 
-    small = ["n", "band", "own", "above"]
-    left = stage(map_batches(with_sides(pairs.select("a", "b"), small), near, "a bigint, b bigint"), "ngram-near")
-    return map_batches(with_sides(left, ["grams"]), exact, "a bigint, b bigint")
+    left = stage(map_batches(with_sides(pairs, sketches, ["band"], ["n", "sketch"]), near, "a bigint, b bigint").distinct(), "ngram-near")
+    wanted = left.select(F.explode(F.array("a", "b")).alias("cls"))
+    held = prefiltered(sets.select("cls", "grams"), wanted, "cls")
+    return map_batches(with_sides(left, held, [], ["grams"]), exact, "a bigint, b bigint").distinct()
 
 
-def _sketches_allow(rule: Rule, n_a, band_a, own_a, above_a, n_b, band_b, own_b, above_b) -> bool:
-    if abs(band_a - band_b) > 1 or 100 * min(n_a, n_b) < rule.percent * max(n_a, n_b):
+def _sketches_allow(rule: Rule, n_a: int, x: bytes, n_b: int, y: bytes) -> bool:
+    if 100 * min(n_a, n_b) < rule.percent * max(n_a, n_b):
         return False
-    x, y = own_a if band_a >= band_b else above_a, own_b if band_b >= band_a else above_b
     return int(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))) <= rule.difference(n_a + n_b)
 
 
@@ -376,21 +396,19 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     one = F.struct(F.xxhash64("cls").alias("spin"), "cls")
     hubs = members.groupBy("sig").agg(F.max(one).alias("x"), F.min(one).alias("y")).select(
         "sig", F.explode(F.array("x.cls", "y.cls")).alias("b"))
-    return members.join(hubs, "sig").where("cls <> b").select(
-        F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+    both = members.join(hubs, "sig").where("cls <> b")
+    return both.groupBy(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).agg(F.min("band").alias("band"))
 
 
-def _family_pairs(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs across components, within a family, that the sketches allow. ``members``: sig, cls, root."""
+def _family_pairs(members: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs across components, within a family, that the sketches allow. ``members``: sig, cls, band, root."""
     spark = members.sparkSession
-    banded = members.join(sets.select("cls", "n", "band"), "cls").withColumn(
-        "band", F.col("band") + F.abs(F.pmod("sig", F.lit(2)) - F.pmod("band", F.lit(2))).cast("int"))
     # a row is a node of its own in each band
-    nodes = stage(banded.withColumn("node", F.xxhash64("cls", "band")), "ngram-nodes")
+    nodes = stage(members.withColumn("node", F.xxhash64("cls", "band")), "ngram-nodes")
     first = nodes.groupBy("sig").agg(F.min("node").alias("b"))
     families = components(nodes.join(first, "sig").select(F.col("node").alias("a"), "b").distinct()).select(
         F.col("cls").alias("node"), F.col("root").alias("family"))
-    rows = nodes.select("node", "cls", "band", "n", "root").distinct().join(families, "node")
+    rows = nodes.select("node", "cls", "band", "root").distinct().join(families, "node")
     sizes = rows.groupBy("family").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / FAMILY_BLOCK).cast("int")
     rows = rows.join(sizes.select("family", parts.alias("parts")), "family").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), "parts").cast("int"))
@@ -398,16 +416,15 @@ def _family_pairs(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     home = F.when(F.col("parts") == 1, F.pmod("family", F.lit(few))).otherwise(F.xxhash64("family", "low", "high"))
-    sketched = rows.withColumn("home", home).join(sets.select("cls", F.col("band").alias("own_band"), "own", "above"), "cls")
-    sketched = sketched.withColumn("sketch", F.when(F.col("band") == F.col("own_band"), F.col("own")).otherwise(F.col("above")))
+    sketched = rows.withColumn("home", home).join(sketches, ["cls", "band"])
 
     def block(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending"), ("cls", "ascending")])
         key = np.stack([table.column(c).to_numpy() for c in ("family", "low", "high")])
         edges = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, key.shape[1]]
-        cls, root, size, part = (table.column(c).to_numpy() for c in ("cls", "root", "n", "part"))
+        cls, root, size, part, band = (table.column(c).to_numpy() for c in ("cls", "root", "n", "part", "band"))
         sketches = table.column("sketch").to_pylist()
-        out_a, out_b = [], []
+        out_a, out_b, out_band = [], [], []
         for start, stop in zip(edges[:-1], edges[1:]):
             same = key[1, start] == key[2, start]
             bits = np.frombuffer(b"".join(sketches[start:stop]), np.uint8).reshape(stop - start, -1)
@@ -421,22 +438,32 @@ def _family_pairs(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                     at = at[differ <= (n[at] + n[i]) * (100 - rule.percent) // (100 + rule.percent)]
                     out_a.append(np.minimum(c[at], c[i]))
                     out_b.append(np.maximum(c[at], c[i]))
+                    out_band.append(np.full(len(at), band[start]))
         none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(none + out_a), "b": np.concatenate(none + out_b)})
+        return pa.table({"a": np.concatenate(none + out_a), "b": np.concatenate(none + out_b),
+                         "band": np.concatenate(none + out_band).astype(np.int32)})
 
-    wanted = sketched.select("home", "family", "low", "high", "part", "cls", "root", "n", "sketch")
-    return wanted.groupBy("home").applyInArrow(block, "a bigint, b bigint").distinct()
+    wanted = sketched.select("home", "family", "low", "high", "part", "cls", "root", "n", "band", "sketch")
+    found = wanted.groupBy("home").applyInArrow(block, "a bigint, b bigint, band int")
+    return found.groupBy("a", "b").agg(F.min("band").alias("band"))
 
 
 def class_components(docs: DataFrame, members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``(cls, root)`` of the classes that link with another; ``docs`` has ``doc_id, text``."""
     members = stage(members, "ngram-members")
-    chosen = members.select("cls").distinct().join(classes, "cls").select("doc_id")
+    named = F.coalesce("doc_id", F.lit(NOBODY)).alias("doc_id")  # rows without id can be chosen too
+    docs = docs.select(named, "text")
+    chosen = members.select("cls").distinct().join(classes, "cls").select(named).distinct()
     sets = stage(sets_of(docs, chosen, rule), "ngram-sets")
-    links = stage(linked(_hub_pairs(members), sets, rule), "ngram-links")
-    roots = components(links)
-    members = stage(_open(members, roots), "ngram-open")
-    more = linked(_family_pairs(members, sets, rule), sets, rule)
+    both_bands = F.array(F.struct("band", F.col("own").alias("sketch")), F.struct((F.col("band") + 1).alias("band"), F.col("above").alias("sketch")))
+    sketches = stage(sets.select("cls", "n", F.inline(both_bands)).dropDuplicates(["cls", "band"]), "ngram-sketches")
+    # the last bit of a signature says in which of the two bands of a row it was made
+    bands = sets.select("cls", "band").distinct()
+    parity = F.abs(F.pmod("sig", F.lit(2)) - F.pmod("band", F.lit(2))).cast("int")
+    members = stage(members.join(bands, "cls").withColumn("band", F.col("band") + parity), "ngram-banded")
+    links = stage(linked(_hub_pairs(members), sketches, sets, rule), "ngram-links")
+    members = stage(_open(members, components(links)), "ngram-open")
+    more = linked(_family_pairs(members, sketches, rule), sketches, sets, rule)
     return components(links.unionByName(more))
 
 
