@@ -10,7 +10,7 @@ logistic combination of the two calibrated views, fitted there as well, scores e
 moved from the sample's share of good rows to the share among all labelled rows.
 
 The classifiers are fitted on a bounded sample: at most ``LABELLED`` rows of each label and ``POOL`` rows
-without, the first in hash order of the id. Every document is scored on its whole text.
+without, the first in hash order in each of four parts of the ids. Every document is scored on its whole text.
 
 Edge cases: null text is empty, null metadata is a value of its own; a document is rejected only when
 its score is below ``KEEP``; without rows of both labels there is nothing to learn and every document is
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.common import batch, map_batches, utf8
 
-LABELLED, POOL = 2000, 3000
+LABELLED, POOL, PARTS = 2000, 3000, 4
 ROUNDS, SHARE = 3, 0.1  # rounds, and the share of the pool each view labels per round and label
 SURE = 0.9  # least probability of a pseudo-label
 KEEP = 0.5
@@ -214,10 +214,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame
     """``doc_id, y``: labelled ids with 0 or 1, pool ids with null; bounded per label."""
     mean = _labels(labels, label)
     ids = docs.select("doc_id").where("doc_id is not null").distinct().join(mean, "doc_id", "left")
-    order = Window.partitionBy("y").orderBy("_hash", "doc_id")
-    return (ids.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_place", F.row_number().over(order))
-            .where(F.col("_place") <= max(LABELLED, POOL))  # by itself, so that tasks pass on no more than that
-            .where(F.col("_place") <= F.when(F.col("y").isNull(), POOL).otherwise(LABELLED)).select("doc_id", "y"))
+    # In parts, since Spark lets tasks pass on only the first rows of a window when few (1,000) are asked for.
+    order = Window.partitionBy("y", "_part").orderBy("_hash", "doc_id")
+    placed = ids.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_part", F.pmod("_hash", F.lit(PARTS))).withColumn(
+        "_place", F.row_number().over(order)).where(F.col("_place") <= max(LABELLED, POOL) // PARTS)
+    return placed.where(F.col("_place") <= F.when(F.col("y").isNull(), POOL // PARTS).otherwise(LABELLED // PARTS)).select("doc_id", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Combined | None:
