@@ -13,7 +13,7 @@ signatures of its blocks. (Blocks empty in both rows also agree: a band has spar
 row with more empty blocks than the bound allows also emits those.)
 
 *Row pairs.* Equal sets are merged first. Then one hub round: every group of rows with a common signature
-multiplies two of its rows with the others, which finds most components at little cost. Rows whose group still
+multiplies one of its rows with the others, which finds most components at little cost. Rows whose group still
 spans several components are gathered into families, the connected parts of "has a signature in common" within
 a band. A family is multiplied block by block: a short sketch (one byte per column block, twice as many blocks as
 the bound) gives a lower bound of the difference of every pair across components, and discards nearly all. The exact product of the
@@ -392,10 +392,10 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Every member with two hubs of its group, taken by hash."""
-    one = F.struct(F.xxhash64("cls").alias("spin"), "cls")
-    hubs = members.groupBy("sig").agg(F.max(one).alias("x"), F.min(one).alias("y")).select(
-        "sig", F.explode(F.array("x.cls", "y.cls")).alias("b"))
+    """Every member with the hub of its group, the member whose name hashes highest: mostly the same one in the
+    groups of a family."""
+    hubs = members.groupBy("sig").agg(F.max(F.struct(F.xxhash64("cls").alias("spin"), "cls")).alias("hub")).select(
+        "sig", F.col("hub.cls").alias("b"))
     both = members.join(hubs, "sig").where("cls <> b")
     return both.groupBy(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).agg(F.min("band").alias("band"))
 
