@@ -16,8 +16,9 @@ row with more empty blocks than the bound allows also emits those.)
 multiplies one of its rows with the others, which finds most components at little cost. Rows whose group still
 spans several components are gathered into families, the connected parts of "has a signature in common" within
 a band. A family is multiplied block by block: a short sketch (one byte per column block, twice as many blocks as
-the bound) gives a lower bound of the difference of every pair across components, and discards nearly all. The exact product of the
-pairs that are left accumulates overlap counts column block by column block, and gives a pair up as soon as what
+the bound) gives a lower bound of the difference of every pair across components, and discards nearly all; the nearest
+candidate of every row is multiplied first, which merges most components, and then all candidates that are left. The exact product of
+pairs accumulates overlap counts column block by column block, and gives a pair up as soon as what
 is left cannot lift it over its size-derived bound. No pair across components is left out, so components are
 exact, up to equal 64-bit hashes.
 
@@ -400,15 +401,15 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return both.groupBy(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).agg(F.min("band").alias("band"))
 
 
-def _family_pairs(members: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs across components, within a family, that the sketches allow. ``members``: sig, cls, band, root."""
+def _families(members: DataFrame) -> DataFrame:
+    """The rows of all families, dealt to blocks: home, family, low, high, part, cls, band."""
     spark = members.sparkSession
     # a row is a node of its own in each band
     nodes = stage(members.withColumn("node", F.xxhash64("cls", "band")), "ngram-nodes")
     first = nodes.groupBy("sig").agg(F.min("node").alias("b"))
     families = components(nodes.join(first, "sig").select(F.col("node").alias("a"), "b").distinct()).select(
         F.col("cls").alias("node"), F.col("root").alias("family"))
-    rows = nodes.select("node", "cls", "band", "root").distinct().join(families, "node")
+    rows = nodes.select("node", "cls", "band").distinct().join(families, "node")
     sizes = rows.groupBy("family").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / FAMILY_BLOCK).cast("int")
     rows = rows.join(sizes.select("family", parts.alias("parts")), "family").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), "parts").cast("int"))
@@ -416,7 +417,14 @@ def _family_pairs(members: DataFrame, sketches: DataFrame, rule: Rule) -> DataFr
     rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     home = F.when(F.col("parts") == 1, F.pmod("family", F.lit(few))).otherwise(F.xxhash64("family", "low", "high"))
-    sketched = rows.withColumn("home", home).join(sketches, ["cls", "band"])
+    return rows.withColumn("home", home).select("home", "family", "low", "high", "part", "cls", "band")
+
+
+def _family_pairs(families: DataFrame, roots: DataFrame, sketches: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
+    """Pairs across components, within a family, that the sketches allow: all of them, or for every row in a
+    block only the one whose sketch differs least."""
+    rows = families.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    sketched = rows.join(sketches, ["cls", "band"])
 
     def block(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending"), ("cls", "ascending")])
@@ -430,12 +438,15 @@ def _family_pairs(members: DataFrame, sketches: DataFrame, rule: Rule) -> DataFr
             bits = np.frombuffer(b"".join(sketches[start:stop]), np.uint8).reshape(stop - start, -1)
             c, r, n, p = cls[start:stop], root[start:stop], size[start:stop].astype(np.int64), part[start:stop]
             for i in range(len(c)):
-                mine = (r > r[i]) & (True if same else p != p[i])
+                mine = ((r != r[i]) if nearest else (r > r[i])) & (True if same else p != p[i])
                 mine &= 100 * np.minimum(n, n[i]) >= rule.percent * np.maximum(n, n[i])
                 at = np.flatnonzero(mine)
                 if len(at):
                     differ = np.count_nonzero(bits[at] != bits[i], axis=1)
-                    at = at[differ <= (n[at] + n[i]) * (100 - rule.percent) // (100 + rule.percent)]
+                    near = differ <= (n[at] + n[i]) * (100 - rule.percent) // (100 + rule.percent)
+                    if nearest and near.any():
+                        near = np.arange(len(at)) == int(np.where(near, differ, 1 << 30).argmin())
+                    at = at[near]
                     out_a.append(np.minimum(c[at], c[i]))
                     out_b.append(np.maximum(c[at], c[i]))
                     out_band.append(np.full(len(at), band[start]))
@@ -462,9 +473,14 @@ def class_components(docs: DataFrame, members: DataFrame, classes: DataFrame, ru
     parity = F.abs(F.pmod("sig", F.lit(2)) - F.pmod("band", F.lit(2))).cast("int")
     members = stage(members.join(bands, "cls").withColumn("band", F.col("band") + parity), "ngram-banded")
     links = stage(linked(_hub_pairs(members), sketches, sets, rule), "ngram-links")
-    members = stage(_open(members, components(links)), "ngram-open")
-    more = linked(_family_pairs(members, sketches, rule), sketches, sets, rule)
-    return components(links.unionByName(more))
+    roots = components(links)
+    families = stage(_families(_open(members, roots)), "ngram-families")
+    # the nearest ones first: they merge most components, and pairs within a component need no product
+    for nearest in (True, False):
+        found = linked(_family_pairs(families, roots, sketches, rule, nearest), sketches, sets, rule)
+        links = stage(links.unionByName(found), "ngram-links")
+        roots = components(links)
+    return roots
 
 
 def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
