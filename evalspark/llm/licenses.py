@@ -4,7 +4,8 @@ Words that license texts cannot do without point at candidate blocks, anywhere i
 alone and once with every template as a zstandard raw dictionary; the more a template shortens the block, the
 more of its wording the block holds. Templates are tried in the order of that saving, and one is confirmed by the exact word
 differences between it and the best matching stretch of the block: at most one word in ten may be missing, added or changed
-(one in a short notice), and never a word that names the license, such as its version. Of overlapping findings
+(one in a short notice), and never a word that names the license, such as its version. Every stretch of a block that
+is confirmed counts, so repeated notices are all found, however near they are. Of overlapping findings
 the one with fewer differences per word stays, then the longer.
 
 Edge cases: null and empty texts have no finding; repeated rows are scanned once each; empty tables give an
@@ -13,6 +14,7 @@ empty result. Only the id and the text column are read. Offsets are code points,
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -117,17 +119,22 @@ class Scanner:
     def findings(self, text: bytes) -> list[tuple[str, int, int, int, int]]:
         """``license, start, end, saved bytes, differing words`` with byte offsets."""
         lower = text.lower()
-        anchors = sorted({at for word in ANCHORS for at in _places(lower, word)})
-        out, covered = [], 0
-        for at in anchors:
-            if at < covered:
+        anchors = list({at for word in ANCHORS for at in _places(lower, word)})
+        heapq.heapify(anchors)
+        out, covered, last = [], 0, -1
+        while anchors:
+            at = heapq.heappop(anchors)
+            if at < covered or at == last:
                 continue
+            last = at
             low, high = self._block(lower, at)
-            found = self._judge(lower[low:high])
-            for index, start, end, saved, differing in found:
-                if start + low >= covered:
-                    out.append((self.templates[index].license, low + start, low + end, saved, differing))
-                    covered = low + end
+            low = max(low, covered)
+            for index, start, end, saved, differing in self._judge(lower[low:high]):
+                if low + start > at:
+                    heapq.heappush(anchors, low + start)  # the block may end too early for it
+                    break
+                out.append((self.templates[index].license, low + start, low + end, saved, differing))
+                covered = low + end
         return out
 
     def _block(self, text: bytes, at: int) -> tuple[int, int]:
@@ -152,17 +159,12 @@ class Scanner:
         savings = sorted(((size - len(c.compress(block)), -i) for i, c in enumerate(self.given)), reverse=True)
         spans = [(m.start(), m.end()) for m in WORD.finditer(block)]
         words = [block[a:b] for a, b in spans]
-        held = set(words)
         hits = []
         for saved, minus in savings:
             if saved <= 0:
                 break
             template = self.templates[-minus]
-            if sum(w not in held for w in template.words) > template.allowed:
-                continue  # each of them would differ
-            match = best_stretch(template, words)
-            if match:
-                differing, first, last = match
+            for differing, first, last in stretches(template, words):
                 hits.append((differing / len(template.words), -(last - first), -saved, -minus, spans[first][0], spans[last][1], differing))
         out: list[tuple[int, int, int, int, int]] = []
         for _, _, saved, index, start, end, differing in sorted(hits):
@@ -228,6 +230,21 @@ def best_stretch(template: Template, words: list[bytes]) -> tuple[int, int, int]
     return int(cost[end]), int(begin[end]), end - 1
 
 
+def stretches(template: Template, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """The best stretch, and those in the words before and after it."""
+    left = [(0, len(words))]
+    while left:
+        low, high = left.pop()
+        held = set(words[low:high])
+        if high - low < len(template.words) - template.allowed or sum(w not in held for w in template.words) > template.allowed:
+            continue
+        match = best_stretch(template, words[low:high])
+        if match:
+            differing, first, last = match
+            yield differing, low + first, low + last
+            left += [(low, low + first), (low + last + 1, high)]
+
+
 FIELDS = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                     ("saved_bytes", pa.int64()), ("differing_words", pa.int64()), ("wording", pa.string())])
 SCHEMA = "doc_id bigint, license string, start bigint, `end` bigint, saved_bytes bigint, differing_words bigint, wording string"

@@ -31,6 +31,20 @@ def test_wording():
         assert names("x y " + text.replace("{", "").replace("}", "") + " z")[0] == (name, 0)
 
 
+def test_repeated_notices_are_all_found():
+    header = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "modify" in t).replace("{", "").replace("}", "")
+    changed = header.replace("can redistribute", "can distribute")
+    for first, second, want in ((header, header, [0, 0]), (changed, header, [1, 0]), (header, changed, [0, 1])):
+        text = f"a b {first} c d {second} e f"
+        found = licenses.Scanner().findings(text.encode())
+        assert [(name, differing) for name, *_, differing in found] == [("GPL-3.0", n) for n in want]
+        assert [start for _, start, *_ in found] == [4, text.index(second, 6 + len(first))]
+    for count in (2, 3, 7, 40):
+        assert names("x Released under the MIT License. y " * count) == [("MIT", 0)] * count
+    mixed = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 2.0."]
+    assert names(" or ".join(mixed * 5)) == [("MIT", 0), ("CC-BY-4.0", 0), ("Apache-2.0", 0)] * 5
+
+
 def test_stretch_is_the_nearest():
     template = licenses.Template("x", tuple(b"a b c d e f g h i j k l m n o p q r s t".split()), frozenset({3}), b"")
     assert licenses.best_stretch(template, b"z a b c d e f g h i j k l m n o p q r s t z".split()) == (0, 1, 20)
