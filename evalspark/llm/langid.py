@@ -10,7 +10,9 @@ the winner in the probabilities of one byte (mean code length as the exponent, o
 ``EVIDENCE`` bytes, so that long texts do not all score 1).
 
 The trees are learned from a bounded sample of labelled rows: per language at most
-``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes, taken in hash order. Code lengths of all
+``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes, taken in hash order. A text longer than one part in
+``SHARES`` of the bytes takes part with its beginning of that length, so that no text uses up the bytes of
+the others. Code lengths of all
 languages are laid out per context order as sorted tables, so that a batch of texts is scored
 with a few vector look-ups per byte.
 
@@ -33,6 +35,7 @@ from evalspark.llm.common import batch, map_batches, strings
 ORDER = 4  # bytes of the longest context
 SAMPLE_ROWS = 400  # per language
 SAMPLE_BYTES = 400_000  # per language
+SHARES = 20  # a text takes at most SAMPLE_BYTES / SHARES
 EVIDENCE = 32
 UNKNOWN = "und"
 
@@ -179,20 +182,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """Labelled rows to learn from: per language the first ``rows`` in hash order, up to ``size`` bytes in sum
-    (the first row always). Ranks move ids only; Spark keeps the first ``rows`` per task before the shuffle."""
+    """Labelled rows to learn from: per language the first ``rows`` in hash order, up to ``size`` bytes in sum; of a long
+    text the beginning. Ranks move ids only; Spark keeps the first ``rows`` per task before the shuffle."""
     learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
-    picked = (learn.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash"), F.octet_length("text").alias("_size"))
+    taken = F.least(F.octet_length("text"), F.lit(_share(size)))
+    picked = (learn.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash"), taken.alias("_size"))
               .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)
-              .withColumn("_before", F.sum("_size").over(order) - F.col("_size")).where((F.col("_rank") == 1) | (F.col("_before") + F.col("_size") <= size)))
-    return learn.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
+              .withColumn("_sum", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= size))
+    return learn.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select(
+        "lang", F.substring("text", 1, _share(size)).alias("text"))
+
+
+def _share(size: int) -> int:
+    return max(1, size // SHARES)
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Trees:
     texts: dict[str, list[bytes]] = {}
     for row in training_sample(docs, rows, size).toLocalIterator():  # bounded by the sample
-        texts.setdefault(row["lang"], []).append(row["text"].encode())
+        texts.setdefault(row["lang"], []).append(row["text"].encode()[:_share(size)])
     return Trees(texts)
 
 

@@ -66,3 +66,16 @@ def test_odd_rows(odd_documents, no_documents):
     assert langid.identify(no_documents).count() == 0
     unlabelled = odd_documents.drop("lang").selectExpr("*", "cast(null as string) lang")
     assert {r["lang_pred"] for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_long_rows_leave_room_for_the_others(spark):
+    order = spark.range(400).where(~langid.held_out("id")).selectExpr("id", "xxhash64(id) h").orderBy("h", "id").collect()
+    ids = [r["id"] for r in order]
+    for places in ([0], [1], [0, 1, 5]):
+        long = {ids[p] for p in places}
+        rows = [(i, "ab " * 200_000 if i in long else f"short text number {i}", "en") for i in ids]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        found = [r["text"] for r in langid.training_sample(docs).collect()]
+        assert len(found) == len(ids) and sum(t.startswith("short") for t in found) == len(ids) - len(places)
+        assert sum(len(t) for t in found) <= langid.SAMPLE_BYTES
+    assert langid.learn(docs).langs == ["en"]
