@@ -4,7 +4,8 @@ Words that license texts cannot do without point at candidate blocks, anywhere i
 alone and once with every template as a zstandard raw dictionary; the more a template shortens the block, the
 more of its wording the block holds. Templates are tried in the order of that saving, and one is confirmed by the exact word
 differences between it and the best matching stretch of the block: at most one word in ten may be missing, added or changed
-(one in a short notice), and never a word that names the license, such as its version. Every stretch of a block that
+(one in a short notice), and never a word that names the license, such as its version, nor a word between two such words.
+Texts that several licenses share are named after all of them, unless the words that follow tell which one it is. Every stretch of a block that
 is confirmed counts, so repeated notices are all found, however near they are. Of overlapping findings
 the one with fewer differences per word stays, then the longer.
 
@@ -28,13 +29,23 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.common import batch, map_batches, utf8
 
+# Wordings that several licenses begin with.
+_GRANT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+          "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+          "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software")
+_FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_OPENING = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+            "that the following conditions are met:")
+_CONDITIONS = (_OPENING + " Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+               "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+               "and the following disclaimer in the documentation and/or other materials provided with the")
 # Common notices and grants, the words that name the license in braces.
 TEMPLATES = (
     ("MIT", "Released under the {MIT} License."),
     ("MIT", "Licensed under the {MIT} License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", _GRANT + ", and to permit persons to whom the Software is furnished to do so, {subject to the following conditions}"),
+    ("MIT-0", _GRANT + ", and to permit persons to whom the Software is furnished to do {so. THE SOFTWARE IS PROVIDED} \"AS IS\""),
+    ("MIT OR MIT-0", _GRANT),
     ("Apache-2.0", "Licensed under the {Apache} License, Version {2.0}."),
     ("Apache-2.0", "Licensed under the {Apache} License, Version {2.0} (the \"License\"); you may not use this file except in "
                    "compliance with the License."),
@@ -46,12 +57,33 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General} "
                 "Public License as published by the Free Software Foundation, either version {3} of the License, or (at your "
                 "option) any later version."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Library General} "
+                 "Public License as published by the Free Software Foundation; either version {2} of the License, or (at your "
+                 "option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Lesser General} "
+                 "Public License as published by the Free Software Foundation; either version {2.1} of the License, or (at your "
+                 "option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU Lesser General} "
+                 "Public License as published by the Free Software Foundation, either version {3} of the License, or (at your "
+                 "option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU Affero General} "
+                 "Public License as published by the Free Software Foundation, either version {3} of the License, or (at your "
+                 "option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the {GNU Lesser General} Public License, version {2.1}."),
     ("LGPL-3.0", "This work is licensed under the {GNU Lesser General} Public License, version {3}."),
     ("AGPL-3.0", "This work is licensed under the {GNU Affero General} Public License, version {3}."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                     "that the following conditions are met:"),
+    ("BSD-2-Clause", _CONDITIONS + " {distribution. THIS SOFTWARE IS PROVIDED} BY"),
+    ("BSD-3-Clause", _CONDITIONS + " distribution. Neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "{endorse or promote} products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause OR BSD-3-Clause OR BSD-4-Clause", _OPENING),
     ("BSD-3-Clause", "Released under the {BSD} License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("BSD-2-Clause", "Released under the {BSD 2-Clause} License."),
+    ("BSD-2-Clause", "Released under the {2-Clause BSD} License."),
+    ("BSD-3-Clause", "Released under the {BSD 3-Clause} License."),
+    ("BSD-3-Clause", "Released under the {3-Clause BSD} License."),
+    ("ISC", _FEE + ", {provided that the above copyright notice} and this permission notice appear in all copies."),
+    ("0BSD", _FEE.replace("granted", "{granted. THE SOFTWARE IS PROVIDED} \"AS IS\"")),
+    ("0BSD OR ISC", _FEE),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}."),
     ("CC-BY-4.0", "Licensed under {CC BY 4.0}."),
     ("CC-BY-SA-4.0", "Licensed under {CC BY-SA 4.0}."),
@@ -76,6 +108,12 @@ class Template:
     words: tuple[bytes, ...]
     naming: frozenset[int]  # places of the words that must not differ
     raw: bytes
+    joined: frozenset[int] = frozenset()  # those of them after which no word may come in
+
+    @property
+    def shared(self) -> bool:
+        """Several licenses have this wording."""
+        return " OR " in self.license
 
     @property
     def allowed(self) -> int:
@@ -87,16 +125,17 @@ def templates() -> tuple[Template, ...]:
     out = []
     for name, text in TEMPLATES:
         plain = text.replace("{", "").replace("}", "").encode()
-        naming, place = set(), 0
+        naming, joined, place = set(), set(), 0
         for depth, piece in enumerate(re.split("[{}]", text)):
             count = len(WORD.findall(piece.encode()))
             if depth % 2:
                 naming.update(range(place, place + count))
+                joined.update(range(place, place + count - 1))
             place += count
         words = tuple(w.lower() for w in WORD.findall(plain))
         if place != len(words):
             raise ValueError(f"braces cut a word: {text}")
-        out.append(Template(name, words, frozenset(naming), plain.lower()))
+        out.append(Template(name, words, frozenset(naming), plain.lower(), frozenset(joined)))
     return tuple(out)
 
 
@@ -165,9 +204,9 @@ class Scanner:
                 break
             template = self.templates[-minus]
             for differing, first, last in stretches(template, words):
-                hits.append((differing / len(template.words), -(last - first), -saved, -minus, spans[first][0], spans[last][1], differing))
+                hits.append((template.shared, differing / len(template.words), -(last - first), -saved, -minus, spans[first][0], spans[last][1], differing))
         out: list[tuple[int, int, int, int, int]] = []
-        for _, _, saved, index, start, end, differing in sorted(hits):
+        for *_, saved, index, start, end, differing in sorted(hits):
             if all(end <= s or e <= start for _, s, e, _, _ in out):
                 out.append((index, start, end, -saved, differing))
         return sorted(out, key=lambda x: x[1])
@@ -219,6 +258,9 @@ def best_stretch(template: Template, words: list[bytes]) -> tuple[int, int, int]
         pick = move <= drop
         now = np.where(pick, move, drop)
         start = np.where(pick, np.r_[0, begin[:-1]], begin)
+        if place in template.joined:  # no extra word
+            cost, begin = now, start
+            continue
         # an extra word in the text: the running minimum of cost minus place
         order = now - spots
         least = np.minimum.accumulate(order)

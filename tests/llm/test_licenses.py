@@ -45,6 +45,36 @@ def test_repeated_notices_are_all_found():
     assert names(" or ".join(mixed * 5)) == [("MIT", 0), ("CC-BY-4.0", 0), ("Apache-2.0", 0)] * 5
 
 
+GPL = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as "
+       "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+CONDITIONS = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+              "conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+              "the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+              "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n")
+THIRD = ("3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this "
+         "software without specific prior written permission.\n")
+DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+FEE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+
+
+def test_like_texts_of_other_licenses():
+    for word, want in (("General", "GPL-3.0"), ("Affero General", "AGPL-3.0"), ("Lesser General", "LGPL-3.0")):
+        assert names(GPL.format(word)) == [(want, 0)]
+    assert names(GPL.format("Foreign General")) == []
+    assert names("Licensed under CC BY NC 4.0.") == []
+    assert [n for n, _ in names(CONDITIONS + DISCLAIMER)] == ["BSD-2-Clause"]
+    assert [n for n, _ in names(CONDITIONS + THIRD.format("the copyright holder") + DISCLAIMER)] == ["BSD-3-Clause"]
+    assert [n for n, _ in names(CONDITIONS + THIRD.format("Example Inc.") + DISCLAIMER)] == ["BSD-3-Clause"]
+    assert [n for n, _ in names(CONDITIONS.split("1.")[0] + "be nice")] == ["BSD-2-Clause OR BSD-3-Clause OR BSD-4-Clause"]
+    advertising = ("3. All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+                   "This product includes software developed by the University and its contributors.\n")
+    assert [n for n, _ in names(CONDITIONS + advertising + THIRD.replace("3", "4").format("the University") + DISCLAIMER)] == [
+        "BSD-2-Clause OR BSD-3-Clause OR BSD-4-Clause"]  # the opening is all that is known of it
+    assert names("Released under the BSD 2-Clause License.") == [("BSD-2-Clause", 0)]
+    assert names(FEE + ", provided that the above copyright notice and this permission notice appear in all copies.") == [("ISC", 0)]
+    assert names(FEE + '. THE SOFTWARE IS PROVIDED "AS IS" AND') == [("0BSD", 0)]
+
+
 def test_stretch_is_the_nearest():
     template = licenses.Template("x", tuple(b"a b c d e f g h i j k l m n o p q r s t".split()), frozenset({3}), b"")
     assert licenses.best_stretch(template, b"z a b c d e f g h i j k l m n o p q r s t z".split()) == (0, 1, 20)
