@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, exact_dedup, langid, licenses, ngram_join, packing, pii, pitman_yor, quality, vafile
+from evalspark.llm import (
+    byte_bpe, exact_dedup, langid, licenses, merkle, ngram_join, oracles, packing, pii, pitman_yor, quality, sharding, spelling, vafile,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +58,27 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir), slip=spelling.SLIP)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.assign(documents(spark, sf_dir))
+    return shards.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_pii, op3_language_id, op4_packing, op5_exact_dedup, op6_quality, op7_pitman_yor, op8_vector_top_k, op9_byte_bpe,
-    op10_licenses)}
+    op10_licenses, op11_merkle, op12_spelling, op13_sharding)}
 
 SQL = {
+    "op11_merkle": oracles.MERKLE,
+    "op12_spelling": oracles.SPELLING,
+    "op13_sharding": oracles.SHARDING,
     "op8_vector_top_k": """
         WITH vectors AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
