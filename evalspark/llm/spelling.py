@@ -1,17 +1,17 @@
 """Spelling variants: words that differ by exactly one inserted, deleted or replaced letter, and the form each belongs to.
 
 *Reduced alphabet.* Every letter is hashed to one of eight symbols (its code point modulo 8, which tells the frequent letters apart).
-One edit of a word changes its reduced word by at most one edit. The whole one-edit neighbourhood of each reduced
-word (itself, deletions, replacements and insertions over eight symbols, about ``16 * length + 9`` strings) is therefore
-joined with the reduced vocabulary, which finds every pair of near words. A pair meets under one string only, since a word's
-neighbourhood is distinct and each word has one reduced word. The original words are compared in the join condition
-itself, so only pairs that are near are ever passed on.
+One edit of a word changes its reduced word by at most one edit. The full one-edit neighbourhoods of the reduced
+words are therefore joined with the reduced vocabulary, which finds every pair of near words. Each edge of the
+neighbourhoods is generated from one end (an insertion is a deletion seen from the other word), some ``4.5 * length`` strings a word,
+and a pair meets under one string only. The original words are compared in the join condition itself, so only
+pairs that are near are ever passed on.
 
 *Forms.* A word's form is its most frequent near word, if that is at least twice as frequent as the word. Frequencies
 double along forms, so chains are short, and their ends are found by pointer doubling.
 
 Scale: words are counted with Spark's partial aggregation, so a frequent word leaves a task as one row. The vocabulary
-is a written table, a neighbourhood has some 150 short strings a word whatever the corpus, and the number of words
+is a written table, a neighbourhood has some 40 short strings a word whatever the corpus, and the number of words
 under one reduced word falls with every further letter. Nothing is broadcast by hint.
 
 Edge cases: a null text has no words; a null id counts as the empty string where runs are hashed; texts of any length are
@@ -62,25 +62,32 @@ def reduced(word: str) -> Column:
 
 
 def neighbourhood(code: str) -> Column:
-    """The distinct strings over the symbols at most one edit away from a reduced word."""
+    """The distinct strings one edit away from a reduced word, as far as they are this word's to generate, itself first.
+
+    Being one edit apart goes both ways, so each pair of codes is generated from one end: a deletion by the
+    longer code, a replacement by the code with the smaller symbol. Together the codes generate their full neighbourhoods.
+    """
     w, size = F.col(code), F.char_length(code)
     head = lambda i: F.substring(w, F.lit(1), i)  # noqa: E731  the first i symbols
     tail = lambda i: F.substring(w, i + 1, size)  # noqa: E731  those behind the first i
-    symbols = F.array(*[F.lit(s) for s in SYMBOLS])
     places = F.sequence(F.lit(0), size - 1)
     deleted = F.transform(places, lambda i: F.concat(head(i), tail(i + 1)))
-    replaced = F.flatten(F.transform(places, lambda i: F.transform(symbols, lambda s: F.concat(head(i), s, tail(i + 1)))))
-    inserted = F.flatten(F.transform(F.sequence(F.lit(0), size), lambda i: F.transform(symbols, lambda s: F.concat(head(i), s, tail(i)))))
-    return F.array_distinct(F.concat(F.array(w), deleted, replaced, inserted))
+    larger = lambda i: F.slice(F.array(*[F.lit(s) for s in SYMBOLS]), F.substring(w, i + 1, F.lit(1)).cast("int") + 2, F.lit(len(SYMBOLS)))
+    replaced = F.flatten(F.transform(places, lambda i: F.transform(larger(i), lambda s: F.concat(head(i), s, tail(i + 1)))))
+    return F.array_distinct(F.concat(F.array(w), deleted, replaced))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``word, n, near, near_n``: every ordered pair of words that differ by exactly one edit. ``words`` has ``word, n``."""
     coded = words.withColumn("code", reduced("word"))
-    around = coded.select("word", "n", F.explode(neighbourhood("code")).alias("code"))
+    around = coded.select("word", "n", F.posexplode(neighbourhood("code")).alias("_edit", "code"))
     known = coded.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("code").alias("_code"))
+    once = (F.col("_edit") > 0) | (F.col("word") < F.col("near"))  # words of one code meet from both ends
     one_edit = F.levenshtein("word", "near", 1) == 1
-    return around.join(known, (F.col("code") == F.col("_code")) & one_edit).select("word", "n", "near", "near_n")
+    pairs = around.join(known, (F.col("code") == F.col("_code")) & once & one_edit)
+    ends = F.array(F.struct("word", "n", "near", "near_n"),
+                   F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    return pairs.select(F.inline(ends))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
