@@ -50,10 +50,11 @@ def leaf(fields: Sequence[Column]) -> Column:
 
 
 def climb(nodes: DataFrame) -> DataFrame:
-    """``LEVELS`` levels over ``grp, slot, run, node``: adds ``path``, the entries from the node up to the end of its stretch, and
+    """``LEVELS`` levels over ``grp, slot, run, node``: adds ``_stretch``, the stretch of the node, ``path``, the entries from the node up to the end of its stretch, and
     ``top``, the digest of the stretch on its first row (null on others). Other columns stay."""
-    stretch = Window.partitionBy("grp", F.shiftright("slot", LEVELS)).orderBy("slot")
-    at, out = F.col("slot"), nodes.withColumn("top", F.col("node"))
+    # a column of its own, so that all windows share one shuffle
+    out = nodes.withColumn("_stretch", F.shiftright("slot", LEVELS)).withColumn("top", F.col("node"))
+    stretch, at = Window.partitionBy("grp", "_stretch").orderBy("slot"), F.col("slot")
     for j in range(LEVELS):
         step = 1 << j
         out = out.select("*", F.lead("top", step).over(stretch).alias("_next"), F.lag("top", step).over(stretch).alias("_back"))
@@ -85,16 +86,15 @@ def _trees(nodes: DataFrame, largest: int) -> DataFrame:
     climbed = climb(nodes)
     if largest <= 1 << LEVELS:
         # one stretch per group: its first row knows the last node
-        whole = Window.partitionBy("grp", F.shiftright("slot", LEVELS)).orderBy("slot").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)
-        return climbed.withColumn("top", F.first("top").over(whole))
+        whole = Window.partitionBy("grp", "_stretch").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return climbed.select(*nodes.columns, "path", F.first("top").over(whole).alias("top"))
     size = 1 << LEVELS
     upper = stage(climbed.where(F.col("slot") % size == 0).select(
-        "grp", F.shiftright("slot", LEVELS).alias("slot"), F.ceil(F.col("run") / size).cast("long").alias("run"), F.col("top").alias("node")),
+        "grp", F.col("_stretch").alias("slot"), F.ceil(F.col("run") / size).cast("long").alias("run"), F.col("top").alias("node")),
         "merkle-nodes")
     above = stage(_trees(upper, math.ceil(largest / size)).select(
         F.col("grp").alias("_grp"), F.col("slot").alias("_slot"), F.col("path").alias("_path"), F.col("top").alias("_top")), "merkle-paths")
-    met = climbed.drop("top").join(above, (F.col("grp") == F.col("_grp")) & (F.shiftright("slot", LEVELS) == F.col("_slot")))
+    met = climbed.drop("top").join(above, (F.col("grp") == F.col("_grp")) & (F.col("_stretch") == F.col("_slot")))
     return met.select(*nodes.columns, F.concat("path", "_path").alias("path"), F.col("_top").alias("top"))
 
 
