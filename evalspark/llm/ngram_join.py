@@ -12,19 +12,20 @@ linked rows must then agree entirely on at least one block, so a row is looked u
 signatures of its blocks. (Blocks empty in both rows also agree: a band has spare blocks for them, and a
 row with more empty blocks than the bound allows also emits those.)
 
-*Row pairs.* Equal sets are merged first. Then one hub round: every group of rows with a common signature
+*Row blocks.* Equal sets are merged first. Then one hub round: every group of rows with a common signature
 multiplies one of its rows with the others, which finds most components at little cost. Rows whose group still
 spans several components are gathered into families, the connected parts of "has a signature in common" within
-a band. A family is multiplied block by block: a short sketch (one byte per column block, twice as many blocks as
-the bound) gives a lower bound of the difference of every pair across components, and discards nearly all; the nearest
-candidate of every row is multiplied first, which merges most components, and then all candidates that are left. The exact product of
-pairs accumulates overlap counts column block by column block, and gives a pair up as soon as what
-is left cannot lift it over its size-derived bound. No pair across components is left out, so components are
-exact, up to equal 64-bit hashes.
-
-Scale: signatures are about ``2.3 * (100 - percent) / (100 + percent)`` per n-gram, dealt to as many packed
-buckets as ``spark.sql.shuffle.partitions``; a signature enters its bucket at most once per writing task, so copies
-do not pile up. Everything after that is grouping and joins over repeated signatures only.
+a band. A family is the sparse matrix of its rows, dealt to blocks of bounded size by rows; a block task holds the n-gram sets of
+two parts and forms their product: columns that a single row holds are left out, the others are multiplied
+column block by column block and the overlap counts accumulated, and after each column block the pairs are discarded
+that can no longer reach their size-derived bound, and rows without any pair left. Of the pairs that link, a block returns only
+what spans its components, at most one link per component of the hub round. No pair of a family is ever written, joined or left
+out, so components are exact, up to equal 64-bit hashes.
+
+Scale: signatures are about ``2.3 * (100 - percent) / (100 + percent)`` per n-gram, dealt to packed
+buckets whose number follows the bytes of text; a signature enters its bucket at most once per writing task, so copies
+do not pile up. Everything after that is grouping and joins over repeated signatures only. A family's rows travel once per block they
+are part of (once, up to 512 rows and half a million n-grams); the work on pairs of a larger family is spread over its blocks.
 
 Edge cases: a document without words or with null text has an empty set and links with nothing; one with
 fewer than n words has its whole sequence as one n-gram; repeated rows and equal ids are merged like copies;
@@ -46,14 +47,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.skew import lookup
 from evalspark.llm.common import WordHashes, batch, map_batches, utf8, words_of
 from evalspark.llm.graph import components
 from evalspark.session import stage
 
 FLUSH = 1_000_000  # signatures a task gathers before it packs them
-COLUMN_BLOCKS = 8  # steps in which a pair of rows is multiplied
+TEXT_PER_BUCKET = 64_000_000  # bytes of text whose signatures meet in one bucket
+COLUMN_BLOCKS = 8  # steps in which a single pair of rows is multiplied
+COLUMNS = 2048  # columns of a family that are multiplied at once
 SKETCH_BLOCKS = 2  # bytes of a sketch per row of difference that a band allows
-FAMILY_BLOCK = 512  # rows of a family that are multiplied with as many others in one go
+FAMILY_ROWS, FAMILY_GRAMS = 512, 1 << 19  # rows and n-grams of a part of a family
 NOBODY = -(1 << 63)  # stands for a missing id where rows are chosen
 FILTER_BITS = 1 << 24  # of the filter on the rows whose sets are needed
 
@@ -272,7 +276,8 @@ def _bucket_task(table: pa.Table) -> pa.Table:
 def sketch(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n, cls)`` of every document, and ``(sig, cls)`` of the signatures held by several classes, from
     one pass over the texts."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text // TEXT_PER_BUCKET)
     made = map_batches(docs, _sketch_task(rule, buckets), "bucket int, blob binary")
     rows = stage(made.groupBy("bucket").applyInArrow(_bucket_task, "sig bigint, cls bigint, doc_id bigint, n bigint"),
                  "ngram-sketch")
@@ -401,62 +406,107 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return both.groupBy(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).agg(F.min("band").alias("band"))
 
 
-def _families(members: DataFrame) -> DataFrame:
-    """The rows of all families, dealt to blocks: home, family, low, high, part, cls, band."""
-    spark = members.sparkSession
+def _families(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of all families, dealt to blocks: home, family, low, high, part, cls. ``sizes`` has ``cls, n``."""
     # a row is a node of its own in each band
     nodes = stage(members.withColumn("node", F.xxhash64("cls", "band")), "ngram-nodes")
     first = nodes.groupBy("sig").agg(F.min("node").alias("b"))
     families = components(nodes.join(first, "sig").select(F.col("node").alias("a"), "b").distinct()).select(
         F.col("cls").alias("node"), F.col("root").alias("family"))
-    rows = nodes.select("node", "cls", "band").distinct().join(families, "node")
-    sizes = rows.groupBy("family").agg(F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / FAMILY_BLOCK).cast("int")
-    rows = rows.join(sizes.select("family", parts.alias("parts")), "family").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), "parts").cast("int"))
+    rows = stage(nodes.select("node", "cls").distinct().join(families, "node").join(sizes, "cls"), "ngram-family-rows")
+    whole = rows.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
+    parts = F.greatest(F.ceil(F.col("size") / FAMILY_ROWS), F.ceil(F.col("grams") / FAMILY_GRAMS)).cast("int")
+    homes = max(1, (rows.agg(F.sum("n")).first()[0] or 0) // FAMILY_GRAMS)
+    rows = rows.join(whole.select("family", parts.alias("parts")), "family").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    home = F.when(F.col("parts") == 1, F.pmod("family", F.lit(few))).otherwise(F.xxhash64("family", "low", "high"))
-    return rows.withColumn("home", home).select("home", "family", "low", "high", "part", "cls", "band")
+    home = F.when(F.col("parts") == 1, F.pmod("family", F.lit(homes))).otherwise(F.xxhash64("family", "low", "high"))
+    return rows.withColumn("home", home).select("home", "family", "low", "high", "part", "cls")
 
 
-def _family_pairs(families: DataFrame, roots: DataFrame, sketches: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
-    """Pairs across components, within a family, that the sketches allow: all of them, or for every row in a
-    block only the one whose sketch differs least."""
-    rows = families.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    sketched = rows.join(sketches, ["cls", "band"])
+def product_links(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, root: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which rows of ``left`` link with which of ``right`` (indices into ``grams``), across components; a matrix of flags.
+
+    The overlaps are the product of the two incidence matrices, formed over blocks of columns.
+    """
+    size = np.array([len(g) for g in grams])
+    every = np.concatenate(grams)
+    order = np.argsort(every, kind="stable")
+    values, row = every[order], np.repeat(np.arange(len(grams)), size)[order]
+    column = np.cumsum(np.r_[False, values[1:] != values[:-1]])
+    shared_by = np.bincount(column)
+    several = shared_by[column] > 1
+    column, row = np.cumsum(shared_by > 1)[column[several]] - 1, row[several]
+
+    small, large = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+    needed = -(-rule.percent * (small + large) // (100 + rule.percent))
+    open_pairs = (root[left][:, None] != root[right][None, :]) & (100 * small >= rule.percent * large)
+    overlap = np.zeros(open_pairs.shape, np.int32)
+    rest = np.bincount(row, minlength=len(grams))
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + COLUMNS, COLUMNS))
+    for start, stop in zip(edges[:-1], edges[1:]):
+        open_pairs &= overlap + np.minimum.outer(rest[left], rest[right]) >= needed
+        at_left, at_right = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
+        if not len(at_left):
+            break
+        block = np.zeros((len(grams), int(column[stop - 1] - column[start]) + 1), np.float32)
+        block[row[start:stop], column[start:stop] - column[start]] = 1
+        overlap[np.ix_(at_left, at_right)] += (block[left[at_left]] @ block[right[at_right]].T).astype(np.int32)
+        rest -= np.bincount(row[start:stop], minlength=len(grams))
+    return open_pairs & (overlap >= needed)
+
+
+def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows, at most one per component but one, that span the components which the links connect."""
+    names, component = np.unique(root, return_inverse=True)
+    meet = np.zeros((len(names), len(names)), bool)
+    x, y = np.nonzero(links)
+    meet[component[left[x]], component[right[y]]] = True
+    meet |= meet.T
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label, np.where(meet, label[None, :], len(names)).min(axis=1, initial=len(names)))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    first = np.full(len(names), -1)
+    first[component[::-1]] = np.arange(len(root))[::-1]
+    return [(int(first[i]), int(first[j])) for i, j in enumerate(label) if i != j]
+
 
-    def block(table: pa.Table) -> pa.Table:
+def _block_task(rule: Rule):
+    """The spanning links of all blocks of a home."""
+
+    def task(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending"), ("cls", "ascending")])
-        key = np.stack([table.column(c).to_numpy() for c in ("family", "low", "high")])
-        edges = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, key.shape[1]]
-        cls, root, size, part, band = (table.column(c).to_numpy() for c in ("cls", "root", "n", "part", "band"))
-        sketches = table.column("sketch").to_pylist()
-        out_a, out_b, out_band = [], [], []
-        for start, stop in zip(edges[:-1], edges[1:]):
-            same = key[1, start] == key[2, start]
-            bits = np.frombuffer(b"".join(sketches[start:stop]), np.uint8).reshape(stop - start, -1)
-            c, r, n, p = cls[start:stop], root[start:stop], size[start:stop].astype(np.int64), part[start:stop]
-            for i in range(len(c)):
-                mine = ((r != r[i]) if nearest else (r > r[i])) & (True if same else p != p[i])
-                mine &= 100 * np.minimum(n, n[i]) >= rule.percent * np.maximum(n, n[i])
-                at = np.flatnonzero(mine)
-                if len(at):
-                    differ = np.count_nonzero(bits[at] != bits[i], axis=1)
-                    near = differ <= (n[at] + n[i]) * (100 - rule.percent) // (100 + rule.percent)
-                    if nearest and near.any():
-                        near = np.arange(len(at)) == int(np.where(near, differ, 1 << 30).argmin())
-                    at = at[near]
-                    out_a.append(np.minimum(c[at], c[i]))
-                    out_b.append(np.maximum(c[at], c[i]))
-                    out_band.append(np.full(len(at), band[start]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(none + out_a), "b": np.concatenate(none + out_b),
-                         "band": np.concatenate(none + out_band).astype(np.int32)})
-
-    wanted = sketched.select("home", "family", "low", "high", "part", "cls", "root", "n", "band", "sketch")
-    found = wanted.groupBy("home").applyInArrow(block, "a bigint, b bigint, band int")
-    return found.groupBy("a", "b").agg(F.min("band").alias("band"))
+        key = np.stack([table.column(c).to_numpy() for c in ("family", "low", "high", "cls")])
+        new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]  # a class can have come in several copies of a row
+        table, key = table.filter(pa.array(new)), key[:, new]
+        edges = np.r_[0, np.flatnonzero((key[:3, 1:] != key[:3, :-1]).any(axis=0)) + 1, key.shape[1]]
+        cls, root, part = (table.column(c).to_numpy() for c in ("cls", "root", "part"))
+        sets = table.column("grams")
+        pairs = []
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            r = root[start:stop]
+            if (r == r[0]).all():
+                continue
+            grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in sets.slice(start, stop - start)]
+            left, right = (np.flatnonzero(part[start:stop] == key[side, start]) for side in (1, 2))
+            if len(left) and len(right):
+                found = spanning(product_links(grams, left, right, r, rule), left, right, r)
+                pairs += [(cls[start + i], cls[start + j]) for i, j in found]
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    return task
+
+
+def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """``(a, b)``: links that span the components of each block of a family."""
+    rows = families.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = rows.join(sets.select("cls", "grams"), "cls").select("home", "family", "low", "high", "part", "cls", "root", "grams")
+    return rows.groupBy("home").applyInArrow(_block_task(rule), "a bigint, b bigint")
 
 
 def class_components(docs: DataFrame, members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -474,13 +524,9 @@ def class_components(docs: DataFrame, members: DataFrame, classes: DataFrame, ru
     members = stage(members.join(bands, "cls").withColumn("band", F.col("band") + parity), "ngram-banded")
     links = stage(linked(_hub_pairs(members), sketches, sets, rule), "ngram-links")
     roots = components(links)
-    families = stage(_families(_open(members, roots)), "ngram-families")
-    # the nearest ones first: they merge most components, and pairs within a component need no product
-    for nearest in (True, False):
-        found = linked(_family_pairs(families, roots, sketches, rule, nearest), sketches, sets, rule)
-        links = stage(links.unionByName(found), "ngram-links")
-        roots = components(links)
-    return roots
+    families = stage(_families(_open(members, roots), sets.groupBy("cls").agg(F.max("n").alias("n"))), "ngram-families")
+    found = _family_links(families, roots, sets, rule)
+    return components(stage(links.unionByName(found), "ngram-links"))
 
 
 def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -498,8 +544,8 @@ def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
     smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     # only classes with copies or links can differ from their own document
     shared = stage(joined.join(smallest, "root").where(
-        (F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("cls", "component_id"), "ngram-shared")
-    return rows.join(shared, "cls", "left").select(
+        (F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("cls", "component_id", "copies"), "ngram-shared")
+    return lookup(rows, shared, "cls", "copies", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("cls").alias("class_id"))
 

@@ -68,6 +68,45 @@ def test_components_are_those_of_all_pairs(spark, words, percent):
     assert found == brute(rows, words, percent)
 
 
+def test_families_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FAMILY_ROWS", 8)
+    rows = drifting(77, count=300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+             for r in ngram_join.link_documents(docs, ngram_join.Rule(2, 60)).collect()}
+    assert found == brute(rows, 2, 60)
+
+
+@pytest.mark.parametrize("columns", [3, 2048])
+def test_the_product_is_that_of_all_pairs(monkeypatch, columns):
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+    rng = np.random.default_rng(columns)
+    rule = ngram_join.Rule(3, 60)
+    for _ in range(30):
+        base = rng.integers(0, 40, 30)
+        grams = [np.unique(np.where(rng.random(30) < rng.random() * 0.4, rng.integers(0, 60, 30), base)).astype(np.uint64) for _ in range(25)]
+        root = rng.integers(0, 12, 25)
+        left, right = np.arange(15), np.arange(10, 25)
+        links = ngram_join.product_links(grams, left, right, root, rule)
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                both = len(np.intersect1d(grams[x], grams[y]))
+                want = root[x] != root[y] and 100 * both >= 60 * (len(grams[x]) + len(grams[y]) - both)
+                assert links[i, j] == want
+        found = ngram_join.spanning(links, left, right, root)
+        assert len(found) < len(set(root.tolist()))
+        assert _parts(root, [(left[i], right[j]) for i, j in np.argwhere(links)]) == _parts(root, found)
+
+
+def _parts(root, pairs):
+    """The components that links between rows make of the given ones."""
+    label = {int(r): int(r) for r in root}
+    for i, j in pairs:
+        a, b = label[int(root[i])], label[int(root[j])]
+        label = {r: min(a, b) if x in (a, b) else x for r, x in label.items()}
+    return label
+
+
 def test_signatures_meet_for_every_linked_pair():
     """Pairs at the very edge of the threshold share a signature, whatever their sizes."""
     rng = np.random.default_rng(3)
