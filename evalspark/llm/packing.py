@@ -26,6 +26,7 @@ from evalspark.llm.common import batch, map_batches, utf8
 LIMIT = 4096
 END_ID = 2
 CACHED_WORDS = 200_000
+LONGEST_CACHED = 64  # bytes; text without blanks is one long word after the other
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, offset bigint, "
           "bucket int, ids binary")
@@ -47,17 +48,18 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Ids of words between white space, remembered up to a bound.
+    """Ids of words between white space, remembered up to a bound in words and in bytes.
 
     The tokenizer drops white space and never joins across it, so a text is the concatenation of
-    its words. Plain words go to the merges directly; all others take the whole tokenizer.
+    its words. Plain words go to the merges directly; all others take the whole tokenizer. It looks for the strings of its
+    special tokens before it lowers the case, so words that may hold one keep theirs.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
@@ -70,33 +72,46 @@ class WordEncoder:
             if len(self.runs) >= CACHED_WORDS:
                 self.runs.clear()
             spelled = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
-            found = self.runs[letters] = np.array([t.id for t in self.merges.tokenize(spelled)], "<u4").tobytes()
+            found = np.array([t.id for t in self.merges.tokenize(spelled)], "<u4").tobytes()
+            if len(letters) <= LONGEST_CACHED:
+                self.runs[letters] = found
         return found
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[bytes], into: dict[bytes, bytes]) -> None:
         odd = []
         for word in words:
             text = word.decode("utf-8", "replace")
             plain = PLAIN.fullmatch(text)
             if plain:
                 letters, marks = plain.groups()
-                self.words[word] = self.run(letters.lower()) + (self.run(marks) if marks else b"")
+                into[word] = self.run(letters.lower()) + (self.run(marks) if marks else b"")
             else:
                 odd.append((word, text))
         found = self.tokenizer.encode_batch_fast([text for _, text in odd], add_special_tokens=False)
         for (word, _), ids in zip(odd, found):
-            self.words[word] = np.array(ids.ids, "<u4").tobytes()
+            into[word] = np.array(ids.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [text.lower().split() for text in texts]  # the tokenizer lowers case itself
+        split = [self.split(text) for text in texts]
         asked = {word for words in split for word in words}
-        new = asked.difference(self.words)
+        long = {word for word in asked if len(word) > LONGEST_CACHED}
+        new = asked.difference(self.words, long)
         if len(self.words) + len(new) > CACHED_WORDS:
             self.words.clear()
-            new = asked
-        self.learn(new)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+            new = asked - long
+        self.learn(new, self.words)
+        once: dict[bytes, bytes] = {}
+        self.learn(long, once)
+        ids = lambda word: self.words[word] if len(word) <= LONGEST_CACHED else once[word]
+        return [b"".join(map(ids if long else self.words.__getitem__, words)) for words in split]
+
+    def split(self, text: bytes) -> list[bytes]:
+        """The words of a text in lower case, which the tokenizer makes itself."""
+        lowered = text.lower()
+        if not any(s in lowered for s in self.special):
+            return lowered.split()
+        return [w if any(s in w.lower() for s in self.special) else w.lower() for w in text.split()]
 
 
 @lru_cache(maxsize=2)

@@ -13,9 +13,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    out = Tokenizer.from_file(PATH)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(PATH)
 
 
 def check(pieces, texts, tokenizer):
@@ -64,3 +62,17 @@ def test_odd_rows(odd_documents, no_documents, tokenizer):
     assert packing.pack(no_documents, PATH).count() == 0
     with pytest.raises(ValueError):
         packing.pack(no_documents, PATH, limit=1000)
+
+
+def test_strings_of_special_tokens(spark, tokenizer):
+    texts = dict(enumerate(["a <|endoftext|> b", "x<|endoftext|>y", "A <|ENDOFTEXT|> b", "<|startoftext|><|endoftext|>", "<|endoftext|> <|EndOfText|> <|endoftext|>"]))
+    assert 49407 in tokenizer.encode(texts[0], add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    check(packing.pack(docs, PATH).collect(), texts, tokenizer)
+
+
+def test_long_words_are_not_remembered():
+    encoder = packing.WordEncoder(PATH)
+    words = [("字" * 200 + str(i)).encode() for i in range(50)] + [b"q" * 500, b"short"]
+    encoder.encode([b" ".join(words)])
+    assert list(encoder.words) == [b"short"] and list(encoder.runs) == ["short"]

@@ -32,5 +32,4 @@ def test_stages_against_brute_force(spark, folder):
             assert text == rows[3][doc_id]
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     check(corpus_pipeline.run(spark, folder).collect(), rows[4], tokenizer)
