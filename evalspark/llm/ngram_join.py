@@ -15,7 +15,8 @@ row with more empty blocks than the bound allows also emits those.)
 *Row blocks.* Equal sets are merged first. Then one hub round: every group of rows with a common signature
 multiplies one of its rows with the others, which finds most components at little cost. Rows whose group still
 spans several components are gathered into families, the connected parts of "has a signature in common" within
-a band. A family is the sparse matrix of its rows, dealt to blocks of bounded size by rows; a block task holds the n-gram sets of
+a band. A family is the sparse matrix of its rows, dealt to blocks of bounded size by rows. Short sketches (one byte per fine column block)
+give a lower bound of the differences in a block and leave out the rows that link with nobody in it. A block task then holds the n-gram sets of
 two parts and forms their product: columns that a single row holds are left out, the others are multiplied
 column block by column block and the overlap counts accumulated, and after each column block the pairs are discarded
 that can no longer reach their size-derived bound, and rows without any pair left. Of the pairs that link, a block returns only
@@ -407,13 +408,13 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
 
 
 def _families(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The rows of all families, dealt to blocks: home, family, low, high, part, cls. ``sizes`` has ``cls, n``."""
+    """The rows of all families, dealt to blocks: home, family, low, high, part, cls, band. ``sizes`` has ``cls, n``."""
     # a row is a node of its own in each band
     nodes = stage(members.withColumn("node", F.xxhash64("cls", "band")), "ngram-nodes")
     first = nodes.groupBy("sig").agg(F.min("node").alias("b"))
     families = components(nodes.join(first, "sig").select(F.col("node").alias("a"), "b").distinct()).select(
         F.col("cls").alias("node"), F.col("root").alias("family"))
-    rows = stage(nodes.select("node", "cls").distinct().join(families, "node").join(sizes, "cls"), "ngram-family-rows")
+    rows = stage(nodes.select("node", "cls", "band").distinct().join(families, "node").join(sizes, "cls"), "ngram-family-rows")
     whole = rows.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
     parts = F.greatest(F.ceil(F.col("size") / FAMILY_ROWS), F.ceil(F.col("grams") / FAMILY_GRAMS)).cast("int")
     homes = max(1, (rows.agg(F.sum("n")).first()[0] or 0) // FAMILY_GRAMS)
@@ -421,7 +422,7 @@ def _families(members: DataFrame, sizes: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     home = F.when(F.col("parts") == 1, F.pmod("family", F.lit(homes))).otherwise(F.xxhash64("family", "low", "high"))
-    return rows.withColumn("home", home).select("home", "family", "low", "high", "part", "cls")
+    return rows.withColumn("home", home).select("home", "family", "low", "high", "part", "cls", "band")
 
 
 def product_links(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, root: np.ndarray, rule: Rule) -> np.ndarray:
@@ -475,38 +476,69 @@ def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray, root: np.nd
     return [(int(first[i]), int(first[j])) for i, j in enumerate(label) if i != j]
 
 
-def _block_task(rule: Rule):
+def _blocks(table: pa.Table) -> Iterator[tuple]:
+    """The blocks of a home that span several components: their rows, which of them are left and right, and the components."""
+    table = table.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending"), ("cls", "ascending")])
+    key = np.stack([table.column(c).to_numpy() for c in ("family", "low", "high", "cls")])
+    new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]  # a class can have come in several copies of a row
+    table, key = table.filter(pa.array(new)), key[:, new]
+    edges = np.r_[0, np.flatnonzero((key[:3, 1:] != key[:3, :-1]).any(axis=0)) + 1, key.shape[1]]
+    root, part = (table.column(c).to_numpy() for c in ("root", "part"))
+    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        r = root[start:stop]
+        if (r != r[0]).any():
+            left, right = (np.flatnonzero(part[start:stop] == key[side, start]) for side in (1, 2))
+            if len(left) and len(right):
+                yield table.slice(start, stop - start), left, right, r
+
+
+def _candidate_task(rule: Rule):
+    """The rows of a home that have a partner in another component of their block as far as sketches can tell."""
+
+    def task(table: pa.Table) -> pa.Table:
+        out = [table.slice(0, 0)]
+        for rows, left, right, root in _blocks(table):
+            n = rows.column("n").to_numpy().astype(np.int64)
+            bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
+            keep = np.zeros(len(n), bool)
+            for i in left:
+                at = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= rule.percent * np.maximum(n[right], n[i]))]
+                near = at[np.count_nonzero(bits[at] != bits[i], axis=1) <= (n[at] + n[i]) * (100 - rule.percent) // (100 + rule.percent)]
+                keep[near] = True
+                keep[i] |= len(near) > 0
+            out.append(rows.filter(pa.array(keep)))
+        return pa.concat_tables(out).select(["home", "family", "low", "high", "part", "cls", "root"])
+
+    return task
+
+
+def _product_task(rule: Rule):
     """The spanning links of all blocks of a home."""
 
     def task(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending"), ("cls", "ascending")])
-        key = np.stack([table.column(c).to_numpy() for c in ("family", "low", "high", "cls")])
-        new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]  # a class can have come in several copies of a row
-        table, key = table.filter(pa.array(new)), key[:, new]
-        edges = np.r_[0, np.flatnonzero((key[:3, 1:] != key[:3, :-1]).any(axis=0)) + 1, key.shape[1]]
-        cls, root, part = (table.column(c).to_numpy() for c in ("cls", "root", "part"))
-        sets = table.column("grams")
         pairs = []
-        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            r = root[start:stop]
-            if (r == r[0]).all():
-                continue
-            grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in sets.slice(start, stop - start)]
-            left, right = (np.flatnonzero(part[start:stop] == key[side, start]) for side in (1, 2))
-            if len(left) and len(right):
-                found = spanning(product_links(grams, left, right, r, rule), left, right, r)
-                pairs += [(cls[start + i], cls[start + j]) for i, j in found]
+        for rows, left, right, root in _blocks(table):
+            cls = rows.column("cls").to_numpy()
+            grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in rows.column("grams")]
+            pairs += [(cls[i], cls[j]) for i, j in spanning(product_links(grams, left, right, root, rule), left, right, root)]
         a, b = np.array(pairs, np.int64).reshape(-1, 2).T
         return pa.table({"a": a, "b": b})
 
     return task
 
 
-def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """``(a, b)``: links that span the components of each block of a family."""
+PLACED = "home bigint, family bigint, low int, high int, part int, cls bigint, root bigint"
+
+
+def _family_links(families: DataFrame, roots: DataFrame, sketches: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """``(a, b)``: links that span the components of each block of a family.
+
+    Sketches leave out the rows that link with nobody in their block, so that few sets travel."""
     rows = families.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rows = rows.join(sets.select("cls", "grams"), "cls").select("home", "family", "low", "high", "part", "cls", "root", "grams")
-    return rows.groupBy("home").applyInArrow(_block_task(rule), "a bigint, b bigint")
+    rows = rows.join(sketches, ["cls", "band"]).select("home", "family", "low", "high", "part", "cls", "root", "n", "sketch")
+    left = stage(rows.groupBy("home").applyInArrow(_candidate_task(rule), PLACED), "ngram-candidates")
+    held = left.join(sets.select("cls", "grams"), "cls").select("home", "family", "low", "high", "part", "cls", "root", "grams")
+    return held.groupBy("home").applyInArrow(_product_task(rule), "a bigint, b bigint")
 
 
 def class_components(docs: DataFrame, members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -525,7 +557,7 @@ def class_components(docs: DataFrame, members: DataFrame, classes: DataFrame, ru
     links = stage(linked(_hub_pairs(members), sketches, sets, rule), "ngram-links")
     roots = components(links)
     families = stage(_families(_open(members, roots), sets.groupBy("cls").agg(F.max("n").alias("n"))), "ngram-families")
-    found = _family_links(families, roots, sets, rule)
+    found = _family_links(families, roots, sketches, sets, rule)
     return components(stage(links.unionByName(found), "ngram-links"))
 
 
