@@ -392,9 +392,11 @@ def _sketches_allow(rule: Rule, n_a: int, x: bytes, n_b: int, y: bytes) -> bool:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of groups that span several components, with their component."""
+    """The members of groups that span several components, with their component. A group of two was one pair, which the hub
+    round has decided."""
     now = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    groups = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    groups = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where(
+        "x <> y and size > 2").select("sig")
     return now.join(groups, "sig")
 
 
