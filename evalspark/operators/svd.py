@@ -1,4 +1,10 @@
-"""Truncated SVD of sparse rows: a few passes over the rows, whatever their number."""
+"""Truncated SVD of sparse rows in four scans, whatever their number.
+
+Three scans multiply by A' A, first a random block and then what is new each time; the blocks together span a Krylov space, which
+holds the leading directions far better than the last block alone. Each task adds up the products of its rows, and
+the sums of all tasks are added block by block where they meet. The fourth scan measures the rows inside that space, which takes only a
+small square of sums, and turns it to its principal directions.
+"""
 
 from __future__ import annotations
 
@@ -15,12 +21,11 @@ from pyspark.sql import functions as F
 # The functions run inside tasks travel with them, so the package need not be installed on executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Dimensions kept, and the passes that sharpen the subspace.
-DIMENSIONS = 100
-PASSES = 6
-OVERSAMPLE = 10
+DIMENSIONS = 100  # a fixed value: dimensions kept
+OVERSAMPLE = 20  # columns of a block beyond the dimensions
+BLOCKS = 3  # blocks of the Krylov space, one scan each
 
-MAX_SIZE = 1 << 17  # columns: about 115 MB of doubles on the driver and in a task
+MAX_SIZE = 1 << 17  # columns: about 115 MB of floats on the driver and in a task
 BLOCK = 512  # columns of the matrix summed as one unit
 CHUNK = 10_000  # matrix entries worked on at once inside a task
 
@@ -39,9 +44,9 @@ def _products(indices: pd.Series, values: pd.Series, basis: np.ndarray) -> Itera
     while start < len(lengths):
         stop = max(int(np.searchsorted(ends, done + CHUNK, side="right")), start + 1)
         idx = np.concatenate(indices.iloc[start:stop].to_list()).astype(np.int64)
-        val = np.concatenate(values.iloc[start:stop].to_list())
+        val = np.concatenate(values.iloc[start:stop].to_list()).astype(basis.dtype)
         row = np.repeat(np.arange(stop - start), lengths[start:stop])
-        product = np.zeros((stop - start, basis.shape[1]))
+        product = np.zeros((stop - start, basis.shape[1]), basis.dtype)
         if len(idx):
             filled, sums = _sum_runs(row, val[:, None] * basis[idx])
             product[filled] = sums
@@ -52,74 +57,102 @@ def _products(indices: pd.Series, values: pd.Series, basis: np.ndarray) -> Itera
 SUMS = pa.schema([("block", pa.int64()), ("terms", pa.binary()), ("part", pa.binary())])
 
 
-def _partial_sums(entries: DataFrame, size: int, width: int) -> DataFrame:
-    """``entries`` in so many partitions that their partial sums together weigh about as much as the entries.
+def _spread(entries: DataFrame, size: int, width: int) -> DataFrame:
+    """``entries`` in as many partitions as there are cores, or as many as make their partial sums weigh about as much as the entries.
 
-    A task returns up to size x width numbers, whatever it has read, so more tasks would only make more to move.
+    A task returns up to size x width numbers, whatever it has read, so beyond that more tasks would only make more to move.
     """
     numbers = entries.agg(F.sum(F.size("indices"))).first()[0] or 0
-    wanted = max(1, 2 * numbers // (size * width))
-    return entries.coalesce(int(min(wanted, entries.rdd.getNumPartitions())))
+    wanted = max(entries.sparkSession.sparkContext.defaultParallelism, 2 * numbers // (size * width))
+    return entries.repartition(int(wanted)) if entries.rdd.getNumPartitions() < wanted else entries.coalesce(int(wanted))
 
 
-def _gram_times(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """(A' A) basis in one pass. Tasks add up blocks of columns, of which they return the touched ones; the blocks
-    of all tasks are added where they meet."""
-    spark = entries.sparkSession
-    shared = spark.sparkContext.broadcast(basis)
-    size, width = basis.shape
+def _added(entries: DataFrame, task, rows: int, width: int, block: int, dtype: type) -> np.ndarray:
+    """The sum of the matrices (rows x width) that ``task`` makes of the batches of each partition: it yields, per block of rows,
+    the touched ones. The blocks of all tasks are added where they meet."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        total, touched = np.zeros((size, width)), np.zeros(size, bool)
+        total, touched = np.zeros((rows, width), dtype), np.zeros(rows, bool)
         for batch in batches:
             frame = batch.to_pandas()
-            for idx, val, row, product in _products(frame["indices"], frame["values"], q):
-                if len(idx):
-                    order = np.argsort(idx, kind="stable")
-                    terms, sums = _sum_runs(idx[order], val[order, None] * product[row[order]])
-                    total[terms] += sums
-                    touched[terms] = True
-        for block in range(0, size, BLOCK):
-            terms = np.flatnonzero(touched[block : block + BLOCK]) + block
+            task(frame["indices"], frame["values"], total, touched)
+        for start in range(0, rows, block):
+            terms = np.flatnonzero(touched[start : start + block]) + start
             if len(terms):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([terms.tobytes()], pa.binary()), pa.array([total[terms].tobytes()], pa.binary())], schema=SUMS)
+                    [pa.array([start]), pa.array([terms.tobytes()], pa.binary()), pa.array([total[terms].tobytes()], pa.binary())], schema=SUMS)
 
     def added(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        total, touched = np.zeros((BLOCK, width)), np.zeros(BLOCK, bool)
-        for terms, part in zip(table.column("terms").to_pylist(), table.column("part").to_pylist()):
-            at = np.frombuffer(terms, np.int64) - block
-            total[at] += np.frombuffer(part).reshape(-1, width)
+        start = table.column("block")[0].as_py()
+        total, touched = np.zeros((block, width), dtype), np.zeros(block, bool)
+        for terms, part in zip(table.column("terms"), table.column("part")):
+            at = np.frombuffer(terms.as_buffer(), np.int64) - start
+            total[at] += np.frombuffer(part.as_buffer(), dtype).reshape(-1, width)
             touched[at] = True
         at = np.flatnonzero(touched)
-        return pa.table([[block], [(at + block).tobytes()], [total[at].tobytes()]], schema=SUMS)
+        return pa.table([[start], [(at + start).tobytes()], [total[at].tobytes()]], schema=SUMS)
 
     layout = "block long, terms binary, part binary"
     sums = entries.select("indices", "values").mapInArrow(partial, layout).groupBy("block").applyInArrow(added, layout)
-    out = np.zeros((size, width))
-    found = sums.toArrow()  # size x width numbers
+    out = np.zeros((rows, width), dtype)
+    found = sums.toArrow()  # rows x width numbers
     for terms, part in zip(found["terms"], found["part"]):
-        out[np.frombuffer(terms.as_buffer(), np.int64)] = np.frombuffer(part.as_buffer()).reshape(-1, width)
+        out[np.frombuffer(terms.as_buffer(), np.int64)] = np.frombuffer(part.as_buffer(), dtype).reshape(-1, width)
+    return out
+
+
+def _gram_times(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """(A' A) basis, in one scan."""
+    shared = entries.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
+
+    def task(indices: pd.Series, values: pd.Series, total: np.ndarray, touched: np.ndarray) -> None:
+        for idx, val, row, product in _products(indices, values, shared.value):
+            if len(idx):
+                order = np.argsort(idx, kind="stable")
+                terms, sums = _sum_runs(idx[order], val[order, None] * product[row[order]])
+                total[terms] += sums
+                touched[terms] = True
+
+    out = _added(entries, task, *basis.shape, BLOCK, np.float32)
+    shared.unpersist()
+    return out.astype(float)
+
+
+def _inner_gram(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """(A basis)' (A basis), in one scan; a small square, added up row by row."""
+    shared = entries.sparkSession.sparkContext.broadcast(basis)
+    width = basis.shape[1]
+
+    def task(indices: pd.Series, values: pd.Series, total: np.ndarray, touched: np.ndarray) -> None:
+        for _, _, _, product in _products(indices, values, shared.value):
+            total += product.T @ product
+            touched[:] = True
+
+    out = _added(entries, task, width, width, 1, float)
     shared.unpersist()
     return out
 
 
 def right_vectors(entries: DataFrame, size: int, dimensions: int = DIMENSIONS, seed: int = 42) -> np.ndarray:
-    """The leading right singular vectors (size x dimensions) of the rows, by subspace iteration.
+    """The leading right singular vectors (size x dimensions) of the rows.
 
-    The driver holds only size x dimensions numbers, and so does the broadcast; ``size`` is checked.
+    The driver holds size x 3 x (dimensions + 20) numbers, the broadcast of a scan a third of that; ``size`` is checked.
     """
     if size > MAX_SIZE:
         raise ValueError(f"{size} columns; hash them into at most {MAX_SIZE} first")
     width = min(dimensions + OVERSAMPLE, size)
-    entries = _partial_sums(entries, size, width)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
-    for _ in range(PASSES - 1):
-        basis = np.linalg.qr(_gram_times(entries, basis))[0]
-    _, rotate = np.linalg.eigh(basis.T @ _gram_times(entries, basis))
-    vectors = basis @ rotate[:, ::-1][:, : min(dimensions, width)]
+    entries = _spread(entries, size, width)
+    fresh, basis = np.random.default_rng(seed).standard_normal((size, width)), np.zeros((size, 0))
+    for _ in range(BLOCKS):
+        if basis.shape[1] >= size:
+            break
+        fresh = _gram_times(entries, fresh)
+        for _ in range(2):  # twice, since once leaves rounding behind
+            fresh -= basis @ (basis.T @ fresh)
+        fresh = np.linalg.qr(fresh[:, : size - basis.shape[1]])[0]
+        basis = np.hstack([basis, fresh])
+    _, rotate = np.linalg.eigh(_inner_gram(entries, basis))
+    vectors = basis @ rotate[:, ::-1][:, : min(dimensions, size)]
     # A fixed sign per direction makes the result repeatable.
     return vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
 

@@ -11,6 +11,18 @@ from evalspark.plans import catalog
 from evalspark.plans.catalog import DOC_QUALITY, IRIS
 
 
+@pytest.mark.parametrize("decay", [0.0, 0.5, 1.0])
+def test_svd_captures_the_energy_of_a_dense_one(spark, decay):
+    rng = np.random.default_rng(9)
+    dense = rng.random((600, 150)) * (rng.random((600, 150)) < 0.1) * (1 + np.arange(150)) ** -decay
+    rows = [(i, np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for i, r in enumerate(dense)]
+    entries = spark.createDataFrame(rows, "row_id long, indices array<int>, values array<double>").repartition(5)
+    vectors = svd.right_vectors(entries, 150, 10)
+    assert np.abs(vectors.T @ vectors - np.eye(10)).max() < 1e-9
+    best = (np.linalg.svd(dense, compute_uv=False)[:10] ** 2).sum()
+    assert ((dense @ vectors) ** 2).sum() >= 0.99 * best
+
+
 def test_svd_against_numpy(spark):
     rng = np.random.default_rng(1)
     dense = rng.normal(size=(60, 8)) @ rng.normal(size=(8, 40)) * (rng.random((60, 40)) < 0.4)
