@@ -14,17 +14,19 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.scalars import argmax_label
-from evalspark.operators import tfidf
+from evalspark.operators import linear, tfidf
 from evalspark.operators.metrics import metrics
 from evalspark.operators.sampling import FOLDS, stratified_folds
+from evalspark.operators.svd import project
 from evalspark.operators.tabular import Standardiser, fit_standardiser, ordinal_codes, vector_width, with_ordinal_code
 from evalspark.plans.task import Task
 from evalspark.session import stage
@@ -33,7 +35,7 @@ from evalspark.session import stage
 # Terms are hashed into this many positions, so that no term is dropped and a model stays bounded.
 WIDTH = 1 << 18
 # Limits of the optimisers, far beyond what they need as a rule.
-TEXT_ITERATIONS, NUMERIC_ITERATIONS, STAGE2_ITERATIONS = 2000, 1000, 1000
+NUMERIC_ITERATIONS, STAGE2_ITERATIONS = 1000, 1000
 
 
 class Scoring(Protocol):
@@ -111,26 +113,34 @@ class TextVectors:
         model = tfidf.fit_tfidf(train, text, **options)
         return TextVectors(model, *tfidf.placed_terms(model.vocabulary, width))
 
-    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return tfidf.to_vectors(self.model, self.numbered, self.size, df, keep).vectors()
+    def entries(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        return tfidf.to_vectors(self.model, self.numbered, self.size, df, keep).entries(keep)
 
 
 @dataclass(frozen=True)
 class _TextScoring:
     task: Task
     vectors: TextVectors
-    model: Model
-    column: str
+    coefficients: np.ndarray  # terms and, last, intercepts x classes
     probabilistic: bool
 
     def score(self, df: DataFrame) -> DataFrame:
-        return _scored(self.task, self.model.transform(self.vectors.transform(df)), self.column)
+        margins = project(self.vectors.entries(df), self.coefficients[:-1])
+        z = [F.col("features")[i] + F.lit(float(x)) for i, x in enumerate(self.coefficients[-1])]
+        if not self.probabilistic:
+            raw = F.array(*z)
+        elif len(z) == 1:
+            raw = F.array(1 / (1 + F.exp(z[0])), 1 / (1 + F.exp(-z[0])))
+        else:
+            odds = F.transform(F.array(*z), lambda x: F.exp(x - F.greatest(*z)))
+            raw = F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, y: a + y))
+        scored = margins.select("row_id", raw.alias("raw"))
+        return scored.select("row_id", argmax_label([F.col("raw")[i] for i in range(len(self.task.labels))], self.task.labels).alias("pred"), "raw")
 
 
-def _labelled(task: Task, vectors: TextVectors, train: DataFrame) -> DataFrame:
-    """Vectors and label positions of the training rows; a staged table, so nothing needs to be kept in memory."""
-    marked = train.select("*", label_index(task).alias("_position"))
-    return vectors.transform(marked, keep=["_position"]).withColumnRenamed("_position", "label")
+def _fit_linear(task: Task, train: DataFrame, vectors: TextVectors, loss: str, c: float, classes: int, **options) -> np.ndarray:
+    entries = vectors.entries(train.select("*", label_index(task).alias("_class")), keep=["_class"])
+    return linear.fit(entries.withColumnRenamed("_class", "label"), vectors.size, classes, loss, c, **options)
 
 
 def _warn_if_cut(model: Model, what: str) -> Model:
@@ -152,37 +162,30 @@ class TextLogistic(TextBaseline):
     bigrams: bool = True
     min_df: int = 2
     width: int = WIDTH
-    max_iter: int = TEXT_ITERATIONS
+    tol: float = 1e-4
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
         train = self.prepare(task, train)
-        vectors = TextVectors.fit(
-            train, task.text, self.width, bigrams=self.bigrams, min_df=self.min_df
-        )
-        rows = _labelled(task, vectors, train)
-        model = _warn_if_cut(logistic(self.c, rows.count(), self.max_iter).fit(rows), "logistic regression")
-        return _TextScoring(task, vectors, model, "probability", True)
+        vectors = TextVectors.fit(train, task.text, self.width, bigrams=self.bigrams, min_df=self.min_df)
+        loss, classes = ("log", 1) if len(task.labels) == 2 else ("softmax", len(task.labels))
+        return _TextScoring(task, vectors, _fit_linear(task, train, vectors, loss, self.c, classes, tol=self.tol), True)
 
 
 @dataclass(frozen=True)
 class TextSvm(TextBaseline):
-    """Linear support vector machine, one against the rest, on TF-IDF of words."""
+    """Linear support vector machine, one against the rest, on TF-IDF of words: squared hinge loss, whose sum ``c``
+    weighs; intercepts count as coefficients of a column of ones."""
 
     c: float = 1.0
     min_df: int = 2
     width: int = WIDTH
-    max_iter: int = 1000
     tol: float = 1e-4
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
         train = self.prepare(task, train)
         vectors = TextVectors.fit(train, task.text, self.width, min_df=self.min_df)
-        rows = _labelled(task, vectors, train)
-        svm = LinearSVC(
-            regParam=1.0 / (self.c * rows.count()), standardization=False, maxIter=self.max_iter, tol=self.tol
-        )
-        model = _warn_if_cut(OneVsRest(classifier=svm, parallelism=4).fit(rows), "support vector machine")
-        return _TextScoring(task, vectors, model, "rawPrediction", False)
+        found = _fit_linear(task, train, vectors, "squared_hinge", self.c, len(task.labels), free_intercept=False, tol=self.tol)
+        return _TextScoring(task, vectors, found, False)
 
 
 def logistic(c: float, n: int, max_iter: int = STAGE2_ITERATIONS) -> LogisticRegression:

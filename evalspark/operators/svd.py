@@ -18,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.sums import added, sum_runs
+
 # The functions run inside tasks travel with them, so the package need not be installed on executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,12 +32,6 @@ BLOCK = 512  # columns of the matrix summed as one unit
 CHUNK = 10_000  # matrix entries worked on at once inside a task
 
 
-def _sum_runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of a sorted key list, and the sum of the rows of each."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[starts], np.add.reduceat(rows, starts, axis=0)
-
-
 def _products(indices: pd.Series, values: pd.Series, basis: np.ndarray) -> Iterator[tuple]:
     """Per chunk of rows: (flat indices, flat values, row number of each entry, rows x basis)."""
     lengths = indices.str.len().to_numpy()
@@ -48,15 +44,12 @@ def _products(indices: pd.Series, values: pd.Series, basis: np.ndarray) -> Itera
         row = np.repeat(np.arange(stop - start), lengths[start:stop])
         product = np.zeros((stop - start, basis.shape[1]), basis.dtype)
         if len(idx):
-            filled, sums = _sum_runs(row, val[:, None] * basis[idx])
+            filled, sums = sum_runs(row, val[:, None] * basis[idx])
             product[filled] = sums
         yield idx, val, row, product
         start, done = stop, ends[stop - 1]
 
 
-SUMS = pa.schema([("block", pa.int64()), ("terms", pa.binary()), ("part", pa.binary())])
-
-
 def _spread(entries: DataFrame, size: int, width: int) -> DataFrame:
     """``entries`` in as many partitions as there are cores, or as many as make their partial sums weigh about as much as the entries.
 
@@ -67,53 +60,24 @@ def _spread(entries: DataFrame, size: int, width: int) -> DataFrame:
     return entries.repartition(int(wanted)) if entries.rdd.getNumPartitions() < wanted else entries.coalesce(int(wanted))
 
 
-def _added(entries: DataFrame, task, rows: int, width: int, block: int, dtype: type) -> np.ndarray:
-    """The sum of the matrices (rows x width) that ``task`` makes of the batches of each partition: it yields, per block of rows,
-    the touched ones. The blocks of all tasks are added where they meet."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, touched = np.zeros((rows, width), dtype), np.zeros(rows, bool)
-        for batch in batches:
-            frame = batch.to_pandas()
-            task(frame["indices"], frame["values"], total, touched)
-        for start in range(0, rows, block):
-            terms = np.flatnonzero(touched[start : start + block]) + start
-            if len(terms):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([start]), pa.array([terms.tobytes()], pa.binary()), pa.array([total[terms].tobytes()], pa.binary())], schema=SUMS)
-
-    def added(table: pa.Table) -> pa.Table:
-        start = table.column("block")[0].as_py()
-        total, touched = np.zeros((block, width), dtype), np.zeros(block, bool)
-        for terms, part in zip(table.column("terms"), table.column("part")):
-            at = np.frombuffer(terms.as_buffer(), np.int64) - start
-            total[at] += np.frombuffer(part.as_buffer(), dtype).reshape(-1, width)
-            touched[at] = True
-        at = np.flatnonzero(touched)
-        return pa.table([[start], [(at + start).tobytes()], [total[at].tobytes()]], schema=SUMS)
-
-    layout = "block long, terms binary, part binary"
-    sums = entries.select("indices", "values").mapInArrow(partial, layout).groupBy("block").applyInArrow(added, layout)
-    out = np.zeros((rows, width), dtype)
-    found = sums.toArrow()  # rows x width numbers
-    for terms, part in zip(found["terms"], found["part"]):
-        out[np.frombuffer(terms.as_buffer(), np.int64)] = np.frombuffer(part.as_buffer(), dtype).reshape(-1, width)
-    return out
+def _columns(batch: pa.RecordBatch) -> tuple[pd.Series, pd.Series]:
+    frame = batch.to_pandas()
+    return frame["indices"], frame["values"]
 
 
 def _gram_times(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
     """(A' A) basis, in one scan."""
     shared = entries.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
 
-    def task(indices: pd.Series, values: pd.Series, total: np.ndarray, touched: np.ndarray) -> None:
-        for idx, val, row, product in _products(indices, values, shared.value):
+    def task(batch: pa.RecordBatch, total: np.ndarray, touched: np.ndarray) -> None:
+        for idx, val, row, product in _products(*_columns(batch), shared.value):
             if len(idx):
                 order = np.argsort(idx, kind="stable")
-                terms, sums = _sum_runs(idx[order], val[order, None] * product[row[order]])
+                terms, sums = sum_runs(idx[order], val[order, None] * product[row[order]])
                 total[terms] += sums
                 touched[terms] = True
 
-    out = _added(entries, task, *basis.shape, BLOCK, np.float32)
+    out = added(entries.select("indices", "values"), task, *basis.shape, BLOCK, np.float32)
     shared.unpersist()
     return out.astype(float)
 
@@ -123,12 +87,12 @@ def _inner_gram(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
     shared = entries.sparkSession.sparkContext.broadcast(basis)
     width = basis.shape[1]
 
-    def task(indices: pd.Series, values: pd.Series, total: np.ndarray, touched: np.ndarray) -> None:
-        for _, _, _, product in _products(indices, values, shared.value):
+    def task(batch: pa.RecordBatch, total: np.ndarray, touched: np.ndarray) -> None:
+        for _, _, _, product in _products(*_columns(batch), shared.value):
             total += product.T @ product
             touched[:] = True
 
-    out = _added(entries, task, width, width, 1, float)
+    out = added(entries.select("indices", "values"), task, width, width, 1, float)
     shared.unpersist()
     return out
 

@@ -245,9 +245,9 @@ class TermVectors:
     def vectors(self) -> DataFrame:
         return self._read(VectorUDT())
 
-    def entries(self) -> DataFrame:
-        """row_id, indices, values."""
-        return self._read(VectorUDT.sqlType()).select("row_id", "features.indices", "features.values")
+    def entries(self, keep: Sequence[str] = ()) -> DataFrame:
+        """row_id, indices, values, and kept columns."""
+        return self._read(VectorUDT.sqlType()).select("row_id", "features.indices", "features.values", *keep)
 
 
 def to_vectors(model: TfidfModel, numbered: DataFrame, size: int, rows: DataFrame, keep: Sequence[str] = ()) -> TermVectors:
