@@ -8,11 +8,6 @@ from pyspark.sql import types as T
 
 from evalspark.functions.text import truncate
 
-# A state over 700 characters is not "short"; strings in examples are cut at 600.
-SHORT_STATE = 700
-EXAMPLE_TEXT = 600
-
-
 def state_json(state: Column) -> Column:
     """Compact JSON of a state; absent values stay as nulls."""
     return F.to_json(state, {"ignoreNullFields": "false"})
@@ -22,12 +17,15 @@ def state_size(state: Column) -> Column:
     return F.length(state_json(state))
 
 
-def is_short(state: Column, limit: int = SHORT_STATE) -> Column:
-    return state_size(state) <= limit
+def is_short(state: Column, limit: int | None) -> Column:
+    """Whether the JSON of a state has at most ``limit`` characters; without a limit every state is short."""
+    return F.lit(True) if limit is None else state_size(state) <= limit
 
 
-def shorten(state: Column, dtype: T.DataType, limit: int = EXAMPLE_TEXT) -> Column:
-    """Cut every string of a nested state, at any depth of structs, to ``limit`` characters."""
+def shorten(state: Column, dtype: T.DataType, limit: int | None) -> Column:
+    """Cut every string of a nested state, at any depth of structs, to ``limit`` characters; without a limit nothing is cut."""
+    if limit is None:
+        return state
     if isinstance(dtype, T.StringType):
         return truncate(state, limit)
     if isinstance(dtype, T.StructType):

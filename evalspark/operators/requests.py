@@ -18,7 +18,7 @@ KEY_SEPARATOR = "\u0001"
 
 
 def fewshot_criteria(task: Task, shots: DataFrame, order: str = "row_id") -> DataFrame:
-    """One row per criterion: its description and the shortened states of its examples.
+    """One row per criterion: its description and the states of its examples, shortened if the task says so.
 
     ``shots`` is a selection of a few rows per label, so its lists are short. A criterion without
     a shot keeps an empty list.
@@ -30,7 +30,7 @@ def fewshot_criteria(task: Task, shots: DataFrame, order: str = "row_id") -> Dat
         task.criterion_key(F.col("label")).alias("criterion"), F.col(order).alias("place"),
         task.state().alias("state"),
     )
-    short = states.shorten(F.col("state"), stated.schema["state"].dataType)
+    short = states.shorten(F.col("state"), stated.schema["state"].dataType, task.example_text)
     lists = stated.select("criterion", "place", states.state_json(short).alias("state")).groupBy("criterion").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "state"))), lambda s: s["state"]).alias("examples")
     )

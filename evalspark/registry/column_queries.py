@@ -13,7 +13,7 @@ from evalspark.plans import catalog
 from evalspark.plans.catalog import DOC_LANG, DOC_QUALITY, ORDER_STATUS
 from evalspark.registry import judges, sql
 from evalspark.registry.base import query
-from evalspark.registry.sampling_queries import K_OF_EACH, SHORT_DOC, lang_train
+from evalspark.registry.sampling_queries import K_OF_EACH, LIMITED_LANG, SHORT_DOC, lang_train
 from evalspark.session import new_path
 from evalspark.sources import tables
 
@@ -116,7 +116,7 @@ def state_json(spark, folder):
 
 @query("short_flag", f"SELECT row_id, {SHORT_DOC} AS short FROM {sql.DOCS}")
 def short_flag(spark, folder):
-    return catalog.doc_lang_rows(spark, folder).select("row_id", DOC_LANG.is_short().alias("short"))
+    return catalog.doc_lang_rows(spark, folder).select("row_id", LIMITED_LANG.is_short().alias("short"))
 
 
 @query(
@@ -130,7 +130,7 @@ def truncate_state(spark, folder):
     )
 
 
-SHORT_TEXT = sql.shortened("text", 600)
+SHORT_TEXT = sql.shortened("text", LIMITED_LANG.example_text)
 
 
 @query(
@@ -141,7 +141,7 @@ def shorten_example(spark, folder):
     docs = tables.load(spark, folder, "documents")
     nested = F.struct("text", F.struct("source", "n_chars").alias("origin"))
     packed = docs.select("doc_id", nested.alias("state"))
-    short = states.shorten(F.col("state"), packed.schema["state"].dataType)
+    short = states.shorten(F.col("state"), packed.schema["state"].dataType, LIMITED_LANG.example_text)
     return packed.select("doc_id", states.state_json(short).alias("state"))
 
 
@@ -198,8 +198,8 @@ SELECT criterion, description, coalesce(examples, '') AS examples FROM ({CRITERI
  FROM shots GROUP BY label) USING (criterion)""",
 )
 def fewshot_criteria(spark, folder):
-    shots = sampling.shots_k(lang_train(spark, folder), list(DOC_LANG.labels), 3, DOC_LANG.is_short())
-    lists = reqs.fewshot_criteria(DOC_LANG, shots)
+    shots = sampling.shots_k(lang_train(spark, folder), list(DOC_LANG.labels), 3, LIMITED_LANG.is_short())
+    lists = reqs.fewshot_criteria(LIMITED_LANG, shots)
     return lists.select("criterion", "description", F.array_join("examples", "\n").alias("examples"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from evalspark.operators import metrics, sampling
@@ -10,7 +12,9 @@ from evalspark.plans.catalog import DOC_LANG
 from evalspark.registry import sql
 from evalspark.registry.base import query
 
-SHORT_DOC = "length(to_json({'article': text})) <= 700"
+# Fixed values of the judge limits: a state over 700 characters is not short; strings in examples are cut at 600.
+LIMITED_LANG = dataclasses.replace(DOC_LANG, short_state=700, example_text=600)
+SHORT_DOC = f"length(to_json({{'article': text}})) <= {LIMITED_LANG.short_state}"
 
 
 def lang_split(spark, folder, scored_n=None):
@@ -63,7 +67,7 @@ K_OF_EACH = "(SELECT DISTINCT label, 3 AS k FROM base_rows)"
 )
 def shots_k(spark, folder):
     train = lang_train(spark, folder)
-    return sampling.shots_k(train, list(DOC_LANG.labels), 3, DOC_LANG.is_short()).select("row_id", "label")
+    return sampling.shots_k(train, list(DOC_LANG.labels), 3, LIMITED_LANG.is_short()).select("row_id", "label")
 
 
 @query(
@@ -77,7 +81,7 @@ def shots_matched(spark, folder):
     train = lang_train(spark, folder)
     sources = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("row_id"), "source")
     reference = train.join(sources, "row_id").groupBy("label", "source").agg(F.min("row_id").alias("row_id"))
-    chosen = sampling.shots_matched(train, reference, list(DOC_LANG.labels), DOC_LANG.is_short())
+    chosen = sampling.shots_matched(train, reference, list(DOC_LANG.labels), LIMITED_LANG.is_short())
     return chosen.select("row_id", "label")
 
 
