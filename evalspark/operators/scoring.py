@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import pandas as pd
@@ -31,6 +31,14 @@ class Scorer(Protocol):
     def score(self, requests: DataFrame) -> DataFrame: ...
 
 
+class Model(Protocol):
+    """A fitted baseline: ``raw`` holds one value per label of the task."""
+
+    probabilistic: bool
+
+    def score(self, df: DataFrame) -> DataFrame: ...
+
+
 class ColumnScorer:
     """A judge made of column expressions over ``state_json``, given by record field."""
 
@@ -70,6 +78,35 @@ class BatchScorer:
         return requests.mapInPandas(run, RECORD)
 
 
+class ModelScorer:
+    """A judge made of a fitted baseline: states are decoded by schema and scored by the model, without a row leaving Spark.
+
+    ``schema`` is the layout of the states and ``columns`` names the state field behind each column that the model reads. A binary task
+    needs a model with probabilities. A state that is no such JSON gives an error record.
+    """
+
+    def __init__(self, task: Task, model: Model, schema: str, columns: Mapping[str, str]) -> None:
+        if task.is_binary and not model.probabilistic:
+            raise ValueError("a binary judge needs a model with probabilities")
+        self.task, self.model, self.schema, self.columns = task, model, schema, dict(columns)
+
+    def score(self, requests: DataFrame) -> DataFrame:
+        state = F.from_json("state_json", f"{self.schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+        unreadable = F.col("_state").isNull() | F.col("_state._corrupt").isNotNull()
+        fields = [F.col(f"_state.{field}").alias(name) for name, field in self.columns.items()]
+        rows = stage(requests.select("request_key", "model", state.alias("_state")).select(
+            F.col("request_key").alias("row_id"), "model", *fields, unreadable.alias("_unreadable")), "model-requests")
+        raw = F.col("raw")
+        if self.task.is_binary:
+            answer = [raw[1].alias("p_yes")]
+        else:
+            answer = [F.col("pred").alias("choice"), *([F.array_max(raw).alias("confidence")] if self.model.probabilistic else [])]
+        scored = self.model.score(rows.where("not _unreadable").drop("_unreadable", "model")).select("row_id", *answer)
+        joined = rows.select("row_id", "model", "_unreadable").join(scored, "row_id", "left")
+        error = F.when(F.col("_unreadable"), F.lit("state cannot be read"))
+        return as_records(joined.select(F.col("row_id").alias("request_key"), "model", *[c for c in scored.columns if c != "row_id"], error.alias("error")))
+
+
 def missing_requests(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Requests without a stored answer."""
     return requests.join(store.select("request_key"), "request_key", "left_anti")

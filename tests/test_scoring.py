@@ -206,3 +206,27 @@ def test_stream_scores_new_files_only(spark):
     rows(spark, ["good text", "new text"]).write.mode("append").parquet(source)
     assert run() == 4
     assert answers.read_answers(spark, store).count() == 4
+
+
+def test_a_fitted_model_as_judge(spark):
+    class ByLength:
+        """P(long) grows with the text; a null text is short."""
+
+        probabilistic = True
+
+        def score(self, df):
+            p = F.least(F.coalesce(F.length("text"), F.lit(0)) / 10.0, F.lit(1.0))
+            return df.select("row_id", F.when(p >= 0.5, "1").otherwise("0").alias("pred"), F.array(1 - p, p).alias("raw"))
+
+    states = [("a", '{"document":"xxxxxxxx","other":1}'), ("b", '{"document":"xx"}'), ("c", '{"document":null}'), ("d", "{broken"), ("e", None)]
+    requests = spark.createDataFrame([(k, "m", s) for k, s in states], "request_key string, model string, state_json string")
+    judge = scoring.ModelScorer(DOC_QUALITY, ByLength(), "document string", {"text": "document"})
+    got = {r["request_key"]: (r["p_yes"], r["error"]) for r in judge.score(requests).collect()}
+    assert got == {"a": (0.8, None), "b": (0.2, None), "c": (0.0, None), "d": (None, "state cannot be read"), "e": (None, "state cannot be read")}
+    judge = scoring.ModelScorer(DOC_LANG, ByLength(), "article string", {"text": "article"})
+    (row,) = judge.score(requests.where("request_key = 'a'").selectExpr("request_key", "model", "replace(state_json, 'document', 'article') AS state_json")).collect()
+    assert row["choice"] == "1" and row["confidence"] == 0.8
+    margins = ByLength()
+    margins.probabilistic = False
+    with pytest.raises(ValueError):
+        scoring.ModelScorer(DOC_QUALITY, margins, "document string", {"text": "document"})
