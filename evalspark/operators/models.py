@@ -15,15 +15,14 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Model
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.scalars import argmax_label
-from evalspark.operators import linear, tfidf
+from evalspark.functions.scalars import argmax_label, null_if_nan
+from evalspark.operators import boosting, linear, tfidf
 from evalspark.operators.metrics import metrics
 from evalspark.operators.sampling import FOLDS, stratified_folds
 from evalspark.operators.svd import project
@@ -200,37 +199,29 @@ def logistic(c: float, n: int, max_iter: int = STAGE2_ITERATIONS) -> LogisticReg
 class TableBoosting(Prepared):
     """Gradient-boosted trees on numbers and ordinal category codes.
 
-    A category that is missing or was not seen in training gets code -1. A missing number gets a
-    value below all others plus a flag column, since the trees take no missing values.
+    Missing numbers, and categories that are missing or were not seen in training, are bins of their own, whose side
+    every split learns. A category column with more categories than bins shares bins between neighbours in the order of the codes.
     """
 
     iterations: int = 100
     depth: int = 5
     step: float = 0.1
-    seed: int = 42
-    max_bins: int = 64
-    missing: float = -1e9
+    min_rows: int = 20
 
     def fit(self, task: Task, train: DataFrame) -> Scoring:
         rows = stage(task.prepare(train), "boosting-rows") if task.categorical else task.prepare(train)
         codes = {c: stage(ordinal_codes(rows, c), "ordinal-codes") for c in task.categorical}
-        frame = self._frame(task, rows, codes).withColumn("label", label_index(task)).persist()
-        boosting = GBTClassifier(
-            maxIter=self.iterations, maxDepth=self.depth, stepSize=self.step, seed=self.seed, maxBins=self.max_bins
-        )
-        model = (boosting if task.is_binary else OneVsRest(classifier=boosting)).fit(frame)
-        frame.unpersist()
-        return _BoostingScoring(task, self, codes, model, task.is_binary)
+        frame = self._frame(task, rows, codes).withColumn("label", label_index(task))
+        model = boosting.fit(frame, len(codes) + len(task.numeric), len(task.labels), range(len(codes)), self.iterations, self.depth, self.step,
+                             min_rows=self.min_rows)
+        return _BoostingScoring(task, self, codes, model)
 
     def _frame(self, task: Task, rows: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
         for c, table in codes.items():
             rows = with_ordinal_code(rows, table, c, f"_code_{c}")
-        for c in task.numeric:
-            rows = rows.withColumn(f"_num_{c}", F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(self.missing)))
-            rows = rows.withColumn(f"_gap_{c}", (F.col(f"_num_{c}") == self.missing).cast("double"))
-        parts = [f"_code_{c}" for c in task.categorical]
-        parts += [f"_num_{c}" for c in task.numeric] + [f"_gap_{c}" for c in task.numeric]
-        return VectorAssembler(inputCols=parts, outputCol="features").transform(rows)
+        parts = [F.when(F.col(f"_code_{c}") >= 0, F.col(f"_code_{c}").cast("double")) for c in task.categorical]
+        parts += [null_if_nan(F.col(c).cast("double")) for c in task.numeric]
+        return rows.withColumn("features", F.array(*parts))
 
 
 @dataclass(frozen=True)
@@ -238,14 +229,15 @@ class _BoostingScoring:
     task: Task
     baseline: TableBoosting
     codes: dict[str, DataFrame]  # per column, a table of categories and their codes
-    model: Model
-    probabilistic: bool
+    model: boosting.Boosted
+    probabilistic: bool = True
 
     def score(self, df: DataFrame) -> DataFrame:
         rows = self.task.prepare(df)
         frame = self.baseline._frame(self.task, stage(rows, "boosting-rows") if self.codes else rows, self.codes)
-        column = "probability" if self.probabilistic else "rawPrediction"
-        return _scored(self.task, self.model.transform(frame), column)
+        scored = self.model.probabilities(frame)
+        best = argmax_label([F.col("raw")[i] for i in range(len(self.task.labels))], self.task.labels)
+        return scored.select("row_id", best.alias("pred"), "raw")
 
 
 @dataclass(frozen=True)
