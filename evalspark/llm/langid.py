@@ -10,15 +10,16 @@ the winner in the probabilities of one byte (mean code length as the exponent, o
 ``EVIDENCE`` bytes, so that long texts do not all score 1).
 
 The trees are learned from a bounded sample of labelled rows: per language at most
-``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes, taken in hash order. A text longer than one part in
-``SHARES`` of the bytes takes part with its beginning of that length, so that no text uses up the bytes of
-the others. Code lengths of all
+``SAMPLE_ROWS`` distinct rows and ``SAMPLE_BYTES`` bytes, taken in hash order. A text longer than one part in
+``SHARES`` of the bytes takes part with ``STRETCHES`` stretches of that length in sum, spread from its beginning to its end,
+so that no text uses up the bytes of the others. Rows of equal id and text count once. Code lengths of all
 languages are laid out per context order as sorted tables, so that a batch of texts is scored
 with a few vector look-ups per byte.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, and so is every text
 when no labelled row exists; rows whose label is null are not learned from; an empty table gives an
-empty result; equally short codes go to the language first in code-point order.
+empty result; equally short codes go to the language first in code-point order; repeated rows are predicted one by one;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ ORDER = 4  # bytes of the longest context
 SAMPLE_ROWS = 400  # per language
 SAMPLE_BYTES = 400_000  # per language
 SHARES = 20  # a text takes at most SAMPLE_BYTES / SHARES
+STRETCHES = 10  # parts of a text that is longer
 EVIDENCE = 32
 UNKNOWN = "und"
 
@@ -182,16 +184,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """Labelled rows to learn from: per language the first ``rows`` in hash order, up to ``size`` bytes in sum; of a long
-    text the beginning. Ranks move ids only; Spark keeps the first ``rows`` per task before the shuffle."""
-    learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    """Labelled rows to learn from: per language the first ``rows`` distinct ones (id and text) in hash order, up to ``size`` bytes in sum;
+    of a long text stretches from its beginning to its end. Ranks move ids and hashes only, and copies meet in the tasks first;
+    Spark keeps the first ``rows`` per task before the shuffle by language."""
+    learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_key", F.xxhash64("doc_id", "text"))
+    order = Window.partitionBy("lang").orderBy("_hash", "doc_id", "_key")
     taken = F.least(F.octet_length("text"), F.lit(_share(size)))
-    picked = (learn.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash"), taken.alias("_size"))
+    picked = (learn.groupBy("doc_id", "lang", "_key").agg(F.first(taken).alias("_size")).withColumn("_hash", F.xxhash64("doc_id"))
               .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)
               .withColumn("_sum", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= size))
-    return learn.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select(
-        "lang", F.substring("text", 1, _share(size)).alias("text"))
+    found = learn.join(F.broadcast(picked.select("doc_id", "lang", "_key")), ["doc_id", "lang", "_key"], "left_semi")
+    return found.select("doc_id", "lang", "_key", _stretches(_share(size)).alias("text")).dropDuplicates(["doc_id", "lang", "_key"]).select("lang", "text")
+
+
+def _stretches(share: int) -> Column:
+    """A text of at most ``share`` bytes; of a longer one STRETCHES parts, evenly spread, that have about as many bytes in sum."""
+    length = F.length("text")
+    part = F.greatest(F.lit(1), (F.lit(share // STRETCHES) * length / F.octet_length("text")).cast("int") - 1)
+    starts = [1 + (F.lit(i) * (length - part) / max(1, STRETCHES - 1)).cast("int") for i in range(STRETCHES)]
+    return F.when(F.octet_length("text") <= share, F.col("text")).otherwise(
+        F.concat_ws("\n", *[F.substr(F.col("text"), start, part) for start in starts]))
 
 
 def _share(size: int) -> int:

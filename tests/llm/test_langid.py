@@ -79,3 +79,21 @@ def test_long_rows_leave_room_for_the_others(spark):
         assert len(found) == len(ids) and sum(t.startswith("short") for t in found) == len(ids) - len(places)
         assert sum(len(t) for t in found) <= langid.SAMPLE_BYTES
     assert langid.learn(docs).langs == ["en"]
+
+
+def test_repeated_ids_keep_the_sample_within_its_bound(spark):
+    same = spark.range(5000).selectExpr("1L doc_id", "'one text' text", "'en' lang")
+    ids = spark.range(5000).selectExpr("1L doc_id", "concat('text ', id) text", "'fr' lang")
+    found = langid.training_sample(same.unionByName(ids)).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in found} == {"en": 1, "fr": langid.SAMPLE_ROWS}
+
+
+def test_long_texts_are_learned_from_end_to_end(spark):
+    text = "".join(f"{n:06d} " for n in range(50_000))
+    docs = spark.createDataFrame([(1, text, "en"), (4, "é" * 100_000, "fr")], "doc_id bigint, text string, lang string")
+    found = {r["lang"]: r["text"] for r in langid.training_sample(docs).collect()}
+    share = langid.SAMPLE_BYTES // langid.SHARES
+    assert all(0.9 * share < len(t.encode()) <= share for t in found.values())
+    parts = found["en"].split("\n")
+    assert len(parts) == langid.STRETCHES and all(p in text for p in parts)
+    assert text.startswith(parts[0]) and text.endswith(parts[-1])
