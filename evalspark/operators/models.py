@@ -89,6 +89,11 @@ class NaiveBayes(TextBaseline):
         rows = train.withColumn("label", F.col("label").cast("string"))
         return _NaiveBayesScoring(tfidf.fit_naive_bayes(rows, task.labels, task.text, alpha=self.alpha))
 
+    def out_of_fold(self, task: Task, folded: DataFrame, folds: int) -> tuple[DataFrame, bool]:
+        """All folds from the same counts, the fold's own taken off."""
+        rows = self.prepare(task, folded).withColumn("label", F.col("label").cast("string"))
+        return tfidf.out_of_fold(rows, task.labels, folds, task.text, alpha=self.alpha), True
+
 
 @dataclass(frozen=True)
 class _NaiveBayesScoring:
@@ -311,17 +316,26 @@ def evaluate_baseline(task: Task, split: DataFrame, baseline: Baseline | None =
     return metrics(both, task.labels, task.positive, by=["field"]), seconds
 
 
+def refitted_scores(task: Task, folded: DataFrame, baseline: Baseline, folds: int) -> tuple[DataFrame, bool]:
+    """The whole baseline, vocabulary included, is fitted again for every fold."""
+    parts = []
+    for i in range(folds):
+        model = baseline.fit(task, folded.where(F.col("fold") != i))
+        scored = model.score(folded.where(F.col("fold") == i))
+        parts.append(scored.select("row_id", F.lit(i).alias("fold"), "raw"))
+    return functools.reduce(DataFrame.unionByName, parts), model.probabilistic
+
+
 def oof_scores(task: Task, train: DataFrame, baseline: Baseline | None = None, folds: int = FOLDS) -> tuple[DataFrame, bool]:
     """row_id, fold, raw: every training row scored by a model that did not see it.
 
-    The whole baseline, vocabulary included, is fitted again for every fold. Also says whether the
-    scores are probabilities.
+    A baseline that can take a fold out of its counts (``out_of_fold``) does so; any other is fitted once per fold.
+    Also says whether the scores are probabilities.
     """
     baseline = baseline or task.baseline
     folded = baseline.prepare(task, stratified_folds(train, folds=folds))
-    parts = []
-    for i in range(folds):
-        model = baseline.fit(task, folded.where(F.col("fold") != i))
-        scored = model.score(folded.where(F.col("fold") == i))
-        parts.append(scored.select("row_id", F.lit(i).alias("fold"), "raw"))
-    return stage(functools.reduce(DataFrame.unionByName, parts), "oof-scores"), model.probabilistic
+    if hasattr(baseline, "out_of_fold"):
+        scores, probabilistic = baseline.out_of_fold(task, folded, folds)
+    else:
+        scores, probabilistic = refitted_scores(task, folded, baseline, folds)
+    return stage(scores, "oof-scores"), probabilistic

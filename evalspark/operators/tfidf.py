@@ -166,13 +166,16 @@ class NaiveBayesModel:
             "row_id", *[s.alias(f"_score_{i}") for i, s in enumerate(scores)]
         )
         names = [f"_score_{i}" for i in range(len(self.labels))]
-        top = F.greatest(*names)
-        exps = [F.exp(F.col(c) - top) for c in names]
-        total = sum(exps[1:], exps[0])
         return scored.select(
-            "row_id", argmax_label([F.col(c) for c in names], self.labels).alias("pred"),
-            F.array(*[e / total for e in exps]).alias("probabilities"),
-        )
+            "row_id", argmax_label([F.col(c) for c in names], self.labels).alias("pred"), _probabilities(names).alias("probabilities"))
+
+
+def _probabilities(names: Sequence[str]) -> Column:
+    """The columns, joint log scores, as an array of probabilities."""
+    top = F.greatest(*names)
+    exps = [F.exp(F.col(c) - top) for c in names]
+    total = sum(exps[1:], exps[0])
+    return F.array(*[e / total for e in exps])
 
 
 def fit_naive_bayes(
@@ -200,6 +203,63 @@ def fit_naive_bayes(
     return NaiveBayesModel(tfidf, labels, terms, prior)
 
 
+def out_of_fold(
+    rows: DataFrame, labels: Sequence[str], folds: int, text: str = "text", label: str = "label", alpha: float = ALPHA,
+) -> DataFrame:
+    """row_id, fold, raw: the class probabilities of every row by the naive Bayes model of the other folds.
+
+    Document frequencies are counted once, per term and fold; the model of a fold knows the total less the fold, its vocabulary
+    included. The weights of a row change with the model only by the row's length and by idf, which is the same for all rows of a
+    term. So one sum per term, model and class of what rows hold before idf gives all models, and the number of scans does
+    not grow with the folds. Rows without a fold take no part.
+    """
+    rows = with_counts(rows, text, keep=[label, "fold"]).where("fold IS NOT NULL")
+    models, classes = range(folds), range(len(labels))
+    tally = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy(
+        "fold", F.when(F.col(label).isin(list(labels)), F.col(label)).alias("label")).agg(F.count("*").alias("n")).collect()}
+    others = [{l: sum(n for (f, of), n in tally.items() if f != m and of == l) for l in [*labels, None]} for m in models]
+    n_docs = [sum(o.values()) for o in others]
+    log_prior = [[log(o[l] / (n - o[None])) if o[l] else float("-inf") for l in labels] for o, n in zip(others, n_docs)]
+
+    counts = term_counts(rows, text, keep=[label, "fold"])
+    per_fold = [F.count_if(F.col("fold") == m).alias(f"_df_{m}") for m in models]
+    seen = [F.col("df") - F.col(f"_df_{m}") for m in models]
+    idf = [F.when(d > 0, F.log((1.0 + n) / (1.0 + d)) + 1.0) for d, n in zip(seen, n_docs)]
+    vocabulary = stage(counts.groupBy("term").agg(F.count("*").alias("df"), *per_fold).select("term", "df", F.array(*idf).alias("idf")),
+                       "fold-vocabulary")
+
+    strength = 1.0 + F.log(F.col("tf").cast("double"))
+    parts = lookup(counts, vocabulary, "term", "df").withColumn("part", strength)
+    squares = [F.sum(F.pow(F.col("part") * F.coalesce(F.col("idf")[m], F.lit(0.0)), 2)) for m in models]
+    weighed = stage(parts.groupBy("row_id", label, "fold").agg(
+        F.array(*[F.sqrt(x) for x in squares]).alias("lengths"), F.collect_list(F.struct("term", "part")).alias("entries")), "fold-weights")
+
+    held = weighed.select(F.col(label).alias("_label"), "fold", "lengths", F.inline("entries"))
+    learned = [F.sum(F.when((F.col("_label") == l) & (F.col("fold") != m), F.col("part") / F.col("lengths")[m]).otherwise(0.0))
+               for m in models for l in labels]
+    at = lambda m, c: m * len(labels) + c
+    sums = held.groupBy("term").agg(F.array(*learned).alias("_sums")).join(vocabulary, "term")
+    weights = [F.coalesce(F.col("idf")[m] * F.col("_sums")[at(m, c)], F.lit(0.0)) for m in models for c in classes]
+    per_term = stage(sums.select("term", "df", "idf", F.array(*weights).alias("weights")), "fold-class-weights")
+    total = per_term.agg(*[F.count(F.col("idf")[m]).alias(f"size_{m}") for m in models],
+                         *[F.coalesce(F.sum(F.col("weights")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(folds * len(labels))]).first()
+
+    def logs(m: int) -> list[Column]:
+        return [F.log((F.col("weights")[at(m, c)] + alpha) / (total[f"t{at(m, c)}"] + alpha * max(total[f"size_{m}"], 1))) for c in classes]
+
+    known = [F.when(F.col("idf")[m].isNotNull(), F.struct(F.col("idf")[m].alias("idf"), F.array(*logs(m)).alias("logp"))) for m in models]
+    terms = stage(per_term.select("term", "df", F.array(*known).alias("models")), "fold-class-logs")
+    asked = weighed.select("row_id", "fold", F.get("lengths", "fold").alias("length"), F.inline("entries"))
+    model = F.get("models", "fold")
+    weight = F.when(F.col("length") > 0, F.col("part") * model["idf"] / F.col("length"))  # 0: the model knows no term of the row
+    found = lookup(asked, terms, "term", "df").select("row_id", weight.alias("weight"), model["logp"].alias("logp"))
+    joint = found.groupBy("row_id").agg(*[F.sum(F.col("weight") * F.col("logp")[c]).alias(f"_joint_{c}") for c in classes])
+    prior = [F.get(F.array(*[F.lit(log_prior[m][c]) for m in models]), F.col("fold")) for c in classes]
+    scored = rows.select("row_id", "fold").join(joint, "row_id", "left").select(
+        "row_id", "fold", *[(F.coalesce(F.col(f"_joint_{c}"), F.lit(0.0)) + prior[c]).alias(f"_score_{c}") for c in classes])
+    return scored.select("row_id", "fold", _probabilities([f"_score_{c}" for c in classes]).alias("raw"))
+
+
 def number_terms(vocabulary: DataFrame) -> DataFrame:
     """The vocabulary with ``position``: terms numbered from 0, in order of a hash prefix and the term."""
     prefixed = vocabulary.select("term", "df", "idf", F.substring(F.sha2("term", 256), 1, 3).alias("_prefix"))

@@ -425,3 +425,32 @@ def oof_scores(spark, folder):
     total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
     return features.join(oof, "row_id").select(
         "row_id", "fold", F.size("features").alias("features"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+OOF_NB = f"""WITH {sql.split(sql.QUALITY)}, folds AS ({fold_sql('train')}),
+folded AS (SELECT t.row_id, t.label, t.text, fold FROM train t JOIN folds USING (row_id)), models AS (SELECT k FROM range(5) r(k)),
+{counts_sql('base_counts', 'folded')},
+counts AS (SELECT c.*, fold FROM base_counts c JOIN folds USING (row_id)),
+n_docs AS (SELECT k, count(*) AS n FROM folded, models WHERE fold <> k GROUP BY k),
+vocab AS (SELECT k, term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM counts JOIN n_docs ON fold <> k GROUP BY k, term),
+raw AS (SELECT k, row_id, label, fold, term, (1.0 + ln(CAST(tf AS DOUBLE))) * idf AS r FROM counts JOIN vocab USING (term)),
+learned AS (SELECT k, label, term, r / sqrt(sum(r * r) OVER (PARTITION BY k, row_id)) AS w FROM raw WHERE fold <> k),
+class_sums AS (SELECT k, label, term, sum(w) AS s FROM learned GROUP BY ALL),
+sizes AS (SELECT k, count(*) AS size FROM vocab GROUP BY k),
+class_totals AS (SELECT k, label, sum(s) + 0.1 * any_value(size) AS total FROM class_sums JOIN sizes USING (k) GROUP BY k, label),
+logs AS (SELECT k, label, term, ln((coalesce(s, 0.0) + 0.1) / total) AS logp
+  FROM (SELECT k, label, total, term FROM class_totals JOIN vocab USING (k)) LEFT JOIN class_sums USING (k, label, term)),
+priors AS (SELECT k, label, ln(count(*) / CAST(any_value(n) AS DOUBLE)) AS prior FROM folded JOIN n_docs ON fold <> k GROUP BY k, label),
+joint AS (SELECT row_id, l.label, sum(r * logp) / sqrt(sum(r * r)) AS j FROM raw JOIN logs l ON raw.k = l.k AND raw.term = l.term
+  WHERE fold = raw.k GROUP BY row_id, l.label),
+scores AS (SELECT row_id, fold, max(coalesce(j, 0.0) + prior) FILTER (WHERE label = '0') AS s0, max(coalesce(j, 0.0) + prior) FILTER (WHERE label = '1') AS s1
+  FROM (SELECT row_id, fold, p.label, prior FROM folded JOIN priors p ON fold = k) LEFT JOIN joint USING (row_id, label) GROUP BY row_id, fold)
+SELECT row_id, fold, round(1.0 / (1.0 + exp(s0 - s1)), 6) AS p_positive FROM scores"""
+
+
+@query("oof_naive_bayes", OOF_NB)
+def oof_naive_bayes(spark, folder):
+    """Every training document by the naive Bayes model of the other four folds."""
+    train = sampling.stratified_split(catalog.doc_quality_rows(spark, folder)).where("split = 'train'")
+    oof, _ = models.oof_scores(DOC_QUALITY, train)
+    return oof.select("row_id", "fold", F.round(F.col("raw")[1], 6).alias("p_positive"))

@@ -114,6 +114,22 @@ def test_oof_scores_cover_every_row_once(spark, public_files):
     assert right > 135 and all(sum(r["raw"]) == pytest.approx(1) for r in got)
 
 
+def test_naive_bayes_without_a_fold_equals_a_refit(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[:30] if i % 3 else words[10:], size=rng.integers(1, 12))) for i in range(90)]
+    texts += ["only here", "", None, "!"]  # words of one fold alone, and texts without words
+    labels = [str(int(i % 3 == 0)) for i in range(92)] + ["unlisted"]
+    rows = spark.createDataFrame(list(zip(range(93), texts, labels)), "row_id long, text string, label string").repartition(4)
+    folded = rows.withColumn("fold", F.when(F.col("row_id") != 7, (F.col("row_id") % 5).cast("int")))
+    bayes = models.NaiveBayes()
+    got, probabilistic = bayes.out_of_fold(DOC_QUALITY, folded, 5)
+    want, _ = models.refitted_scores(DOC_QUALITY, bayes.prepare(DOC_QUALITY, folded), bayes, 5)
+    got, want = ({r["row_id"]: (r["fold"], *r["raw"]) for r in df.collect()} for df in (got, want))
+    assert probabilistic and set(got) == set(want) == set(range(93)) - {7}
+    assert all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+
+
 def test_control_does_not_see_the_judge(spark):
     rng = np.random.default_rng(5)
     n = 120
