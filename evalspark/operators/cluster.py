@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import OneHotEncoder, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.scalars import share
 from evalspark.functions.vectors import l2_normalise, squared_distance
+from evalspark.operators import kmeans
 from evalspark.operators.sampling import SEED, local_table
 from evalspark.operators.svd import svd_features
 from evalspark.operators.tabular import fit_imputer, fit_one_hot, fit_standardiser, vector_width
@@ -31,8 +29,6 @@ RESTARTS = 4
 TEXT_MIN_DF = 2
 TEXT_WIDTH = 1 << 16  # positions that terms are hashed into
 
-PARALLEL_FITS = 4
-
 
 def text_features(train: DataFrame, text: str, stop_words: Sequence[str] | None = None) -> DataFrame:
     """TF-IDF weights reduced by SVD. At length 1, long and short texts on one topic lie together."""
@@ -51,19 +47,17 @@ def table_features(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     parts = []
     if numeric:
         scaler = fit_standardiser(rows, numeric)
-        rows = rows.withColumn("_num", array_to_vector(F.array(*[scaler.column(c) for c in numeric])))
-        parts.append("_num")
+        parts.append(F.array(*[scaler.column(c) for c in numeric]))
     plain = rows
     for c in categorical:
-        onehot, bucket = fit_one_hot(plain, c), f"_bucket_{c}"
-        rows = onehot.bucketed(rows, bucket)
-        # Fitted on the short list of categories, not on the rows.
-        indexer = StringIndexer(inputCol=bucket, outputCol=f"_index_{c}", stringOrderType="alphabetAsc")
-        rows = indexer.fit(onehot.frequencies.select(F.col("bucket").alias(bucket))).transform(rows)
-        rows = OneHotEncoder(inputCol=f"_index_{c}", outputCol=f"_onehot_{c}", dropLast=False).fit(rows).transform(rows)
-        parts.append(f"_onehot_{c}")
-    joined = VectorAssembler(inputCols=parts, outputCol="_features").transform(rows)
-    return joined.select("row_id", vector_to_array("_features").alias("features"))
+        positions = fit_one_hot(plain, c).positions()
+        rows = positions.placed(rows, f"_place_{c}")
+        parts.append(F.transform(F.sequence(F.lit(0), F.lit(positions.size - 1)), _is_at(f"_place_{c}")))
+    return rows.select("row_id", F.concat(*parts).alias("features"))
+
+
+def _is_at(place: str) -> Callable[[Column], Column]:
+    return lambda i: F.when(i == F.col(place), 1.0).otherwise(0.0)
 
 
 def vector_features(train: DataFrame, vector: str) -> DataFrame:
@@ -85,30 +79,22 @@ def cluster_features(task: Task, train: DataFrame) -> DataFrame:
     return table_features(rows, task.numeric, task.categorical)
 
 
-def _vectors(features: DataFrame) -> DataFrame:
-    return features.withColumn("features", array_to_vector("features"))
-
-
-def kmeans_best(features: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
-    """The k-means of lowest cost among a few seeds. ``features`` holds vectors."""
-    with ThreadPool(PARALLEL_FITS) as pool:
-        models = pool.map(lambda i: KMeans(k=k, seed=seed + i).fit(features), range(restarts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def kmeans_best(features: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> kmeans.Clustering:
+    """The k-means of lowest cost among a few starts. ``features``: row_id, features (an array of numbers)."""
+    return kmeans.fit(features, [k], restarts, seed)[k]
 
 
-def choose_k(features: DataFrame, min_k: int, max_k: int = MAX_K, restarts: int = RESTARTS) -> tuple[KMeansModel, dict]:
-    """The best k between max(2, min_k) and max(max_k, min_k) by silhouette, and all silhouettes.
+def choose_k(
+    features: DataFrame, min_k: int, max_k: int = MAX_K, restarts: int = RESTARTS, seed: int = SEED
+) -> tuple[kmeans.Clustering, dict[int, float]]:
+    """The best clustering by silhouette among k from max(2, min_k) to max(max_k, min_k), and all silhouettes.
 
-    The silhouette is Spark's, on squared Euclidean distance: linear in the rows, so all of them
-    count. The smallest k wins a tie.
+    All k and all starts are fitted in the same scans. The silhouette is on squared Euclidean distance: linear in the rows, so all of
+    them count. The smallest k wins a tie.
     """
-    best, scores = None, {}
-    for k in range(max(2, min_k), max(max_k, min_k) + 1):
-        model = kmeans_best(features, k, restarts)
-        scores[k] = ClusteringEvaluator().evaluate(model.transform(features))
-        if best is None or scores[k] > scores[best.getK()]:
-            best = model
-    return best, scores
+    found = kmeans.fit(features, range(max(2, min_k), max(max_k, min_k) + 1), restarts, seed)
+    scores = dict(zip(found, kmeans.silhouettes(features, list(found.values()))))
+    return found[max(scores, key=lambda k: (scores[k], -k))], scores
 
 
 def assign_nearest(rows: DataFrame, centres: Sequence[Sequence[float]], features: str = "features") -> DataFrame:
@@ -166,16 +152,13 @@ class ClusterSelection:
 def select_cluster_shots(task: Task, train: DataFrame, short: Column | None = None) -> ClusterSelection:
     """One training row per (label, cluster) cell, with the clustering it came from."""
     features = stage(cluster_features(task, train), "cluster-features")
-    vectors = _vectors(features).select("row_id", "features").persist()
-    model, scores = choose_k(vectors, min_k=len(task.labels))
-    assigned = model.transform(vectors).select("row_id", F.col("prediction").alias("cluster"))
-    clusters = stage(assigned, "clusters")
-    vectors.unpersist()
+    model, scores = choose_k(features, min_k=len(task.labels))
+    grouped = assign_nearest(features, model.centres.tolist())
     flags = train.select("row_id", F.col("label").cast("string").alias("label"),
                          (task.is_short() if short is None else short).alias("short"))
-    rows = stage(flags.join(clusters, "row_id").join(features, "row_id"), "clustered-rows")
+    rows = stage(flags.join(grouped, "row_id"), "clustered-rows")
     order = [{"label": l, "place_of_label": i} for i, l in enumerate(task.labels)]
     labels = local_table(train.sparkSession, order, pa.schema([("label", pa.string()), ("place_of_label", pa.int64())]))
     cells = cell_representatives(rows).join(F.broadcast(labels), "label")
-    placed = cells.withColumn("place", F.col("place_of_label") * model.getK() + F.col("cluster")).drop("place_of_label")
-    return ClusterSelection(stage(placed, "cells"), model.getK(), scores)
+    placed = cells.withColumn("place", F.col("place_of_label") * model.k + F.col("cluster")).drop("place_of_label")
+    return ClusterSelection(stage(placed, "cells"), model.k, scores)

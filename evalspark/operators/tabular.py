@@ -96,6 +96,29 @@ class OneHot:
         bucket = F.coalesce("bucket", F.lit(RARE))
         return found.withColumn(name, bucket).drop("_category", "n", "bucket")
 
+    def positions(self) -> Positions:
+        """The buckets numbered in ascending order, as a table."""
+        codes = stage(ordinal_codes(self.frequencies, "bucket").select("_category", "code"), "bucket-codes")
+        frequent = self.frequencies.where(F.col("bucket") != RARE).select("_category", "n")
+        rare = codes.where(F.col("_category") == RARE).first()
+        table = stage(frequent.join(codes, "_category"), "bucket-positions")
+        return Positions(self.column, table, rare["code"] if rare else None, codes.count())
+
+
+@dataclass(frozen=True)
+class Positions:
+    """The position of every frequent category (staged: _category, n, code), and that of all others, if there are any."""
+
+    column: str
+    table: DataFrame
+    rare: int | None
+    size: int
+
+    def placed(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the position of each row's category; null for one never seen where no rare bucket is."""
+        found = lookup(df.withColumn("_category", F.col(self.column)), self.table, "_category", "n", how="left")
+        return found.withColumn(name, F.coalesce("code", F.lit(self.rare).cast("int"))).drop("_category", "n", "code")
+
 
 def fit_one_hot(df: DataFrame, column: str, min_frequency: int = MIN_FREQUENCY) -> OneHot:
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_category")).agg(F.count("*").alias("n"))

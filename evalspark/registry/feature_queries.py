@@ -6,10 +6,11 @@ import functools
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.vectors import l2_normalise
+from evalspark.functions.vectors import l2_normalise, squared_distance
 from evalspark.operators import cluster, models, sampling, scoring, svd, tabular, tfidf
 from evalspark.operators.requests import build_requests
 from evalspark.operators.stacking import baseline_features
@@ -309,26 +310,41 @@ def table_vectors(spark, folder):
 
 def vector_features(spark, folder):
     rows = catalog.vector_class_rows(spark, folder)
-    return stage(cluster.cluster_features(VECTOR_CLASS, rows), "features").withColumn("features", array_to_vector("features"))
+    return stage(cluster.cluster_features(VECTOR_CLASS, rows), "features")
 
 
-@query("kmeans_best", "SELECT vec_id AS row_id, true AS is_nearest FROM embeddings")
+@query("kmeans_best", f"""WITH points AS (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label FROM embeddings)
+SELECT row_id, true AS is_nearest, true AS splits_further FROM points""")
 def kmeans_best(spark, folder):
-    """The best of four k-means runs: whether every row lies in the cluster whose centre is nearest."""
+    """The best of four k-means runs: whether every row lies nearest to the mean of its own cluster (give or take the last step of the means), and
+    whether rows lie nearer to these means than to the means of the labels, of which there are as many."""
     rows = vector_features(spark, folder)
     model = cluster.kmeans_best(rows, k=10)
-    found = model.transform(rows).select("row_id", F.col("prediction").alias("given"), vector_to_array("features").alias("features"))
-    nearest = cluster.assign_nearest(found, [list(c) for c in model.clusterCenters()])
-    return nearest.select("row_id", (F.col("given") == F.col("cluster")).alias("is_nearest"))
+    given = stage(cluster.assign_nearest(rows, model.centres.tolist()), "assigned")
+    labels = catalog.vector_class_rows(spark, folder).select("row_id", "label")
+
+    def means(grouped, by):
+        return grouped.groupBy(by).agg(Summarizer.mean(array_to_vector("features")).alias("m")).select(by, vector_to_array("m").alias("m"))
+
+    own = means(given, "cluster").orderBy("cluster").collect()
+    nearest = cluster.assign_nearest(given.withColumnRenamed("cluster", "given"), [r["m"] for r in own])
+    to_means = F.array(*[squared_distance(F.col("features"), F.array(*[F.lit(x) for x in r["m"]])) for r in own])
+    place = {r["cluster"]: i for i, r in enumerate(own)}
+    at = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
+    slack = 1.1
+    measured = nearest.select("row_id", "features", (F.get(to_means, at[F.col("given")]) <= slack * F.array_min(to_means)).alias("is_nearest"))
+    by_label = given.join(labels, "row_id")
+    of_label = by_label.join(means(by_label, "label"), "label").agg(F.sum(squared_distance(F.col("features"), F.col("m"))).alias("cost"))
+    return measured.withColumn("_label_cost", of_label.scalar()).select("row_id", "is_nearest", (F.col("_label_cost") >= model.cost).alias("splits_further"))
 
 
 @query("choose_k", "SELECT CAST(k AS INTEGER) AS k, count(*) > 0 AS valid FROM range(2, 9) t(k), orders GROUP BY k")
 def choose_k(spark, folder):
     """Every k from 2 to 8 has a silhouette between -1 and 1, for table rows."""
     features = stage(cluster.cluster_features(ORDER_STATUS, catalog.order_status_rows(spark, folder)), "features")
-    best, scores = cluster.choose_k(features.withColumn("features", array_to_vector("features")), 2)
+    best, scores = cluster.choose_k(features, 2)
     top = max(scores.values())
-    return spark.createDataFrame([(k, -1 <= v <= 1 and scores[best.getK()] == top) for k, v in scores.items()], "k int, valid boolean")
+    return spark.createDataFrame([(k, -1 <= v <= 1 and scores[best.k] == top) for k, v in scores.items()], "k int, valid boolean")
 
 
 @query("shots_cluster", "SELECT DISTINCT CAST(label AS VARCHAR) AS label, true AS own_label, true AS large_enough FROM embeddings")

@@ -2,10 +2,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from evalspark.operators import cluster, models, svd
+from evalspark.operators import cluster, kmeans, models, svd
 from evalspark.operators.stacking import Stage2, stack
 from evalspark.plans import catalog
 from evalspark.plans.catalog import DOC_QUALITY, IRIS
@@ -66,13 +65,54 @@ def blobs(spark, n=40):
 
 
 def test_choose_k_finds_the_groups(spark):
-    vectors = blobs(spark).withColumn("features", array_to_vector("features")).cache()
+    vectors = blobs(spark).cache()
     model, scores = cluster.choose_k(vectors, min_k=2)
-    assert model.getK() == 3 and set(scores) == set(range(2, 9))
+    assert model.k == 3 and set(scores) == set(range(2, 9))
     model, scores = cluster.choose_k(vectors, min_k=10, restarts=1)
     assert set(scores) == {10}
 
 
+def test_clusterings_and_silhouettes_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 1.0, size=(50, 4)) for c in rng.normal(0, 4, size=(5, 4))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>").repartition(5).cache()
+    found = kmeans.fit(df, range(2, 8), 4, 42, tolerance=0.0)
+    scores = kmeans.silhouettes(df, list(found.values()))
+    distances = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for (k, model), score in zip(found.items(), scores):
+        near = ((x[:, None] - model.centres[None]) ** 2).sum(axis=2)
+        own = near.argmin(axis=1)
+        assert model.cost == pytest.approx(near.min(axis=1).sum()) and model.sizes.tolist() == np.bincount(own, minlength=k).tolist()
+        for c in range(k):  # a fixed point: every centre is the mean of the rows nearest to it
+            assert model.centres[c] == pytest.approx(x[own == c].mean(axis=0))
+        want = []
+        for i in range(len(x)):
+            mean = [distances[i, own == c].sum() / max((own == c).sum() - (c == own[i]), 1) for c in range(k)]
+            a, b = mean[own[i]], min(m for c, m in enumerate(mean) if c != own[i])
+            want.append((b - a) / max(a, b) if (own == own[i]).sum() > 1 else 0.0)
+        assert score == pytest.approx(np.mean(want))
+    costs = [m.cost for m in found.values()]
+    assert costs == sorted(costs, reverse=True)
+
+
+def test_scans_do_not_grow_with_clusters_and_starts(spark, monkeypatch):
+    df, widths = blobs(spark).cache(), []
+    plain = kmeans.added
+    monkeypatch.setattr(kmeans, "added", lambda rows, task, *shape, **kw: widths.append(shape[0]) or plain(rows, task, *shape, **kw))
+    kmeans.fit(df, range(2, 9), 4, 42, scans=6)
+    assert len(widths) <= 3 + 6 + 1 and max(widths) >= 4 * sum(range(2, 9))
+
+
+def test_few_distinct_rows_and_none(spark):
+    same = spark.createDataFrame([(i, [float(i % 2)]) for i in range(20)], "row_id long, features array<double>")
+    found = kmeans.fit(same, [2, 5], 2, 42)
+    assert found[5].k == 2 and found[5].cost == 0 and kmeans.silhouettes(same, [found[2]]) == [1.0]
+    one = kmeans.fit(same.where("row_id % 2 = 0"), [3], 2, 42)[3]
+    assert one.k == 1 and kmeans.silhouettes(same.where("row_id % 2 = 0"), [one]) == [0.0]
+    with pytest.raises(ValueError, match="no rows"):
+        kmeans.fit(same.where("row_id < 0"), [2], 2, 42)
+
+
 def test_table_features_are_standardised_and_one_hot(spark):
     rows = [(i, float(i) if i % 5 else None, "a" if i < 15 else ("b" if i < 27 else "rare")) for i in range(30)]
     df = spark.createDataFrame(rows, "row_id long, x double, c string")
