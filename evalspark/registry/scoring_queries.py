@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from evalspark.functions.ordered import exact_percentiles
 from evalspark.operators import metrics, sampling, scoring
 from evalspark.operators.requests import build_requests
 from evalspark.operators.stacking import judge_features
+from evalspark.operators.window import WindowScorer
 from evalspark.plans import catalog
 from evalspark.plans.catalog import DOC_LANG, DOC_QUALITY
 from evalspark.plans.evaluate import Examples, evaluate_variant, variant_named
@@ -40,6 +43,24 @@ def score_rows(spark, folder):
     return scoring.score_rows(quality_requests(spark, folder), judges.quality_judge()).select("row_id", "p_yes")
 
 
+@query(
+    "window_scoring",
+    f"""SELECT row_id, CASE WHEN length(text) % 11 <> 0 THEN (length(text) % 10) / 10.0 END AS p_yes,
+CASE WHEN length(text) % 11 = 0 THEN 'ValueError: no idea' END AS error FROM {sql.QUALITY}""",
+)
+def window_scoring(spark, folder):
+    """All documents by an asynchronous judge, eight requests of a task in flight; some requests fail whenever they are asked."""
+
+    async def ask(request):
+        length = len(json.loads(request["state_json"])["document"])
+        if length % 11 == 0:
+            raise ValueError("no idea")
+        return {"p_yes": length % 10 / 10}
+
+    judge = WindowScorer(ask, window=8, retries=5, pause_s=0.0)
+    return scoring.score_rows(quality_requests(spark, folder), judge).select("row_id", "p_yes", "error")
+
+
 @query(
     "missing_requests",
     f"""WITH keyed AS (SELECT row_id, {key_sql(judges.MODEL, LANG_STATE, DOC_LANG.question())} AS request_key FROM {sql.DOCS})
