@@ -39,6 +39,15 @@ def _with_slice(df: DataFrame, order: str, slices: int) -> DataFrame:
     return placed.withColumn("_slice", F.col("_start") + _below(value, near)).drop("_bounds", "_start")
 
 
+def _totals_before(df: DataFrame, by: list[str], order: str, totals: Mapping[str, str], overall: Mapping[str, str]) -> DataFrame:
+    """Running totals by one window per group, for rows that fit into a task."""
+    group = Window.partitionBy(*by)
+    before = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.select(
+        "*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for c, name in totals.items()],
+        *[F.sum(c).over(group).alias(name) for c, name in overall.items()])
+
+
 def running_totals(
     df: DataFrame, by: Sequence[str], order: str, totals: Mapping[str, str], slices: int | None = None,
     overall: Mapping[str, str] | None = None,
@@ -49,13 +58,16 @@ def running_totals(
     column to the name of its running total, ``overall`` to that of its group total. The value range is cut at approximate quantiles into
     slices of about equal row counts. Each slice is summed on its own, and the slice totals (at
     most ``slices`` rows per group) give every slice its starting point. The bounds only balance
-    the work; the totals are exact. By default there are as many slices as the rows ask for. A null in ``by`` is
-    a group like any other.
+    the work; the totals are exact. By default there are as many slices as the rows ask for: rows that fit into one slice need no bounds and are
+    ordered as they are. A null in ``by`` is a group like any other.
     """
     by = list(by)
     df = stage(df, "ordered-points")  # read for its size, its quantiles, the slice sums and the result
     if slices is None:
-        slices = min(max(SLICES[0], df.count() // SLICE_ROWS), SLICES[1])
+        points = df.count()
+        if points <= SLICE_ROWS:
+            return _totals_before(df, by, order, totals, overall or {})
+        slices = min(max(SLICES[0], points // SLICE_ROWS), SLICES[1])
     sliced = _with_slice(df, order, slices)
 
     slice_sums = sliced.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_sum_{c}") for c in totals])

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from evalspark.functions import ordered
 from evalspark.functions.ordered import exact_percentiles, running_totals
 from evalspark.operators import metrics as m
 
@@ -62,20 +63,25 @@ def test_groups_are_measured_apart(spark):
     assert {r["g"]: (r["accuracy"], r["roc_auc"]) for r in got} == {"g": (1.0, 1.0), "h": (0.0, 0.0)}
 
 
-def test_running_totals_over_many_slices(spark):
+@pytest.mark.parametrize("slices", [None, 16])
+def test_running_totals_with_and_without_slices(spark, slices):
     rng = random.Random(5)
     values = sorted(rng.sample(range(10**6), 3000))
     rows = [(v % 2, float(v), rng.randrange(5)) for v in values]
     df = spark.createDataFrame(rows, "g int, v double, n long").repartition(5)
-    got = {(r["g"], r["v"]): r["before"] for r in running_totals(df, ["g"], "v", {"n": "before"}, slices=16).collect()}
+    found = running_totals(df, ["g"], "v", {"n": "before"}, slices, overall={"n": "all"}).collect()
+    got = {(r["g"], r["v"]): r["before"] for r in found}
     sums = {0: 0, 1: 0}
+    assert {(r["g"], r["all"]) for r in found} == {(g, sum(n for h, _, n in rows if h == g)) for g in (0, 1)}
     for g, v, n in rows:
         assert got[(g, v)] == sums[g]
         sums[g] += n
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
-def test_percentiles_against_numpy(spark, n):
+def test_percentiles_against_numpy(spark, n, monkeypatch):
+    if n == 1000:  # through slices as well
+        monkeypatch.setattr(ordered, "SLICE_ROWS", 10)
     values = np.random.default_rng(n).integers(0, 50, n) / 7
     df = spark.createDataFrame([("g", float(v)) for v in values] + [("g", None)], "g string, v double")
     row = exact_percentiles(df, "v", {"p50": 0.5, "p95": 0.95}, ["g"]).first()
