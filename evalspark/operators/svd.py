@@ -12,13 +12,12 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.sums import added, sum_runs
+from evalspark.functions.sums import added
 
 # The functions run inside tasks travel with them, so the package need not be installed on executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,25 +28,30 @@ BLOCKS = 3  # blocks of the Krylov space, one scan each
 
 MAX_SIZE = 1 << 17  # columns: about 115 MB of floats on the driver and in a task
 BLOCK = 512  # columns of the matrix summed as one unit
-CHUNK = 10_000  # matrix entries worked on at once inside a task
-
-
-def _products(indices: pd.Series, values: pd.Series, basis: np.ndarray) -> Iterator[tuple]:
-    """Per chunk of rows: (flat indices, flat values, row number of each entry, rows x basis)."""
-    lengths = indices.str.len().to_numpy()
-    ends = np.cumsum(lengths)
-    start, done = 0, 0
-    while start < len(lengths):
-        stop = max(int(np.searchsorted(ends, done + CHUNK, side="right")), start + 1)
-        idx = np.concatenate(indices.iloc[start:stop].to_list()).astype(np.int64)
-        val = np.concatenate(values.iloc[start:stop].to_list()).astype(basis.dtype)
-        row = np.repeat(np.arange(stop - start), lengths[start:stop])
-        product = np.zeros((stop - start, basis.shape[1]), basis.dtype)
-        if len(idx):
-            filled, sums = sum_runs(row, val[:, None] * basis[idx])
-            product[filled] = sums
-        yield idx, val, row, product
-        start, done = stop, ends[stop - 1]
+CHUNK = 1024  # rows whose products are held at once inside a task
+
+
+def _rows(indices: pa.ListArray, values: pa.ListArray, dtype: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns and values of every row, each column once."""
+    idx, val = (x.flatten().to_numpy(zero_copy_only=False) for x in (indices, values))
+    val, end = val.astype(dtype, copy=False), 0
+    for length in indices.value_lengths().fill_null(0).to_numpy().tolist():
+        start, end = end, end + length
+        columns, numbers = idx[start:end], val[start:end]
+        if (columns[1:] <= columns[:-1]).any():  # not as ``to_vectors`` writes them
+            columns, place = np.unique(columns, return_inverse=True)
+            numbers = np.bincount(place, numbers, len(columns)).astype(dtype)
+        yield columns, numbers
+
+
+def _product_parts(indices: pa.ListArray, values: pa.ListArray, basis: np.ndarray) -> Iterator[np.ndarray]:
+    """The products of the rows with the basis, ``CHUNK`` rows at a time."""
+    found = _rows(indices, values, basis.dtype)
+    for start in range(0, len(indices), CHUNK):
+        out = np.empty((min(CHUNK, len(indices) - start), basis.shape[1]), basis.dtype)
+        for product, (columns, numbers) in zip(out, found):
+            np.dot(numbers, basis.take(columns, axis=0), out=product)
+        yield out
 
 
 def _spread(entries: DataFrame, size: int, width: int) -> DataFrame:
@@ -60,22 +64,14 @@ def _spread(entries: DataFrame, size: int, width: int) -> DataFrame:
     return entries.repartition(int(wanted)) if entries.rdd.getNumPartitions() < wanted else entries.coalesce(int(wanted))
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[pd.Series, pd.Series]:
-    frame = batch.to_pandas()
-    return frame["indices"], frame["values"]
-
-
 def _gram_times(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
     """(A' A) basis, in one scan."""
     shared = entries.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
 
     def task(batch: pa.RecordBatch, total: np.ndarray, touched: np.ndarray) -> None:
-        for idx, val, row, product in _products(*_columns(batch), shared.value):
-            if len(idx):
-                order = np.argsort(idx, kind="stable")
-                terms, sums = sum_runs(idx[order], val[order, None] * product[row[order]])
-                total[terms] += sums
-                touched[terms] = True
+        for columns, numbers in _rows(batch.column(0), batch.column(1), np.float32):
+            total[columns] += numbers[:, None] * (numbers @ shared.value.take(columns, axis=0))
+            touched[columns] = True
 
     out = added(entries.select("indices", "values"), task, *basis.shape, BLOCK, np.float32)
     shared.unpersist()
@@ -88,7 +84,7 @@ def _inner_gram(entries: DataFrame, basis: np.ndarray) -> np.ndarray:
     width = basis.shape[1]
 
     def task(batch: pa.RecordBatch, total: np.ndarray, touched: np.ndarray) -> None:
-        for _, _, _, product in _products(*_columns(batch), shared.value):
+        for product in _product_parts(batch.column(0), batch.column(1), shared.value):
             total += product.T @ product
             touched[:] = True
 
@@ -125,14 +121,17 @@ def project(entries: DataFrame, vectors: np.ndarray) -> DataFrame:
     """row_id, features: array<double>, each row times the right vectors."""
     shared = entries.sparkSession.sparkContext.broadcast(vectors)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            products = [p for *_, p in _products(batch["indices"], batch["values"], shared.value)]
-            dense = np.concatenate(products) if products else np.zeros((0, shared.value.shape[1]))
-            yield pd.DataFrame({"row_id": batch["row_id"], "features": list(dense)})
+            start = 0
+            for dense in _product_parts(batch.column(1), batch.column(2), shared.value):
+                ends = pa.array(np.arange(len(dense) + 1) * dense.shape[1], pa.int32())
+                features = pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(dense)), features], ["row_id", "features"])
+                start += len(dense)
 
     id_type = entries.schema["row_id"].dataType.simpleString()
-    return entries.mapInPandas(rows, f"row_id {id_type}, features array<double>")
+    return entries.select("row_id", "indices", "values").mapInArrow(rows, f"row_id {id_type}, features array<double>")
 
 
 def svd_features(entries: DataFrame, size: int, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -37,6 +37,23 @@ def test_svd_against_numpy(spark):
     assert np.abs(got) == pytest.approx(np.abs(u[:, :5] * s[:5]), rel=0.02, abs=0.02)
 
 
+def test_svd_scans_against_dense(spark):
+    """A scan is the product with A' A, and rows may be long, empty or name a column twice."""
+    rng = np.random.default_rng(6)
+    dense = rng.random((30, 50)) * (rng.random((30, 50)) < 0.4)
+    dense[3] = 0
+    rows = [(i, np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for i, r in enumerate(dense)]
+    rows.append((30, [7, 2, 7], [1.0, 2.0, 0.5]))
+    twice = np.zeros(50)
+    twice[[2, 7]] = 2.0, 1.5
+    dense = np.vstack([dense, twice])
+    entries = spark.createDataFrame(rows, "row_id long, indices array<int>, values array<double>").repartition(3)
+    basis = rng.random((50, 4))
+    assert svd._gram_times(entries, basis) == pytest.approx(dense.T @ dense @ basis, rel=1e-4)
+    got = {r["row_id"]: r["features"] for r in svd.project(entries, basis).collect()}
+    assert np.array([got[i] for i in range(31)]) == pytest.approx(dense @ basis)
+
+
 def test_cells_and_representatives_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, str(rng.integers(3)), int(rng.integers(4)), bool(rng.random() < 0.3), rng.normal(size=3).tolist()) for i in range(120)]
