@@ -1,6 +1,7 @@
 """The linear models against dense solutions of their objectives."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,37 @@ def test_nothing_lowers_the_objective(spark, monkeypatch, loss, classes, c, free
     assert objective(loose, *args) <= objective(w, *args) * (1 + 1e-4)
 
 
+def test_partial_sums_do_not_grow_with_files(spark, monkeypatch):
+    """Rows in many small files are read by as many tasks as there are cores, each with one partial sum."""
+    found, added = [], linear.added
+    monkeypatch.setattr(linear, "added", lambda rows, *args: found.append(rows.rdd.getNumPartitions()) or added(rows, *args))
+    _, _, entries = data(spark, 3, 3)
+    bytes_before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))  # a file to a task
+    try:
+        linear.fit(entries.repartition(40), 30, 3, "log", 1.0, max_iter=1)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", bytes_before)
+    assert found and max(found) <= spark.sparkContext.defaultParallelism
+
+
+def test_margins_and_places_of_packed_rows():
+    """A packed block multiplies like the dense matrix, rows without entries included."""
+    rng = np.random.default_rng(4)
+    dense = rng.random((50, 20)) * (rng.random((50, 20)) < 0.3)
+    dense[7] = 0
+    indices = [np.flatnonzero(r) for r in dense]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(50)), pa.array([i.tolist() for i in indices], pa.list_(pa.int32())),
+         pa.array([r[i].tolist() for r, i in zip(dense, indices)], pa.list_(pa.float64()))], ["label", "indices", "values"])
+    (block,) = linear._pack_task(20)(iter([batch]))
+    labels, ends, columns, places, numbers = (
+        np.frombuffer(block.column(i)[0].as_py(), t) for i, t in enumerate((np.int32, np.int64, np.int32, np.int32, np.float64)))
+    w = rng.random((21, 3))
+    assert columns[0] == 20 and labels.tolist() == list(range(50))
+    assert linear._margins(ends, places, numbers, w[columns]) == pytest.approx(np.c_[dense, np.ones(50)] @ w)
+
+
 def test_refuses_what_does_not_fit(spark):
     entries = spark.range(0).select(F.col("id").alias("label"), F.array().alias("indices"), F.array().alias("values"))
     with pytest.raises(ValueError):
