@@ -54,6 +54,16 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def _first_nearest(distances: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The least distance of every row (centres x rows), and in ``own`` a one at the first centre that has it."""
+    least = distances.min(axis=0)
+    np.equal(distances, least, out=own)
+    tied = np.flatnonzero(own.sum(axis=0) > 1)
+    if len(tied):
+        own[:, tied] = np.arange(len(own))[:, None] == own[:, tied].argmax(axis=0)
+    return least
+
+
 def _bounds(models: Sequence[np.ndarray]) -> list[tuple[int, int]]:
     ends = np.cumsum([len(m) for m in models]).tolist()
     return list(zip([0, *ends[:-1]], ends))
@@ -66,14 +76,19 @@ def _measured(rows: DataFrame, models: Sequence[np.ndarray]) -> list[Clustering]
     shared = rows.sparkSession.sparkContext.broadcast(stacked)
 
     def task(batch: pa.RecordBatch, total: np.ndarray, touched: np.ndarray) -> None:
+        centres = shared.value
+        lengths = (centres * centres).sum(axis=1)[:, None]
+        mine = np.empty((len(centres), CHUNK))
         for x in _chunks(batch, width):
-            distances, mine = _distances(x, shared.value), np.zeros((len(x), len(shared.value)))
+            squares, own = (x * x).sum(axis=1), mine[:, : len(x)]
+            distances = centres @ x.T  # centres x rows: what is compared lies side by side for many rows
+            distances *= -2.0
+            distances += squares
+            distances += lengths
+            np.maximum(distances, 0.0, out=distances)
             for a, b in bounds:
-                mine[np.arange(len(x)), a + distances[:, a:b].argmin(axis=1)] = 1.0
-            total[:, :width] += mine.T @ x
-            total[:, width] += mine.sum(axis=0)
-            total[:, width + 1] += mine.T @ (x * x).sum(axis=1)
-            total[:, width + 2] += (mine * distances).sum(axis=0)
+                total[a, width + 2] += _first_nearest(distances[a:b], own[a:b]).sum()
+            total[:, : width + 2] += own @ np.column_stack([x, np.ones(len(x)), squares])
             touched[:] = True
 
     found = added(rows.select("features"), task, len(stacked), width + 3, SUM_BLOCK)

@@ -89,6 +89,13 @@ def test_choose_k_finds_the_groups(spark):
     assert set(scores) == {10}
 
 
+def test_a_tie_goes_to_the_first_centre():
+    distances = np.array([[1.0, 3.0, 2.0], [1.0, 2.0, 2.0], [4.0, 2.0, 0.0]])  # centres x rows
+    own = np.full((3, 3), 9.0)
+    assert kmeans._first_nearest(distances, own).tolist() == [1.0, 2.0, 0.0]
+    assert own.tolist() == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+
+
 def test_clusterings_and_silhouettes_against_brute_force(spark):
     rng = np.random.default_rng(6)
     x = np.vstack([rng.normal(c, 1.0, size=(50, 4)) for c in rng.normal(0, 4, size=(5, 4))])
