@@ -12,6 +12,7 @@ The driver and a task hold one histogram (trees x nodes x features x 256 bins x
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ from evalspark.session import stage
 # The functions run inside tasks travel with them, so the package need not be installed on executors.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PATH_DEPTH = 6  # the nodes of a level as bits of one number
 MISSING = 255  # the bin of missing values; the others are 0 to 254
 BINS = MISSING + 1
 CELLS = 1 << 16  # bin numbers in a packed block
@@ -47,8 +49,18 @@ class Tree:
     left: np.ndarray  # inner nodes x bins: goes to the left
     value: np.ndarray  # per leaf
 
-    def margins(self, bins: np.ndarray) -> np.ndarray:
-        return self.value[nodes_at(bins, self.feature, self.left, int(len(self.value)).bit_length() - 1)]
+    @functools.cached_property
+    def depth(self) -> int:
+        return int(len(self.value)).bit_length() - 1
+
+    @functools.cached_property
+    def paths(self) -> np.ndarray:
+        return _paths(self.feature, self.left, int(self.feature.max(initial=0)) + 1, self.depth)
+
+    def margins(self, bins: np.ndarray, columns: list[np.ndarray] | None = None) -> np.ndarray:
+        if self.depth > PATH_DEPTH:
+            return self.value[nodes_at(bins, self.feature, self.left, self.depth)]
+        return self.value.take(_reached(self.paths, _columns(bins) if columns is None else columns))
 
 
 def nodes_at(bins: np.ndarray, feature: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -62,6 +74,29 @@ def nodes_at(bins: np.ndarray, feature: np.ndarray, left: np.ndarray, depth: int
     return node
 
 
+def _paths(feature: np.ndarray, left: np.ndarray, features: int, depth: int) -> np.ndarray:
+    """features x bins: the nodes of a depth, a bit each, that the splits on a feature leave to a row of that bin.
+
+    A split that sends a row to the right rules out what lies below it on the left. The first node that no feature rules out is the row's.
+    """
+    out = np.full((features, BINS), np.uint64(2 ** (1 << depth) - 1))
+    for inner in np.flatnonzero(feature[: (1 << depth) - 1] >= 0):
+        level = int(inner + 1).bit_length() - 1
+        half = 1 << (depth - level - 1)  # nodes below each side
+        below = ((1 << half) - 1) << (2 * half * (int(inner) + 1 - (1 << level)))
+        out[feature[inner], ~left[inner]] &= ~np.uint64(below)
+    return out
+
+
+def _reached(paths: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """The node of each row by ``_paths``: a look-up per feature, whatever the depth."""
+    open_ = paths[0].take(columns[0])
+    for mine, column in zip(paths[1:], columns[1:]):
+        open_ &= mine.take(column)
+    first = open_ & (~open_ + np.uint64(1))
+    return (first.astype(np.float64).view(np.int64) >> 52) - 1023  # the exponent of a power of two
+
+
 def binned(values: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     """Bin numbers of a matrix of values; NaN is missing."""
     out = np.empty(values.shape, np.uint8)
@@ -106,10 +141,15 @@ def _unpacked(row: tuple, features: int, trees: int) -> tuple[np.ndarray, np.nda
     return labels, bins.reshape(-1, features), margins.reshape(-1, trees)
 
 
-def _with_rounds(margins: np.ndarray, bins: np.ndarray, rounds: list[list[Tree]]) -> np.ndarray:
+def _columns(bins: np.ndarray) -> list[np.ndarray]:
+    return [bins[:, f].astype(np.int64) for f in range(bins.shape[1])]
+
+
+def _with_rounds(margins: np.ndarray, bins: np.ndarray, rounds: list[list[Tree]], columns: list[np.ndarray] | None = None) -> np.ndarray:
     if not rounds:
         return margins
-    return margins + sum(np.column_stack([tree.margins(bins) for tree in trees]) for trees in rounds)
+    columns = _columns(bins) if columns is None else columns
+    return margins + sum(np.column_stack([tree.margins(bins, columns) for tree in trees]) for trees in rounds)
 
 
 def derivatives(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +180,15 @@ def histogram(rows: DataFrame, blocks: int, features: int, trees: int, grown: Gr
 
     def add(batch: pa.RecordBatch, total: np.ndarray, touched: np.ndarray | None = None) -> None:
         now = shared.value
+        paths = [_paths(*part, features, now.depth) for part in now.parts] if now.depth <= PATH_DEPTH else None
         for row in zip(*(batch.column(i) for i in range(3))):
             labels, bins, margins = _unpacked(row, features, trees)
-            gradients, curves = derivatives(_with_rounds(margins, bins, now.rounds), labels)
+            columns = _columns(bins)
+            gradients, curves = derivatives(_with_rounds(margins, bins, now.rounds, columns), labels)
             for t in range(trees):
-                node = nodes_at(bins, *now.parts[t], now.depth)
+                start = (nodes_at(bins, *now.parts[t], now.depth) if paths is None else _reached(paths[t], columns)) * BINS
                 for f in range(features):
-                    cell = node * BINS + bins[:, f]
+                    cell = start + columns[f]
                     found = [np.bincount(cell, weights, nodes * BINS) for weights in (gradients[:, t], curves[:, t], None)]
                     at = (((t * nodes + np.arange(nodes)) * features + f)[:, None] * BINS + np.arange(BINS)).ravel()
                     total[at] += np.column_stack(found)

@@ -123,3 +123,15 @@ def test_odd_tables(spark):
         boosting.fit(nothing, 5000, 2, depth=6)
     with pytest.raises(ValueError):
         boosting.fit(nothing, 0, 2)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 6])
+def test_paths_lead_where_the_splits_lead(depth):
+    """A look-up per feature finds the node that walking level by level finds, also past nodes without a split."""
+    rng = np.random.default_rng(depth)
+    inner = (1 << depth) - 1
+    feature, left = rng.integers(-1, 4, inner), rng.random((inner, boosting.BINS)) < 0.5
+    left[feature < 0] = True
+    bins = rng.integers(0, boosting.BINS, (500, 4)).astype(np.uint8)
+    got = boosting._reached(boosting._paths(feature, left, 4, depth), boosting._columns(bins))
+    assert (got == boosting.nodes_at(bins, feature, left, depth)).all()
