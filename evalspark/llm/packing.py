@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ from evalspark.llm.common import batch, map_batches, utf8
 
 LIMIT = 4096
 END_ID = 2
-CACHED_WORDS = 200_000
+CACHED_WORDS = 200_000  # of a generation
 LONGEST_CACHED = 64  # bytes; text without blanks is one long word after the other
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, offset bigint, "
@@ -35,8 +36,9 @@ FIELDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
                     ("doc_tokens", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())])
 
 
-# Words of Latin letters with at most some marks behind: a run of letters and a run of marks.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# Plain words are Latin letters with at most some marks behind: a run of letters and a run of marks.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all but the apostrophe
 
 
 def _byte_letters() -> list[str]:
@@ -47,6 +49,25 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Ids by word, remembered in two generations: a full one becomes the older one, from which words that are met again come back."""
+
+    def __init__(self, ids_of: Callable[[bytes | str], bytes]):
+        super().__init__()
+        self.ids_of, self.older = ids_of, {}
+
+    def __missing__(self, word: bytes | str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.ids_of(word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of words between white space, remembered up to a bound in words and in bytes.
 
@@ -62,49 +83,27 @@ class WordEncoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words = Remembered(self.word)
+        self.runs = Remembered(self.run)
 
     def run(self, letters: str) -> bytes:
         """Ids of one run of lower-case letters or of marks."""
-        found = self.runs.get(letters)
-        if found is None:
-            if len(self.runs) >= CACHED_WORDS:
-                self.runs.clear()
-            spelled = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
-            found = np.array([t.id for t in self.merges.tokenize(spelled)], "<u4").tobytes()
-            if len(letters) <= LONGEST_CACHED:
-                self.runs[letters] = found
-        return found
-
-    def learn(self, words: set[bytes], into: dict[bytes, bytes]) -> None:
-        odd = []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            plain = PLAIN.fullmatch(text)
-            if plain:
-                letters, marks = plain.groups()
-                into[word] = self.run(letters.lower()) + (self.run(marks) if marks else b"")
-            else:
-                odd.append((word, text))
-        found = self.tokenizer.encode_batch_fast([text for _, text in odd], add_special_tokens=False)
-        for (word, _), ids in zip(odd, found):
-            into[word] = np.array(ids.ids, "<u4").tobytes()
+        spelled = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters.encode()))
+        return array("I", [t.id for t in self.merges.tokenize(spelled)]).tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        """Ids of one word in lower case, or of one that holds the string of a special token."""
+        stem = word.rstrip(MARKS)
+        letters = stem.decode("utf-8", "replace")
+        if not (stem.isalpha() or LETTERS.fullmatch(letters)):
+            found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)
+            return array("I", found[0].ids).tobytes()
+        ids = self.runs[letters.lower()]
+        return ids if len(stem) == len(word) else ids + self.runs[word[len(stem):].decode()]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [self.split(text) for text in texts]
-        asked = {word for words in split for word in words}
-        long = {word for word in asked if len(word) > LONGEST_CACHED}
-        new = asked.difference(self.words, long)
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = asked - long
-        self.learn(new, self.words)
-        once: dict[bytes, bytes] = {}
-        self.learn(long, once)
-        ids = lambda word: self.words[word] if len(word) <= LONGEST_CACHED else once[word]
-        return [b"".join(map(ids if long else self.words.__getitem__, words)) for words in split]
+        return [b"".join(map(self.words.__getitem__, self.split(text))) for text in texts]
 
     def split(self, text: bytes) -> list[bytes]:
         """The words of a text in lower case, which the tokenizer makes itself."""

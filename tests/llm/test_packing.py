@@ -76,3 +76,15 @@ def test_long_words_are_not_remembered():
     words = [("字" * 200 + str(i)).encode() for i in range(50)] + [b"q" * 500, b"short"]
     encoder.encode([b" ".join(words)])
     assert list(encoder.words) == [b"short"] and list(encoder.runs) == ["short"]
+
+
+def test_words_met_again_are_not_encoded_again(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    encoder = packing.WordEncoder(PATH)
+    asked, merged = [], encoder.runs.ids_of
+    encoder.runs.ids_of = lambda letters: asked.append(letters) or merged(letters)
+    texts = [f"often {a} {b}" for a, b in ("ab", "cd", "ef", "gh")]
+    for text, found in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count("often") == 1 and len(asked) == 9
+    assert max(len(encoder.words), len(encoder.runs), len(encoder.words.older), len(encoder.runs.older)) <= 3
