@@ -4,15 +4,20 @@ Generators of high recall propose spans, which may overlap: strict patterns with
 spans, which always stay) and loose ones - addresses written with "at" and "dot", numbers without a
 country code, cards with other separators, colon-separated addresses. Boosted trees judge every candidate
 by its format (lengths of its groups, separators, checksums) and by its context (words
-in front, characters around it). They learn from a bounded sample of the strict matches of all documents: per
-kind and outcome of the check the first ``SAMPLE_MATCHES`` in hash order of document and place, of one document
-at most ``SAMPLE_PER_DOC``; every third, by hash, is held out. The strict patterns and their
+in front, characters around it). They learn from all strict matches of all documents but every third, by
+hash, which is held out. The strict patterns and their
 checks say there what is personal and what merely looks like it; every base span is also written in
 loose forms, right ones (the same data in another notation) and wrong ones (a digit changed, a date or a
 version in its place), which the loose generators must tell apart in the same context. A threshold per
-kind, calibrated on candidates that were not learned from, selects the loose candidates that are added; a kind
+kind, calibrated on all candidates that were not learned from, selects the loose candidates that are added; a kind
 without enough evidence adds none. Of overlapping spans, base ones win, then the surest.
 
+*On Spark.* Examples are counted by their features, then by the bins of their features; borders of the bins are quantiles of all
+examples. Every level of a tree is a scan of these counts that adds up a histogram. Up to ``LOCAL_ROWS`` distinct rows
+of bins the same scans run on the driver. No example is left out, but numerous ones weigh less: the matches of one
+document, kind and outcome weigh ``DOC_WEIGHT`` together at most, and all of a kind and outcome ``KIND_WEIGHT``. Thresholds are found
+from plain numbers of examples. Sums are of whole numbers, so the order of the rows plays no part.
+
 Offsets are code points, ends exclusive. The scan of a text takes time in proportion to its length.
 
 Edge cases: null text is empty and has no span; empty tables give empty results; repeated rows are judged
@@ -21,23 +26,31 @@ once each; other columns are carried through redaction untouched.
 
 from __future__ import annotations
 
-import hashlib
 import bisect
-import heapq
+import functools
+import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.ordered import running_totals
 from evalspark.llm.common import batch, map_batches, strings
+from evalspark.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_MATCHES = 2000  # strict matches to learn from, per kind and outcome of the check
-SAMPLE_PER_DOC = 8  # of them from one document
+KIND_WEIGHT = 2000  # of all matches to learn from, per kind and outcome of the check
+DOC_WEIGHT = 8  # of those in one document
+UNIT = 1 << 30  # whole numbers of weights, gradients and curvatures
+DOC_UNIT = 1 << 20  # whole numbers of weights in a document
+LOCAL_ROWS = 50_000  # distinct rows of bins that are scanned on the driver
+CHUNK = 4096  # rows of a batch that a task passes on
 SPAN = 512  # characters of a match that are kept to learn from; no loose form is longer
 MIN_EVIDENCE = 20  # examples of either side without which a kind adds nothing
 PRECISION = 0.99  # of the added spans, on candidates held out of learning
@@ -137,6 +150,12 @@ def loose_matches(text: str) -> list[tuple[str, int, int]]:
 DIGIT = re.compile("[0-9]")
 
 
+def _rough(value: int) -> int:
+    """The ten leading bits of a number, so that features have few values."""
+    low = max(0, value.bit_length() - 10)
+    return value >> low << low
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a candidate."""
     span = text[start:min(end, start + 128)]
@@ -147,10 +166,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     parts = [int(g) for g in re.findall("[0-9]{1,6}", span)] or [0]
     marks = [c for c in span if not c.isalnum()]
     return [
-        KINDS.index(kind), end - start, len(digits), len(groups), max(groups, default=0), min(groups, default=0),
+        KINDS.index(kind), _rough(end - start), len(digits), len(groups), max(groups, default=0), min(groups, default=0),
         len(marks), len(set(marks)), float(span[:1] == "+"), float("(" in span), float("." in span), float("-" in span),
         float(" " in span), float(":" in span), float("@" in span or "at" in span.lower()), float(luhn(digits) if len(digits) >= 8 else 0),
-        max(parts), sum(c.isalpha() for c in span), float(left.isalnum()), float(after.isalnum()),
+        _rough(max(parts)), sum(c.isalpha() for c in span), float(left.isalnum()), float(after.isalnum()),
         float(left in ".,-/$#€£%"), float(digits[:1] == "0"), float(digits[:1] in ("3", "4", "5", "6")),
         float(any(w in before for w in CONTEXT[kind])), float(any(w in before for w in NUMBERS_OF_OTHER_KINDS)),
         float(len(set(digits))),
@@ -158,77 +177,87 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
 
 
 class BoostedTrees:
-    """Gradient boosting of small trees on the logistic loss; splits at quantiles of the features."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.start = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-        borders = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
-        score = np.full(len(y), self.start)
-        self.trees = []
-        for _ in range(TREES):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(x, y - p, p * (1 - p), borders, np.arange(len(y)), DEPTH)
-            self.trees.append(tree)
-            score += self._walk(tree, x)
-
-    def _grow(self, x, gradient, curvature, borders, rows, depth):
-        g, h = gradient[rows].sum(), curvature[rows].sum()
-        leaf = RATE * g / (h + 1.0)
-        if not depth or len(rows) < 10:
-            return leaf
-        best = (1e-6, None, None)
-        for column, cuts in enumerate(borders):
-            if not len(cuts):
-                continue
-            place = np.searchsorted(cuts, x[rows, column], "left")
-            left_g = np.cumsum(np.bincount(place, gradient[rows], len(cuts) + 1))[:-1]
-            left_h = np.cumsum(np.bincount(place, curvature[rows], len(cuts) + 1))[:-1]
-            gain = left_g ** 2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g ** 2 / (h + 1)
-            at = int(gain.argmax())
-            if gain[at] > best[0]:
-                best = (gain[at], column, cuts[at])
-        if best[1] is None:
-            return leaf
-        goes_left = x[rows, best[1]] <= best[2]
-        return (best[1], best[2], self._grow(x, gradient, curvature, borders, rows[goes_left], depth - 1),
-                self._grow(x, gradient, curvature, borders, rows[~goes_left], depth - 1))
-
-    def _walk(self, tree, x: np.ndarray) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(x), tree)
-        column, cut, left, right = tree
-        goes_left = x[:, column] <= cut
-        out = np.empty(len(x))
-        out[goes_left], out[~goes_left] = self._walk(left, x[goes_left]), self._walk(right, x[~goes_left])
-        return out
+    """Gradient boosting of small trees on the logistic loss: per tree the features, cuts and values of a complete tree in level order.
+
+    A row goes to the right when its feature is above the cut; nodes without a split have an infinite one. Cuts are on the bins of
+    the features while trees are grown, on the features themselves in the end.
+    """
+
+    def __init__(self, start: float, feature: np.ndarray, cut: np.ndarray, value: np.ndarray):
+        self.start, self.feature, self.cut, self.value = start, feature, cut, value
+
+    def with_tree(self, feature: np.ndarray, cut: np.ndarray, value: np.ndarray) -> BoostedTrees:
+        return BoostedTrees(self.start, np.vstack([self.feature, feature]), np.vstack([self.cut, cut]), np.vstack([self.value, value]))
+
+    def on_values(self, borders: list[np.ndarray]) -> BoostedTrees:
+        """The trees with cuts on values; values up to the n-th border lie in the bins up to the n-th."""
+        cut = np.array([[borders[f][int(c)] if np.isfinite(c) else np.inf for f, c in zip(*tree)] for tree in zip(self.feature, self.cut)])
+        return BoostedTrees(self.start, self.feature, cut.reshape(self.cut.shape), self.value)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         score = np.full(len(x), self.start)
-        for tree in self.trees:
-            score += self._walk(tree, x)
+        for tree in range(len(self.value)):
+            score += self.value[tree][_leaf(x, self.feature[tree], self.cut[tree], DEPTH)]
         return 1 / (1 + np.exp(-score))
 
 
+def _leaf(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """The node of every row in a level of a tree, counted from the left."""
+    rows, place = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for level in range(depth):
+        node = (1 << level) - 1 + place
+        place = 2 * place + (x[rows, feature[node]] > cut[node])
+    return place
+
+
+def histogram(counts: tuple[np.ndarray, ...], trees: BoostedTrees, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """Gradients, curvatures and numbers of examples per node of a level, feature and bin; weighted sums are whole numbers of 1 / UNIT."""
+    bins, good, bad, good_weight, bad_weight = counts
+    p = trees.probability(bins)
+    weights = np.rint(good_weight * (1 - p) - bad_weight * p), np.rint((good_weight + bad_weight) * (p * (1 - p))), (good + bad).astype(float)
+    node = _leaf(bins, feature, cut, depth)
+    out = np.empty((1 << depth, bins.shape[1], BINS, 3))
+    for f in range(bins.shape[1]):
+        for k, weight in enumerate(weights):
+            out[:, f, :, k] = np.bincount(node * BINS + bins[:, f], weight, BINS << depth).reshape(-1, BINS)
+    return out
+
+
+def grown(start: float, borders: list[np.ndarray], scan: Callable[[BoostedTrees, np.ndarray, np.ndarray, int], np.ndarray]) -> BoostedTrees:
+    """Trees on bins; ``scan`` gives the histogram of a level."""
+    inner = (1 << DEPTH) - 1
+    trees = BoostedTrees(start, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
+    useless = np.arange(BINS - 1) >= np.array([len(b) for b in borders])[:, None]
+    for _ in range(TREES):
+        feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
+        for depth in range(DEPTH):
+            sums = scan(trees, feature, cut, depth)
+            sums[..., :2] /= UNIT
+            total = sums[:, :1].sum(axis=2, keepdims=True)
+            left = np.cumsum(sums, axis=2)[:, :, :-1]
+            gain = _worth(left) + _worth(total - left) - _worth(total)
+            gain[:, useless] = -np.inf
+            best = gain.reshape(len(gain), -1)
+            sides = np.stack([total[:, 0, 0], np.zeros_like(total[:, 0, 0])], axis=1)
+            for node, at in enumerate(best.argmax(axis=1)):
+                if total[node, 0, 0, 2] >= 10 and best[node, at] > 1e-6:
+                    f, c = divmod(int(at), BINS - 1)
+                    feature[(1 << depth) - 1 + node], cut[(1 << depth) - 1 + node] = f, c
+                    sides[node] = left[node, f, c], total[node, 0, 0] - left[node, f, c]
+        sides = sides.reshape(-1, 3)
+        trees = trees.with_tree(feature, cut, RATE * sides[:, 0] / (sides[:, 1] + 1.0))
+    return trees
+
+
+def _worth(sums: np.ndarray) -> np.ndarray:
+    return sums[..., 0] ** 2 / (sums[..., 1] + 1)
+
+
 class Selector:
     """The trees and the threshold of each kind."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray):
-        self.trees, self.threshold = None, {}
-        learn = ~held
-        if min(y[learn].sum(), (~y[learn]).sum()) < MIN_EVIDENCE:
-            return
-        self.trees = BoostedTrees(x[learn], y[learn].astype(float))
-        p = self.trees.probability(x[held])
-        for code, kind in enumerate(KINDS):
-            mine = x[held, 0] == code
-            good, bad = np.sort(p[mine & y[held]]), p[mine & ~y[held]]
-            if len(good) < MIN_EVIDENCE or len(bad) < MIN_EVIDENCE:
-                continue  # nothing to tell right from wrong by
-            for cut in np.unique(np.r_[0.5, good[good >= 0.5]]):
-                wrong = int((bad >= cut).sum())
-                if wrong <= (1 - PRECISION) * (wrong + int((good >= cut).sum())):
-                    self.threshold[kind] = float(cut)
-                    break
+    def __init__(self, trees: BoostedTrees | None = None, threshold: dict[str, float] | None = None):
+        self.trees, self.threshold = trees, threshold or {}
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Loose candidates that are sure enough and overlap nothing surer."""
@@ -270,20 +299,19 @@ def _rewritten(kind: str, value: str, turn: int) -> list[tuple[str, bool]]:
 
 
 def drawn(doc_id: int | None, text: str) -> Iterator[tuple]:
-    """``kind, fine, key, before, span, size, after, turn`` of the strict matches of a document that may be learned from."""
-    found: dict[tuple[str, bool], list[tuple[int, int, int]]] = {}
-    for kind, start, end, fine in strict_matches(text):
+    """``kind, fine, weight, key, before, span, size, after, turn`` of the strict matches of a document."""
+    found = strict_matches(text)
+    many = Counter((kind, fine) for kind, _, _, fine in found)
+    for kind, start, end, fine in found:
         key = xxhash.xxh3_64_intdigest(f"{doc_id} {start} {kind}") >> 1
-        found.setdefault((kind, fine), []).append((key, start, end))
-    for (kind, fine), places in found.items():
-        for key, start, end in heapq.nsmallest(SAMPLE_PER_DOC, places):
-            yield kind, fine, key, text[max(0, start - 40):start], text[start:min(end, start + SPAN)], end - start, text[end:end + 8], start
+        weight = max(1, DOC_UNIT * DOC_WEIGHT // max(DOC_WEIGHT, many[kind, fine]))
+        yield kind, fine, weight, key, text[max(0, start - 40):start], text[start:min(end, start + SPAN)], end - start, text[end:end + 8], start
 
 
 def examples(kind: str, fine: bool, before: str, span: str, size: int, after: str, turn: int) -> Iterator[tuple[list[float], bool]]:
     """A strict match with the outcome of its check; one that passes also in other notations."""
     x = features(before + span + after, kind, len(before), len(before) + len(span))
-    x[1] = size
+    x[1] = _rough(size)
     yield x, fine
     if not fine or size > SPAN:
         return
@@ -333,46 +361,164 @@ def _said(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-DRAWN = pa.schema([("kind", pa.string()), ("fine", pa.bool_()), ("key", pa.int64()), ("before", pa.string()), ("span", pa.string()),
-                   ("size", pa.int64()), ("after", pa.string()), ("turn", pa.int64())])
-DRAWN_SQL = "kind string, fine boolean, key bigint, before string, span string, size bigint, after string, turn bigint"
+DRAWN = pa.schema([("kind", pa.string()), ("fine", pa.bool_()), ("weight", pa.int64()), ("key", pa.int64()), ("before", pa.string()),
+                   ("span", pa.string()), ("size", pa.int64()), ("after", pa.string()), ("turn", pa.int64())])
+DRAWN_SQL = "kind string, fine boolean, weight bigint, key bigint, before string, span string, size bigint, after string, turn bigint"
+COUNTS = ("good", "bad", "good_weight", "bad_weight")  # numbers of right and wrong examples, and their weights
+COUNTS_SQL = ", ".join(f"{c} bigint" for c in COUNTS)
 
 
 def training_matches(docs: DataFrame) -> DataFrame:
-    """The strict matches to learn from, the same whatever the order of the rows. A task passes on only its first
-    SAMPLE_MATCHES per kind and outcome; repeated rows count once."""
+    """All strict matches; those of repeated rows count once."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            matches = (m for doc_id, text in zip(part.column(0).to_pylist(), strings(part.column(1))) for m in drawn(doc_id, text))
+            while chunk := list(itertools.islice(matches, CHUNK)):
+                yield batch(DRAWN, dict(zip(DRAWN.names, zip(*chunk))))
+
+    return map_batches(docs.select("doc_id", "text"), task, DRAWN_SQL).distinct()
+
+
+def example_counts(matches: DataFrame) -> DataFrame:
+    """Numbers and weights of the examples with the same features (``x``, single precision)."""
+    keys = [("kind", pa.string()), ("fine", pa.bool_()), ("strict", pa.bool_()), ("held", pa.bool_()), ("x", pa.binary())]
+    schema = pa.schema([*keys, *[(c, pa.int64()) for c in COUNTS]])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            counts: dict[tuple, np.ndarray] = {}
+            for kind, fine, weight, key, *window in zip(*(c.to_pylist() for c in part.columns)):
+                for number, (values, right) in enumerate(examples(kind, fine, *window)):
+                    cell = kind, fine, not number, key % 3 == 0, np.array(values, np.float32).tobytes()
+                    counts[cell] = counts.get(cell, 0) + np.array([right, not right, weight * right, weight * (not right)], np.int64)
+            if counts:
+                columns = [*zip(*counts), *np.array(list(counts.values())).T]
+                yield batch(schema, dict(zip(schema.names, columns)))
+
+    rows = map_batches(matches.select(*DRAWN.names), task, f"kind string, fine boolean, strict boolean, held boolean, x binary, {COUNTS_SQL}")
+    return _summed(rows, *[k for k, _ in keys])
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def _weighed(part: pa.RecordBatch, scale: dict[tuple[str, bool], float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, numbers and weights of the rows of ``example_counts``, weights as whole numbers of 1 / UNIT."""
+    x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float32).reshape(part.num_rows, -1)
+    good, bad, *weights = (part.column(c).to_numpy() for c in COUNTS)
+    each = np.array([scale[group] for group in zip(part.column("kind").to_pylist(), part.column("fine").to_pylist())])
+    return x, np.column_stack([good, bad]), np.column_stack([np.rint(w * each * (UNIT // DOC_UNIT)) for w in weights]).astype(np.int64)
+
+
+def _borders(vectors: DataFrame, scale: dict[tuple[str, bool], float], width: int) -> list[np.ndarray]:
+    """Weighted quantiles of every feature over the examples to learn from."""
+    schema = pa.schema([("feature", pa.int32()), ("value", pa.float64()), ("weight", pa.int64())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                x, _, weights = _weighed(part, scale)
+                for f, column in enumerate(x.T):
+                    values, place = np.unique(column, return_inverse=True)
+                    sums = np.zeros(len(values), np.int64)
+                    np.add.at(sums, place, weights.sum(axis=1))
+                    yield batch(schema, {"feature": np.full(len(values), f, np.int32), "value": values.astype(float), "weight": sums})
+
+    rows = map_batches(vectors.where("not held"), task, "feature int, value double, weight bigint", CHUNK)
+    found = rows.groupBy("feature", "value").agg(F.sum("weight").alias("weight")).orderBy("feature", "value").toArrow()  # rough values: few
+    feature, value, weight = (found.column(c).to_numpy() for c in schema.names)
+    out = []
+    for f in range(width):
+        mine = feature == f
+        total = np.cumsum(weight[mine])
+        at = np.searchsorted(total, np.linspace(0, 1, BINS + 1)[1:-1] * (total[-1] if len(total) else 0))
+        out.append(np.unique(value[mine][at]) if len(total) else np.zeros(0))
+    return out
+
+
+def _binned(vectors: DataFrame, scale: dict[tuple[str, bool], float], borders: list[np.ndarray]) -> DataFrame:
+    """Numbers and weights of the examples with the same kind and bins."""
+    schema = pa.schema([("kind", pa.string()), ("held", pa.bool_()), ("bins", pa.binary()), *[(c, pa.int64()) for c in COUNTS]])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                x, numbers, weights = _weighed(part, scale)
+                bins = np.column_stack([np.searchsorted(b, column, "left") for b, column in zip(borders, x.T)]).astype(np.uint8)
+                yield batch(schema, {"kind": part.column("kind"), "held": part.column("held"), "bins": [row.tobytes() for row in bins],
+                                     **dict(zip(COUNTS, [*numbers.T, *weights.T]))})
+
+    return _summed(map_batches(vectors, task, f"kind string, held boolean, bins binary, {COUNTS_SQL}", CHUNK), "kind", "held", "bins")
+
+
+def _counts(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+    return bins.astype(np.int64), *(part.column(c).to_numpy() for c in COUNTS)
+
+
+def _scan(rows: DataFrame, shape: tuple[int, int]) -> Callable[[BoostedTrees, np.ndarray, np.ndarray, int], np.ndarray]:
+    """Histograms over a table of counts: a partial one per task, added up on the driver."""
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+
+    def scan(trees: BoostedTrees, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((1 << depth, *shape, 3))
+            for part in batches:
+                if part.num_rows:
+                    out += histogram(_counts(part), trees, feature, cut, depth)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["part"])
+
+        parts = map_batches(rows, task, "part binary", CHUNK).toArrow().column("part").to_pylist()
+        return sum((np.frombuffer(part).reshape(-1, *shape, 3) for part in parts), np.zeros((1 << depth, *shape, 3)))
+
+    return scan
+
+
+def _probabilities(rows: DataFrame, trees: BoostedTrees) -> DataFrame:
+    """``kind, p, good, bad`` of the held-out examples, one row per kind and probability."""
+    schema = pa.schema([("kind", pa.string()), ("p", pa.float64()), ("good", pa.int64()), ("bad", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple[str, bool], list[tuple]] = {}
         for part in batches:
-            for doc_id, text in zip(part.column(0).to_pylist(), strings(part.column(1))):
-                for match in drawn(doc_id, text):
-                    kept = first.setdefault(match[:2], [])
-                    kept.append(match)
-                    if len(kept) >= 2 * SAMPLE_MATCHES:
-                        kept[:] = heapq.nsmallest(SAMPLE_MATCHES, set(kept), key=_place)
-        for kept in first.values():
-            yield batch(DRAWN, dict(zip(DRAWN.names, zip(*heapq.nsmallest(SAMPLE_MATCHES, set(kept), key=_place)))))
+            if part.num_rows:
+                bins, good, bad, *_ = _counts(part)
+                yield batch(schema, {"kind": part.column("kind"), "p": trees.probability(bins), "good": good, "bad": bad})
 
-    order = Window.partitionBy("kind", "fine").orderBy("key", "before", "span", "size", "after", "turn")
-    rows = map_batches(docs.select("doc_id", "text"), task, DRAWN_SQL).distinct()
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= SAMPLE_MATCHES).drop("_rank")
+    found = map_batches(rows, task, "kind string, p double, good bigint, bad bigint", CHUNK)
+    return found.groupBy("kind", "p").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
-def _place(match: tuple) -> tuple:
-    return match[2:]
+def thresholds(rows: DataFrame, trees: BoostedTrees) -> dict[str, float]:
+    """Per kind the smallest probability from one half on at which enough of the held-out examples are right."""
+    ordered = running_totals(_probabilities(rows, trees), ["kind"], "p", {"good": "good_below", "bad": "bad_below"}, overall={"good": "all_good", "bad": "all_bad"})
+    right, wrong = F.col("all_good") - F.col("good_below"), F.col("all_bad") - F.col("bad_below")
+    evidence = (F.col("all_good") >= MIN_EVIDENCE) & (F.col("all_bad") >= MIN_EVIDENCE)  # else nothing to tell right from wrong by
+    sure = ordered.where(evidence & (F.col("p") >= 0.5)).withColumn("sure", wrong <= (1 - PRECISION) * (wrong + right))
+    found = sure.groupBy("kind").agg(F.min_by("sure", "p").alias("at_half"), F.min(F.when(F.col("sure") & (F.col("good") > 0), F.col("p"))).alias("cut"))
+    return {r["kind"]: 0.5 if r["at_half"] else r["cut"] for r in found.collect() if r["at_half"] or r["cut"] is not None}
 
 
 def learn(docs: DataFrame) -> Selector:
-    x, y, held = [], [], []
-    # at most SAMPLE_MATCHES per kind and outcome; in order, as sums of the trees are
-    for row in sorted(tuple(r) for r in training_matches(docs).collect()):
-        kind, fine, key, *window = row
-        for values, right in examples(kind, fine, *window):
-            x.append(values)
-            y.append(right)
-            held.append(key % 3 == 0)
-    return Selector(np.array(x or np.zeros((0, 26))), np.array(y, bool), np.array(held, bool))
+    vectors = stage(example_counts(training_matches(docs)), "pii-examples")
+    weighed = vectors.where("strict").groupBy("kind", "fine").agg(F.sum(F.col("good_weight") + F.col("bad_weight")).alias("weight")).collect()
+    scale = {(r["kind"], r["fine"]): min(1.0, KIND_WEIGHT * DOC_UNIT / r["weight"]) for r in weighed}
+    width = len(features("", KINDS[0], 0, 0))
+    borders = _borders(vectors, scale, width)
+    binned = stage(_binned(vectors, scale, borders), "pii-bins")
+    to_learn = binned.where("not held")
+    size = to_learn.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).first()
+    if min(size["good"], size["bad"]) < MIN_EVIDENCE:
+        return Selector()
+    share = size["good_weight"] / (size["good_weight"] + size["bad_weight"])
+    if size["rows"] <= LOCAL_ROWS:
+        counts = _counts(to_learn.toArrow())  # LOCAL_ROWS at most
+        scan = functools.partial(histogram, counts)
+    else:
+        scan = _scan(to_learn, (width, BINS))
+    trees = grown(float(np.log((share + 1e-6) / (1 - share + 1e-6))), borders, scan)
+    return Selector(trees.on_values(borders), thresholds(binned.where("held"), trees))
 
 
 FOUND = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalspark.llm import pii
 
@@ -142,3 +143,42 @@ def test_covered_stretches():
             if apart:
                 covered.put(probe)
                 spans.append(probe)
+
+
+def test_all_matches_are_learned_from(spark, taught):
+    numbers = ", ".join(str(10_000 + i) for i in range(3000))
+    docs = taught.unionByName(spark.createDataFrame([(-3, numbers), (-4, "+12 34"), (-4, "+12 34")], "doc_id bigint, text string"))
+    texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    wanted = sum(len(pii.strict_matches(text)) for _, text in texts)
+    matches = pii.training_matches(docs)
+    assert matches.count() == wanted > 3000
+    counted = pii.example_counts(matches).where("strict").groupBy("kind").agg({"good": "sum", "bad": "sum"}).collect()
+    assert sum(r["sum(good)"] + r["sum(bad)"] for r in counted) == wanted
+
+
+def test_scans_on_spark_give_the_same_trees(taught, monkeypatch):
+    monkeypatch.setattr(pii, "TREES", 3)
+    here = pii.learn(taught)
+    monkeypatch.setattr(pii, "LOCAL_ROWS", 0)
+    there = pii.learn(taught.repartition(7))
+    assert here.threshold == there.threshold != {}
+    for name in ("feature", "cut", "value"):
+        assert (getattr(here.trees, name) == getattr(there.trees, name)).all() and len(here.trees.value) == 3
+
+
+def test_thresholds_are_the_smallest_sure_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    for high in (40, 400):
+        rows = [(kind, rng.randint(0, 20) / 20, rng.randint(0, high), rng.randint(0, 1)) for kind in pii.KINDS for _ in range(60)]
+        rows += [("ip", 0.95, 5000, 0), ("card", 0.1, 5, 50)]
+        monkeypatch.setattr(pii, "_probabilities", lambda *_: spark.createDataFrame(rows, "kind string, p double, good bigint, bad bigint").groupBy("kind", "p").agg(
+            F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+        wanted = {}
+        for kind in pii.KINDS:
+            mine = [r[1:] for r in rows if r[0] == kind]
+            for cut in sorted({0.5} | {p for p, good, _ in mine if p >= 0.5 and good}):
+                right, wrong = (sum(r[i] for r in mine if r[0] >= cut) for i in (1, 2))
+                if wrong <= (1 - pii.PRECISION) * (wrong + right):
+                    wanted[kind] = cut
+                    break
+        assert pii.thresholds(None, None) == wanted
