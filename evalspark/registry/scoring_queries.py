@@ -348,7 +348,8 @@ class SilentJudge(judges.LanguageJudge):
     """The language judge that returns nothing for requests it is unsure of."""
 
     def score(self, requests):
-        return super().score(requests).where(F.col("confidence") >= 0.4)
+        # Written first: else the filter runs on the texts, and counts every hint again for each use of a count.
+        return stage(super().score(requests), "judged").where(F.col("confidence") >= 0.4)
 
 
 @query("dropped_answers", _features_sql(absent="false"))

@@ -9,6 +9,8 @@ from evalspark.operators import requests as reqs
 from evalspark.operators import sampling, scoring
 from evalspark.operators.stacking import baseline_features, judge_features
 from evalspark.plans.catalog import DOC_LANG, DOC_QUALITY, IRIS
+from evalspark.registry import judges
+from evalspark.registry.scoring_queries import SilentJudge
 from evalspark.session import new_path
 from evalspark.sources import answers
 from evalspark.streaming.incremental import score_stream
@@ -230,3 +232,12 @@ def test_a_fitted_model_as_judge(spark):
     margins.probabilistic = False
     with pytest.raises(ValueError):
         scoring.ModelScorer(DOC_QUALITY, margins, "document string", {"text": "document"})
+
+
+def test_a_silent_judge_counts_each_hint_once(spark):
+    texts = ["the man and the thing", "ich und du", "nada", None]
+    asked = reqs.build_requests(DOC_LANG, rows(spark, texts).withColumn("label", F.lit("en")), DOC_LANG.question())
+    found = SilentJudge().score(asked)
+    assert found._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(") <= len(judges.HINTS)
+    wanted = [r for r in judges.LanguageJudge().score(asked).collect() if r["confidence"] is not None and r["confidence"] >= 0.4]
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted)) and 0 < len(wanted) < len(texts)
