@@ -26,7 +26,8 @@ from evalspark.llm.common import batch, map_batches, utf8
 
 LIMIT = 4096
 END_ID = 2
-CACHED_WORDS = 200_000  # of a generation
+CACHED_WORDS = 349_000  # of a generation; a dict of up to 349,525 takes no more room than one of 175,000
+RUNS_SHARE = 16  # letters are remembered as words, too, so runs need only this part of the room
 LONGEST_CACHED = 64  # bytes; text without blanks is one long word after the other
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, offset bigint, "
@@ -52,16 +53,17 @@ def _byte_letters() -> list[str]:
 class Remembered(dict):
     """Ids by word, remembered in two generations: a full one becomes the older one, from which words that are met again come back."""
 
-    def __init__(self, ids_of: Callable[[bytes | str], bytes]):
+    def __init__(self, ids_of: Callable[[bytes | str], bytes], share: int = 1):
         super().__init__()
         self.ids_of, self.older = ids_of, {}
+        self.limit = max(1, CACHED_WORDS // share)
 
     def __missing__(self, word: bytes | str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
             ids = self.ids_of(word)
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
             self[word] = ids
@@ -83,8 +85,8 @@ class WordEncoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
+        self.runs = Remembered(self.run, RUNS_SHARE)
         self.words = Remembered(self.word)
-        self.runs = Remembered(self.run)
 
     def run(self, letters: str) -> bytes:
         """Ids of one run of lower-case letters or of marks."""
@@ -94,12 +96,18 @@ class WordEncoder:
     def word(self, word: bytes) -> bytes:
         """Ids of one word in lower case, or of one that holds the string of a special token."""
         stem = word.rstrip(MARKS)
+        marks = word[len(stem):].decode()
+        if stem.isalpha():  # of ASCII letters
+            if marks:
+                return self.words[stem.lower()] + self.runs[marks]
+            return self.runs[word.decode().lower()]
         letters = stem.decode("utf-8", "replace")
-        if not (stem.isalpha() or LETTERS.fullmatch(letters)):
+        if not LETTERS.fullmatch(letters):
             found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)
             return array("I", found[0].ids).tobytes()
-        ids = self.runs[letters.lower()]
-        return ids if len(stem) == len(word) else ids + self.runs[word[len(stem):].decode()]
+        if marks:
+            return self.words[stem] + self.runs[marks]
+        return self.runs[letters.lower()]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""

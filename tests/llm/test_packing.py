@@ -88,3 +88,16 @@ def test_words_met_again_are_not_encoded_again(monkeypatch, tokenizer):
         assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert asked.count("often") == 1 and len(asked) == 9
     assert max(len(encoder.words), len(encoder.runs), len(encoder.words.older), len(encoder.runs.older)) <= 3
+
+
+def test_letters_are_remembered_as_words(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 320)
+    encoder = packing.WordEncoder(PATH)
+    asked, merged = [], encoder.runs.ids_of
+    encoder.runs.ids_of = lambda letters: asked.append(letters) or merged(letters)
+    stems = [a + b + c for a in "bdfgk" for b in "aeioué" for c in "lmnr"]
+    texts = [" ".join(s + mark for s in stems) for mark in ("", ",", "!")]
+    for text, found in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert all(asked.count(s) == 1 for s in stems)  # found again as words, whatever marks stand behind them
+    assert len(encoder.runs) + len(encoder.runs.older) <= 40  # and not held a second time
