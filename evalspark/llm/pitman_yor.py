@@ -1,10 +1,10 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-A text is its words and one end mark. Every word is served in a restaurant that its left neighbour names:
-the neighbour's own one, if it is one of the ``FREQUENT`` most frequent words, whose parent is the restaurant of all
-words with the same ending (``ENDINGS`` classes, and one for the beginning of a text); other neighbours name the
-ending's restaurant directly. Endings share the root, and the root's base is uniform over all known words and one
-unknown. Customers of a table are customers of the parent restaurant, so contexts share strength.
+A text is its words and one end mark. Every word is served in the restaurant of its left neighbour; each left
+neighbour seen in training has one of its own. The parent of a neighbour's restaurant is the restaurant of all words
+with the same ending (``ENDINGS`` classes); words at the beginning of a text are served in a restaurant of the middle
+level. Those share the root, and the root's base is uniform over all known words and one unknown. Customers of a
+table are customers of the parent restaurant, so contexts share strength.
 
 *Seating.* Gibbs sweeps draw the number of tables of every dish in every restaurant anew, given the table
 totals and the parents' probabilities of the sweep before. Up to ``EXACT`` customers the draw is from the
@@ -12,12 +12,15 @@ exact conditional (generalised Stirling numbers); beyond, customers are seated i
 are estimated from the numbers of dishes with one and two customers; strengths are 1. Probabilities are
 averaged over the sweeps after ``BURN_IN``.
 
-*On Spark.* All statistics cover all training documents. Words are 64-bit hashes. The tokens of the frequent
-words stay with their documents and are counted per (word, context), a table of bounded size. All other tokens are
-packed and dealt to buckets by word, once; each bucket holds all customers of its words, in every context. The sweeps
-then need only the bounded totals per restaurant, which are summed over buckets; a bucket draws with a
-seed of its own and repeats its earlier sweeps from the totals, so that a lost task gives the same result
-again. No remaining word holds more than ``1 / FREQUENT`` of the tokens, whatever the table.
+*On Spark.* All statistics cover all training documents. Words are 64-bit hashes; left neighbours are told apart by
+48 bits of it and their ending. The ``FREQUENT`` most frequent words are set apart only to keep work even: pairs of
+two of them stay with their documents and are counted in a table of bounded size. All other tokens are packed and
+dealt to buckets, once: by word, or by left neighbour if the word is a frequent one. A bucket holds all customers of
+its words, in every context. In each sweep a bucket sends the tables of its left neighbours' restaurants to their
+owners (groups by hash of the neighbour), which add them up and answer each bucket; totals of the frequent
+neighbours, the middle level and the root are bounded and pass through the driver. A bucket draws with a seed of its
+own and repeats its earlier sweeps from the totals and answers, so that a lost task gives the same result again. No
+remaining word or neighbour holds more than ``1 / FREQUENT`` of the tokens, whatever the table.
 
 Edge cases: null text is empty and has the end mark alone; documents with null id are learned from;
 repeated rows are scored once each and learned from as often as they occur; without training documents
@@ -26,6 +29,8 @@ every probability is 1; an empty table gives an empty result. Only the id and th
 
 from __future__ import annotations
 
+import contextlib
+import copy
 import math
 from collections.abc import Iterator
 
@@ -33,11 +38,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import batch, map_batches, utf8, words_of
-from evalspark.session import stage
+from evalspark.session import new_path, stage
 
 FREQUENT = 512
 ENDINGS = 1024
@@ -47,7 +52,9 @@ EXACT = 24
 SEED = 7
 BUCKET_TOKENS = 1_200_000  # tokens per bucket, frequent words included
 PARTIAL_ROWS = 1_000_000  # partial sums of documents that a task gathers before it passes them on
-FLUSH = 800_000  # infrequent tokens that a task gathers before it packs them
+FLUSH = 1_000_000  # tokens for buckets that a task gathers before it packs them
+TOGETHER = 4  # buckets that a task reads
+OWNED = 16  # buckets per owner of neighbours' totals
 
 END = b" end"  # no word holds a space
 CODES = FREQUENT + ENDINGS + 1  # contexts: frequent words, endings, the beginning
@@ -55,6 +62,7 @@ BEGIN = CODES - 1
 RESTAURANTS = ENDINGS + 1  # of the middle level
 LEARNED = 1 << 15  # bit of a context code: the token is one to learn from
 WIDTH = 2 * FREQUENT + 2 * RESTAURANTS + 2 + 6  # of the totals
+CELLS = FREQUENT * RESTAURANTS  # frequent words in the middle restaurants
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -135,6 +143,9 @@ PACKED = pa.schema([("bucket", pa.int32()), ("flush_row", pa.int64()), ("first_r
                     ("n_tokens", pa.list_(pa.int64())), ("n_frequent", pa.list_(pa.int32())), ("blob", pa.binary())])
 PACKED_SQL = ("bucket int, flush_row bigint, first_row bigint, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, "
               "n_frequent array<int>, blob binary")
+FRAGMENT = (np.uint64, np.uint32, np.uint16, np.uint16, np.uint64, np.uint64, np.uint32, np.uint16, np.uint16)
+SEATS = (np.uint32, np.uint32, np.uint32, np.uint64, np.uint32, np.uint16, np.uint32)
+ROWS = (np.uint32, np.uint32, np.uint16, np.uint32, np.int64)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -145,14 +156,44 @@ def _stretch(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, byte by byte, so that small numbers take little."""
+    sizes = np.array([len(a) for a in arrays], np.int64)
+    return _squeeze(sizes, *(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T for a in arrays))
+
+
+def _unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
+    data = _stretch(blob)
+    at, out = 8 * len(types), []
+    for kind, size in zip(map(np.dtype, types), np.frombuffer(data, np.int64, len(types)).tolist()):
+        raw = np.frombuffer(data, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(raw.T).view(kind).reshape(size))
+        at += size * kind.itemsize
+    return out
+
+
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    return np.diff(ordered, prepend=ordered.dtype.type(0))
+
+
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:len(ordered)])
+
+
+def _share(key: np.ndarray, shares: int) -> np.ndarray:
+    """The share that a hash falls into; ascends with the hash."""
+    return ((key >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32)
+
+
 def packed_tokens(docs: DataFrame, frequent: list[int], buckets: int) -> DataFrame:
-    """One row per batch of documents with their frequent tokens (``bucket`` null), and rows of packed
-    infrequent tokens for the buckets. A flush is a run of documents, named by its first row, whose infrequent
-    tokens were packed together."""
+    """One row per batch of documents with their pairs of frequent words (``bucket`` below 0), and rows of
+    packed tokens for the buckets. A flush is a run of documents, named by its first row, whose tokens for
+    buckets were packed together."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary(frequent)
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
         base = count = 0
         for part in batches:
             if not part.num_rows:
@@ -168,84 +209,159 @@ def packed_tokens(docs: DataFrame, frequent: list[int], buckets: int) -> DataFra
             code = np.empty(len(numbers), np.uint16)
             code[1:] = known.code[numbers[:-1]]
             code[np.cumsum(sizes) - sizes] = BEGIN
-            code[~held[owner]] |= LEARNED
+            behind = (code >= FREQUENT) & (code < BEGIN)  # a neighbour that is not frequent
+            learned = np.where(held[owner], 0, LEARNED).astype(np.uint16)
             place = known.place[numbers]
-            often = place >= 0
+            rare = place < 0
+            often = ~rare & ~behind
             yield batch(PACKED, {
-                "bucket": [None], "flush_row": [base], "first_row": rows[:1], "doc_id": [part.column(1).to_pylist()],
+                "bucket": [-1 - int(rows[0] % 8191) % buckets], "flush_row": [base], "first_row": rows[:1], "doc_id": [part.column(1).to_pylist()],
                 "held_out": [held.tolist()], "n_tokens": [sizes.tolist()], "n_frequent": [np.bincount(owner[often], minlength=len(sizes)).tolist()],
-                "blob": [_squeeze(place[often].astype(np.uint16), code[often])]})
-            rare = ~often
-            waiting.append((known.hash[numbers[rare]], code[rare], (rows[0] - base + owner[rare]).astype(np.uint16)))
-            count += int(rare.sum())
+                "blob": [_squeeze(place[often].astype(np.uint16), code[often] | learned[often])]})
+            doc = (rows[0] - base + owner).astype(np.uint16)
+            neighbour = np.zeros(len(numbers), np.uint64)
+            neighbour[1:] = known.hash[numbers[:-1]] >> np.uint64(16)
+            aside = ~rare & behind
+            waiting.append((known.hash[numbers[rare]], code[rare] | learned[rare], doc[rare], neighbour[rare],
+                            neighbour[aside] << np.uint64(16) | code[aside], place[aside].astype(np.uint16) | learned[aside], doc[aside]))
+            count += len(numbers) - int(often.sum())
         if waiting:
             yield from packed(waiting, base)
 
     def packed(waiting: list[tuple], base: int) -> Iterator[pa.RecordBatch]:
-        word, code, doc = (np.concatenate(x) for x in zip(*waiting))
-        home = word % np.uint64(buckets)
-        order = np.lexsort((word, home))
-        word, code, doc = word[order], code[order], doc[order]
-        edges = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.uint64))
-        for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            low, high = edges[b], edges[b + 1]
-            mine = word[low:high]
-            heads = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-            runs = np.diff(np.r_[heads, len(mine)]).astype(np.uint32)
-            size = np.array([len(runs), len(mine)], np.int64)
+        word, code, doc, neighbour, key, place, doc2 = (np.concatenate(x) for x in zip(*waiting))
+        order, order2 = np.argsort(word), np.argsort(key)
+        word, code, doc, neighbour = word[order], code[order], doc[order], neighbour[order]
+        key, place, doc2 = key[order2], place[order2], doc2[order2]
+        edges, edges2 = (np.searchsorted(_share(x, buckets), np.arange(buckets + 1, dtype=np.uint64)) for x in (word, key))
+        for b in np.flatnonzero((edges[1:] > edges[:-1]) | (edges2[1:] > edges2[:-1])).tolist():
+            cut, cut2 = slice(edges[b], edges[b + 1]), slice(edges2[b], edges2[b + 1])
+            heads, heads2 = _heads(word[cut]), _heads(key[cut2])
+            place_code = code[cut] & (LEARNED - 1)
+            blob = _pack(_steps(word[cut][heads]), np.diff(np.r_[heads, len(word[cut])]).astype(np.uint32), code[cut], doc[cut],
+                         neighbour[cut][(place_code >= FREQUENT) & (place_code < BEGIN)],
+                         _steps(key[cut2][heads2]), np.diff(np.r_[heads2, len(key[cut2])]).astype(np.uint32), place[cut2], doc2[cut2])
             yield batch(PACKED, {"bucket": [b], "flush_row": [base], "first_row": [base], "doc_id": [None], "held_out": [None], "n_tokens": [None],
-                                 "n_frequent": [None], "blob": [_squeeze(size, mine[heads], runs, code[low:high], doc[low:high])]})
+                                 "n_frequent": [None], "blob": [blob]})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
     return map_batches(rows, task, PACKED_SQL)
 
 
+MERGED_SQL = PACKED_SQL + ", seats binary, rows binary"
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    """All tokens of one bucket, ordered by word and context."""
-    words, codes, docs, parts = [], [], [], []
-    for turn, blob in enumerate(table.column("blob").to_pylist()):
-        data = _stretch(blob)
-        kinds, size = np.frombuffer(data, np.int64, 2)
-        at = 16
-        word = np.frombuffer(data, np.uint64, kinds, at)
-        runs = np.frombuffer(data, np.uint32, kinds, at + 8 * kinds)
-        at += 12 * kinds
-        words.append(np.repeat(word, runs))
-        codes.append(np.frombuffer(data, np.uint16, size, at))
-        docs.append(np.frombuffer(data, np.uint16, size, at + 2 * size))
-        parts.append(np.full(size, turn, np.uint32))
-    word, code = np.concatenate(words), np.concatenate(codes)
-    order = np.lexsort((code & (LEARNED - 1), word))
-    word = word[order]
-    heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    runs = np.diff(np.r_[heads, len(word)]).astype(np.uint32)
-    first = table.column("first_row").to_numpy().astype(np.int64)
-    size = np.array([len(runs), len(word), len(first)], np.int64)
-    blob = _squeeze(size, runs, code[order], np.concatenate(docs)[order], np.concatenate(parts)[order], first)
-    return pa.table({"bucket": table.column("bucket").slice(0, 1).combine_chunks(), "blob": pa.array([blob], pa.binary())})
+    """All tokens of one bucket as pairs of word and context; batches of documents as they are."""
+    none = pa.nulls(table.num_rows, pa.binary())
+    if table.column("bucket")[0].as_py() < 0:
+        return table.append_column("seats", none).append_column("rows", none)
+    found = [_unpack(blob, FRAGMENT) for blob in table.column("blob").to_pylist()]
+    word = np.concatenate([np.repeat(np.cumsum(f[0], dtype=np.uint64), f[1]) for f in found])
+    code, doc, neighbour = (np.concatenate([f[i] for f in found]) for i in (2, 3, 4))
+    part = np.repeat(np.arange(len(found), dtype=np.uint32), [len(f[2]) for f in found])
+    key = np.concatenate([np.repeat(np.cumsum(f[5], dtype=np.uint64), f[6]) for f in found])
+    place, doc2 = (np.concatenate([f[i] for f in found]) for i in (7, 8))
+    part2 = np.repeat(np.arange(len(found), dtype=np.uint32), [len(f[7]) for f in found])
+
+    context = (code & (LEARNED - 1)).astype(np.int64)
+    behind = np.flatnonzero((context >= FREQUENT) & (context < BEGIN))
+    keys, number = np.unique(np.concatenate([neighbour << np.uint64(16) | context[behind].astype(np.uint64), key]), return_inverse=True)
+    context[behind] = CODES + number[:len(behind)]
+    width = CODES + len(keys)
+    words, kind = np.unique(word, return_inverse=True)
+
+    def pairs(pair: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(pair)
+        pair = pair[order]
+        heads = _heads(pair)
+        counts = np.add.reduceat((learned[order] >= LEARNED).astype(np.uint32), heads) if len(heads) else np.zeros(0)
+        return order, pair[heads], np.diff(np.r_[heads, len(pair)]).astype(np.uint32), counts.astype(np.uint32)
+
+    order, pair, runs, counts = pairs(kind * width + context, code)
+    order2, pair2, runs2, counts2 = pairs(number[len(behind):] * FREQUENT + (place & (LEARNED - 1)), place)
+    seats = _pack(np.bincount(pair // width, minlength=len(words)).astype(np.uint32), (pair % width).astype(np.uint32), counts, _steps(keys),
+                  _steps((pair2 // FREQUENT).astype(np.uint32)), (pair2 % FREQUENT).astype(np.uint16), counts2)
+    rows = _pack(runs, runs2, np.concatenate([doc[order], doc2[order2]]), np.concatenate([part[order], part2[order2]]),
+                 table.column("first_row").to_numpy().astype(np.int64))
+    one = table.slice(0, 1).set_column(table.column_names.index("blob"), "blob", pa.nulls(1, pa.binary()))
+    return one.append_column("seats", pa.array([seats], pa.binary())).append_column("rows", pa.array([rows], pa.binary()))
 
 
 class Bucket:
-    """The tokens of a bucket as (word, context) pairs."""
-
-    def __init__(self, blob: bytes):
-        data = _stretch(blob)
-        kinds, size, parts = np.frombuffer(data, np.int64, 3)
-        at = 24
-        runs = np.frombuffer(data, np.uint32, kinds, at)
-        at += 4 * kinds
-        code = np.frombuffer(data, np.uint16, size, at)
-        doc = np.frombuffer(data, np.uint16, size, at + 2 * size)
-        part = np.frombuffer(data, np.uint32, size, at + 4 * size)
-        self.first = np.frombuffer(data, np.int64, parts, at + 8 * size)  # first rows of the flushes
-        self.row = self.first[part] + doc
-        word = np.repeat(np.arange(kinds), runs)
-        key = word * CODES + (code & (LEARNED - 1))
-        head = np.r_[True, key[1:] != key[:-1]]
-        self.pair = np.cumsum(head) - 1  # of every token
-        heads = np.flatnonzero(head)
-        learned = (code >= LEARNED).astype(np.int64)
-        self.seats = Seats(word[heads], key[heads] % CODES, np.add.reduceat(learned, heads), int(kinds))
+    """The tokens of a bucket as pairs: of a word with every context, and of a frequent word with left
+    neighbours that are not frequent (``*2``). ``keys`` are the bucket's neighbours that are not frequent."""
+
+    def __init__(self, blob: bytes, number: int, parents: np.ndarray):
+        runs, code, count, keys, neighbour, place, count2 = _unpack(blob, SEATS)
+        self.number, self.keys = number, np.cumsum(keys, dtype=np.uint64)
+        ends = (self.keys & np.uint64(LEARNED - 1)).astype(np.int64) - FREQUENT
+        self.seats = Seats(np.repeat(np.arange(len(runs)), runs), code.astype(np.int64), count.astype(np.int64), len(runs))
+        self.seats.place(parents, ends)
+        self.neighbour, self.place, self.count2 = np.cumsum(neighbour, dtype=np.int64), place.astype(np.int64), count2.astype(np.int64)
+        self.cell = self.place * RESTAURANTS + ends[self.neighbour]
+        self.t2 = np.minimum(self.count2, 1)
+
+    def guests(self, mine: np.ndarray, aside: np.ndarray) -> np.ndarray:
+        """Sums per neighbour of what the pairs have."""
+        own = np.flatnonzero(self.seats.code >= CODES)
+        out = np.bincount(self.seats.code[own] - CODES, mine[own], len(self.keys))
+        return (out + np.bincount(self.neighbour, aside, len(self.keys))).astype(np.uint32)
+
+    def sweep(self, turn: int, world: World, told: Told) -> None:
+        totals, rng = world.totals[turn].own(told.customers, told.tables[turn]), np.random.default_rng([SEED, self.number, turn])
+        self.seats.sweep(totals, rng)
+        some = np.flatnonzero(self.count2 > 0)
+        weight = (STRENGTH + totals.discount[2] * told.tables[turn][self.neighbour[some]]) * world.middle[turn][self.cell[some]]
+        self.t2[some] = draw_tables(self.count2[some], weight, totals.discount[2], rng)
+
+    def probabilities(self, turn: int, world: World, told: Told) -> tuple[np.ndarray, np.ndarray]:
+        totals = world.totals[turn].own(told.customers, told.tables[turn])
+        aside = _served(self.count2, self.t2, told.customers[self.neighbour], told.tables[turn][self.neighbour], totals.discount[2],
+                        world.middle[turn][self.cell].astype(np.float64))
+        return self.seats.probabilities(totals)[2], aside
+
+    def averaged(self, world: World, told: Told) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all pairs, averaged over the sweeps after the burn-in."""
+        out, out2 = np.zeros(len(self.seats.count)), np.zeros(len(self.count2))
+        for turn in range(SWEEPS):
+            self.sweep(turn, world, told)
+            if turn >= BURN_IN:
+                p, p2 = self.probabilities(turn + 1, world, told)
+                out += p
+                out2 += p2
+        return out / (SWEEPS - BURN_IN), out2 / (SWEEPS - BURN_IN)
+
+    def sums(self) -> np.ndarray:
+        """Totals, then the tables that neighbours send into the middle restaurants of frequent words."""
+        out = self.seats.sums()
+        out[-2:] += (self.count2 == 1).sum(), (self.count2 == 2).sum()
+        return np.concatenate([out, np.bincount(self.cell, self.t2, CELLS)])
+
+
+class World:
+    """What all buckets share, turn by turn: totals, and the probabilities of frequent words in the middle."""
+
+    def __init__(self, parents: np.ndarray):
+        self.parents = parents
+        self.totals: list[Totals] = []
+        self.middle: list[np.ndarray] = []
+
+
+class Told:
+    """The owners' answers to a bucket: customers and, turn by turn, tables of its neighbours' restaurants."""
+
+    def __init__(self, replies: list[dict] | None):
+        turns: dict[int, list[bytes]] = {}
+        for reply in sorted(replies or [], key=lambda r: (r["turn"], r["owner"])):
+            turns.setdefault(reply["turn"], []).append(reply["blob"])
+        found = [_unpack(blob, (np.uint32, np.uint32)) for blob in turns.get(0, [])]
+        none = [np.zeros(0, np.uint32)]
+        self.customers = np.concatenate([f[0] for f in found] + none).astype(np.int64)
+        self.tables = [np.concatenate([f[1] for f in found] + none).astype(np.int64)]
+        for turn in range(1, SWEEPS + 1):
+            later = [_unpack(blob, (np.uint32,))[0] for blob in turns.get(turn, [])]
+            self.tables.append(np.concatenate(later + none).astype(np.int64))
 
 
 def stirling(discount: float) -> np.ndarray:
@@ -299,27 +415,43 @@ class Totals:
         self.discount = [min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5 for one, two in seen.reshape(3, 2)]
         self.parents, self.known = parents, known
 
+    def own(self, customers: np.ndarray, tables: np.ndarray) -> Totals:
+        """With the restaurants of neighbours that are not frequent behind those of the frequent ones."""
+        out = copy.copy(self)
+        out.c2, out.t2 = np.concatenate([self.c2, customers]), np.concatenate([self.t2, tables])
+        return out
+
 
 class Seats:
-    """The customers of some words: pairs of word and context with counts, and their tables on three levels."""
+    """The customers of some words: pairs of word and context with counts, and their tables on three levels.
+
+    Contexts from ``CODES`` on are neighbours that are not frequent, numbered from there.
+    """
 
     def __init__(self, word: np.ndarray, code: np.ndarray, count: np.ndarray, words: int):
         self.word, self.code, self.count, self.words = word, code, count, words
         self.total = np.bincount(word, count, words).astype(np.int64)
-        self.top = code < FREQUENT
-
-    def place(self, parents: np.ndarray) -> None:
-        """Pairs of word and middle restaurant; ``parents`` gives the ending of each frequent word."""
-        middle = np.where(self.top, parents[np.minimum(self.code, FREQUENT - 1)], self.code - FREQUENT).astype(np.int64)
-        key = self.word.astype(np.int64) * RESTAURANTS + middle
+        self.top = (code < FREQUENT) | (code >= CODES)
+        self.room = np.where(code >= CODES, code - CODES + FREQUENT, code)
+        self.aside: np.ndarray | int = 0  # customers that others send into the middle restaurants
+
+    def place(self, parents: np.ndarray, others: np.ndarray | None = None) -> None:
+        """Pairs of word and middle restaurant; ``parents`` gives the ending of each frequent word, ``others`` of
+        the neighbours that are not frequent."""
+        above = np.concatenate([parents, np.arange(RESTAURANTS), *([] if others is None else [others])])  # by code
+        key = self.word.astype(np.int64) * RESTAURANTS + above[self.code]
         self.key1, self.above = np.unique(key, return_inverse=True)
         self.word1, self.room1 = self.key1 // RESTAURANTS, self.key1 % RESTAURANTS
         self.direct = np.bincount(self.above, np.where(self.top, 0, self.count), len(self.key1)).astype(np.int64)
         self.t2 = np.where(self.top, np.minimum(self.count, 1), 0)
+        self.start()
+
+    def start(self) -> None:
+        """One table per dish."""
         self._raise(lambda c: np.minimum(c, 1), lambda c: np.minimum(c, 1))
 
     def _raise(self, middle, root) -> None:
-        self.c1 = self.direct + np.bincount(self.above, self.t2, len(self.key1)).astype(np.int64)
+        self.c1 = self.direct + self.aside + np.bincount(self.above, self.t2, len(self.key1)).astype(np.int64)
         self.t1 = middle(self.c1)
         self.c0 = np.bincount(self.word1, self.t1, self.words).astype(np.int64)
         self.t0 = root(self.c0)
@@ -329,7 +461,7 @@ class Seats:
         p0, p1, _ = self.probabilities(totals)
         d0, d1, d2 = totals.discount
         top = np.flatnonzero(self.top & (self.count > 0))
-        weight = (STRENGTH + d2 * totals.t2[self.code[top]]) * p1[self.above[top]]
+        weight = (STRENGTH + d2 * totals.t2[self.room[top]]) * p1[self.above[top]]
         self.t2[top] = draw_tables(self.count[top], weight, d2, rng)
         self._raise(lambda c: draw_tables(c, (STRENGTH + d1 * totals.t1[self.room1]) * p0[self.word1], d1, rng),
                     lambda c: draw_tables(c, np.full(len(c), (STRENGTH + d0 * totals.t0) / (totals.known + 1)), d0, rng))
@@ -341,58 +473,108 @@ class Seats:
         p1 = _served(self.c1, self.t1, totals.c1[self.room1], totals.t1[self.room1], d1, p0[self.word1])
         p = p1[self.above]
         top = np.flatnonzero(self.top)
-        room = self.code[top]
+        room = self.room[top]
         p[top] = _served(self.count[top], self.t2[top], totals.c2[room], totals.t2[room], d2, p[top])
         return p0, p1, p
 
     def sums(self) -> np.ndarray:
-        top = self.top
+        top, near = self.top, self.code < FREQUENT
         ones = [x for c in (self.c0, self.c1, self.count[top]) for x in ((c == 1).sum(), (c == 2).sum())]
         return np.concatenate([
-            np.bincount(self.code[top], self.count[top], FREQUENT), np.bincount(self.code[top], self.t2[top], FREQUENT),
+            np.bincount(self.code[near], self.count[near], FREQUENT), np.bincount(self.code[near], self.t2[near], FREQUENT),
             np.bincount(self.room1, self.c1, RESTAURANTS), np.bincount(self.room1, self.t1, RESTAURANTS),
             [self.c0.sum(), self.t0.sum()], ones]).astype(np.float64)
 
-    def replay(self, totals: list[Totals], bucket: int, sweeps: int) -> None:
-        for turn in range(sweeps):
-            self.sweep(totals[turn], np.random.default_rng([SEED, bucket, turn]))
-
-    def averaged(self, totals: list[Totals], bucket: int) -> np.ndarray:
-        """Probability of every pair, averaged over the sweeps after the burn-in."""
-        out = np.zeros(len(self.count))
-        for turn in range(SWEEPS):
-            self.sweep(totals[turn], np.random.default_rng([SEED, bucket, turn]))
-            if turn >= BURN_IN:
-                out += self.probabilities(totals[turn + 1])[2]
-        return out / (SWEEPS - BURN_IN)
-
 
 def _served(c, t, all_c, all_t, discount, parent):
     """Pitman-Yor prediction; an empty restaurant passes on its parent's."""
     return (np.maximum(c - discount * t, 0) + (STRENGTH + discount * all_t) * parent) / (STRENGTH + all_c)
 
 
-def _bucket_sums(buckets: DataFrame, totals: list[Totals], parents: np.ndarray) -> np.ndarray:
-    """Totals over all buckets after as many sweeps as there are totals of earlier ones."""
-    shared = buckets.sparkSession.sparkContext.broadcast((totals, parents))
+REPLIES_SQL = "array<struct<turn: int, owner: int, blob: binary>>"
+LETTER = pa.schema([("owner", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("blob", pa.binary()), ("sums", pa.binary())])
+LETTER_SQL = "owner int, bucket int, keys binary, blob binary, sums binary"
+REPLY_SQL = "owner int, bucket int, blob binary"
+
+
+def _buckets(table: DataFrame, replies: list[DataFrame], tasks: int, *columns: str) -> DataFrame:
+    """The buckets with all answers to them; the table is written by bucket, so only answers travel."""
+    mine = table.where("bucket >= 0").select("bucket", *columns)
+    if not replies:
+        return mine.withColumn("replies", F.lit(None).cast(REPLIES_SQL))
+    told = replies[0]
+    for more in replies[1:]:
+        told = told.unionByName(more)
+    told = told.repartition(tasks, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("turn", "owner", "blob")).alias("replies"))
+    return mine.join(told, "bucket", "left").select("bucket", *columns, "replies")
+
+
+def _letters(buckets: DataFrame, turn: int, world: World, owners: int) -> DataFrame:
+    """After ``turn`` sweeps: tables per neighbour for the owners (``keys``, and customers, in the first turn
+    only), and one row of totals per task."""
+    shared = buckets.sparkSession.sparkContext.broadcast(world)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(WIDTH + CELLS)
+        for part in batches:
+            for row in part.to_pylist():
+                bucket, told = Bucket(row["seats"], row["bucket"], shared.value.parents), Told(row["replies"])
+                for earlier in range(turn):
+                    bucket.sweep(earlier, shared.value, told)
+                out += bucket.sums()
+                tables = bucket.guests(bucket.seats.t2, bucket.t2)
+                customers = bucket.guests(bucket.seats.count, bucket.count2)
+                edges = np.searchsorted(_share(bucket.keys, owners), np.arange(owners + 1, dtype=np.uint64))
+                for owner in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                    cut = slice(edges[owner], edges[owner + 1])
+                    yield batch(LETTER, {"owner": [owner], "bucket": [bucket.number], "keys": [None if turn else _pack(_steps(bucket.keys[cut]))],
+                                         "blob": [_pack(tables[cut]) if turn else _pack(customers[cut], tables[cut])], "sums": [None]})
+        yield batch(LETTER, {"owner": [-1], "bucket": [None], "keys": [None], "blob": [None], "sums": [_pack(out)]})
+
+    return map_batches(buckets, task, LETTER_SQL)
+
+
+def _answers(letters: DataFrame, first: DataFrame, turn: int) -> DataFrame:
+    """Every owner adds up what the buckets say of a neighbour and tells each bucket the sums."""
+    types = (np.uint32,) if turn else (np.uint32, np.uint32)
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys: dict[int, np.ndarray] = {}
+        values: dict[int, list[np.ndarray]] = {}
+        for row in table.to_pylist():
+            if row["keys"] is not None:
+                keys[row["bucket"]] = np.cumsum(_unpack(row["keys"], (np.uint64,))[0], dtype=np.uint64)
+            if row["blob"] is not None:
+                values[row["bucket"]] = _unpack(row["blob"], types)
+        known, number = np.unique(np.concatenate(list(keys.values())), return_inverse=True)
+        sums = [np.bincount(number, np.concatenate([values[b][i] for b in keys]), len(known)).astype(np.uint32)[number] for i in range(len(types))]
+        edges = np.cumsum([0, *map(len, keys.values())])
+        blobs = [_pack(*(x[low:high] for x in sums)) for low, high in zip(edges[:-1], edges[1:])]
+        return pa.table({"owner": pa.array([table.column("owner")[0].as_py()] * len(keys), pa.int32()), "bucket": pa.array(list(keys), pa.int32()),
+                         "blob": pa.array(blobs, pa.binary())})
+
+    rows = letters.where("owner >= 0").select("owner", "bucket", "keys", "blob")
+    if turn:
+        rows = rows.unionByName(first.where("owner >= 0").select("owner", "bucket", "keys", F.lit(None).cast("binary").alias("blob")))
+    return rows.groupBy("owner").applyInArrow(answer, REPLY_SQL).withColumn("turn", F.lit(turn))
+
+
+def _sums_of(letters: DataFrame) -> np.ndarray:
+    """Totals over all buckets."""
     schema = pa.schema([("slot", pa.int32()), ("value", pa.float64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        earlier, rooms = shared.value
-        out = np.zeros(WIDTH)
+        out = np.zeros(WIDTH + CELLS)
         for part in batches:
-            for bucket, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                seats = Bucket(blob).seats
-                seats.place(rooms)
-                seats.replay(earlier, bucket, len(earlier))
-                out += seats.sums()
+            for blob in part.column(0).to_pylist():
+                out += _unpack(blob, (np.float64,))[0]
         slots = np.flatnonzero(out)
         yield batch(schema, {"slot": slots.astype(np.int32), "value": out[slots]})
 
-    rows = map_batches(buckets, task, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(WIDTH)
-    for row in rows:  # at most WIDTH
-        out[row["slot"]] = row["value"]
+    rows = map_batches(letters.where("owner = -1").select("sums"), task, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value"))
+    found = rows.toArrow()  # at most WIDTH + CELLS rows
+    out = np.zeros(WIDTH + CELLS)
+    out[found.column("slot").to_numpy()] = found.column("value").to_numpy()
     return out
 
 
@@ -410,7 +592,7 @@ def _frequent_counts(tokens: DataFrame) -> np.ndarray:
         cells = np.flatnonzero(out)
         yield batch(schema, {"cell": cells.astype(np.int32), "n": out[cells]})
 
-    rows = map_batches(tokens.where("bucket is null").select("blob"), task, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = map_batches(tokens.where("bucket < 0").select("blob"), task, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     found = rows.toArrow()  # at most FREQUENT * CODES rows
     out = np.zeros(FREQUENT * CODES, np.int64)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
@@ -430,9 +612,9 @@ def _sums(place: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndar
     return b"".join(x.tobytes() for x in (base.astype(np.float64), score.astype(np.float64), known.astype(np.uint32), place.astype(np.uint16)))
 
 
-def _bucket_scores(buckets: DataFrame, totals: list[Totals], parents: np.ndarray, all_tokens: int) -> DataFrame:
-    """Sums over the infrequent tokens, a row per task and flush."""
-    shared = buckets.sparkSession.sparkContext.broadcast((totals, parents))
+def _bucket_scores(buckets: DataFrame, world: World, base2: np.ndarray, all_tokens: int) -> DataFrame:
+    """Sums over the tokens of the buckets, a row per task and flush."""
+    shared = buckets.sparkSession.sparkContext.broadcast((world, base2))
 
     def merged(waiting: list[tuple[np.ndarray, ...]], flushes: set[int]) -> Iterator[pa.RecordBatch]:
         row, *values = (np.concatenate(x) for x in zip(*waiting))
@@ -445,24 +627,25 @@ def _bucket_scores(buckets: DataFrame, totals: list[Totals], parents: np.ndarray
                 yield batch(PARTIAL, {"flush_row": [at], "first_row": [at], "doc_id": [None], "held_out": [None], "n_tokens": [None],
                                       "blob": [_sums(rows[low:high] - at, *(x[low:high] for x in sums))]})
 
-    def scored(bucket: Bucket, number: int) -> tuple[np.ndarray, ...]:
-        every, rooms = shared.value
+    def scored(bucket: Bucket, replies: list[dict] | None, row: np.ndarray, runs: np.ndarray, runs2: np.ndarray) -> tuple[np.ndarray, ...]:
+        every, often = shared.value
         seats = bucket.seats
-        seats.place(rooms)
-        score = np.log10(seats.averaged(every, number))
-        base = np.log10((seats.total + 1.0) / (all_tokens + every[0].known + 1))[seats.word]
-        known = (seats.total > 0)[seats.word]
-        rows, place = np.unique(bucket.row, return_inverse=True)
-        return rows, *[np.bincount(place, x[bucket.pair], len(rows)) for x in (known, base, score)]
+        score, score2 = bucket.averaged(every, Told(replies))
+        base = np.log10((seats.total + 1.0) / (all_tokens + every.totals[0].known + 1))[seats.word]
+        known = (seats.total > 0)[seats.word].astype(np.int64)
+        rows, place = np.unique(row, return_inverse=True)
+        each = ((known, np.ones(len(score2), np.int64)), (base, often[bucket.place]), (np.log10(score), np.log10(score2)))
+        return rows, *[np.bincount(place, np.concatenate([np.repeat(x, runs), np.repeat(y, runs2)]), len(rows)) for x, y in each]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
         flushes: set[int] = set()
         for part in batches:
-            for number, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                bucket = Bucket(blob)
-                flushes.update(bucket.first.tolist())
-                waiting.append(scored(bucket, number))
+            for found in part.to_pylist():
+                runs, runs2, doc, flush, first = _unpack(found["rows"], ROWS)
+                flushes.update(first.tolist())
+                bucket = Bucket(found["seats"], found["bucket"], shared.value[0].parents)
+                waiting.append(scored(bucket, found["replies"], first[flush] + doc, runs, runs2))
                 if sum(len(w[0]) for w in waiting) >= PARTIAL_ROWS:
                     yield from merged(waiting, flushes)
                     waiting, flushes = [], set()
@@ -473,7 +656,7 @@ def _bucket_scores(buckets: DataFrame, totals: list[Totals], parents: np.ndarray
 
 
 def _frequent_scores(tokens: DataFrame, score: np.ndarray, base: np.ndarray) -> DataFrame:
-    """Sums over the frequent tokens, a row per batch of documents."""
+    """Sums over the pairs of frequent words, a row per batch of documents."""
     shared = tokens.sparkSession.sparkContext.broadcast((score, base))  # FREQUENT * CODES numbers
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +672,7 @@ def _frequent_scores(tokens: DataFrame, score: np.ndarray, base: np.ndarray) ->
                              np.bincount(owner, scores[cell], len(count)))
                 yield batch(PARTIAL, {**{k: [row[k]] for k in PARTIAL.names if k != "blob"}, "blob": [sums]})
 
-    return map_batches(tokens.where("bucket is null").drop("bucket"), task, PARTIAL_SQL)
+    return map_batches(tokens.where("bucket < 0").drop("bucket", "seats", "rows"), task, PARTIAL_SQL)
 
 
 def _scores_of_flush(table: pa.Table) -> pa.Table:
@@ -513,6 +696,29 @@ def _scores_of_flush(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(found[f.name], f.type) for f in SCORED], schema=SCORED)
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the table that needed them is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _by_bucket(rows: DataFrame, tasks: int) -> DataFrame:
+    """Written once, in files by bucket, so that a join by bucket does not move it again."""
+    spark = rows.sparkSession
+    path = new_path(spark, "token-buckets")
+    name = f"token_buckets_{path.rpartition('-')[2]}"
+    rows.write.bucketBy(tasks, "bucket").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay
+    return table
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of every document.
 
@@ -528,24 +734,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parents[:len(often)] = [r["ending"] for r in often]
 
     buckets = max(8, -(-all_tokens // BUCKET_TOKENS))
-    tokens = stage(packed_tokens(docs, frequent, buckets), "packed-tokens")
-    merged = stage(tokens.where("bucket is not null").select("bucket", "first_row", "blob").repartition(buckets, "bucket")
-                   .groupBy("bucket").applyInArrow(_merge, "bucket int, blob binary"), "token-buckets")
-
-    cells = _frequent_counts(tokens)
-    hot = Seats(np.repeat(np.arange(FREQUENT), CODES), np.tile(np.arange(CODES), FREQUENT), cells, FREQUENT)
-    hot.place(parents)
-    totals: list[Totals] = []
-    average = np.zeros(len(cells))
-    for turn in range(SWEEPS + 1):
-        totals.append(Totals(hot.sums() + _bucket_sums(merged, totals, parents), parents, known))
-        if turn > BURN_IN:
-            average += hot.probabilities(totals[turn])[2] / (SWEEPS - BURN_IN)
-        if turn < SWEEPS:
-            hot.sweep(totals[turn], np.random.default_rng([SEED, buckets, turn]))
-    base = np.log10((hot.total + 1.0) / (all_tokens + known + 1))
-
-    parts = _bucket_scores(merged, totals, parents, all_tokens).unionByName(_frequent_scores(tokens, np.log10(average), base))
+    tasks, owners = max(8, buckets // TOGETHER), max(8, buckets // OWNED)
+    with _tidy(docs.sparkSession):
+        tokens = _by_bucket(packed_tokens(docs, frequent, buckets).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_merge, MERGED_SQL), tasks)
+        cells = _frequent_counts(tokens)
+        hot = Seats(np.repeat(np.arange(FREQUENT), CODES), np.tile(np.arange(CODES), FREQUENT), cells, FREQUENT)
+        hot.place(parents)
+        world, replies = World(parents), []
+        average = np.zeros(len(cells))
+        for turn in range(SWEEPS + 1):
+            letters = stage(_letters(_buckets(tokens, replies, tasks, "seats"), turn, world, owners), "letters")
+            first = letters if turn == 0 else first
+            sums = _sums_of(letters)
+            hot.aside = sums[WIDTH:].astype(np.int64)
+            if turn:
+                hot.sweep(world.totals[turn - 1], np.random.default_rng([SEED, buckets, turn]))
+            else:
+                hot.start()
+            world.totals.append(Totals(hot.sums() + sums[:WIDTH], parents, known))
+            _, middle, p = hot.probabilities(world.totals[turn])
+            world.middle.append(middle.astype(np.float32))
+            if turn > BURN_IN:
+                average += p / (SWEEPS - BURN_IN)
+            replies.append(stage(_answers(letters, first, turn), "answers"))
+    base = np.zeros(FREQUENT)
+    base[:len(often)] = [math.log10((r["n"] + 1.0) / (all_tokens + known + 1)) for r in often]
+
+    scored = _bucket_scores(_buckets(tokens, replies, tasks, "seats", "rows"), world, base, all_tokens)
+    parts = scored.unionByName(_frequent_scores(tokens, np.log10(average), base))
     whole = parts.groupBy("flush_row").applyInArrow(_scores_of_flush, SCORED_SQL)
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"), "base_score",
                         "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

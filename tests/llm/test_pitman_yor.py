@@ -84,3 +84,68 @@ def test_odd_rows(spark, odd_documents, no_documents):
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
     alone = pitman_yor.score_documents(spark.createDataFrame([(i, "all held out") for i in ids], "doc_id bigint, text string")).collect()
     assert all(r["score"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in alone)
+
+
+def neighbours_corpus():
+    """600 words that are frequent, and a text of 40 others, all with the same ending, that comes 20 times; two
+    texts that are held out: those words in the same order and backwards."""
+    rng = np.random.default_rng(3)
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    often, seldom = [f"often{i}" for i in range(600)], [f"word{i}same" for i in range(40)]
+    texts = [" ".join(rng.permutation(often)) for _ in range(40)] + [" ".join(seldom)] * 20
+    return [*zip(ids, texts), (held[0], " ".join(seldom)), (held[1], " ".join(seldom[::-1]))], held
+
+
+def test_every_neighbour_has_a_restaurant(spark):
+    rows, held = neighbours_corpus()
+    found = {r["doc_id"]: r["perplexity"] for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[held[0]] < 3 and found[held[1]] > 10 * found[held[0]]
+
+
+def test_probabilities_sum_to_one_with_other_neighbours():
+    rng = np.random.default_rng(6)
+    words, others, parents = 12, np.array([3, 3, 4]), np.zeros(pitman_yor.FREQUENT, np.int64)
+    contexts = pitman_yor.CODES + len(others)
+    tokens = Counter((int(rng.integers(words - 2)), pitman_yor.CODES + int(rng.integers(2))) for _ in range(2000))  # the third has no customers
+    word, code = (x.ravel() for x in np.divmod(np.arange(words * contexts), contexts))
+    seats = pitman_yor.Seats(word, code, np.array([tokens[k] for k in zip(word.tolist(), code.tolist())]), words)
+    seats.place(parents, others)
+    for turn in range(3):
+        mine = seats.code >= pitman_yor.CODES
+        customers, tables = (np.bincount(seats.code[mine] - pitman_yor.CODES, x[mine], 3).astype(np.int64) for x in (seats.count, seats.t2))
+        totals = pitman_yor.Totals(seats.sums(), parents, words - 1).own(customers, tables)
+        assert customers.sum() == 2000 and customers[2] == 0 and totals.c1.sum() == seats.t2.sum()
+        assert np.allclose(seats.probabilities(totals)[2].reshape(words, contexts).sum(axis=0), 1)
+        seats.sweep(totals, np.random.default_rng(turn))
+
+
+def test_owners_add_up_the_buckets(spark):
+    """Customers and first tables of every restaurant, as the owners tell them, against plain counts."""
+    rows, _ = neighbours_corpus()
+    rows += [(5000 + i, f"often{i} word{i % 40}same often{i + 1} seldom{i}") for i in range(300)]
+    plain = {i: t.split() + [" end"] for i, t in rows}
+    counts = Counter(w for i, ws in plain.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    ranked = sorted(counts, key=lambda w: (-counts[w], np.uint64(pitman_yor.word_hash(w.encode())).astype(np.int64)))
+    often = set(ranked[:pitman_yor.FREQUENT])
+    followers = {}
+    for i, ws in plain.items():
+        for v, w in zip(ws, ws[1:]):
+            if v not in often:
+                followers.setdefault(v, Counter())[w] += zlib.crc32(str(i).encode()) % 7 != 2
+    want = Counter((sum(f.values()), sum(n > 0 for n in f.values())) for f in followers.values())
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    frequent = [pitman_yor.word_hash(w.encode()) for w in ranked[:pitman_yor.FREQUENT]]
+    parents = np.array([pitman_yor.ending(w.encode()) for w in ranked[:pitman_yor.FREQUENT]])
+    merged = pitman_yor.packed_tokens(docs, frequent, 9).groupBy("bucket").applyInArrow(pitman_yor._merge, pitman_yor.MERGED_SQL).cache()
+    letters = pitman_yor._letters(pitman_yor._buckets(merged, [], 8, "seats"), 0, pitman_yor.World(parents), 3).cache()
+    answers = pitman_yor._answers(letters, letters, 0).collect()
+    found = {}
+    for row in merged.where("bucket >= 0").select("bucket", "seats").collect():
+        told = pitman_yor.Told([r.asDict() for r in answers if r["bucket"] == row["bucket"]])
+        keys = pitman_yor.Bucket(row["seats"], row["bucket"], parents).keys
+        assert len(keys) == len(told.customers) == len(told.tables[0])
+        for key, pair in zip(keys.tolist(), zip(told.customers.tolist(), told.tables[0].tolist())):
+            assert found.setdefault(key, pair) == pair  # every bucket is told the same
+    assert Counter(found.values()) == want
