@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import contextlib
 import copy
+import functools
 import math
 from collections.abc import Iterator
 
@@ -251,8 +252,9 @@ def packed_tokens(docs: DataFrame, frequent: list[int], buckets: int) -> DataFra
 MERGED_SQL = PACKED_SQL + ", seats binary, rows binary"
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """All tokens of one bucket as pairs of word and context; batches of documents as they are."""
+def _merge(table: pa.Table, parents: np.ndarray) -> pa.Table:
+    """All tokens of one bucket as pairs of word and context, by word and middle restaurant; batches of documents
+    as they are."""
     none = pa.nulls(table.num_rows, pa.binary())
     if table.column("bucket")[0].as_py() < 0:
         return table.append_column("seats", none).append_column("rows", none)
@@ -265,6 +267,7 @@ def _merge(table: pa.Table) -> pa.Table:
     part2 = np.repeat(np.arange(len(found), dtype=np.uint32), [len(f[7]) for f in found])
 
     context = (code & (LEARNED - 1)).astype(np.int64)
+    room = np.concatenate([parents, np.arange(RESTAURANTS)])[context]
     behind = np.flatnonzero((context >= FREQUENT) & (context < BEGIN))
     keys, number = np.unique(np.concatenate([neighbour << np.uint64(16) | context[behind].astype(np.uint64), key]), return_inverse=True)
     context[behind] = CODES + number[:len(behind)]
@@ -278,9 +281,9 @@ def _merge(table: pa.Table) -> pa.Table:
         counts = np.add.reduceat((learned[order] >= LEARNED).astype(np.uint32), heads) if len(heads) else np.zeros(0)
         return order, pair[heads], np.diff(np.r_[heads, len(pair)]).astype(np.uint32), counts.astype(np.uint32)
 
-    order, pair, runs, counts = pairs(kind * width + context, code)
+    order, pair, runs, counts = pairs((kind * RESTAURANTS + room) * width + context, code)
     order2, pair2, runs2, counts2 = pairs(number[len(behind):] * FREQUENT + (place & (LEARNED - 1)), place)
-    seats = _pack(np.bincount(pair // width, minlength=len(words)).astype(np.uint32), (pair % width).astype(np.uint32), counts, _steps(keys),
+    seats = _pack(np.bincount(pair // (width * RESTAURANTS), minlength=len(words)).astype(np.uint32), (pair % width).astype(np.uint32), counts, _steps(keys),
                   _steps((pair2 // FREQUENT).astype(np.uint32)), (pair2 % FREQUENT).astype(np.uint16), counts2)
     rows = _pack(runs, runs2, np.concatenate([doc[order], doc2[order2]]), np.concatenate([part[order], part2[order2]]),
                  table.column("first_row").to_numpy().astype(np.int64))
@@ -364,6 +367,7 @@ class Told:
             self.tables.append(np.concatenate(later + none).astype(np.int64))
 
 
+@functools.lru_cache(maxsize=64)
 def stirling(discount: float) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers up to EXACT customers: [customers, tables]."""
     out = np.full((EXACT + 1, EXACT + 1), -np.inf)
@@ -440,7 +444,11 @@ class Seats:
         the neighbours that are not frequent."""
         above = np.concatenate([parents, np.arange(RESTAURANTS), *([] if others is None else [others])])  # by code
         key = self.word.astype(np.int64) * RESTAURANTS + above[self.code]
-        self.key1, self.above = np.unique(key, return_inverse=True)
+        if (key[1:] >= key[:-1]).all():
+            heads = _heads(key)
+            self.key1, self.above = key[heads], np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(key)]))
+        else:
+            self.key1, self.above = np.unique(key, return_inverse=True)
         self.word1, self.room1 = self.key1 // RESTAURANTS, self.key1 % RESTAURANTS
         self.direct = np.bincount(self.above, np.where(self.top, 0, self.count), len(self.key1)).astype(np.int64)
         self.t2 = np.where(self.top, np.minimum(self.count, 1), 0)
@@ -523,7 +531,7 @@ def _letters(buckets: DataFrame, turn: int, world: World, owners: int) -> DataFr
                     bucket.sweep(earlier, shared.value, told)
                 out += bucket.sums()
                 tables = bucket.guests(bucket.seats.t2, bucket.t2)
-                customers = bucket.guests(bucket.seats.count, bucket.count2)
+                customers = None if turn else bucket.guests(bucket.seats.count, bucket.count2)
                 edges = np.searchsorted(_share(bucket.keys, owners), np.arange(owners + 1, dtype=np.uint64))
                 for owner in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                     cut = slice(edges[owner], edges[owner + 1])
@@ -736,7 +744,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(8, -(-all_tokens // BUCKET_TOKENS))
     tasks, owners = max(8, buckets // TOGETHER), max(8, buckets // OWNED)
     with _tidy(docs.sparkSession):
-        tokens = _by_bucket(packed_tokens(docs, frequent, buckets).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_merge, MERGED_SQL), tasks)
+        packed = packed_tokens(docs, frequent, buckets).repartition(tasks, "bucket").groupBy("bucket")
+        tokens = _by_bucket(packed.applyInArrow(lambda table: _merge(table, parents), MERGED_SQL), tasks)
         cells = _frequent_counts(tokens)
         hot = Seats(np.repeat(np.arange(FREQUENT), CODES), np.tile(np.arange(CODES), FREQUENT), cells, FREQUENT)
         hot.place(parents)

@@ -138,7 +138,8 @@ def test_owners_add_up_the_buckets(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     frequent = [pitman_yor.word_hash(w.encode()) for w in ranked[:pitman_yor.FREQUENT]]
     parents = np.array([pitman_yor.ending(w.encode()) for w in ranked[:pitman_yor.FREQUENT]])
-    merged = pitman_yor.packed_tokens(docs, frequent, 9).groupBy("bucket").applyInArrow(pitman_yor._merge, pitman_yor.MERGED_SQL).cache()
+    packed = pitman_yor.packed_tokens(docs, frequent, 9).groupBy("bucket")
+    merged = packed.applyInArrow(lambda table: pitman_yor._merge(table, parents), pitman_yor.MERGED_SQL).cache()
     letters = pitman_yor._letters(pitman_yor._buckets(merged, [], 8, "seats"), 0, pitman_yor.World(parents), 3).cache()
     answers = pitman_yor._answers(letters, letters, 0).collect()
     found = {}
