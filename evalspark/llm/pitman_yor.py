@@ -51,9 +51,9 @@ SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 EXACT = 24
 SEED = 7
-BUCKET_TOKENS = 1_200_000  # tokens per bucket, frequent words included
+BUCKET_TOKENS = 1_000_000  # tokens per bucket, frequent words included
 PARTIAL_ROWS = 1_000_000  # partial sums of documents that a task gathers before it passes them on
-FLUSH = 1_000_000  # tokens for buckets that a task gathers before it packs them
+FLUSH = 800_000  # tokens for buckets that a task gathers before it packs them
 TOGETHER = 4  # buckets that a task reads
 OWNED = 16  # buckets per owner of neighbours' totals
 
@@ -173,6 +173,12 @@ def _unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
     return out
 
 
+def _rows(part: pa.RecordBatch) -> Iterator[dict]:
+    """Rows with large blobs, one copied at a time."""
+    for at in range(part.num_rows):
+        yield part.slice(at, 1).to_pylist()[0]
+
+
 def _steps(ordered: np.ndarray) -> np.ndarray:
     return np.diff(ordered, prepend=ordered.dtype.type(0))
 
@@ -265,6 +271,7 @@ def _merge(table: pa.Table, parents: np.ndarray) -> pa.Table:
     key = np.concatenate([np.repeat(np.cumsum(f[5], dtype=np.uint64), f[6]) for f in found])
     place, doc2 = (np.concatenate([f[i] for f in found]) for i in (7, 8))
     part2 = np.repeat(np.arange(len(found), dtype=np.uint32), [len(f[7]) for f in found])
+    del found
 
     context = (code & (LEARNED - 1)).astype(np.int64)
     room = np.concatenate([parents, np.arange(RESTAURANTS)])[context]
@@ -273,6 +280,7 @@ def _merge(table: pa.Table, parents: np.ndarray) -> pa.Table:
     context[behind] = CODES + number[:len(behind)]
     width = CODES + len(keys)
     words, kind = np.unique(word, return_inverse=True)
+    del word, neighbour, key
 
     def pairs(pair: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(pair)
@@ -525,7 +533,7 @@ def _letters(buckets: DataFrame, turn: int, world: World, owners: int) -> DataFr
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(WIDTH + CELLS)
         for part in batches:
-            for row in part.to_pylist():
+            for row in _rows(part):
                 bucket, told = Bucket(row["seats"], row["bucket"], shared.value.parents), Told(row["replies"])
                 for earlier in range(turn):
                     bucket.sweep(earlier, shared.value, told)
@@ -649,7 +657,7 @@ def _bucket_scores(buckets: DataFrame, world: World, base2: np.ndarray, all_toke
         waiting: list[tuple[np.ndarray, ...]] = []
         flushes: set[int] = set()
         for part in batches:
-            for found in part.to_pylist():
+            for found in _rows(part):
                 runs, runs2, doc, flush, first = _unpack(found["rows"], ROWS)
                 flushes.update(first.tolist())
                 bucket = Bucket(found["seats"], found["bucket"], shared.value[0].parents)
