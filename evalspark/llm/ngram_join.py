@@ -10,7 +10,8 @@ into size bands; a band compares with itself and the next one, and has a number
 above the largest difference that its sizes allow. An n-gram falls into a block by its hash. Two
 linked rows must then agree entirely on at least one block, so a row is looked up by the
 signatures of its blocks. (Blocks empty in both rows also agree: a band has spare blocks for them, and a
-row with more empty blocks than the bound allows also emits those.)
+row with more empty blocks than the bound allows also emits those.) Most rows must agree on more than one: a row that shares fewer
+signatures with others than its size asks for links with nobody and is left out, before the hub round and again after it.
 
 *Row blocks.* Equal sets are merged first. Then one hub round: every group of rows with a common signature
 multiplies one of its rows with the others, which finds most components at little cost. Rows whose group still
@@ -51,12 +52,13 @@ from pyspark.sql import functions as F
 from evalspark.functions.skew import lookup
 from evalspark.llm.common import WordHashes, batch, map_batches, utf8, words_of
 from evalspark.llm.graph import components
-from evalspark.session import stage
+from evalspark.session import new_path, run_folder, stage, tidy
 
 FLUSH = 1_000_000  # signatures a task gathers before it packs them
 TEXT_PER_BUCKET = 64_000_000  # bytes of text whose signatures meet in one bucket
 COLUMN_BLOCKS = 8  # steps in which a single pair of rows is multiplied
 COLUMNS = 2048  # columns of a family that are multiplied at once
+PACK_LEVEL = 3  # of the words of a set
 SKETCH_BLOCKS = 2  # bytes of a sketch per row of difference that a band allows
 FAMILY_ROWS, FAMILY_GRAMS = 512, 1 << 19  # rows and n-grams of a part of a family
 NOBODY = -(1 << 63)  # stands for a missing id where rows are chosen
@@ -66,8 +68,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(29)
 
 PACKED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+BUCKETED = pa.schema([(name, pa.int64()) for name in ("sig", "cls", "doc_id", "n", "band", "own", "above")])
 SETS = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("own", pa.binary()), ("above", pa.binary()),
-                  ("grams", pa.binary())])
+                  ("words", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -126,6 +129,25 @@ def shingles(text: bytes, rule: Rule, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(out + np.uint64(width)))
 
 
+def packed_words(text: bytes) -> bytes:
+    """The words of a text, compressed: a third of its size in n-gram hashes, which ``Unpacked`` makes again."""
+    return zstandard.compress(b" ".join(words_of(text)), PACK_LEVEL)
+
+
+class Unpacked:
+    """The n-grams of packed words; those of the last ones on each side are remembered, since a hub meets many rows in turn."""
+
+    def __init__(self, rule: Rule):
+        self.rule, self.hashes, self.last = rule, WordHashes(), {}
+
+    def of(self, words: bytes, side: int = 0) -> np.ndarray:
+        known, grams = self.last.get(side, (None, None))
+        if words != known:
+            grams = shingles(zstandard.decompress(words), self.rule, self.hashes)
+            self.last[side] = words, grams
+        return grams
+
+
 def class_of(grams: np.ndarray) -> int | None:
     """A 64-bit name of a set; None for the empty one."""
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
@@ -133,26 +155,38 @@ def class_of(grams: np.ndarray) -> int | None:
 
 def signatures(grams: np.ndarray, rule: Rule) -> np.ndarray:
     """The names under which a row can meet every row it links with, other than equal ones."""
+    return signatures_and_needs(grams, rule)[0]
+
+
+def signatures_and_needs(grams: np.ndarray, rule: Rule) -> tuple[np.ndarray, list[int]]:
+    """The names under which a row can meet the rows it links with, and how many of them, at least, it shares with each
+    of those in its own band and in the one above.
+
+    Rows that differ in d n-grams agree on all blocks but d, and at most the row's own empty blocks have no name.
+    """
     size = len(grams)
     low, blocks = _bands(rule, 1 << max(4, size.bit_length()))
     own = int(np.searchsorted(low, size, "right")) - 1
-    out = []
+    out, needs = [], []
     for band in (own, own + 1):
         count = blocks[band]
         if not count:
+            needs.append(1)
             continue
         part = (grams % np.uint64(count)).astype(np.int64)
         sums = np.zeros(count, np.uint64)
         np.add.at(sums, part, mixed(grams))
         full = np.bincount(part, minlength=count) > 0
         last = low[band + 1] - 1 if band + 1 < len(low) else rule.largest_partner(low[band])
-        partner = min(last, rule.largest_partner(size))
-        if count - int(full.sum()) >= count - rule.difference(size + partner):
+        agreed = count - rule.difference(size + min(last, rule.largest_partner(size)))
+        empty = count - int(full.sum())
+        if empty >= agreed:
             full[:] = True  # empty blocks could be all that it shares with a row it links with
+        needs.append(max(1, agreed - empty))
         at = np.flatnonzero(full).astype(np.uint64)
         names = mixed(sums[full] + mixed(at + np.uint64(band << 40) + np.uint64(1)))
         out.append(names & ~np.uint64(1) | np.uint64(band & 1))  # the last bit tells the two bands of a row apart
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), needs
 
 
 def band_of(size: int, rule: Rule) -> int:
@@ -210,14 +244,17 @@ def _sketch_task(rule: Rule, buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sig, cls, waiting, turn = WordHashes(), [], [], 0, 0
         for part in batches:
-            names, sizes = [], []
+            names, sizes, bands = [], [], []
             for text in utf8(part.column(1)):
                 grams = shingles(text, rule, hashes)
                 name = class_of(grams)
                 names.append(name)
                 sizes.append(len(grams))
+                bands.append((0, 0, 0))
                 if name is not None:
-                    sig.append(signatures(grams, rule))
+                    found, needs = signatures_and_needs(grams, rule)
+                    bands[-1] = (band_of(len(grams), rule), *needs)
+                    sig.append(found)
                     cls.append(name)
                     waiting += len(sig[-1])
                     if waiting >= FLUSH:
@@ -225,7 +262,7 @@ def _sketch_task(rule: Rule, buckets: int):
                         sig, cls, waiting = [], [], 0
             ids = part.column(0).to_pylist()
             turn = (xxhash.xxh32_intdigest(str(ids[:8])) + turn) % buckets if ids else turn
-            yield _row(turn, b"D" + _docs(ids, sizes, names))
+            yield _row(turn, b"D" + _docs(ids, sizes, names, bands))
         if waiting:
             yield from packed(sig, cls, turn)
 
@@ -236,16 +273,16 @@ def _row(bucket: int, blob: bytes) -> pa.RecordBatch:
     return batch(PACKED, {"bucket": [bucket], "blob": [blob]})
 
 
-def _docs(ids: list[int | None], sizes: list[int], names: list[int | None]) -> bytes:
+def _docs(ids: list[int | None], sizes: list[int], names: list[int | None], bands: list[tuple[int, int, int]]) -> bytes:
     return b"".join(np.array(x, np.int64).tobytes() for x in (
         [i if i is not None else 0 for i in ids], [i is not None for i in ids], sizes,
-        [n if n is not None else 0 for n in names], [n is not None for n in names]))
+        [n if n is not None else 0 for n in names], [n is not None for n in names], *([b[k] for b in bands] for k in range(3))))
 
 
 def _bucket_task(table: pa.Table) -> pa.Table:
     """One bucket: its documents, and the entries of signatures that several classes hold."""
     sig, cls, flag = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-    ready_sig, ready_cls, docs = [], [], [np.zeros((5, 0), np.int64)]
+    ready_sig, ready_cls, docs = [], [], [np.zeros((8, 0), np.int64)]
     for blob in table.column("blob").to_pylist():
         kind, blob = blob[:1], memoryview(blob)[1:]
         if kind == b"E":
@@ -259,31 +296,34 @@ def _bucket_task(table: pa.Table) -> pa.Table:
             ready_sig.append(np.frombuffer(blob, np.int64, count))
             ready_cls.append(np.frombuffer(blob, np.int64, count, 8 * count))
         else:
-            docs.append(np.frombuffer(blob, np.int64).reshape(5, -1))
+            docs.append(np.frombuffer(blob, np.int64).reshape(8, -1))
     flags = np.concatenate(flag) > 0
     if len(flags):
         values, names, _, many = _once(np.concatenate(sig), np.concatenate(cls), flags)
         ready_sig.append(values[many].view(np.int64))
         ready_cls.append(names[many])
-    ids, known, sizes, names, named = np.concatenate(docs, axis=1)
+    ids, known, sizes, names, named, *bands = np.concatenate(docs, axis=1)
     held = pa.table({"sig": np.concatenate([np.zeros(0, np.int64), *ready_sig]),
                      "cls": np.concatenate([np.zeros(0, np.int64), *ready_cls])})
-    held = held.append_column("doc_id", pa.nulls(len(held), pa.int64())).append_column("n", pa.nulls(len(held), pa.int64()))
-    rows = pa.table({"sig": pa.nulls(len(ids), pa.int64()), "cls": pa.array(names, mask=named == 0),
-                     "doc_id": pa.array(ids, mask=known == 0), "n": pa.array(sizes)})
+    for name in BUCKETED.names[2:]:
+        held = held.append_column(name, pa.nulls(len(held), pa.int64()))
+    rows = pa.table([pa.nulls(len(ids), pa.int64()), pa.array(names, mask=named == 0), pa.array(ids, mask=known == 0), sizes, *bands], schema=BUCKETED)
     return pa.concat_tables([held, rows])
 
 
-def sketch(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n, cls)`` of every document, and ``(sig, cls)`` of the signatures held by several classes, from
-    one pass over the texts."""
+def sketch(docs: DataFrame, rule: Rule, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, n, cls, band, own, above)`` of every document, written to ``path``, and ``(sig, cls)`` of the signatures
+    held by several classes, from one pass over the texts. ``own`` and ``above`` are what ``signatures_and_needs`` says."""
+    members_path = new_path(docs.sparkSession, "ngram-members")
     text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text // TEXT_PER_BUCKET)
     made = map_batches(docs, _sketch_task(rule, buckets), "bucket int, blob binary")
-    rows = stage(made.groupBy("bucket").applyInArrow(_bucket_task, "sig bigint, cls bigint, doc_id bigint, n bigint"),
-                 "ngram-sketch")
-    members = rows.where("sig is not null").select("sig", "cls").distinct()
-    return rows.where("sig is null").select("doc_id", "n", "cls"), members
+    with run_folder(docs.sparkSession):
+        layout = ", ".join(f"{name} bigint" for name in BUCKETED.names)
+        rows = stage(made.groupBy("bucket").applyInArrow(_bucket_task, layout), "ngram-sketch")
+        documents = stage(rows.where("sig is null").drop("sig"), "ngram-documents", path)
+        members = stage(rows.where("sig is not null").select("sig", "cls").distinct(), "ngram-members", members_path)
+    return documents, members
 
 
 def _place(column: str):
@@ -323,17 +363,18 @@ def sets_of(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in batches:
-            grams = [g for g in (shingles(t, rule, hashes) for t in utf8(part.column(1))) if len(g)]
+            found = [(t, g) for t, g in ((t, shingles(t, rule, hashes)) for t in utf8(part.column(1))) if len(g)]
+            grams = [g for _, g in found]
             bands = [band_of(len(g), rule) for g in grams]
             if grams:
                 yield batch(SETS, {
                     "cls": [class_of(g) for g in grams], "n": [len(g) for g in grams], "band": bands,
                     "own": [block_bytes(g, b, rule) for g, b in zip(grams, bands)],
-                    "above": [block_bytes(g, b + 1, rule) for g, b in zip(grams, bands)], "grams": [g.tobytes() for g in grams]})
+                    "above": [block_bytes(g, b + 1, rule) for g, b in zip(grams, bands)], "words": [packed_words(t) for t, _ in found]})
 
     near = prefiltered(docs, chosen, "doc_id")
     exact = near.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return map_batches(exact, task, "cls bigint, n int, band int, own binary, above binary, grams binary")
+    return map_batches(exact, task, "cls bigint, n int, band int, own binary, above binary, words binary")
 
 
 def overlap_reaches(a: np.ndarray, b: np.ndarray, needed: int) -> bool:
@@ -367,10 +408,11 @@ def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, rule: Rule) -
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = Unpacked(rule)
         for part in batches:
             keep = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                a, b = unpacked.of(x, 0), unpacked.of(y, 1)
                 keep.append(overlap_reaches(a, b, rule.needed(len(a), len(b))))
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -381,8 +423,8 @@ def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, rule: Rule) -
 
     left = stage(map_batches(with_sides(pairs, sketches, ["band"], ["n", "sketch"]), near, "a bigint, b bigint").distinct(), "ngram-near")
     wanted = left.select(F.explode(F.array("a", "b")).alias("cls"))
-    held = prefiltered(sets.select("cls", "grams"), wanted, "cls")
-    return map_batches(with_sides(left, held, [], ["grams"]), exact, "a bigint, b bigint").distinct()
+    held = prefiltered(sets.select("cls", "words"), wanted, "cls")
+    return map_batches(with_sides(left, held, [], ["words"]), exact, "a bigint, b bigint").distinct()
 
 
 def _sketches_allow(rule: Rule, n_a: int, x: bytes, n_b: int, y: bytes) -> bool:
@@ -391,13 +433,29 @@ def _sketches_allow(rule: Rule, n_a: int, x: bytes, n_b: int, y: bytes) -> bool:
     return int(np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))) <= rule.difference(n_a + n_b)
 
 
+def _banded(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members`` with the band that a signature was made in, and the signatures that a link of the row takes there."""
+    parity = F.abs(F.pmod("sig", F.lit(2)) - F.pmod("band", F.lit(2)))  # the last bit of a signature tells the bands apart
+    return members.join(classes.select("cls", "band", "own", "above"), "cls").select(
+        "sig", "cls", (F.col("band") + parity).cast("int").alias("band"), F.when(parity == 0, F.col("own")).otherwise(F.col("above")).alias("need"))
+
+
+def _able(members: DataFrame, group: str, size: int = 0) -> DataFrame:
+    """The members of signatures that span several values of ``group`` and have more than ``size`` members, of rows that
+    hold as many of those as a link takes. All others link with nobody of another ``group``: their signatures were shared by chance,
+    or with a passage, and would tie rows together in families that grow with the square of the table."""
+    spans = members.groupBy("sig").agg(F.min(group).alias("x"), F.max(group).alias("y"), F.count("*").alias("size")).where(
+        (F.col("x") != F.col("y")) & (F.col("size") > size)).select("sig")
+    rows = members.join(spans, "sig")
+    enough = rows.groupBy("cls", "band").agg(F.count("*").alias("held"), F.max("need").alias("need")).where("held >= need")
+    return rows.join(enough.select("cls", "band"), ["cls", "band"])
+
+
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of groups that span several components, with their component. A group of two was one pair, which the hub
     round has decided."""
     now = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    groups = now.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where(
-        "x <> y and size > 2").select("sig")
-    return now.join(groups, "sig")
+    return _able(stage(_able(now, "root", 2), "ngram-open"), "root")
 
 
 def _hub_pairs(members: DataFrame) -> DataFrame:
@@ -518,10 +576,10 @@ def _product_task(rule: Rule):
     """The spanning links of all blocks of a home."""
 
     def task(table: pa.Table) -> pa.Table:
-        pairs = []
+        pairs, unpacked = [], Unpacked(rule)
         for rows, left, right, root in _blocks(table):
             cls = rows.column("cls").to_numpy()
-            grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in rows.column("grams")]
+            grams = [unpacked.of(w.as_py()) for w in rows.column("words")]
             pairs += [(cls[i], cls[j]) for i, j in spanning(product_links(grams, left, right, root, rule), left, right, root)]
         a, b = np.array(pairs, np.int64).reshape(-1, 2).T
         return pa.table({"a": a, "b": b})
@@ -539,28 +597,28 @@ def _family_links(families: DataFrame, roots: DataFrame, sketches: DataFrame, se
     rows = families.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = rows.join(sketches, ["cls", "band"]).select("home", "family", "low", "high", "part", "cls", "root", "n", "sketch")
     left = stage(rows.groupBy("home").applyInArrow(_candidate_task(rule), PLACED), "ngram-candidates")
-    held = left.join(sets.select("cls", "grams"), "cls").select("home", "family", "low", "high", "part", "cls", "root", "grams")
+    held = left.join(sets.select("cls", "words"), "cls").select("home", "family", "low", "high", "part", "cls", "root", "words")
     return held.groupBy("home").applyInArrow(_product_task(rule), "a bigint, b bigint")
 
 
 def class_components(docs: DataFrame, members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``(cls, root)`` of the classes that link with another; ``docs`` has ``doc_id, text``."""
-    members = stage(members, "ngram-members")
-    named = F.coalesce("doc_id", F.lit(NOBODY)).alias("doc_id")  # rows without id can be chosen too
-    docs = docs.select(named, "text")
-    chosen = members.select("cls").distinct().join(classes, "cls").select(named).distinct()
-    sets = stage(sets_of(docs, chosen, rule), "ngram-sets")
-    both_bands = F.array(F.struct("band", F.col("own").alias("sketch")), F.struct((F.col("band") + 1).alias("band"), F.col("above").alias("sketch")))
-    sketches = stage(sets.select("cls", "n", F.inline(both_bands)).dropDuplicates(["cls", "band"]), "ngram-sketches")
-    # the last bit of a signature says in which of the two bands of a row it was made
-    bands = sets.select("cls", "band").distinct()
-    parity = F.abs(F.pmod("sig", F.lit(2)) - F.pmod("band", F.lit(2))).cast("int")
-    members = stage(members.join(bands, "cls").withColumn("band", F.col("band") + parity), "ngram-banded")
-    links = stage(linked(_hub_pairs(members), sketches, sets, rule), "ngram-links")
-    roots = components(links)
-    families = stage(_families(_open(members, roots), sets.groupBy("cls").agg(F.max("n").alias("n"))), "ngram-families")
-    found = _family_links(families, roots, sketches, sets, rule)
-    return components(stage(links.unionByName(found), "ngram-links"))
+    spark = docs.sparkSession
+    path = new_path(spark, "ngram-roots")
+    with run_folder(spark):
+        members = stage(_banded(members, classes), "ngram-banded")
+        members = stage(_able(members, "cls"), "ngram-able")
+        named = F.coalesce("doc_id", F.lit(NOBODY)).alias("doc_id")  # rows without id can be chosen too
+        docs = docs.select(named, "text")
+        chosen = members.select("cls").distinct().join(classes, "cls").select(named).distinct()
+        sets = stage(sets_of(docs, chosen, rule), "ngram-sets")
+        both_bands = F.array(F.struct("band", F.col("own").alias("sketch")), F.struct((F.col("band") + 1).alias("band"), F.col("above").alias("sketch")))
+        sketches = stage(sets.select("cls", "n", F.inline(both_bands)).dropDuplicates(["cls", "band"]), "ngram-sketches")
+        links = stage(linked(_hub_pairs(members), sketches, sets, rule), "ngram-links")
+        roots = components(links)
+        families = stage(_families(_open(members, roots), classes.select("cls", "n")), "ngram-families")
+        found = _family_links(families, roots, sketches, sets, rule)
+        return stage(components(stage(links.unionByName(found), "ngram-links")), "ngram-roots", path)
 
 
 def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -570,16 +628,19 @@ def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
     of n-grams (null when it is empty), so equal sets share it.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows, members = sketch(docs, rule)
-    classes = stage(rows.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")), "ngram-classes")
-    roots = class_components(docs, members, classes, rule)
-    joined = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    # only classes with copies or links can differ from their own document
-    shared = stage(joined.join(smallest, "root").where(
-        (F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("cls", "component_id", "copies"), "ngram-shared")
-    return lookup(rows, shared, "cls", "copies", "left").select(
+    spark = docs.sparkSession
+    kept = [new_path(spark, name) for name in ("ngram-documents", "ngram-shared")]
+    with tidy(spark), run_folder(spark):
+        rows, members = sketch(docs, rule, kept[0])
+        classes = stage(rows.where("cls is not null").groupBy("cls").agg(
+            F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n", "band", "own", "above")]), "ngram-classes")
+        roots = class_components(docs, members, classes, rule)
+        joined = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        # only classes with copies or links can differ from their own document
+        shared = stage(joined.join(smallest, "root").where(
+            (F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("cls", "component_id", "copies"), "ngram-shared", kept[1])
+    return lookup(rows.select("doc_id", "n", "cls"), shared, "cls", "copies", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("cls").alias("class_id"))
 
@@ -589,9 +650,12 @@ def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
 
     Rows that share an id stay or go together; they go only if each of them belongs to a smaller id.
     """
-    found = link_documents(docs, rule, id_col, text_col)
-    go = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("go"))
-    drop = stage(go.where("go").select(F.col("doc_id").alias("_drop")), "ngram-dropped")
+    spark = docs.sparkSession
+    path = new_path(spark, "ngram-dropped")
+    with tidy(spark), run_folder(spark):
+        found = link_documents(docs, rule, id_col, text_col)
+        go = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("go"))
+        drop = stage(go.where("go").select(F.col("doc_id").alias("_drop")), "ngram-dropped", path)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     key = F.col(names[docs.columns.index(id_col)]).cast("long")
     return docs.toDF(*names).join(drop, key == F.col("_drop"), "left_anti").toDF(*docs.columns)

@@ -29,7 +29,6 @@ every probability is 1; an empty table gives an empty result. Only the id and th
 
 from __future__ import annotations
 
-import contextlib
 import copy
 import functools
 import math
@@ -43,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import batch, map_batches, utf8, words_of
-from evalspark.session import new_path, stage
+from evalspark.session import new_path, stage, tidy
 
 FREQUENT = 512
 ENDINGS = 1024
@@ -712,18 +711,6 @@ def _scores_of_flush(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(found[f.name], f.type) for f in SCORED], schema=SCORED)
 
 
-@contextlib.contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it, shuffle files go when the table that needed them is written."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _by_bucket(rows: DataFrame, tasks: int) -> DataFrame:
     """Written once, in files by bucket, so that a join by bucket does not move it again."""
     spark = rows.sparkSession
@@ -751,7 +738,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = max(8, -(-all_tokens // BUCKET_TOKENS))
     tasks, owners = max(8, buckets // TOGETHER), max(8, buckets // OWNED)
-    with _tidy(docs.sparkSession):
+    with tidy(docs.sparkSession):
         packed = packed_tokens(docs, frequent, buckets).repartition(tasks, "bucket").groupBy("bucket")
         tokens = _by_bucket(packed.applyInArrow(lambda table: _merge(table, parents), MERGED_SQL), tasks)
         cells = _frequent_counts(tokens)

@@ -1,11 +1,13 @@
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from evalspark.llm import ngram_join
 from evalspark.llm.graph import components
+from evalspark.session import shared_dir
 
 
 def sets(rows, n):
@@ -148,3 +150,53 @@ def test_components_of_a_long_path(spark):
     random.Random(5).shuffle(order)
     links = spark.createDataFrame(list(zip(order, order[1:])) + [(1000, 1001)], "a bigint, b bigint")
     assert {r["cls"]: r["root"] for r in components(links).collect()} == {**{i: 0 for i in range(200)}, 1000: 1000, 1001: 1000}
+
+
+def test_linked_pairs_share_what_each_of_them_needs():
+    rng = np.random.default_rng(4)
+    most = 0
+    for percent in (50, 80, 90):
+        rule = ngram_join.Rule(3, percent)
+        for _ in range(400):
+            a = int(rng.integers(1, 600))
+            b = int(rng.integers(a, rule.largest_partner(a) + 1))
+            shared = rule.needed(a, b)
+            if shared > a or a == b == shared:
+                continue
+            pool = rng.choice(1 << 62, a + b, replace=False).astype(np.uint64) * np.uint64(3)
+            x, y = np.sort(pool[:a]), np.sort(np.r_[pool[:shared], pool[a:a + b - shared]])
+            band = ngram_join.band_of(b, rule)
+            (at_x, need_x), (at_y, need_y) = (ngram_join.signatures_and_needs(z, rule) for z in (x, y))
+            both = np.intersect1d(at_x, at_y)
+            need = max(need_x[band - ngram_join.band_of(a, rule)], need_y[0])
+            assert np.count_nonzero(both & np.uint64(1) == np.uint64(band & 1)) >= need
+            most = max(most, need)
+    assert most > 3
+
+
+def with_passage(count=200):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(25)]
+    return [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(80)])) for i in range(count)]
+
+
+def test_rows_that_share_a_passage_are_no_family(spark, monkeypatch):
+    """Each holds few signatures with others, too few for a link; their pairs are not compared and their sets not kept."""
+    held, chosen, families, sets_of = [], [], ngram_join._families, ngram_join.sets_of
+    monkeypatch.setattr(ngram_join, "_families", lambda members, sizes: held.append(members.count()) or families(members, sizes))
+    monkeypatch.setattr(ngram_join, "sets_of", lambda docs, rows, rule: chosen.append(rows.count()) or sets_of(docs, rows, rule))
+    rows = with_passage()
+    near = rows + [(1000 + i, text + " end") for i, text in rows[:5]]
+    docs = spark.createDataFrame(near, "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(docs, ngram_join.Rule(5, 80)).collect()}
+    assert found == brute(near, 5, 80)
+    assert held[0] < 20 and chosen[0] < 50
+
+
+def test_only_the_dropped_ids_stay_on_disk(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "evalspark"
+    before = set(folder.glob("*"))
+    docs = spark.createDataFrame(with_passage(20) + with_passage(20), "doc_id bigint, text string")
+    kept = ngram_join.keep_one(docs, ngram_join.Rule(5, 80))
+    assert {p.name.rpartition("-")[0] for p in set(folder.glob("*")) - before} == {"ngram-dropped"}
+    assert kept.count() == 40
