@@ -89,3 +89,33 @@ def test_refuses_what_does_not_fit(spark):
         linear.fit(entries, 10, 2, "hinge", 1.0)
     with pytest.raises(ValueError):
         linear.fit(entries, linear.MAX_NUMBERS, 2, "log", 1.0)
+
+
+def test_products_leave_out_what_adds_nothing(spark, monkeypatch):
+    """A product with the Hessian of the squared hinge multiplies rows within the margin only, for the classes asked for; the sums are those of all rows."""
+    x, labels, entries = data(spark, 3, 11)
+    w, v = np.random.default_rng(1).normal(size=(2, 31, 3)) * 0.7
+    ones = np.c_[x, np.ones(len(x))]
+    y = np.where(labels[:, None] == np.arange(3), 1, -1)
+    inside = y * (ones @ w) < 1
+    want = 2 * ones.T @ (inside * (ones @ v))
+    rows = entries.where("label is not null").coalesce(1)
+    packed = rows.mapInArrow(linear._pack_task(30), "labels binary, ends binary, columns binary, places binary, numbers binary")
+    problem = linear.Problem(packed, 30, 3, "squared_hinge", 1.0, True)
+    sizes, added = [], linear.added
+
+    def counted(df, task, rows, width, *args):
+        sizes.append(width)
+        return added(df, task, rows, width, *args)
+
+    monkeypatch.setattr(linear, "added", counted)
+    assert problem._scan(w, v, np.array([True, True, True]))[:-1] == pytest.approx(want)
+    some = problem._scan(w, v, np.array([True, False, True]))[:-1]
+    assert some[:, [0, 2]] == pytest.approx(want[:, [0, 2]]) and not some[:, 1].any()
+    assert sizes == [3, 2]
+
+
+def test_kept_rows_of_a_block():
+    ends, places, numbers = np.array([2, 3, 3, 6]), np.array([4, 1, 0, 2, 3, 5], np.int32), np.arange(6.0)
+    kept = linear._rows_of(np.array([False, True, True, True]), ends, places, numbers)
+    assert [k.tolist() for k in kept] == [[1, 1, 4], [0, 2, 3, 5], [2.0, 3.0, 4.0, 5.0]]
