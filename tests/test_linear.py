@@ -119,3 +119,13 @@ def test_kept_rows_of_a_block():
     ends, places, numbers = np.array([2, 3, 3, 6]), np.array([4, 1, 0, 2, 3, 5], np.int32), np.arange(6.0)
     kept = linear._rows_of(np.array([False, True, True, True]), ends, places, numbers)
     assert [k.tolist() for k in kept] == [[1, 1, 4], [0, 2, 3, 5], [2.0, 3.0, 4.0, 5.0]]
+
+
+def test_scans_read_few_blocks_at_once(spark, monkeypatch):
+    """A batch of Spark's ten thousand rows would be all blocks of a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found, added = spark.conf.get(key), [], linear.added
+    monkeypatch.setattr(linear, "added", lambda *args: found.append(int(spark.conf.get(key))) or added(*args))
+    _, _, entries = data(spark, 3, 3)
+    linear.fit(entries, 30, 3, "squared_hinge", 1.0, tol=0.1)
+    assert found and max(found) <= 4 and spark.conf.get(key) == before
